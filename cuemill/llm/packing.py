@@ -26,7 +26,7 @@ class Words:
     characters; its tokens never span such places.  So a text's ids are those of
     its lower-cased runs between ASCII white space, with a comma or full stop
     that follows a letter a run of its own.  Each different run is tokenised
-    once; new ones go to the tokenizer together, parted by a special token.
+    once, many at a time.
     """
 
     def __init__(self, path: str):
@@ -37,26 +37,43 @@ class Words:
         self.mark, self.mark_id = max((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.memo, self.end = Memo(self._ids), np.array([END_ID], "<u4").tobytes()
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        out, gap = [], f" {self.mark} "
-        for i in range(0, len(words), 500):
-            ids = self._whole([gap.join(w.decode(errors="replace") for w in words[i : i + 500]) + gap])[0]
-            ends = np.flatnonzero(ids == self.mark_id)
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip([0, *(ends + 1)], ends, strict=False)]
-        return out
+        """A run of letters is one word to the tokenizer, which numbers its words; the others are parted by the special token."""
+        texts, out = [w.decode(errors="replace") for w in words], {}
+        plain = [w for w in texts if w.isalpha()]
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
+            got = self._encode(" ".join(part))
+            ids, at = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+            if len(ends) == len(part):
+                out.update(zip(part, self._cut(ids, ends, 0), strict=True))
+        rest, gap = [w for w in texts if w not in out], f" {self.mark} "
+        for i in range(0, len(rest), 500):
+            part = rest[i : i + 500]
+            ids = np.array(self._encode(gap.join(part) + gap).ids, "<u4")
+            out.update(zip(part, self._cut(ids, np.flatnonzero(ids == self.mark_id), 1), strict=True))
+        return [out[w] for w in texts]
+
+    def _encode(self, text: str):
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+
+    @staticmethod
+    def _cut(ids: np.ndarray, ends: np.ndarray, gap: int) -> list[bytes]:
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist(), strict=True)]
 
     def __call__(self, text: bytes) -> np.ndarray:
         if b"<|" in text:  # it may hold a special token's string
-            return np.append(self._whole([text.decode(errors="replace")])[0], np.uint32(END_ID))
+            return np.array([*self._encode(text.decode(errors="replace")).ids, END_ID], "<u4")
         runs = re.sub(rb"(?<=[a-z])[.,]", rb" \g<0>", text.lower()).split()
         return np.frombuffer(b"".join([*self.memo.values(runs), self.end]), "<u4")
 
 
-words = functools.lru_cache(maxsize=2)(Words)
+@functools.lru_cache(maxsize=2)
+def words(path: str) -> Words:
+    """One for each worker and model."""
+    return Words(path)
 
 
 def token_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -136,7 +136,10 @@ class Encoder:
         return ids, source[np.minimum(np.cumsum(wide), len(norm))].astype(np.int32)
 
 
-encoder = functools.lru_cache(maxsize=2)(Encoder)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker and model."""
+    return Encoder(path)
 
 
 def _lists(rows: list[np.ndarray], kind) -> pa.Array:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuemill.llm.exact import exact_groups
+from cuemill.llm.packing import pack_documents
+from cuemill.llm.pieces import decode_documents, encode_documents
 from cuemill.llm.quality import judge_quality
+from cuemill.llm.simhash import near_groups
+
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +28,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text, and where the last piece ends in the original bytes."""
+    coded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("bytes_spanned"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op8_simhash_near_dedup, op9_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
