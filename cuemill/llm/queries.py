@@ -10,6 +10,7 @@ from cuemill.llm.exact import exact_groups
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.pieces import decode_documents, encode_documents
 from cuemill.llm.quality import judge_quality
+from cuemill.llm.repeats import repeated_spans
 from cuemill.llm.simhash import near_groups
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +29,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_spans(_table(spark, sf_dir, "documents"))
+    return spans.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), WORD_MODEL)
 
@@ -48,7 +60,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op8_simhash_near_dedup, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op5_suffix_array_dedup, op6_best_fit_packing, op8_simhash_near_dedup, op9_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
