@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm.chat import rotate_perspectives
 from cuemill.llm.exact import exact_groups
+from cuemill.llm.lm import fit_difference, score_documents
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.pieces import decode_documents, encode_documents
 from cuemill.llm.quality import judge_quality
 from cuemill.llm.repeats import repeated_spans
 from cuemill.llm.simhash import near_groups
+from cuemill.llm.urls import judge_urls
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), WORD_MODEL)
 
 
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +71,27 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_rules, op5_suffix_array_dedup, op6_best_fit_packing, op8_simhash_near_dedup, op9_sentencepiece)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of good quality by ``labels`` are the target."""
+    docs = _table(spark, sf_dir, "documents")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_documents(docs, fit_difference(docs, good))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_url_filter,
+        op3_exact_dedup,
+        op4_quality_rules,
+        op5_suffix_array_dedup,
+        op6_best_fit_packing,
+        op7_chat_perspectives,
+        op8_simhash_near_dedup,
+        op9_sentencepiece,
+        op10_lm_scoring,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -69,4 +100,20 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op7_chat_perspectives": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations),
+        people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+        v AS (
+            SELECT t.*, perspective, role = perspective AS own,
+                   CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+                        ELSE '<|user:' || role || '|>' || chr(10) END AS head
+            FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+        s AS (SELECT *, length(head) + length(said) + 8 AS size FROM v),
+        p AS (
+            SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, said
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM s)
+        SELECT conv_id, perspective, turn, role, head || said || '<|end|>' || chr(10) AS rendered, char_start, char_start + size AS char_end,
+               CASE WHEN own THEN char_start + length(head) END AS mask_start, CASE WHEN own THEN char_start + size - 1 END AS mask_end
+        FROM p
+    """,
 }
