@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -12,29 +14,25 @@ from pyspark.sql import functions as F
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 #: The small labelled table that the classifier is trained from when the caller gives none; fixed values.
-LABELLED = {
+#: Each host stands with every path, so that a path says nothing unless a whole URL below does.
+LABELLED_HOSTS = {
     "allow": """
-        https://www.example.com/en/12 https://blog.example.com/fr/77.html http://m.example.com/es/901?page=2 https://example.org/en/5/
-        https://www.example.org/de/410.html https://m.example.org/es/33 https://blog.example.org/en/7?utm_source=feed http://example.com/en/64
-        https://docs.library.org/guide/intro.html https://www.cityschool.edu/courses/history https://news.daily.com/2023/05/world/report
-        https://en.encyclopedia.org/wiki/River https://museum.gov/collections/paintings https://research.university.edu/papers/2021/graph.html
-        https://recipes.kitchen.com/soup/leek https://www.weather.gov/forecast/north https://forum.gardeners.org/t/roses/88
-        https://blog.programmer.io/posts/sorting https://archive.books.org/novels/chapter-3 https://support.software.com/help/install
-        https://journal.science.org/articles/cells https://www.orchestra.com/concerts/spring https://travel.guide.com/italy/rome
-        https://hospital.org/patients/advice https://www.theatre.org/plays/archive https://maps.transport.gov/lines/blue
-        https://poems.readers.com/authors/k https://data.statistics.gov/tables/population https://shop.bookstore.com/catalogue/essays
+        library city-school daily-news encyclopedia museum university kitchen weather gardeners programmer archive-books software science
+        orchestra travel-guide hospital theatre transport readers statistics bookstore mother thethen the-other station-north mention thin-ice
+        heron thunder weather-then rather within-the there tithe north-station thatch another these thing theory ninth thousand whether
+        others enough nation relation herds sister interest answer tin-shed hats onward theatrical thistle breathe
     """,
     "block": """
-        http://free-casino-bonus.win/play/slots http://hot-xxx-videos.top/watch/1 http://cheap-pills-online.biz/buy/now
-        http://win-prize-now.click/claim?id=1 http://adult-cams.live/girls/free http://best-poker-bets.bet/bonus
-        http://track.ads-popunder.click/redirect?u=9 http://login-verify-account.top/secure/update.php http://crack-keygen-download.ru/serial
-        http://casino-jackpot.bet/free-spins http://xxx-tube.top/porn/free http://pills-discount.biz/viagra/cheap
-        http://loan-fast-cash.win/apply/now http://torrent-warez.ru/crack/full http://sexy-dating.click/join/free
-        http://malware-update.top/flash/setup.exe http://adserver.popunder.biz/click?z=4 http://betting-odds.bet/bonus/free
-        http://porn-free.live/xxx/videos http://phish-bank-login.click/verify/account http://replica-watches.biz/buy/cheap
-        http://slots-free-spins.win/casino/bonus http://escort-girls.live/adult http://spam-offers.click/win/prize
+        casino casino-slots best-casino win-casino poker-win sports-bets bets-online free-spins jackpot-bets bet-win cheap-viagra diet-pills
+        pills-online cheap-replica adult-cams xxx-adult adult-video sex-x spam-links link-farm spam-seo content-farm ads-popunder track-ads
+        ad-tracker clicks-track free-pills adult-dating spam-mails login-verify crack-keygen torrent-warez malware-setup free-adult cheap-loans
     """,
 }
+LABELLED_DOMAINS, LABELLED_PATHS = (".example.com", ".example.org", ".example.net"), ("/en/12", "/de/4431.html", "/fr/903/", "/es/27")
+LABELLED_URLS = {
+    "allow": "https://www.example.com/en/guide/intro https://m.example.org/de/wiki/history https://blog.example.net/fr/posts/soup",
+    "block": "http://www.example.com/en/casino/bonus http://m.example.org/de/viagra/cheap http://blog.example.net/fr/porn/xxx",
+}
 #: Hash buckets; n-gram sizes; ridge penalty; rows that a labelled table may have.
 BUCKETS, GRAMS, PENALTY, MAX_LABELLED = 1 << 13, (3, 4), 0.002, 100_000
 
@@ -80,8 +78,14 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(u).alias("url"), F.lit(v).alias("verdict")) for v, us in LABELLED.items() for u in us.split()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """The labelled table above as (url, verdict)."""
+    literals = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    out = []
+    for verdict, hosts in LABELLED_HOSTS.items():
+        grid = spark.range(1).select(literals(hosts.split()).alias("h")).select("h", literals(LABELLED_DOMAINS).alias("d")).select("h", "d", literals(LABELLED_PATHS).alias("p"))
+        out += [grid.select(F.concat(F.lit("http://"), "h", "d", "p").alias("url")), spark.range(1).select(literals(LABELLED_URLS[verdict].split()).alias("url"))]
+        out[-2:] = [x.withColumn("verdict", F.lit(verdict)) for x in out[-2:]]
+    return reduce(DataFrame.unionByName, out)
 
 
 def train(labelled: DataFrame):
