@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuemill.llm.chat import rotate_perspectives
 from cuemill.llm.exact import exact_groups
+from cuemill.llm.langid import held_out, identify, train
 from cuemill.llm.lm import fit_difference, score_documents
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.pieces import decode_documents, encode_documents
@@ -24,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = identify(docs, train(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -81,6 +88,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_url_filter,
         op3_exact_dedup,
         op4_quality_rules,

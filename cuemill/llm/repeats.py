@@ -31,6 +31,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Different segments of one anchor up to which a bucket indexes them; beyond, their windows are dealt by content.
 HOT = 20_000
+#: Bytes of segments in one index, or all those of an anchor if they are more.
+INDEXED = 1 << 19
 #: Bytes of text that are hashed at a time, and positions that are worked on at a time.
 PART, STEP = 1 << 22, 1 << 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -159,7 +161,7 @@ def _split(to: np.ndarray, n: int):
 
 NAMES = "bucket int, block int, h binary, s binary, d binary"
 VERDICTS = "block int, kind int, h binary, s binary"
-SENT = "bucket int, block int, kind int, d binary, at binary, n binary, b binary, c binary"
+SENT = "bucket int, block int, kind int, h binary, d binary, at binary, n binary, b binary, c binary"
 MARKS = "block int, kind int, h binary, s binary"
 _ARROW = {"int": pa.int32(), "binary": pa.binary()}
 
@@ -214,7 +216,7 @@ def _send(block: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
     for to, i in _split(h[pick] % np.uint64(buckets), buckets):
         i = pick[i]
         data = b"".join(b.buf[x : y + LENGTH].tobytes() for x, y in zip(lo[i].tolist(), hi[i].tolist(), strict=True))
-        rows.append((to, no, 1, _bytes(b.ids[doc[i]]), _bytes(lo[i]), _bytes(hi[i] - lo[i] + LENGTH), data, b""))
+        rows.append((to, no, 1, _bytes(h[i]), _bytes(b.ids[doc[i]]), _bytes(lo[i]), _bytes(hi[i] - lo[i] + LENGTH), data, b""))
     hot_h, hot_s = _of_kind(verdicts, 2)
     if len(hot_h):
         parts = []
@@ -227,9 +229,9 @@ def _send(block: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
         order = np.lexsort((w, two, one))
         d, w, one, two = d[order], w[order], one[order], two[order]
         new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(w)]
-        rows.append((-1, no, 0, b"", _bytes(w[~new]), b"", b"", b""))  # repeats inside the block
+        rows.append((-1, no, 0, b"", b"", _bytes(w[~new]), b"", b"", b""))  # repeats inside the block
         d, w, one, two = d[new], w[new], one[new], two[new]
-        rows += [(to, no, 2, _bytes(b.ids[d[i]]), _bytes(w[i]), b"", _bytes(one[i]), _bytes(two[i])) for to, i in _split(one % np.uint64(buckets), buckets)]
+        rows += [(to, no, 2, b"", _bytes(b.ids[d[i]]), _bytes(w[i]), b"", _bytes(one[i]), _bytes(two[i])) for to, i in _split(one % np.uint64(buckets), buckets)]
     return _table(rows, SENT)
 
 
@@ -277,26 +279,29 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for i in range(wide):  # nine bits a symbol, none past the end
             key = key << 9 | np.where(left >= i, code[np.minimum(np.arange(n) + i, n - 1)], 0)
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         s = key[sa]
         start = np.append(True, s[1:] != s[:-1])
         rank = np.empty(n, np.int64)
         rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
         kept = None
-        while wide < 256:
+        while True:
             if wide == 56:
                 kept = rank.copy(), wide
-            tied = np.append(~start[1:], False) | ~start
-            rows = np.flatnonzero(tied)
-            if len(rows):
-                at = sa[rows]
-                nxt = np.where(left[at] >= wide, rank[np.minimum(at + wide, n - 1)] + 1, 0)
-                own = rank[at]
-                o = np.lexsort((at, nxt, own))
-                sa[rows] = at[o]
-                own, nxt = own[o], nxt[o]
-                start[rows] = np.append(True, (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1]))
-                rank[sa[rows]] = np.maximum.accumulate(np.where(start, np.arange(n), 0))[rows]
+            rows = np.flatnonzero(~start | np.append(~start[1:], False))  # tied with a neighbour
+            at = sa[rows]
+            own = rank[at]
+            last = wide > 256  # what is tied still is equal up to the end of its string: by place
+            nxt = at if last else np.where(left[at] >= wide, rank[np.minimum(at + wide, n - 1)] + 1, 0)
+            key = own << 32 | nxt
+            o = np.argsort(key)
+            at, key = at[o], key[o]
+            sa[rows] = at
+            if last:
+                break
+            new = np.append(True, key[1:] != key[:-1])[: len(rows)]
+            start[rows] = new
+            rank[at] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
             wide *= 2
         return sa, kept
 
@@ -346,14 +351,21 @@ def _match(sent: pa.Table) -> pa.Table:
     blocks, places = [], []
     part = sent.filter(pa.compute.equal(sent.column("kind"), 1))
     if part.num_rows:
+        h, block, data = _joined(part, "h", np.uint64), _owners(part, "d", 8), _joined(part, "b", np.uint8)
         ids, at, size = (_joined(part, c, np.int64) for c in ("d", "at", "n"))
-        data, block = _joined(part, "b", np.uint8), _owners(part, "d", 8)
-        order = np.lexsort((at, block, ids))  # one id is in one block
         start = np.cumsum(size) - size
-        take = np.repeat(start[order], size[order]) + np.arange(size.sum()) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-        string, place = RunIndex(data[take], size[order]).repeats()
-        blocks.append(block[order][string])
-        places.append(at[order][string] + place)
+        order = np.lexsort((at, block, ids, h))  # one id is in one block
+        # anchors are apart, so the strings of some at a time are indexed
+        share = np.cumsum(size[order]) // INDEXED
+        head = np.append(True, h[order][1:] != h[order][:-1])
+        share = share[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        for _, own in _split(share, 0):
+            own = order[own]
+            own = own[np.lexsort((at[own], block[own], ids[own]))]
+            take = np.repeat(start[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
+            string, place = RunIndex(data[take], size[own]).repeats()
+            blocks.append(block[own][string])
+            places.append(at[own][string] + place)
     part = sent.filter(pa.compute.equal(sent.column("kind"), 2))
     if part.num_rows:
         ids, at = _joined(part, "d", np.int64), _joined(part, "at", np.int64)
