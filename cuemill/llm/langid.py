@@ -15,9 +15,11 @@ from pyspark.sql.window import Window as W
 #: The bounded sample that the field is fitted on: rows for each language, with texts of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 60, 20_000
 #: Hash buckets of each n-gram size; sizes; lexicon words for each language; steps and rate of the fit; ridge penalty.
-BUCKETS, SIZES, LEXICON, STEPS, RATE, RIDGE = 1 << 14, (1, 2, 3, 4), 300, 40, 0.15, 1e-3
+BUCKETS, SIZES, LEXICON, STEPS, RATE, RIDGE = 1 << 14, (1, 2, 3, 4), 300, 30, 0.15, 1e-3
 #: Chance that a sentence of a training sequence is followed by one of another language.
 SWITCH = 0.3
+#: ASCII characters other than letters, which say nothing at a word's ends.
+EDGES = bytes(c for c in range(128) if not chr(c).isalpha())
 UNKNOWN = "und"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,6 +33,10 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
+def _core(word: bytes) -> bytes:
+    return word.lower().strip(EDGES)
+
+
 def _has_letter(word: bytes) -> bool:
     return re.search(rb"[A-Za-z]", word) is not None or any(map(str.isalpha, word.decode(errors="replace")))
 
@@ -38,11 +44,12 @@ def _has_letter(word: bytes) -> bool:
 def _features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words one after another, and each word's first place in them.
 
-    Lower-cased words stand between spaces.  Byte n-grams that begin or end at a
+    Words are lower-cased, lose what ``EDGES`` has at both ends, and stand between
+    spaces.  Byte n-grams that begin or end at a
     space are the affixes, up to three bytes; the others are inner n-grams; the
     last feature tells which languages' lexicons have the word.
     """
-    lower = [w.lower() for w in words]
+    lower = [_core(w) for w in words]
     buf = np.frombuffer(b" " + b" ".join(lower) + b" " * max(SIZES), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) for w in lower])
     ends = np.cumsum(sizes + 1)  # the space after each word
@@ -58,7 +65,7 @@ def _features(words: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray
         inside = place + n - 1 <= ends[owner]
         parts.append((code[: len(place)][inside] >> np.uint64(64 - 14)).astype(np.int64) + k * BUCKETS)
         owners.append(owner[inside])
-    parts.append(np.array([lexicon.get(re.sub(rb"^\W+|\W+$", b"", w), 0) for w in lower]) + len(SIZES) * BUCKETS)
+    parts.append(np.array([lexicon.get(w, 0) for w in lower]) + len(SIZES) * BUCKETS)
     owners.append(np.arange(len(words)))
     feats, own = np.concatenate(parts), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
@@ -150,7 +157,7 @@ def _lexicon(sample: list[tuple[bytes, int]], count: int) -> dict[bytes, int]:
     """Word to a feature that stands for the set of languages among whose most frequent words it is."""
     sets: dict[bytes, frozenset] = {}
     for label in range(count):
-        seen = Counter(re.sub(rb"^\W+|\W+$", b"", w) for t, k in sample if k == label for w in _words(t.lower()))
+        seen = Counter(_core(w) for t, k in sample if k == label for w in _words(t))
         for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if w:
                 sets[w] = sets.get(w, frozenset()) | {label}
