@@ -24,7 +24,9 @@ def _so_far(key: str, order: str = "pos") -> W:
 def with_next_start(words: DataFrame, fallback: Column | str, key: str = "project_id") -> DataFrame:
     """``end_ms`` becomes the next row's start, the fallback in the last row."""
     fallback = F.col(fallback) if isinstance(fallback, str) else fallback
-    return words.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(_by(key)), fallback))
+    # a next row whose start is null gives a null end
+    is_last = F.lead(F.lit(1)).over(_by(key)).isNull()
+    return words.withColumn("end_ms", F.when(is_last, fallback).otherwise(F.lead("start_ms").over(_by(key))))
 
 
 def with_islands(rows: DataFrame, gap_ms: int = SILENCE_MS, key: str = "project_id") -> DataFrame:

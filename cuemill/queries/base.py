@@ -172,5 +172,5 @@ def sql(tables: str, body: str, **more: str) -> str:
 
     for name in tables.split():
         need(name)
-    parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{n} AS ({x})" for n, x in more.items()]
+    parts = [f"{n} AS MATERIALIZED ({x})" for n, x in [*((n, CTES[n]) for n in order), *more.items()]]
     return f"WITH {', '.join(parts)} {body}" if parts else body

@@ -77,9 +77,11 @@ def b21_wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.folded(O.with_part(A.captions(spark, sf_dir), 9), ["project_id", "part"]).select("project_id", "part", B.wrapped("text").alias("text"))
 
 
-#: Pages by the library's rule, as a fold like the one above.
+#: Pages by the library's rule, as a fold like the one above; a word that far from the one before begins a page in any case.
 _PAGES = {
-    "plisted": "SELECT project_id, list({'pos': pos, 's': start_ms, 'first': 0::BIGINT, 'starts': []::INTEGER[]} ORDER BY pos) AS xs FROM captions GROUP BY project_id",
+    "pfar": """SELECT *, sum(far) OVER (PARTITION BY project_id ORDER BY pos) AS isl FROM (
+        SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY project_id ORDER BY pos) > 1200 THEN 1 ELSE 0 END AS far FROM captions)""",
+    "plisted": "SELECT project_id, isl, list({'pos': pos, 's': start_ms, 'first': 0::BIGINT, 'starts': []::INTEGER[]} ORDER BY pos) AS xs FROM pfar GROUP BY project_id, isl",
     "pwalked": """SELECT project_id, list_reduce(list_prepend({'pos': -1, 's': 0::BIGINT, 'first': 0::BIGINT, 'starts': []::INTEGER[]}, xs), lambda a, x:
         CASE WHEN len(a.starts) = 0 OR x.s - a.first > 1200 THEN {'pos': x.pos, 's': x.s, 'first': x.s, 'starts': list_append(a.starts, x.pos)}
         ELSE {'pos': x.pos, 's': x.s, 'first': a.first, 'starts': a.starts} END).starts AS starts FROM plisted""",

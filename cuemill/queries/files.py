@@ -141,7 +141,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql(
         "turn_words",
-        f"""SELECT project_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, word, start_ms, coalesce(lead(start_ms) OVER w, 77) AS end_ms, malformed FROM (
+        f"""SELECT project_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, word, start_ms, lead(start_ms, 1, 77) OVER w AS end_ms, malformed FROM (
             SELECT project_id, n, {trim("substr(line, strpos(line, chr(9)) + 1)")} AS word, {to_ms(trim("split_part(line, chr(9), 1)"))} AS start_ms, len(string_split(split_part(line, chr(9), 1), ':')) NOT IN (2, 3) AS malformed
             FROM lines WHERE {trim('line')} <> '' AND strpos(line, chr(9)) > 0 AND split_part(line, chr(9), 1) <> '' AND {trim("substr(line, strpos(line, chr(9)) + 1)")} <> '')
         WINDOW w AS (PARTITION BY project_id ORDER BY n)""",

@@ -35,7 +35,6 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "chunk_no").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-_NULL = "{'o': 0, 'taken': []::INTEGER[]}"
 #: The walk over one chunk as a fold over its places; the lists of the chunk's words stand in every element.
 _WALK = {
     "ins": f"SELECT project_id, chunk_no, list(word ORDER BY row_no) AS words, list({normal('word')} ORDER BY row_no) AS a, list(start_ms ORDER BY row_no) AS starts FROM chunk_rows GROUP BY project_id, chunk_no",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cuemill import adapters as A
 from cuemill.functions.text import numbered, ordered_text, unnumbered
 from cuemill.operators import ordered as O
-from cuemill.queries.base import half_up, punctuated, query, sql
+from cuemill.queries.base import half_up, query, sql
 from cuemill.sources.transcripts import transcript_texts
 
 
@@ -28,7 +29,6 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end_ms", F.when(flat, F.col("start_ms")).otherwise(F.col("end_ms")))
 
 
-#: Runs by a recursive walk would be slow; each flat word finds its neighbours by correlated windows that look past flat words.
 @query(
     sql(
         "turn_words",
@@ -93,8 +93,6 @@ def f06_sentence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f07_running_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of the upper line if a block of twelve words were split after each word."""
-    from pyspark.sql.window import Window as W
-
     rows = O.with_part(A.turns(spark, sf_dir), 12)
     length = F.length("word") + F.when(F.col("pos") % 12 > 0, 1).otherwise(0)
     total = F.sum(length).over(W.partitionBy("project_id", "part").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
