@@ -35,18 +35,20 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = max((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.is_last = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo, self.end = Memo(self._ids), np.array([END_ID], "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        """A run of letters is one word to the tokenizer, which numbers its words; the others are parted by the special token."""
+        """A run of letters is one word to the tokenizer, whose last token shows that it ends there; the others are parted by the special token."""
         texts, out = [w.decode(errors="replace") for w in words], {}
         plain = [w for w in texts if w.isalpha()]
         for i in range(0, len(plain), 500):
             part = plain[i : i + 500]
-            got = self._encode(" ".join(part))
-            ids, at = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
-            if len(ends) == len(part):
+            ids = np.array(self._encode(" ".join(part)).ids, "<u4")
+            ends = np.flatnonzero(self.is_last[ids]) + 1
+            if len(ends) == len(part):  # no run has fewer ends than one, so each has one
                 out.update(zip(part, self._cut(ids, ends, 0), strict=True))
         rest, gap = [w for w in texts if w not in out], f" {self.mark} "
         for i in range(0, len(rest), 500):
