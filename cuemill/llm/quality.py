@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.llm.common import SPACE, staged
@@ -15,45 +15,64 @@ MAX_HOST_RATE, MIN_HOST_DOCS = 0.8, 20
 BROADCAST_HOSTS = 200_000
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated_words(words: Column) -> Column:
+    """Words inside windows of ``WINDOW`` words that the array holds at least twice; null if there are none."""
+    hashes = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+
+    def places(ordered):
+        """Where windows begin of which there are several: a neighbour in order has the same hash."""
+        same = lambda x, k: F.coalesce(F.get(ordered, k)["h"] == x["h"], F.lit(False))
+        found = F.transform(ordered, lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["i"]))
+        return F.array_sort(F.filter(found, lambda i: i.isNotNull()))
+
+    # each repeated window adds the words up to the next one's start, the window's length at most
+    covered = lambda starts: F.aggregate(
+        starts,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        lambda s, i: F.struct((s["n"] + (i + WINDOW) - F.greatest(i, s["end"])).alias("n"), (i + WINDOW).alias("end")),
+        lambda s: s["n"],
+    )
+    in_order = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    # no repeated window, no sort
+    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(_let(in_order(h), places))))
+
+
 def with_base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """``docs`` plus n_words, n_repeat_words, base_failed, word_chars, n_symbols, n_dup_lines.
 
     Words are runs of characters other than space and U+0009..U+000D; a null
     text has none.  n_repeat_words counts words inside 8-word windows that the
     text holds at least twice, the first occurrence included.  Windows are told
     apart by the XXH64 of their words, and sorting finds the equal ones, so a
     long text costs n log n; texts without a repeated window skip the sort.
+    The verdict is made in one expression over the words, so a filter on it can
+    be pushed to the scan without working anything out twice.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    starts = F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    # (hash, place) in order; a window is repeated if a neighbour has its hash
-    ordered = F.array_sort(F.transform("_wins", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = lambda a, b: F.coalesce(F.try_element_at("_sorted", a)["h"] == F.try_element_at("_sorted", b)["h"], F.lit(False))
-    repeated = F.array_sort(F.transform(F.filter(F.transform("_sorted", lambda x, k: F.when(((k > 0) & same(F.greatest(k, F.lit(1)), k + 1)) | same(k + 1, k + 2), x["i"])), lambda i: i.isNotNull()), lambda i: i))
-    # each repeated window adds the words up to the next one's start, the window's length at most
-    covered = F.aggregate(
-        "_rep",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda s, i: F.struct((s["n"] + (i + WINDOW) - F.greatest(i, s["end"])).alias("n"), (i + WINDOW).alias("end")),
-        lambda s: s["n"],
-    )
-    out = docs.withColumn("_words", words).withColumn("_lines", lines).withColumn("_wins", starts)
-    # no repeated window, no sort
-    out = out.withColumn("_wins", F.when(F.size(F.array_distinct("_wins")) < F.size("_wins"), F.col("_wins")))
-    out = out.withColumn("_sorted", ordered).withColumn("_rep", repeated)
+
+    def judged(words):
+        n = F.size(words).cast("long")
+        failed = lambda r: (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
+        return _let(F.coalesce(_repeated_words(words), F.lit(0).cast("long")), lambda r: F.struct(n.alias("n_words"), r.alias("n_repeat_words"), failed(r).alias("base_failed")))
+
+    out = docs.withColumn("_b", _let(F.filter(F.split(text, SPACE), lambda w: w != ""), judged)).withColumn("_lines", lines)
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.col("_b.n_words"),
+            "n_repeat_words": F.col("_b.n_repeat_words"),
+            "base_failed": F.col("_b.base_failed"),
             "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_wins", "_sorted", "_rep")
+    return out.drop("_b", "_lines")
 
 
 def host_verdicts(rows: DataFrame, host_col: str = "source", failed_col: str = "base_failed", max_rate: float = MAX_HOST_RATE, min_docs: int = MIN_HOST_DOCS) -> DataFrame:
@@ -63,15 +82,14 @@ def host_verdicts(rows: DataFrame, host_col: str = "source", failed_col: str = "
     hosts by moments of their raw rates.  With one host, or equal rates, the
     prior is worth one document at the overall rate.
     """
-    hosts = rows.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed_col).cast("long")).alias("failed"))
+    hosts = staged(rows.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed_col).cast("long")).alias("failed")), "hosts")
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_samp(raw).alias("v"), (F.sum("failed") / F.sum("n")).alias("p"))
-    # moments of a beta: a + b = m (1 - m) / v - 1
-    weight = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)
-    prior = prior.select(F.coalesce(weight, F.lit(1.0)).alias("weight"), F.when(weight.isNull(), F.col("p")).otherwise(F.col("m")).alias("mean"))
-    rate = (F.col("failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    # the prior is a single row
-    out = hosts.join(F.broadcast(prior)).withColumn("rate", rate)
+    # the driver sees three numbers
+    m, v, p = hosts.agg(F.avg(raw), F.var_samp(raw), F.sum("failed") / F.sum("n")).first()
+    weight, mean = 1.0, p or 0.0
+    if v and m * (1 - m) > v:  # moments of a beta: a + b = m (1 - m) / v - 1
+        weight, mean = m * (1 - m) / v - 1, m
+    out = hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("n") + weight))
     return out.select("host", "n", "failed", "rate", ((F.col("rate") > max_rate) & (F.col("n") >= min_docs)).alias("host_rejected"))
 
 
@@ -90,8 +108,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     base = with_base_rules(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), F.col(host_col).alias("host")), "_text")
     base = staged(base.select(id_col, "host", *counts), "quality")
-    hosts = staged(host_verdicts(base, "host"), "hosts")
-    hosts = hosts.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_rejected")
+    hosts = host_verdicts(base, "host").select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "host_rejected")
     if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     rows = base.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
@@ -104,7 +121,7 @@ def drop_poor(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     Only rejected hosts are needed, so they alone come back to the documents.
     """
     narrow = with_base_rules(docs.select(F.col(text_col).alias("_text"), F.col(host_col).alias("host")), "_text").select("host", "base_failed")
-    bad = staged(host_verdicts(narrow, "host").where("host_rejected").select(F.col("host").alias("_host")), "hosts")
+    bad = host_verdicts(narrow, "host").where("host_rejected").select(F.col("host").alias("_host"))
     good = with_base_rules(docs.select("*", F.col(text_col).alias("_text")), "_text").where(~F.col("base_failed")).select(*docs.columns)
     if bad.isEmpty():
         return good
