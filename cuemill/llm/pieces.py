@@ -132,7 +132,7 @@ class Encoder:
         ids = np.array(self.sp.encode(text, num_threads=1), np.int32)
         wide = self.width[ids]
         if (ids == self.unknown).any():  # only without byte fallback: such a piece has the text's own characters
-            wide = np.array([len(p.piece.encode()) for p in self.sp.encode(text, out_type="immutable_proto").pieces])
+            wide = np.array([len(p.piece.encode()) for p in self.sp.encode(text, return_type="proto", num_threads=1).pieces])
         return ids, source[np.minimum(np.cumsum(wide), len(norm))].astype(np.int32)
 
 
