@@ -11,10 +11,15 @@ def in_order(*cols: Column | str, order: str = "pos") -> Column:
     return F.array_sort(F.collect_list(F.struct(order, *cols)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cut(rows: Column, starts: Column) -> Column:
     """The array in runs that begin at the places ``starts`` (from 0, rising)."""
-    ends = lambda i, s: F.coalesce(F.get(starts, i + 1), F.size(rows)) - s
-    return F.transform(starts, lambda s, i: F.slice(rows, s + 1, ends(i, s)))
+    size = lambda at, s, i: F.coalesce(F.get(at, i + 1), F.size(rows)) - s
+    return let(starts, lambda at: F.transform(at, lambda s, i: F.slice(rows, s + 1, size(at, s, i))))
 
 
 def fold_starts(rows: Column, begins, state: dict, step) -> Column:
@@ -27,8 +32,10 @@ def fold_starts(rows: Column, begins, state: dict, step) -> Column:
     zero = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"), *[v.alias(k) for k, v in state.items()])
 
     def merge(s, x):
-        new = (s["i"] == 0) | begins(s, x)
-        starts = F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"])
-        return F.struct((s["i"] + 1).alias("i"), starts.alias("starts"), *[v.alias(k) for k, v in step(s, x, new).items()])
+        def after(new):
+            starts = F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"])
+            return F.struct((s["i"] + 1).alias("i"), starts.alias("starts"), *[v.alias(k) for k, v in step(s, x, new).items()])
+
+        return let((s["i"] == 0) | begins(s, x), after)
 
     return F.aggregate(rows, zero, merge, lambda s: s["starts"])

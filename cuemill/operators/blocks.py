@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cuemill.functions.text import SPACE, ends_with_punctuation, is_bound_word, is_break_word, trim
-from cuemill.operators.arrays import cut, fold_starts, in_order
+from cuemill.operators.arrays import cut, fold_starts, in_order, let
 from cuemill.operators.ordered import with_islands
 
 LINE_CHARS, BLOCK_CHARS, FEWEST_WORDS = 42, 84, 4
@@ -26,7 +26,7 @@ def _islands(captions: DataFrame, lang: str, key: str) -> DataFrame:
     islands = rows.groupBy(key, "island").agg(in_order("text", "start_ms", "end_ms", "len", "brk", "bound", "punct").alias("rows"))
 
     def begins(s, x):
-        size = s["size"] + 1 + x["len"]
+        size = s["size"] + 1 + x["len"]  # three small integers: cheaper again than bound
         turn = (s["n"] >= FEWEST_WORDS) & (size > LINE_CHARS) & (s["punct"] | x["brk"]) & ~x["bound"]
         return (size > BLOCK_CHARS) | turn
 
@@ -76,18 +76,17 @@ def folded(captions: DataFrame, by: list[str], sep: str = " ") -> DataFrame:
     )
 
 
-def split_candidates(text: Column, lang: str = "en", line: int = LINE_CHARS) -> Column:
+def _candidates(words: Column, total: Column, lang: str, line: int) -> Column:
     """Array of (score, i): places after which a text may be split into two lines, the upper not the longer."""
-    words = F.split(text, SPACE + "+")
-    total = F.length(text)
 
     def candidate(i):
-        top = F.length(F.array_join(F.slice(words, F.lit(1), i + 1), " "))
-        bottom = total - top - 1
-        following = F.get(words, i + 1)
-        score = F.abs(top - F.floor(total / 2).cast("int")) - F.when(ends_with_punctuation(F.get(words, i)), 20).otherwise(0) - F.when(is_break_word(following, lang), 10).otherwise(0)
-        fits = (top <= line) & (bottom <= line) & (top <= bottom) & ~is_bound_word(following, lang)
-        return F.when(fits, F.struct(score.alias("score"), i.alias("i")))
+        def scored(top):
+            bottom, following = total - top - 1, F.get(words, i + 1)
+            score = F.abs(top - F.floor(total / 2).cast("int")) - F.when(ends_with_punctuation(F.get(words, i)), 20).otherwise(0) - F.when(is_break_word(following, lang), 10).otherwise(0)
+            fits = (top <= line) & (bottom <= line) & (top <= bottom) & ~is_bound_word(following, lang)
+            return F.when(fits, F.struct(score.alias("score"), i.alias("i")))
+
+        return let(F.length(F.array_join(F.slice(words, F.lit(1), i + 1), " ")), scored)
 
     places = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(places, candidate), lambda x: x.isNotNull())
@@ -96,7 +95,12 @@ def split_candidates(text: Column, lang: str = "en", line: int = LINE_CHARS) ->
 def wrapped(text: Column | str, lang: str = "en", line: int = LINE_CHARS) -> Column:
     """A text longer than a line in two lines, split at the best place if there is one."""
     text = F.col(text) if isinstance(text, str) else text
-    words = F.split(text, SPACE + "+")
-    best = F.array_min(split_candidates(text, lang, line))["i"]
-    top, bottom = F.slice(words, F.lit(1), best + 1), F.slice(words, best + 2, F.size(words))
-    return F.when((F.length(text) <= line) | best.isNull(), text).otherwise(F.concat(F.array_join(top, " "), F.lit("\n"), F.array_join(bottom, " ")))
+
+    def split(words):
+        def at(best):
+            top, bottom = F.slice(words, F.lit(1), best + 1), F.slice(words, best + 2, F.size(words))
+            return F.when(best.isNull(), text).otherwise(F.concat(F.array_join(top, " "), F.lit("\n"), F.array_join(bottom, " ")))
+
+        return let(F.array_min(_candidates(words, F.length(text), lang, line))["i"], at)
+
+    return F.when(F.length(text) <= line, text).otherwise(let(F.split(text, SPACE + "+"), split))

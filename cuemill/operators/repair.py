@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import is_similar, normalized
-from cuemill.operators.arrays import in_order
+from cuemill.operators.arrays import in_order, let
 
 #: Rows to look ahead on either side; share of rows below which an answer is asked for again, once.
 AHEAD, LEAST_SHARE = 4, 0.90
@@ -46,15 +46,23 @@ def repaired(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> D
         return F.coalesce(*steps)
 
     def walk(s, i):
-        o, norm = s["o"], F.get(ins, i)["norm"]
-        here = F.get(outs, o)["norm"]
-        out_look, in_look = look(outs, o, norm), look(ins, i, here)
-        dropped = in_look.isNotNull() & (out_look.isNull() | (in_look <= out_look))
-        # the place of the answer taken, null to keep the input
-        take = (
-            F.when(here.isNull(), None).when(here == norm, o).when(dropped, None).when(out_look.isNotNull(), o + out_look).when(is_similar(norm, here), o)
-        )
-        return F.struct(F.coalesce(take + 1, o).alias("o"), F.concat(s["taken"], F.array(take)).alias("taken"))
+        o = s["o"]
+
+        def decide(w):
+            """``w``: this row's norm and the answer's; then how far ahead each stands on the other side, unless they are equal."""
+            norm, here = w["norm"], w["here"]
+            unlike = here.isNotNull() & (norm != here)
+            ahead = F.struct(F.when(unlike, look(outs, o, norm)).alias("out"), F.when(unlike, look(ins, i, here)).alias("in"))
+
+            def take(a):
+                # the place of the answer taken, null to keep the input
+                dropped = a["in"].isNotNull() & (a["out"].isNull() | (a["in"] <= a["out"]))
+                return F.when(here == norm, o).when(here.isNull() | dropped, None).when(a["out"].isNotNull(), o + a["out"]).when(is_similar(norm, here), o)
+
+            return let(ahead, take)
+
+        pair = F.struct(F.get(ins, i)["norm"].alias("norm"), F.get(outs, o)["norm"].alias("here"))
+        return let(let(pair, decide), lambda t: F.struct(F.coalesce(t + 1, o).alias("o"), F.concat(s["taken"], F.array(t)).alias("taken")))
 
     zero = F.struct(F.lit(0).alias("o"), F.array().cast("array<int>").alias("taken"))
     taken = F.aggregate(F.sequence(F.lit(0), F.size(ins) - 1), zero, walk, lambda s: s["taken"])
