@@ -77,36 +77,44 @@ def b21_wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.folded(O.with_part(A.captions(spark, sf_dir), 9), ["project_id", "part"]).select("project_id", "part", B.wrapped("text").alias("text"))
 
 
-#: Pages by the library's rule, as a fold like the one above; a word that far from the one before begins a page in any case.
-_PAGES = {
-    "pfar": """SELECT *, sum(far) OVER (PARTITION BY project_id ORDER BY pos) AS isl FROM (
-        SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY project_id ORDER BY pos) > 1200 THEN 1 ELSE 0 END AS far FROM captions)""",
-    "plisted": "SELECT project_id, isl, list({'pos': pos, 's': start_ms, 'first': 0::BIGINT, 'starts': []::INTEGER[]} ORDER BY pos) AS xs FROM pfar GROUP BY project_id, isl",
-    "pwalked": """SELECT project_id, list_reduce(list_prepend({'pos': -1, 's': 0::BIGINT, 'first': 0::BIGINT, 'starts': []::INTEGER[]}, xs), lambda a, x:
-        CASE WHEN len(a.starts) = 0 OR x.s - a.first > 1200 THEN {'pos': x.pos, 's': x.s, 'first': x.s, 'starts': list_append(a.starts, x.pos)}
-        ELSE {'pos': x.pos, 's': x.s, 'first': a.first, 'starts': a.starts} END).starts AS starts FROM plisted""",
-    "pbegun": "SELECT project_id, unnest(starts) AS pos, 1 AS b FROM pwalked",
-    "paged": """SELECT c.*, CAST(sum(coalesce(b, 0)) OVER (PARTITION BY c.project_id ORDER BY c.pos) - 1 AS INTEGER) AS page FROM captions c LEFT JOIN pbegun s ON c.project_id = s.project_id AND c.pos = s.pos""",
-    "split": """SELECT *, CAST(coalesce(sum(CASE WHEN regexp_matches(text, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY project_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS part FROM paged""",
-}
+def page_ctes(table: str = "captions", by: str = "project_id", kind: str = "BIGINT") -> dict[str, str]:
+    """Pages by the library's rule, as a fold like the one above; a word that far from the one before begins a page in any case."""
+    same = " AND ".join(f"c.{k} = s.{k}" for k in by.split(", "))
+    zero = f"'first': 0::{kind}, 'starts': []::INTEGER[]"
+    return {
+        "pfar": f"""SELECT *, sum(far) OVER (PARTITION BY {by} ORDER BY pos) AS isl FROM (
+            SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY {by} ORDER BY pos) > 1200 THEN 1 ELSE 0 END AS far FROM {table})""",
+        "plisted": f"SELECT {by}, isl, list({{'pos': pos, 's': start_ms, {zero}}} ORDER BY pos) AS xs FROM pfar GROUP BY {by}, isl",
+        "pwalked": f"""SELECT {by}, list_reduce(list_prepend({{'pos': -1, 's': 0::{kind}, {zero}}}, xs), lambda a, x:
+            CASE WHEN len(a.starts) = 0 OR x.s - a.first > 1200 THEN {{'pos': x.pos, 's': x.s, 'first': x.s, 'starts': list_append(a.starts, x.pos)}}
+            ELSE {{'pos': x.pos, 's': x.s, 'first': a.first, 'starts': a.starts}} END).starts AS starts FROM plisted""",
+        "pbegun": f"SELECT {by}, unnest(starts) AS pos, 1 AS b FROM pwalked",
+        "paged": f"SELECT c.*, CAST(sum(coalesce(b, 0)) OVER (PARTITION BY {', '.join('c.' + k for k in by.split(', '))} ORDER BY c.pos) - 1 AS INTEGER) AS page FROM {table} c LEFT JOIN pbegun s ON {same} AND c.pos = s.pos",
+        "split": f"""SELECT *, CAST(coalesce(sum(CASE WHEN regexp_matches(text, '[.!?]$') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY {by}, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS part FROM paged""",
+    }
+
+
+def pages_sql(table: str, within: str, by: str = "project_id") -> str:
+    return f"""SELECT {by}, CAST(row_number() OVER (PARTITION BY {by} ORDER BY min(pos)) - 1 AS INTEGER) AS page_no, string_agg(text, '' ORDER BY pos) AS text,
+        min_by(start_ms, pos) AS start_ms, max_by(end_ms, pos) AS end_ms, max_by(end_ms, pos) - min_by(start_ms, pos) AS duration_ms, CAST(count(*) AS INTEGER) AS n_tokens
+        FROM {table} GROUP BY {by}, {within}"""
 
 
-def _pages_sql(table: str, by: str) -> str:
-    return f"""SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY min(pos)) - 1 AS INTEGER) AS page_no, string_agg(text, '' ORDER BY pos) AS text,
-        min_by(start_ms, pos) AS start_ms, max_by(end_ms, pos) AS end_ms, max_by(end_ms, pos) - min_by(start_ms, pos) AS duration_ms, CAST(count(*) AS INTEGER) AS n_tokens FROM {table} GROUP BY {by}"""
+_PAGES = page_ctes()
 
 
 def _sized(pages: DataFrame) -> DataFrame:
     return pages.withColumn("n_tokens", F.size("tokens")).drop("tokens")
 
 
-@query(sql("captions", _pages_sql("paged", "project_id, page"), **_PAGES))
+@query(sql("captions", pages_sql("paged", "page"), **_PAGES))
 def g02_caption_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the library's own rule; the reference leaves it to a package that it doesn't hold."""
     return _sized(P.group_pages(A.captions(spark, sf_dir)))
 
 
-@query(sql("captions", _pages_sql("split", "project_id, page, part"), **_PAGES))
+@query(sql("captions", pages_sql("split", "page, part"), **_PAGES))
 def e02_sentence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages split at sentences and folded."""
     return _sized(P.split_at_sentences(P.group_pages(A.captions(spark, sf_dir))))
@@ -118,7 +126,7 @@ def e02_sentence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT project_id, page_no, start_frame, n_frames FROM (SELECT project_id, page_no, start_ms / 1000 * 23.976::DOUBLE AS start_frame,
         least(lead(start_ms) OVER (PARTITION BY project_id ORDER BY page_no) / 1000 * 23.976::DOUBLE, end_ms / 1000 * 23.976::DOUBLE) - start_ms / 1000 * 23.976::DOUBLE AS n_frames FROM pg) WHERE n_frames > 0""",
         **_PAGES,
-        pg=_pages_sql("split", "project_id, page, part"),
+        pg=pages_sql("split", "page, part"),
     )
 )
 def f04_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

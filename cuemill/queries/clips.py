@@ -11,6 +11,7 @@ from cuemill.functions.clips import render_key as key_of
 from cuemill.operators import clips as C
 from cuemill.plans.transcripts import render_plan
 from cuemill.queries.base import query, sql
+from cuemill.queries.blocks import page_ctes, pages_sql
 
 FPS = A.FPS
 
@@ -172,9 +173,16 @@ def d11_updated_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.updated(clips, changes).select("project_id", "pos", "title", "start_ms", "end_ms")
 
 
-@query()
+@query(
+    sql(
+        "captions laid",
+        "SELECT project_id, clip_no, page_no, text, start_ms, duration_ms FROM (" + pages_sql("split", "page, part", "project_id, clip_no") + ")",
+        shown=_SHOWN.format(text="CASE WHEN c.pos = 7 THEN ' EDITED' ELSE text END", off="coalesce(caption_offset, 0)"),
+        **page_ctes("shown", "project_id, clip_no", "DOUBLE"),
+    )
+)
 def p03_render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages of every clip, from captions to frames: a whole plan, held against its parts by the tests."""
+    """The pages of every clip: a whole plan."""
     words = A.words(spark, sf_dir)
     _, pages = render_plan(A.clips_of(words), A.as_captions(words), FPS)
     return pages.select("project_id", "clip_no", "page_no", "text", "start_ms", "duration_ms")

@@ -157,16 +157,21 @@ def i05_serial_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out/version={version}").select("session_id", "event_id", "new_state")
 
 
-@query()
+@query(
+    sql(
+        "requests",
+        f"SELECT session_id, n_events, last_event FROM ({_SAVES}) WHERE saved_at <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 600 SECOND FROM requests)",
+    )
+)
 def i04_stream_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Debounced saves by session windows (I04); the last windows stay open until the watermark passes them."""
+    """Debounced saves by session windows (I04); windows that the watermark has not passed stay open."""
     at = _work(spark, "quiet")
     return live.drained(live.saves(_stream(spark, sf_dir), "2 hours"), f"{at}/out", f"{at}/log").drop("saved_at")
 
 
-@query()
+@query(sql("requests", "SELECT DISTINCT session_id, 'clip' || (event_id % 4) AS render_key FROM requests WHERE new_state <> 'READY'"))
 def i07_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request of each clip while the watermark holds it."""
+    """One request of each clip while the watermark holds it (I07); all that is there comes in one batch, before which there is no watermark."""
     at = _work(spark, "first")
     rows = _renders(_stream(spark, sf_dir)).where("kind = 'start'")
     return live.drained(live.first_requests(rows), f"{at}/out", f"{at}/log").select("session_id", "render_key")
