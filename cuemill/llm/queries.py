@@ -40,7 +40,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(_table(spark, sf_dir, "documents"))
+    judged = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,25 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op4_quality_rules": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        i AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w),
+        g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + 7], ' ')) AS n FROM i),
+        r AS (SELECT rid, count(DISTINCT i + k) AS covered FROM g, range(8) AS t(k) WHERE n > 1 GROUP BY rid),
+        c AS (
+            SELECT doc_id, source AS host, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words
+            FROM w LEFT JOIN r USING (rid)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+        h AS (SELECT host, count(*) AS n, count_if(base_failed) AS failed FROM b GROUP BY host),
+        p AS (SELECT avg(failed / n) AS m, var_samp(failed / n) AS v, sum(failed) / sum(n) AS p FROM h),
+        q AS (SELECT CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1 END AS weight, CASE WHEN v > 0 AND m * (1 - m) > v THEN m ELSE p END AS mean FROM p),
+        j AS (SELECT host, n >= 20 AND (failed + mean * weight) / (n + weight) > 0.8 AS host_rejected FROM h, q)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, b.host, host_rejected
+        FROM b JOIN j ON b.host IS NOT DISTINCT FROM j.host
+    """,
     "op7_chat_perspectives": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations),
         people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
