@@ -147,6 +147,12 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), kind))
 
 
+def _rows(col: pa.ListArray) -> list[list[int]]:
+    """The lists of a column, through NumPy (Arrow's own way makes an object of each number first); null is empty."""
+    flat, cuts = col.values.to_numpy(), col.offsets.to_numpy().tolist()
+    return [flat[a:b].tolist() if known else [] for a, b, known in zip(cuts, cuts[1:], col.is_valid().to_pylist(), strict=False)]
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, ends array<int>) for every row.
 
@@ -178,7 +184,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         for b in parts:
             col = b.column(names.index("ids"))
             for i in range(0, b.num_rows, 500):
-                texts = sp.decode([x or [] for x in col.slice(i, 500).to_pylist()], num_threads=1) if b.num_rows else []
+                texts = sp.decode(_rows(col.slice(i, 500)), num_threads=1)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 500) for c in b.columns), pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
