@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.llm.common import staged, with_small
 
-#: Words of the shared vocabulary; it bounds the models (its square is what the driver sees and sends out).
-VOCABULARY = 1022
-#: Ids of any other word, and of the text's edge (before the first and after the last word).
+#: Ids of any word outside a bounded vocabulary, and of the text's edge (before the first and after the last word); other words have the hash of their bytes.
 OTHER, EDGE = 0, 1
+#: Bytes of text after which a task ends a block; a block sends each of its bigrams once.
+BLOCK = 16 << 20
+#: What a word's row of the model holds: tokens after it and different ones, in target and background; its own tokens in both.
+STATS = ("t_after", "t_kinds", "b_after", "b_kinds", "t_own", "b_own")
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def word_id(word: bytes) -> int:
+    """The word's 64-bit hash as a signed long."""
+    x = xxhash.xxh64_intdigest(word)
+    return x - (1 << 64) if x >> 63 else x
+
+
 @dataclass
 class Difference:
-    """``loss[v, w]``: the target's less the background's loss, in nats, of word ``w`` after ``v``."""
+    """Bigram counts ``pairs`` (prev, word, n_target, n_background) and the sums ``words`` (word, ``STATS``) as tables.
+
+    The driver holds the number of ids (words and two marks) and the two numbers of tokens; ``keep`` is a bounded vocabulary, or null.
+    """
 
-    ids: dict[bytes, int]
-    loss: np.ndarray
+    pairs: DataFrame
+    words: DataFrame
+    wide: int
+    n_target: int
+    n_background: int
+    keep: frozenset[bytes] | None = None
 
 
-def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
+def top_words(docs: DataFrame, text_col: str, size: int) -> frozenset[bytes]:
     """The ``size`` most frequent words of all whole texts, in order of count, then word; counted before the shuffle."""
 
     def count(parts):
@@ -42,81 +59,145 @@ def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCAB
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top, 2)}
-
-
-def _pairs(texts: list[bytes | None], ids: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all texts one after another, the cell (word before, word) of each token and edge; and where each text ends."""
-    rows = [[EDGE, *map(ids.get, ws, repeat(OTHER)), EDGE] for ws in map(_words, texts)]
-    flat = np.array([x for r in rows for x in r], np.int64)
-    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-    cells = flat[:-1] * size + flat[1:] if len(flat) else flat
-    inside = np.ones(len(cells), bool)
-    inside[ends[:-1] - 1] = False  # from one text's end to the next one's start
-    return cells[inside], ends - np.arange(1, len(ends) + 1)
-
-
-def _log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell bigrams over add-one unigrams, as logarithms."""
-    words = counts.sum(0) + 1.0
-    unigram = words / words.sum()
-    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-    return np.log((1 - weight) * counts / np.maximum(total, 1) + weight * unigram)
-
-
-def fit_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> Difference:
+    return frozenset(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+
+
+class _Block:
+    """The bigrams of some texts: ``ids`` of its words, in order; ``cells``, each bigram's place of the first word times the number of words and that of the second."""
+
+    def __init__(self, texts: list[bytes | None], keep: frozenset[bytes] | None):
+        local = defaultdict(numbers(2).__next__)
+        place, flat, sizes = local.__getitem__, [], []
+        for t in texts:
+            ws = _words(t)
+            flat.append(1)
+            flat += map(place, ws) if keep is None else [place(w) if w in keep else 0 for w in ws]
+            flat.append(1)
+            sizes.append(len(ws) + 2)
+        ids = np.array([OTHER, EDGE, *map(word_id, local)], np.int64)
+        self.ids, at = np.unique(ids, return_inverse=True)
+        flat = at[np.array(flat, np.int64)]
+        cells = flat[:-1] * len(self.ids) + flat[1:]
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(cells), bool)
+        inside[ends[:-1] - 1] = False  # from one text's end to the next one's start
+        self.cells, self.at = np.unique(cells[inside], return_inverse=True)
+        self.ends = ends - np.arange(1, len(ends) + 1)
+
+    def pairs(self) -> list[pa.Array]:
+        before, after = np.divmod(self.cells, len(self.ids))
+        return [pa.array(self.ids[before]), pa.array(self.ids[after])]
+
+
+def _blocks(parts, keep):
+    """(the batches' columns, block) for each block of a task's rows; texts come last."""
+    held, size = [], 0
+    for b in parts:
+        for i in range(0, b.num_rows, 500):
+            cut = b.slice(i, 500)
+            held.append(cut)
+            size += cut.column(cut.num_columns - 1).nbytes
+            if size >= BLOCK:
+                yield (t := pa.Table.from_batches(held)), _Block(t.column(t.num_columns - 1).cast(pa.binary()).to_pylist(), keep)
+                held, size = [], 0
+    if held and any(b.num_rows for b in held):
+        yield (t := pa.Table.from_batches(held)), _Block(t.column(t.num_columns - 1).cast(pa.binary()).to_pylist(), keep)
+
+
+def fit_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> Difference:
     """Models of the documents whose ids are in ``targets`` and of all documents, over one vocabulary, from all their tokens.
 
-    Bigrams are counted in dense arrays in the tasks and summed by Spark; the
-    driver gets one row for each bigram seen, (size + 2) squared at most.
+    Every word that occurs is in the vocabulary, unless ``size`` bounds it to the most frequent.
+    Counts are made in blocks and summed by Spark; they stay in staged tables that grow with the corpus.
     """
-    ids = shared_vocabulary(docs, text_col, size)
-    wide = len(ids) + 2
+    keep = None if size is None else top_words(docs, text_col, size)
+    sent = docs.sparkSession.sparkContext.broadcast(keep)
 
     def count(parts):
-        for b in parts:
-            texts, flags = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            both = []
-            for rows in ([t for t, f in zip(texts, flags, strict=True) if f], texts):
-                cells, _ = _pairs(rows, ids, wide)
-                both.append(np.bincount(cells, minlength=wide * wide))
-            seen = np.flatnonzero(both[1])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, both[0][seen], both[1][seen])], ["cell", "target", "background"])
+        for rows, block in _blocks(parts, sent.value):
+            n = np.diff(block.ends, prepend=0)
+            flags = np.repeat(rows.column(0).to_numpy(), n)
+            wide = len(block.cells)
+            own = np.bincount(block.at[flags], minlength=wide), np.bincount(block.at, minlength=wide)
+            yield pa.RecordBatch.from_arrays([*block.pairs(), *map(pa.array, own)], ["prev", "word", "n_target", "n_background"])
 
     targets = staged(targets.select(F.col(id_col).alias("_target")).where("_target is not null").distinct(), "targets")
     marked = with_small(docs.select(F.col(id_col).alias("_target"), text_col), targets.withColumn("_in", F.lit(True)), ["_target"], "left")
-    flagged = marked.select(text_col, F.coalesce("_in", F.lit(False)).alias("target"))
-    sums = flagged.mapInArrow(count, "cell long, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    cells = sums.column("cell").to_numpy()
+    flagged = marked.select(F.coalesce("_in", F.lit(False)).alias("target"), text_col)
+    # dealt first: blocks hold a bigram once, so that sums before the shuffle would save little
+    counted = flagged.mapInArrow(count, "prev long, word long, n_target long, n_background long").repartition("prev", "word")
+    pairs = staged(counted.groupBy("prev", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background")), "pairs")
+    n, m, none = F.col("n_target"), F.col("n_background"), F.lit(0).cast("long")
+    after = pairs.groupBy(F.col("prev").alias("id")).agg(*[x.alias(k) for k, x in zip(STATS, (F.sum(n), F.count_if(n > 0), F.sum(m), F.count_if(m > 0), F.max(none), F.max(none)), strict=True)])
+    own = pairs.groupBy(F.col("word").alias("id")).agg(*[x.alias(k) for k, x in zip(STATS, (*[F.max(none)] * 4, F.sum(n), F.sum(m)), strict=True)])
+    words = staged(after.unionByName(own).groupBy("id").agg(*[F.sum(k).alias(k) for k in STATS]), "words")
+    got = words.agg(F.count_if(~F.col("id").isin(OTHER, EDGE)), F.coalesce(F.sum("t_own"), none), F.coalesce(F.sum("b_own"), none)).first()
+    return Difference(pairs, words, got[0] + 2, got[1], got[2], keep)
+
+
+def _losses(cells: np.ndarray, counts: list[np.ndarray], stats: list[np.ndarray], sums: tuple[int, int], wide: int) -> np.ndarray:
+    """The target's less the background's loss of each cell: Witten-Bell bigrams over add-one unigrams, as logarithms."""
+    before, after = np.divmod(cells, len(stats[0]))
     logs = []
-    for name in ("target", "background"):
-        counts = np.zeros(wide * wide)
-        counts[cells] = sums.column(name).to_numpy()
-        logs.append(_log_probabilities(counts.reshape(wide, wide)))
-    return Difference(ids, (logs[1] - logs[0]).astype(np.float32))
+    for n, total, kinds, own, tokens in zip(counts, stats[0:4:2], stats[1:4:2], stats[4:], sums, strict=True):
+        unigram, total, kinds = (own[after] + 1.0) / (tokens + wide), total[before], kinds[before]
+        weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+        logs.append(np.log((1 - weight) * n / np.maximum(total, 1) + weight * unigram))
+    return logs[1] - logs[0]
 
 
 def score_documents(docs: DataFrame, model: Difference, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens long, score double): the mean over tokens (the end of the text is one) of the target's less the background's loss.
 
     Low scores are like the target.  Null and empty texts have the end alone;
-    each row is scored by itself, from its whole text.
+    each row is scored from its whole text.  A block of texts asks once for each
+    of its bigrams and words; the answers meet its texts, which hold places in
+    the block's list of bigrams.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.ids, model.loss))
-
-    def score(parts):
-        ids, loss = sent.value
-        wide, flat = len(loss), loss.ravel()
-        for b in parts:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 1000):
-                cells, ends = _pairs(texts[i : i + 1000], ids, wide)
-                starts = np.append(0, ends[:-1])
-                n = ends - starts
-                mean = np.add.reduceat(flat[cells].astype(np.float64), starts) / n
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1000), pa.array(n), pa.array(mean)], ["id", "n_tokens", "score"])
-
+    sent = docs.sparkSession.sparkContext.broadcast(model.keep)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(score, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, score double").withColumnRenamed("id", id_col)
+    kind = src.schema["id"].dataType.simpleString()
+
+    def split(parts):
+        """Rows of texts (id, cells), bigrams (at, prev, word) and words (at below zero, word) of each block."""
+        schema = None
+        for k, (rows, block) in enumerate(_blocks(parts, sent.value)):
+            name = (TaskContext.get().partitionId() << 32) + k
+            ids, places, starts = rows.column(0).combine_chunks(), block.at.astype(np.int32), np.append(0, block.ends[:-1])
+            schema = schema or pa.schema([("block", pa.int64()), ("id", ids.type), ("cells", pa.binary()), ("at", pa.int64()), ("prev", pa.int64()), ("word", pa.int64())])
+            none = lambda n, i: pa.nulls(n, schema[i].type)
+            for i in range(0, len(ids), 1000):
+                cells = [places[a:z].tobytes() for a, z in zip(starts[i : i + 1000], block.ends[i : i + 1000], strict=True)]
+                n = len(cells)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), ids.slice(i, n), pa.array(cells, pa.binary()), *[none(n, j) for j in (3, 4, 5)]], schema=schema)
+            n = len(block.cells)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), none(n, 1), none(n, 2), pa.array(block.cells), *block.pairs()], schema=schema)
+            n = len(block.ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), none(n, 1), none(n, 2), pa.array(-1 - np.arange(n)), none(n, 4), pa.array(block.ids)], schema=schema)
+
+    blocks = staged(src.mapInArrow(split, f"block long, id {kind}, cells binary, at long, prev long, word long"), "blocks")
+    none = F.lit(0).cast("long")
+    filled = lambda *names: [F.coalesce(x, none).alias(k) for k, x in zip(STATS, [*map(F.col, names), *[F.lit(None).cast("long")] * (6 - len(names))], strict=True)]
+    pairs = blocks.where("at >= 0").select("block", "at", "prev", "word").join(model.pairs, ["prev", "word"], "left").select("block", "at", *filled("n_target", "n_background"))
+    words = blocks.where("at < 0").select("block", "at", F.col("word").alias("id")).join(model.words, "id", "left").select("block", "at", *filled(*STATS))
+    sums, wide = (model.n_target, model.n_background), model.wide
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.select(["at", *STATS])
+        at, *columns = (c.to_numpy() for c in answers.columns)
+        order = np.argsort(at)
+        at, columns = at[order], [c[order] for c in columns]
+        own = int(np.searchsorted(at, 0))
+        stats = [c[:own][::-1] for c in columns]  # the first word is -1
+        loss = _losses(at[own:], [c[own:] for c in columns[:2]], stats, sums, wide)
+        n, mean = [], []
+        for cells in texts.column("cells"):
+            places = np.frombuffer(cells.as_buffer(), np.int32)
+            n.append(len(places))
+            mean.append(loss[places].mean())
+        return pa.table({"id": texts.column("id"), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(mean, pa.float64())})
+
+    texts = blocks.where("cells is not null").select("block", "id", "cells")
+    answers = pairs.unionByName(words).select(F.col("block").alias("of"), "at", *STATS)
+    met = texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(score, f"id {kind}, n_tokens long, score double")
+    return met.withColumnRenamed("id", id_col)

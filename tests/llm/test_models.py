@@ -117,3 +117,33 @@ def test_empty(spark):
     empty, none = documents(spark, []), spark.createDataFrame([], "doc_id long")
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert lm.score_documents(empty, lm.fit_difference(empty, none)).count() == 0
+
+
+def test_difference_of_rare_words(spark, monkeypatch):
+    """Every word is in the vocabulary, also in texts that the model has not seen, and blocks change nothing."""
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    rows = [(i, f"a b w{i} x{i} w{i}", None, None) for i in range(1500)] + [(2000, "a b w7 x7 w7", None, None), (None, "", None, None)]
+    targets = spark.createDataFrame([(i,) for i in range(0, 1500, 3)], "doc_id long")
+    seqs = lambda text: ["<", *text.split(), "<"]
+    bigrams = lambda own: Counter(p for r in rows if own(r) for p in itertools.pairwise(seqs(r[1])))
+    wide = len({w for r in rows for w in r[1].split()}) + 2
+
+    def model(n):
+        after, kinds, words, total = Counter(), Counter(), Counter(), sum(n.values())
+        for (a, b), k in n.items():
+            after[a] += k
+            kinds[a] += 1
+            words[b] += k
+        uni = lambda b: (words[b] + 1) / (total + wide)
+        return lambda a, b: math.log((n[a, b] + kinds[a] * uni(b)) / (after[a] + kinds[a]) if after[a] else uni(b))
+
+    target, background = model(bigrams(lambda r: r[0] is not None and r[0] < 1500 and r[0] % 3 == 0)), model(bigrams(lambda r: True))
+    fitted = lm.fit_difference(documents(spark, rows), targets)
+    asked = [*rows[:9], (3001, "a w3 never x3 b", None, None)]
+    for some in (rows, asked):
+        got = {r.doc_id: (r.n_tokens, r.score) for r in lm.score_documents(documents(spark, some), fitted).collect()}
+        assert len(got) == len(some)
+        for i, t, *_ in some:
+            ps = list(itertools.pairwise(seqs(t)))
+            assert got[i][0] == len(ps) and math.isclose(got[i][1], sum(background(a, b) - target(a, b) for a, b in ps) / len(ps), abs_tol=1e-9)
+    assert got[3][1] < got[4][1] - 0.1 and abs(got[4][1] - got[5][1]) < 1e-9
