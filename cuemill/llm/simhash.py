@@ -128,8 +128,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids never name a component that has another id; an empty table gives no rows.
     """
     fps = staged(fingerprints(docs, id_col, text_col).withColumn("salt", salt_of(F.col("id"), SALTS)), "fps")
+    return named_groups(fps, links, id_col)
+
+
+def named_groups(fps: DataFrame, links_of, id_col: str) -> DataFrame:
+    """The rows of :func:`near_groups` from a staged table (id, fp, salt) and the links that ``links_of`` makes from the classes of equal ``fp``."""
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_or(salt_bit(F.col("salt"))).alias("salts")), "classes")
-    roots = components(links(classes)).withColumnRenamed("node", "fp")
+    roots = components(links_of(classes)).withColumnRenamed("node", "fp")
     grouped = classes.join(roots, "fp", "left").withColumn("linked", F.col("root").isNotNull())
     linked = grouped.where("linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -144,10 +149,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each near-duplicate group: the one whose id names it.
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_groups) -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate group that ``groups`` finds: the one whose id names it.
 
     Where rows repeat that id, they stay together; exact deduplication comes first.
     """
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    kept = groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")

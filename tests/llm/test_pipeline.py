@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 from compare import difference
@@ -41,3 +43,36 @@ def test_stages_on_odd_rows(spark, sf):
         docs = staged(stage(spark, docs, sf), name)
         assert docs.columns == columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_near_stage_drops_similar_texts(spark, sf):
+    """A near copy goes from a five-word similarity of 0.8 on, by all pairs; others stay."""
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        base = text(120)
+        rows.append(base)
+        for edits in (1, 2, 3, 6, 12):
+            near = list(base)
+            for k in rng.sample(range(120), edits):
+                near[k] = f"e{rng.randrange(5000)}"
+            rows.append(near)
+    sets = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = [i for i in range(len(rows)) if find(i) == i]
+    docs = documents(spark, [(i, " ".join(ws), "en", "h") for i, ws in enumerate(rows)])
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf).collect())
+    assert got == want and 60 < len(want) < len(rows) - 60
