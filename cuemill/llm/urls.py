@@ -13,25 +13,41 @@ from pyspark.sql import functions as F
 #: Rules (verdict, host and path) of the registered query.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-#: The small labelled table that the classifier is trained from when the caller gives none; fixed values.
-#: Each host stands with every path, so that a path says nothing unless a whole URL below does.
+#: The labelled table that the classifier is trained from when the caller gives none; fixed values, every fourth host of a verdict held out.
+#: Each host stands with every domain and path, so that these say nothing unless a whole URL below does.
 LABELLED_HOSTS = {
     "allow": """
-        library city-school daily-news encyclopedia museum university kitchen weather gardeners programmer archive-books software science
-        orchestra travel-guide hospital theatre transport readers statistics bookstore mother thethen the-other station-north mention thin-ice
-        heron thunder weather-then rather within-the there tithe north-station thatch another these thing theory ninth thousand whether
-        others enough nation relation herds sister interest answer tin-shed hats onward theatrical thistle breathe
+        library museum university city-hospital daily-herald morning-news weather-service gardening kitchen-recipes chemistry astronomy
+        history-society national-archive public-radio orchestra theatre cinema-review bookshop poetry football-club cycling hiking-trails
+        railway-timetable airport travel-guide hotel-reviews cartography geology biology physics-forum mathematics linguistics dictionary
+        encyclopedia parliament city-council tax-office post-office fire-brigade police-station courthouse school-district kindergarten
+        programming-blog open-source software-docs linux-users python-tutorial database-journal network-engineering electronics carpentry
+        knitting pottery photography painting sculpture architecture urban-planning farmers-market bakery coffee-roasters tea-house vineyard
+        veterinary dental-clinic nursing medicine-today public-health nutrition psychology philosophy theology genealogy birdwatching
+        aquarium botanical-garden zoo forest-service ocean-research climate-data energy-agency engineering steel-works shipyard insurance
+        savings-bank accounting stock-report economics job-centre student-union alumni scholarship charity volunteers red-lantern
+        neighbours chess-club board-games puzzle-page crossword music-school choir jazz-festival dance-studio fashion-history furniture
+        bicycle-repair car-maintenance motor-museum science-daily spaceflight telescope mountain-rescue lighthouse harbour fishing-village
     """,
     "block": """
-        casino casino-slots best-casino win-casino poker-win sports-bets bets-online free-spins jackpot-bets bet-win cheap-viagra diet-pills
-        pills-online cheap-replica adult-cams xxx-adult adult-video sex-x spam-links link-farm spam-seo content-farm ads-popunder track-ads
-        ad-tracker clicks-track free-pills adult-dating spam-mails login-verify crack-keygen torrent-warez malware-setup free-adult cheap-loans
+        casino royal-casino casino-bonus online-casino poker-room video-poker slots-jackpot mega-slots roulette-spin blackjack-win bet-now
+        sports-betting gambling-tips gamble-online lottery-winner lotto-cash jackpot-city bingo-bonus porn free-porn porn-videos xxx-movies
+        xxx-cams sex-chat sexy-girls hot-sex nude-girls naked-cams webcam-girls live-sex-cams adult-videos adult-dating escort-service
+        escorts-city hookup-tonight hot-milfs dating-singles meet-singles viagra buy-viagra cheap-cialis viagra-pills pills-discount
+        online-pharmacy-cheap no-prescription-meds diet-pills weight-loss-miracle steroids-shop replica-watches fake-rolex cheap-handbags
+        replica-bags fake-passports buy-followers cheap-likes payday-loans fast-payday-loan instant-cash easy-cash-now quick-loans
+        bad-credit-loans forex-millionaire crypto-doubler bitcoin-giveaway get-rich-quick make-money-fast free-money prize-claim claim-your-prize
+        free-iphone-winner gift-card-free survey-rewards phishing-login secure-login-verify account-verify bank-login-confirm paypal-verify
+        password-reset-alert trojan-download malware-exe virus-exe free-exe-download keygen-crack cracked-software serial-keys warez-download
+        torrent-movies pirate-torrents spam-mailer bulk-mails link-farm seo-backlinks buy-backlinks content-spinner doorway-pages popup-ads
+        ad-tracker tracking-pixels click-fraud pay-per-click ads-redirect spyware-toolbar fake-antivirus miracle-cure
     """,
 }
-LABELLED_DOMAINS, LABELLED_PATHS = (".example.com", ".example.org", ".example.net"), ("/en/12", "/de/4431.html", "/fr/903/", "/es/27")
+HELD_OUT = 4
+LABELLED_DOMAINS, LABELLED_PATHS = (".com", ".org", ".net", ".info", ".co.uk"), ("/", "/index.html", "/news/2019/07/article-31", "/p/48213", "/shop/item.php")
 LABELLED_URLS = {
-    "allow": "https://www.example.com/en/guide/intro https://m.example.org/de/wiki/history https://blog.example.net/fr/posts/soup",
-    "block": "http://www.example.com/en/casino/bonus http://m.example.org/de/viagra/cheap http://blog.example.net/fr/porn/xxx",
+    "allow": "https://www.site.com/guide/intro https://m.pages.org/wiki/history https://blog.home.net/posts/soup-recipe",
+    "block": "http://www.site.com/casino/bonus http://m.pages.org/viagra/cheap http://blog.home.net/porn/xxx",
 }
 #: Hash buckets; n-gram sizes; ridge penalty; rows that a labelled table may have.
 BUCKETS, GRAMS, PENALTY, MAX_LABELLED = 1 << 13, (3, 4), 0.002, 100_000
@@ -77,14 +93,16 @@ def _features(df: DataFrame) -> DataFrame:
     return hashed.transform(df.withColumn("_grams", _grams(F.col("host"), F.col("path")))).drop("_grams")
 
 
-def default_labels(spark: SparkSession) -> DataFrame:
-    """The labelled table above as (url, verdict)."""
+def default_labels(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The labelled table above as (url, verdict): what is trained from, or the hosts held out."""
     literals = lambda xs: F.explode(F.array(*map(F.lit, xs)))
     out = []
     for verdict, hosts in LABELLED_HOSTS.items():
-        grid = spark.range(1).select(literals(hosts.split()).alias("h")).select("h", literals(LABELLED_DOMAINS).alias("d")).select("h", "d", literals(LABELLED_PATHS).alias("p"))
-        out += [grid.select(F.concat(F.lit("http://"), "h", "d", "p").alias("url")), spark.range(1).select(literals(LABELLED_URLS[verdict].split()).alias("url"))]
-        out[-2:] = [x.withColumn("verdict", F.lit(verdict)) for x in out[-2:]]
+        grid = spark.range(1).select(literals([h for i, h in enumerate(hosts.split()) if (i % HELD_OUT == HELD_OUT - 1) == held_out]).alias("h")).select("h", literals(LABELLED_DOMAINS).alias("d")).select("h", "d", literals(LABELLED_PATHS).alias("p"))
+        rows = [grid.select(F.concat(F.lit("http://"), "h", "d", "p").alias("url"))]
+        if not held_out:
+            rows.append(spark.range(1).select(literals(LABELLED_URLS[verdict].split()).alias("url")))
+        out += [x.withColumn("verdict", F.lit(verdict)) for x in rows]
     return reduce(DataFrame.unionByName, out)
 
 

@@ -53,6 +53,16 @@ def test_classifier(spark, model):
     assert judged.where("verdict <> want").count() <= 0.02 * judged.count()
 
 
+def test_held_out_hosts(spark, model):
+    """Hosts of the table that the model has not seen."""
+    rows = urls.default_labels(spark, held_out=True).withColumnRenamed("verdict", "want").withColumn("page_id", urls.F.xxhash64("url"))
+    assert rows.join(urls.default_labels(spark), "url").count() == 0
+    judged = urls.judge_urls(rows, model=model, rules=[]).join(rows, "page_id")
+    got = {(r.want, r.verdict): r["count"] for r in judged.groupBy("want", "verdict").count().collect()}
+    print(got)
+    assert got["block", "block"] > got.get(("block", "allow"), 0) and got["allow", "allow"] > 2 * got.get(("allow", "block"), 0)
+
+
 def test_labelled_table_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_LABELLED", 3)
     with pytest.raises(ValueError):
