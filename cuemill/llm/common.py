@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of the warehouse where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of the warehouse where that is unset.
+
+    On a cluster a warehouse in a local folder is refused: executors would each write to their own disk.
+    """
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuemill"
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = not re.match(r"\w+:", warehouse) or warehouse.startswith("file:")
+    if local and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local folder")
+    return warehouse + "/_cuemill"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -37,6 +49,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(parts, text: int, size: int = 4 << 20, rows: int = 2000):
+    """A task's Arrow batches in slices of at most ``size`` bytes of the column ``text`` (or one row) and ``rows`` rows."""
+    for b in parts:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(text)), 0)).to_numpy().astype("int64")
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(max(at + 1, int(ends.searchsorted(before + size, "right"))), at + rows)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until the table has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,203 +1,222 @@
-"""Cross-entropy difference scoring with two matched bigram models."""
+"""Cross-entropy difference scoring with a target and a background bigram model over one vocabulary."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from dataclasses import dataclass
+from collections import defaultdict
 from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import staged, with_small
+from cuemill.llm.common import sliced, staged, with_small
 
-#: Ids of any word outside a bounded vocabulary, and of the text's edge (before the first and after the last word); other words have the hash of their bytes.
-OTHER, EDGE = 0, 1
-#: Bytes of text after which a task ends a block; a block sends each of its bigrams once.
-BLOCK = 16 << 20
-#: What a word's row of the model holds: tokens after it and different ones, in target and background; its own tokens in both.
-STATS = ("t_after", "t_kinds", "b_after", "b_kinds", "t_own", "b_own")
+#: Bytes of text in a block of documents, which sends each of its cells once.
+BLOCK = 4 << 20
+#: Tokens that the unigrams are worth after each word (a Dirichlet prior).
+PRIOR = 16.0
+#: The id of a text's edge: before its first word and after its last. Other words have the hash of their bytes.
+EDGE = 1
+#: Different words that a task counts before it passes them on.
+COUNTED = 300_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_id(word: bytes) -> int:
-    """The word's 64-bit hash as a signed long."""
-    x = xxhash.xxh64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX[k]
+    return x ^ (x >> np.uint64(29))
 
 
-@dataclass
-class Difference:
-    """Bigram counts ``pairs`` (prev, word, n_target, n_background) and the sums ``words`` (word, ``STATS``) as tables.
+def _packed(keys: np.ndarray) -> bytes:
+    """48-bit keys as six planes of bytes: they are sorted, so that the upper planes compress."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
-    The driver holds the number of ids (words and two marks) and the two numbers of tokens; ``keep`` is a bounded vocabulary, or null.
-    """
 
-    pairs: DataFrame
-    words: DataFrame
-    wide: int
-    n_target: int
-    n_background: int
-    keep: frozenset[bytes] | None = None
+def _keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return out.view(np.uint64).ravel()
 
 
-def top_words(docs: DataFrame, text_col: str, size: int) -> frozenset[bytes]:
-    """The ``size`` most frequent words of all whole texts, in order of count, then word; counted before the shuffle."""
+def _counts(a: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    return a.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if a.max(initial=0) <= np.iinfo(k).max)).tobytes()
 
-    def count(parts):
-        for b in parts:
-            seen = Counter()
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                seen.update(_words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    counts = docs.select(F.col(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
-
-
-class _Block:
-    """The bigrams of some texts: ``ids`` of its words, in order; ``cells``, each bigram's place of the first word times the number of words and that of the second."""
-
-    def __init__(self, texts: list[bytes | None], keep: frozenset[bytes] | None):
-        local = defaultdict(numbers(2).__next__)
-        place, flat, sizes = local.__getitem__, [], []
-        for t in texts:
-            ws = _words(t)
-            flat.append(1)
-            flat += map(place, ws) if keep is None else [place(w) if w in keep else 0 for w in ws]
-            flat.append(1)
-            sizes.append(len(ws) + 2)
-        ids = np.array([OTHER, EDGE, *map(word_id, local)], np.int64)
-        self.ids, at = np.unique(ids, return_inverse=True)
-        flat = at[np.array(flat, np.int64)]
-        cells = flat[:-1] * len(self.ids) + flat[1:]
-        ends = np.cumsum(sizes)
-        inside = np.ones(len(cells), bool)
-        inside[ends[:-1] - 1] = False  # from one text's end to the next one's start
-        self.cells, self.at = np.unique(cells[inside], return_inverse=True)
-        self.ends = ends - np.arange(1, len(ends) + 1)
-
-    def pairs(self) -> list[pa.Array]:
-        before, after = np.divmod(self.cells, len(self.ids))
-        return [pa.array(self.ids[before]), pa.array(self.ids[after])]
-
-
-def _blocks(parts, keep):
-    """(the batches' columns, block) for each block of a task's rows; texts come last."""
-    held, size = [], 0
-    for b in parts:
-        for i in range(0, b.num_rows, 500):
-            cut = b.slice(i, 500)
-            held.append(cut)
-            size += cut.column(cut.num_columns - 1).nbytes
-            if size >= BLOCK:
-                yield (t := pa.Table.from_batches(held)), _Block(t.column(t.num_columns - 1).cast(pa.binary()).to_pylist(), keep)
-                held, size = [], 0
-    if held and any(b.num_rows for b in held):
-        yield (t := pa.Table.from_batches(held)), _Block(t.column(t.num_columns - 1).cast(pa.binary()).to_pylist(), keep)
-
-
-def fit_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> Difference:
-    """Models of the documents whose ids are in ``targets`` and of all documents, over one vocabulary, from all their tokens.
-
-    Every word that occurs is in the vocabulary, unless ``size`` bounds it to the most frequent.
-    Counts are made in blocks and summed by Spark; they stay in staged tables that grow with the corpus.
+
+def _uncounted(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
+
+
+def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words (the edge first); the places in them of all texts' words, with edges around each text; and words a text."""
+    local = defaultdict(numbers(1).__next__)
+    place, flat, sizes = local.__getitem__, [], []
+    for t in texts:
+        ws = _words(t)
+        flat.append(0)
+        flat += map(place, ws)
+        flat.append(0)
+        sizes.append(len(ws))
+    return np.array([EDGE, *map(xxhash.xxh64_intdigest, local)], np.uint64), np.array(flat, np.int64), np.array(sizes, np.int64)
+
+
+class Block:
+    """The cells (words and bigrams) of some texts, in order of bucket and key, and the cells of each token.
+
+    A token is a word or the end of its text.  Cells depend on the set of texts
+    alone, not on their order.
     """
-    keep = None if size is None else top_words(docs, text_col, size)
-    sent = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def __init__(self, texts: list[bytes | None], buckets: int):
+        ids, flat, sizes = _places(texts)
+        self.sizes = sizes + 1
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        second = np.arange(len(self.doc)) + self.doc + 1  # each text has one more mark than tokens
+        prev, word = flat[second - 1], flat[second]
+        pairs, at = np.unique(prev * len(ids) + word, return_inverse=True)
+        a, b = np.divmod(pairs, len(ids))
+        one = np.uint64(1)
+        cells = np.concatenate([_mixed(ids, 0) | one, _mixed(_mixed(ids[a], 1) + ids[b], 2) & ~one])  # words are odd
+        key, bucket = cells & _LOW, ((_mixed(cells, 3) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))[: len(order)]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.key, bucket = key[order][new], bucket[order][new]
+        self.bucket, starts = np.unique(bucket, return_index=True)
+        self.starts = np.append(starts, len(bucket))
+        self.prev, self.word, self.pair = place[prev], place[word], place[len(ids) + at]
+
+    def parts(self):
+        return zip(self.bucket.tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)
+
+    def own(self, cells: np.ndarray) -> np.ndarray:
+        """How often each token's cell occurs in its own text."""
+        _, at, n = np.unique(self.doc * len(self.key) + cells, return_inverse=True, return_counts=True)
+        return n[at]
+
+
+def vocabulary(docs: DataFrame) -> tuple[int, int, int, int]:
+    """Of (text, target, background): different words and the edge, tokens of target and background, bytes of text."""
 
     def count(parts):
-        for rows, block in _blocks(parts, sent.value):
-            n = np.diff(block.ends, prepend=0)
-            flags = np.repeat(rows.column(0).to_numpy(), n)
-            wide = len(block.cells)
-            own = np.bincount(block.at[flags], minlength=wide), np.bincount(block.at, minlength=wide)
-            yield pa.RecordBatch.from_arrays([*block.pairs(), *map(pa.array, own)], ["prev", "word", "n_target", "n_background"])
-
-    targets = staged(targets.select(F.col(id_col).alias("_target")).where("_target is not null").distinct(), "targets")
-    marked = with_small(docs.select(F.col(id_col).alias("_target"), text_col), targets.withColumn("_in", F.lit(True)), ["_target"], "left")
-    flagged = marked.select(F.coalesce("_in", F.lit(False)).alias("target"), text_col)
-    # dealt first: blocks hold a bigram once, so that sums before the shuffle would save little
-    counted = flagged.mapInArrow(count, "prev long, word long, n_target long, n_background long").repartition("prev", "word")
-    pairs = staged(counted.groupBy("prev", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background")), "pairs")
-    n, m, none = F.col("n_target"), F.col("n_background"), F.lit(0).cast("long")
-    after = pairs.groupBy(F.col("prev").alias("id")).agg(*[x.alias(k) for k, x in zip(STATS, (F.sum(n), F.count_if(n > 0), F.sum(m), F.count_if(m > 0), F.max(none), F.max(none)), strict=True)])
-    own = pairs.groupBy(F.col("word").alias("id")).agg(*[x.alias(k) for k, x in zip(STATS, (*[F.max(none)] * 4, F.sum(n), F.sum(m)), strict=True)])
-    words = staged(after.unionByName(own).groupBy("id").agg(*[F.sum(k).alias(k) for k in STATS]), "words")
-    got = words.agg(F.count_if(~F.col("id").isin(OTHER, EDGE)), F.coalesce(F.sum("t_own"), none), F.coalesce(F.sum("b_own"), none)).first()
-    return Difference(pairs, words, got[0] + 2, got[1], got[2], keep)
-
-
-def _losses(cells: np.ndarray, counts: list[np.ndarray], stats: list[np.ndarray], sums: tuple[int, int], wide: int) -> np.ndarray:
-    """The target's less the background's loss of each cell: Witten-Bell bigrams over add-one unigrams, as logarithms."""
-    before, after = np.divmod(cells, len(stats[0]))
-    logs = []
-    for n, total, kinds, own, tokens in zip(counts, stats[0:4:2], stats[1:4:2], stats[4:], sums, strict=True):
-        unigram, total, kinds = (own[after] + 1.0) / (tokens + wide), total[before], kinds[before]
-        weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        logs.append(np.log((1 - weight) * n / np.maximum(total, 1) + weight * unigram))
-    return logs[1] - logs[0]
-
-
-def score_documents(docs: DataFrame, model: Difference, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens long, score double): the mean over tokens (the end of the text is one) of the target's less the background's loss.
-
-    Low scores are like the target.  Null and empty texts have the end alone;
-    each row is scored from its whole text.  A block of texts asks once for each
-    of its bigrams and words; the answers meet its texts, which hold places in
-    the block's list of bigrams.
+        def out(seen, edge, size):
+            rows = [(x - (1 << 64) if x >> 63 else x, *n) for x, n in ((xxhash.xxh64_intdigest(w), n) for w, n in seen.items())]
+            cols = list(zip((EDGE, *edge), *rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([size] + [0] * len(rows), pa.int64())], ["word", "t", "b", "bytes"])
+
+        seen, edge, size = defaultdict(lambda: [0, 0]), [0, 0], 0
+        for b in sliced(parts, 0):
+            for text, t, k in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                size += len(text or b"")
+                edge[0] += t
+                edge[1] += k
+                for w in _words(text):
+                    n = seen[w]
+                    n[0] += t
+                    n[1] += k
+                if len(seen) > COUNTED:
+                    yield out(seen, edge, size)
+                    seen.clear()
+                    edge, size = [0, 0], 0
+        yield out(seen, edge, size)
+
+    counted = docs.select("text", "target", "background").mapInArrow(count, "word long, t long, b long, bytes long")
+    words = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t", "b", "bytes")])
+    return tuple(words.agg(F.count("word"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "b", "bytes")]).first())
+
+
+def _ask(buckets: int):
+    """Of a block's documents: a row for each bucket, with the block's cells there and their counts."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = Block(table.column("text").cast(pa.binary()).to_pylist(), buckets)
+        sums = []
+        for role in ("target", "background"):
+            use = table.column(role).to_numpy()[block.doc]
+            sums.append(np.bincount(block.word[use], minlength=len(block.key)) + np.bincount(block.pair[use], minlength=len(block.key)))
+        rows = [(to, _packed(block.key[a:z]), *(_counts(s[a:z]) for s in sums)) for to, a, z in block.parts()]
+        cols = zip(*rows, strict=True)
+        return pa.table([pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), *map(pa.array, cols, (pa.int64(), *[pa.binary()] * 3))], ["block", "bucket", "cells", "t", "b"])
+
+    return ask
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Of a bucket's rows: the same cells' counts over all blocks, back to each block."""
+    keys = [_keys(x) for x in asked.column("cells").to_pylist()]
+    sizes = [len(k) for k in keys]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    cols = []
+    for name in ("t", "b"):
+        own = np.concatenate([_uncounted(x, n) for x, n in zip(asked.column(name).to_pylist(), sizes, strict=True)])
+        total = np.bincount(at, own).astype(np.int64)[at]
+        cols.append(pa.array([_counts(x) for x in np.split(total, np.cumsum(sizes)[:-1])], pa.binary()))
+    return pa.table([asked.column("block"), asked.column("bucket"), *cols], ["block", "bucket", "t", "b"])
+
+
+def _losses(block: Block, totals: np.ndarray, in_model: np.ndarray, tokens: int, wide: int, prior: float, owns: tuple) -> np.ndarray:
+    """Each token's loss under the model with these counts, of which a text's own tokens are left out."""
+    own_prev, own_word, own_pair = (x * in_model for x in owns)
+    rest = tokens - (block.sizes[block.doc] * in_model)
+    unigram = (totals[block.word] - own_word + 1.0) / (rest + wide)
+    return -np.log((totals[block.pair] - own_pair + prior * unigram) / (totals[block.prev] - own_prev + prior))
+
+
+def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+    """(id, n_tokens long, score double) for every row: the mean over its tokens (the end of the text is one) of the target's less the background's loss.
+
+    The target model counts the documents whose ids are in ``targets``, the
+    background model those in ``background``, or all others if that is not
+    given; documents in neither are only scored.  Low scores are like the
+    target.  Both models are bigrams over every word that occurs, smoothed by a
+    Dirichlet prior with add-one unigrams over the shared vocabulary.  A text is
+    judged without its own tokens: they are taken from the counts of the model
+    that it is in, so that nothing scores well for having been counted.
+
+    Documents are dealt by a hash of id and text into blocks of a fixed size.  A
+    block sends each of its cells (words, bigrams) once, to the bucket of the
+    cell's hash; the bucket sums and answers every block; the answers meet the
+    block's texts.  Buckets get hashes of different cells, so no word is hot.
+    Cells are told apart by 48 bits and the bucket: n different ones make about
+    n^2 / (2^49 * buckets) chance pairs.  The driver gets four sums.
+
+    Null and empty texts have the end alone; rows that repeat count and are
+    scored each; null ids are not targets; an empty table gives no rows; other
+    columns are ignored.  A text longer than a block is a block by itself.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model.keep)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-
-    def split(parts):
-        """Rows of texts (id, cells), bigrams (at, prev, word) and words (at below zero, word) of each block."""
-        schema = None
-        for k, (rows, block) in enumerate(_blocks(parts, sent.value)):
-            name = (TaskContext.get().partitionId() << 32) + k
-            ids, places, starts = rows.column(0).combine_chunks(), block.at.astype(np.int32), np.append(0, block.ends[:-1])
-            schema = schema or pa.schema([("block", pa.int64()), ("id", ids.type), ("cells", pa.binary()), ("at", pa.int64()), ("prev", pa.int64()), ("word", pa.int64())])
-            none = lambda n, i: pa.nulls(n, schema[i].type)
-            for i in range(0, len(ids), 1000):
-                cells = [places[a:z].tobytes() for a, z in zip(starts[i : i + 1000], block.ends[i : i + 1000], strict=True)]
-                n = len(cells)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), ids.slice(i, n), pa.array(cells, pa.binary()), *[none(n, j) for j in (3, 4, 5)]], schema=schema)
-            n = len(block.cells)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), none(n, 1), none(n, 2), pa.array(block.cells), *block.pairs()], schema=schema)
-            n = len(block.ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), none(n, 1), none(n, 2), pa.array(-1 - np.arange(n)), none(n, 4), pa.array(block.ids)], schema=schema)
-
-    blocks = staged(src.mapInArrow(split, f"block long, id {kind}, cells binary, at long, prev long, word long"), "blocks")
-    none = F.lit(0).cast("long")
-    filled = lambda *names: [F.coalesce(x, none).alias(k) for k, x in zip(STATS, [*map(F.col, names), *[F.lit(None).cast("long")] * (6 - len(names))], strict=True)]
-    pairs = blocks.where("at >= 0").select("block", "at", "prev", "word").join(model.pairs, ["prev", "word"], "left").select("block", "at", *filled("n_target", "n_background"))
-    words = blocks.where("at < 0").select("block", "at", F.col("word").alias("id")).join(model.words, "id", "left").select("block", "at", *filled(*STATS))
-    sums, wide = (model.n_target, model.n_background), model.wide
-
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.select(["at", *STATS])
-        at, *columns = (c.to_numpy() for c in answers.columns)
-        order = np.argsort(at)
-        at, columns = at[order], [c[order] for c in columns]
-        own = int(np.searchsorted(at, 0))
-        stats = [c[:own][::-1] for c in columns]  # the first word is -1
-        loss = _losses(at[own:], [c[own:] for c in columns[:2]], stats, sums, wide)
-        n, mean = [], []
-        for cells in texts.column("cells"):
-            places = np.frombuffer(cells.as_buffer(), np.int32)
-            n.append(len(places))
-            mean.append(loss[places].mean())
-        return pa.table({"id": texts.column("id"), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(mean, pa.float64())})
-
-    texts = blocks.where("cells is not null").select("block", "id", "cells")
-    answers = pairs.unionByName(words).select(F.col("block").alias("of"), "at", *STATS)
-    met = texts.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(score, f"id {kind}, n_tokens long, score double")
+    ids = lambda df, name: staged(df.select(F.col(id_col).alias("id")).where("id is not null").distinct(), name).withColumn(f"in_{name}", F.lit(True))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = with_small(rows, ids(targets, "targets"), ["id"], "left").withColumn("target", F.coalesce("in_targets", F.lit(False)))
+    if background is None:
+        rows = rows.withColumn("background", ~F.col("target"))
+    else:
+        rows = with_small(rows, ids(background, "others"), ["id"], "left").withColumn("background", F.coalesce("in_others", F.lit(False)))
+    rows = rows.select("id", "text", "target", "background")
+    wide, n_target, n_background, size = vocabulary(rows)
+    blocks = max(1, -(-size // BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(blocks), "block long, bucket long, cells binary, t binary, b binary")
+    answers = asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_answer, "block long, bucket long, t binary, b binary")
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(texts.column("text").cast(pa.binary()).to_pylist(), blocks)
+        told = {k: x for k, *x in zip(*(told.column(c).to_pylist() for c in ("bucket", "t", "b")), strict=True)}
+        owns = block.own(block.prev), block.own(block.word), block.own(block.pair)
+        loss = []
+        for i, (role, tokens) in enumerate((("target", n_target), ("background", n_background))):
+            totals = np.concatenate([_uncounted(told[k][i], z - a) for k, a, z in block.parts()])
+            loss.append(_losses(block, totals, texts.column(role).to_numpy()[block.doc], tokens, wide, prior, owns))
+        mean = np.add.reduceat(loss[0] - loss[1], np.cumsum(block.sizes) - block.sizes) / block.sizes
+        return pa.table([texts.column("id"), pa.array(block.sizes), pa.array(mean)], ["id", "n_tokens", "score"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    met = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, score double")
     return met.withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuemill.llm.chat import rotate_perspectives
 from cuemill.llm.exact import exact_groups
 from cuemill.llm.langid import held_out, identify, train
-from cuemill.llm.lm import fit_difference, score_documents
+from cuemill.llm.lm import score_documents
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.pieces import decode_documents, encode_documents
 from cuemill.llm.quality import judge_quality
@@ -80,10 +80,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of good quality by ``labels`` are the target."""
-    docs = _table(spark, sf_dir, "documents")
-    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score_documents(docs, fit_difference(docs, good))
+    """The documents of good quality by ``labels`` are the target, all others the background."""
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 QUERIES = {

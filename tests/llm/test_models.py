@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import documents, odd_rows, speech
 
 from cuemill.llm import langid, lm, queries
@@ -75,75 +76,71 @@ def test_no_labels(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(docs, None).collect()] == [("und", 0.0)]
 
 
-def test_difference(spark):
-    """The whole computation in plain Python."""
-    rows = odd_rows()
-    docs = documents(spark)
-    targets = spark.createDataFrame([(i,) for i in (4, 9, 10, 4, None, 999)], "doc_id long")
-    size = 30
-    words = lambda t: (t or "").encode().lower().split()
-    counts = Counter(w for _, t, *_ in rows for w in words(t))
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
-    ids = {w: i for i, w in enumerate(top, 2)}
-    wide = size + 2
-
-    def seq(t):
-        return [1, *[ids.get(w, 0) for w in words(t)], 1]
-
-    def logs(texts):
-        n = np.zeros((wide, wide))
-        for t in texts:
-            for a, b in itertools.pairwise(seq(t)):
-                n[a, b] += 1
-        uni = (n.sum(0) + 1) / (n.sum(0) + 1).sum()
-        out = np.zeros((wide, wide))
-        for a in range(wide):
-            kinds, total = (n[a] > 0).sum(), n[a].sum()
-            for b in range(wide):
-                out[a, b] = math.log((n[a, b] + kinds * uni[b]) / (total + kinds) if total else uni[b])
-        return out
-
-    target, background = logs([t for i, t, *_ in rows if i in (4, 9, 10)]), logs([t for _, t, *_ in rows])
-    got = sorted(((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score_documents(docs, lm.fit_difference(docs, targets, size=size)).collect()))
-    want = []
-    for i, t, *_ in rows:
-        s = seq(t)
-        want.append((i or -1, len(s) - 1, sum(background[a, b] - target[a, b] for a, b in itertools.pairwise(s)) / (len(s) - 1)))
-    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in sorted(want)]
-    assert np.allclose([c for *_, c in got], [c for *_, c in sorted(want)], atol=1e-4)
+def plain_scores(rows, is_target, is_background, prior=lm.PRIOR):
+    """(id, tokens, score) of each row, all in plain Python."""
+    seqs = [["<", *(t or "").encode().lower().split(), "<"] for _, t in rows]
+    known = set().union(*(s for s, (i, _) in zip(seqs, rows, strict=True) if is_target(i) or is_background(i)))
+    wide = len({w for s in seqs for w in s})
+    assert known <= {w for s in seqs for w in s}
+
+    def model(own):
+        pairs, words = Counter(), Counter()
+        for s, (i, _) in zip(seqs, rows, strict=True):
+            if own(i):
+                pairs.update(itertools.pairwise(s))
+                words.update(s[1:])
+        return pairs, words
+
+    models = [(model(f), f) for f in (is_target, is_background)]
+    out = []
+    for s, (i, _) in zip(seqs, rows, strict=True):
+        loss = []
+        for (pairs, words), f in models:
+            p, w = (pairs - Counter(itertools.pairwise(s)), words - Counter(s[1:])) if f(i) else (pairs, words)
+            total = sum(w.values())
+            loss.append(-sum(math.log((p[a, b] + prior * (w[b] + 1) / (total + wide)) / (w[a] + prior)) for a, b in itertools.pairwise(s)))
+        out.append((i, len(s) - 1, (loss[0] - loss[1]) / (len(s) - 1)))
+    return out
+
+
+def same_scores(got, want):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6))
+    got, want = sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key), sorted(want, key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [lm.BLOCK, 3000])
+def test_difference(spark, monkeypatch, block):
+    """The whole computation in plain Python, in one block and in many."""
+    monkeypatch.setattr(lm, "BLOCK", block)
+    rows = [r[:2] for r in odd_rows()] + [(5000, "LONG word " * 20_000), (5001, "a w b w")]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    good, rest = {4, 9, 10, 5001}, {5, 6, 20, 21, 22}
+    table = lambda ids: spark.createDataFrame([(i, 7) for i in ids], "doc_id long, text long")
+    got = lm.score_documents(docs, table([*good, 4, None, 999]))
+    assert got.columns == ["doc_id", "n_tokens", "score"]
+    same_scores(got.collect(), plain_scores(rows, lambda i: i in good, lambda i: i not in good))
+    got = lm.score_documents(docs, table(good), table(rest)).collect()
+    same_scores(got, plain_scores(rows, lambda i: i in good, lambda i: i in rest))
+
+
+def test_difference_of_rare_words(spark):
+    """Every word is in the vocabulary, and a text is judged without itself."""
+    rows = [(i, f"a b w{i // 2} x{i // 2} w{i // 2}") for i in range(600)]
+    good = {i for i in range(0, 600, 4)}
+    got = {r.doc_id: r.score for r in lm.score_documents(documents(spark, [(*r, None, None) for r in rows]), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    twins, alone = [got[i] for i in range(1, 600, 4)], [got[i] for i in range(2, 600, 4)]
+    assert max(twins) < min(alone)  # their other copy is a target
+
+
+def test_difference_of_driver_tables(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    same_scores(queries.op10_lm_scoring(spark, sf).collect(), plain_scores(rows, lambda i: i in good, lambda i: i not in good))
 
 
 def test_empty(spark):
     empty, none = documents(spark, []), spark.createDataFrame([], "doc_id long")
     assert langid.identify(empty, langid.train(empty)).count() == 0
-    assert lm.score_documents(empty, lm.fit_difference(empty, none)).count() == 0
-
-
-def test_difference_of_rare_words(spark, monkeypatch):
-    """Every word is in the vocabulary, also in texts that the model has not seen, and blocks change nothing."""
-    monkeypatch.setattr(lm, "BLOCK", 3000)
-    rows = [(i, f"a b w{i} x{i} w{i}", None, None) for i in range(1500)] + [(2000, "a b w7 x7 w7", None, None), (None, "", None, None)]
-    targets = spark.createDataFrame([(i,) for i in range(0, 1500, 3)], "doc_id long")
-    seqs = lambda text: ["<", *text.split(), "<"]
-    bigrams = lambda own: Counter(p for r in rows if own(r) for p in itertools.pairwise(seqs(r[1])))
-    wide = len({w for r in rows for w in r[1].split()}) + 2
-
-    def model(n):
-        after, kinds, words, total = Counter(), Counter(), Counter(), sum(n.values())
-        for (a, b), k in n.items():
-            after[a] += k
-            kinds[a] += 1
-            words[b] += k
-        uni = lambda b: (words[b] + 1) / (total + wide)
-        return lambda a, b: math.log((n[a, b] + kinds[a] * uni(b)) / (after[a] + kinds[a]) if after[a] else uni(b))
-
-    target, background = model(bigrams(lambda r: r[0] is not None and r[0] < 1500 and r[0] % 3 == 0)), model(bigrams(lambda r: True))
-    fitted = lm.fit_difference(documents(spark, rows), targets)
-    asked = [*rows[:9], (3001, "a w3 never x3 b", None, None)]
-    for some in (rows, asked):
-        got = {r.doc_id: (r.n_tokens, r.score) for r in lm.score_documents(documents(spark, some), fitted).collect()}
-        assert len(got) == len(some)
-        for i, t, *_ in some:
-            ps = list(itertools.pairwise(seqs(t)))
-            assert got[i][0] == len(ps) and math.isclose(got[i][1], sum(background(a, b) - target(a, b) for a, b in ps) / len(ps), abs_tol=1e-9)
-    assert got[3][1] < got[4][1] - 0.1 and abs(got[4][1] - got[5][1]) < 1e-9
+    assert lm.score_documents(empty, none).count() == 0
+    assert lm.score_documents(documents(spark, [(1, None, None, None)]), none).first().n_tokens == 1
