@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.llm.common import sliced, staged, with_small
+from cuemill.llm.planes import counts, mixed, packed, unpacked, uncounted
 
 #: Bytes of text in a block of documents, which sends each of its cells once.
 BLOCK = 4 << 20
@@ -21,7 +22,6 @@ PRIOR = 16.0
 EDGE = 1
 #: Different words that a task counts before it passes them on.
 COUNTED = 300_000
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -29,31 +29,6 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX[k]
-    return x ^ (x >> np.uint64(29))
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """48-bit keys as six planes of bytes: they are sorted, so that the upper planes compress."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-
-
-def _keys(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
-    return out.view(np.uint64).ravel()
-
-
-def _counts(a: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest."""
-    return a.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if a.max(initial=0) <= np.iinfo(k).max)).tobytes()
-
-
-def _uncounted(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
-
-
 def _places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different words (the edge first); the places in them of all texts' words, with edges around each text; and words a text."""
     local = defaultdict(numbers(1).__next__)
@@ -83,8 +58,8 @@ class Block:
         pairs, at = np.unique(prev * len(ids) + word, return_inverse=True)
         a, b = np.divmod(pairs, len(ids))
         one = np.uint64(1)
-        cells = np.concatenate([_mixed(ids, 0) | one, _mixed(_mixed(ids[a], 1) + ids[b], 2) & ~one])  # words are odd
-        key, bucket = cells & _LOW, ((_mixed(cells, 3) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        cells = np.concatenate([mixed(ids, 0) | one, mixed(mixed(ids[a], 1) + ids[b], 2) & ~one])  # words are odd
+        key, bucket = cells & _LOW, ((mixed(cells, 3) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((key, bucket))
         new = np.append(True, (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))[: len(order)]
         place = np.empty(len(order), np.int64)
@@ -142,7 +117,7 @@ def _ask(buckets: int):
         for role in ("target", "background"):
             use = table.column(role).to_numpy()[block.doc]
             sums.append(np.bincount(block.word[use], minlength=len(block.key)) + np.bincount(block.pair[use], minlength=len(block.key)))
-        rows = [(to, _packed(block.key[a:z]), *(_counts(s[a:z]) for s in sums)) for to, a, z in block.parts()]
+        rows = [(to, packed(block.key[a:z]), *(counts(s[a:z]) for s in sums)) for to, a, z in block.parts()]
         cols = zip(*rows, strict=True)
         return pa.table([pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), *map(pa.array, cols, (pa.int64(), *[pa.binary()] * 3))], ["block", "bucket", "cells", "t", "b"])
 
@@ -151,14 +126,14 @@ def _ask(buckets: int):
 
 def _answer(asked: pa.Table) -> pa.Table:
     """Of a bucket's rows: the same cells' counts over all blocks, back to each block."""
-    keys = [_keys(x) for x in asked.column("cells").to_pylist()]
+    keys = [unpacked(x) for x in asked.column("cells").to_pylist()]
     sizes = [len(k) for k in keys]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     cols = []
     for name in ("t", "b"):
-        own = np.concatenate([_uncounted(x, n) for x, n in zip(asked.column(name).to_pylist(), sizes, strict=True)])
+        own = np.concatenate([uncounted(x, n) for x, n in zip(asked.column(name).to_pylist(), sizes, strict=True)])
         total = np.bincount(at, own).astype(np.int64)[at]
-        cols.append(pa.array([_counts(x) for x in np.split(total, np.cumsum(sizes)[:-1])], pa.binary()))
+        cols.append(pa.array([counts(x) for x in np.split(total, np.cumsum(sizes)[:-1])], pa.binary()))
     return pa.table([asked.column("block"), asked.column("bucket"), *cols], ["block", "bucket", "t", "b"])
 
 
@@ -212,7 +187,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame |
         owns = block.own(block.prev), block.own(block.word), block.own(block.pair)
         loss = []
         for i, (role, tokens) in enumerate((("target", n_target), ("background", n_background))):
-            totals = np.concatenate([_uncounted(told[k][i], z - a) for k, a, z in block.parts()])
+            totals = np.concatenate([uncounted(told[k][i], z - a) for k, a, z in block.parts()])
             loss.append(_losses(block, totals, texts.column(role).to_numpy()[block.doc], tokens, wide, prior, owns))
         mean = np.add.reduceat(loss[0] - loss[1], np.cumsum(block.sizes) - block.sizes) / block.sizes
         return pa.table([texts.column("id"), pa.array(block.sizes), pa.array(mean)], ["id", "n_tokens", "score"])

@@ -6,16 +6,20 @@ Neighbouring windows mostly share an anchor; they make a *segment* (100 to 168
 bytes), and two equal windows always lie in segments of equal anchors.  So the
 corpus is dealt by anchor, and each bucket finds its repeats alone:
 
-1. documents are dealt into blocks; a block names each of its segments once
-2. buckets of anchors find segments that other blocks have too (all but the first
-   are repeats as a whole), and anchors with different segments
-3. blocks send those different segments, first occurrences only, to the buckets
-4. a bucket builds a run-compressed Burrows-Wheeler transform over its segments,
-   streams them through it, and marks the windows that match an earlier one
-5. blocks remove what is marked
-
-A passage that many documents share is named once by a block, whatever its
-number of copies there, so no bucket gets more rows of it than there are blocks.
+1. documents are dealt into blocks of a fixed size; a block names the anchors of
+   its segments
+2. buckets of anchors answer which of them occur more than once anywhere; no
+   window elsewhere can repeat
+3. blocks send the segments of those anchors, each different one once with the
+   places of its copies in the block (compared byte by byte)
+4. a bucket merges equal segments of several blocks (compared byte by byte),
+   builds a run-length index over the different ones, streams them through it,
+   and marks every window of which it knows an earlier one
+5. blocks cut out what is marked
+
+Segments of an anchor that very many blocks or contexts share aren't sent to one
+bucket: their windows are named by content first, which spreads them, and those
+that occur more than once are sent and indexed as strings of their own.
 """
 
 from __future__ import annotations
@@ -24,24 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from cuemill.llm.common import partitions, staged
+from cuemill.llm.common import staged
+from cuemill.llm.planes import counts, mixed, packed, unpacked, uncounted
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Different segments of one anchor up to which a bucket indexes them; beyond, their windows are dealt by content.
-HOT = 20_000
-#: Bytes of segments in one index, or all those of an anchor if they are more.
+#: Bytes of text in a block of documents.
+BLOCK = 8 << 20
+#: Segments that blocks may send of one anchor; those of others are dealt again by the content of their windows.
+HOT = 4096
+#: Bytes of different segments in one index, or all those of an anchor if they are more.
 INDEXED = 1 << 19
 #: Bytes of text that are hashed at a time, and positions that are worked on at a time.
 PART, STEP = 1 << 22, 1 << 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _PLACE = np.uint64((1 << 17) - 1)
-
-
-def _mixed(x: np.ndarray, c: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * c
-    return x ^ (x >> np.uint64(29))
+_NULL = -(1 << 63)
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     words ^= words >> np.uint64(29)
     n = len(buf) - GRAM + 1
     total = words[:n] * _MIX[2] + words[8 : n + 8] * _MIX[3] + words[16 : n + 16] * _MIX[4] + words[24 : n + 24] * _MIX[5]
-    return _mixed(total, _MIX[0])
+    return mixed(total, 0)
 
 
 def _anchors(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,29 +75,59 @@ def _anchors(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, at
 
 
-def _combined(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of the bytes from ``first`` to ``end``, out of the hashes of the 32-byte strings that tile them."""
-    out = (end - first).astype(np.uint64) * _MIX[seed] + _MIX[seed + 1]
-    for off in range(0, SPAN + LENGTH, GRAM):
-        out = _mixed(out ^ hashes[np.minimum(first + off, end - GRAM)], _MIX[seed + 2])
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place."""
+    return np.ndarray((max(0, len(buf) - 7),), "<u8", buf, 0, (1,))
+
+
+def _contents(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each string of ``size`` bytes."""
+    out = size.astype(np.uint64)
+    for k in range(0, int(size.max(initial=0)), 8):
+        out = mixed(out ^ words[at + np.minimum(k, size - 8)], 1)
     return out
 
 
+def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``size`` bytes at ``a`` and ``b`` are the same bytes."""
+    same = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        off = np.minimum(k, size - 8)
+        same &= words[a + off] == words[b + off]
+    return same
+
+
+def _alike(words: np.ndarray, at: np.ndarray, size: np.ndarray, key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, content and ``order``; and of each place in it, that of the first string with the same key and bytes."""
+    content = _contents(words, at, size)
+    o = np.lexsort((*order[::-1], content, key))
+    content, place = content[o], np.arange(len(o))
+    new = np.append(True, (key[o][1:] != key[o][:-1]) | (content[1:] != content[:-1]) | (size[o][1:] != size[o][:-1]))[: len(o)]
+    head = np.maximum.accumulate(np.where(new, place, 0))
+    later = np.flatnonzero(~new)
+    differ = later[~_equal(words, at[o[later]], at[o[head[later]]], size[o[later]])]
+    head[differ] = differ  # equal hashes of different bytes: it stands alone, and the index still sees it
+    return o, head
+
+
 class Block:
-    """The documents of a block, in order of their ids, as one buffer; segments in that order."""
+    """The documents of a block, in order of their ids, as one buffer."""
 
     def __init__(self, table: pa.Table):
         ids = table.column("id").cast(pa.int64()).to_pylist()
         texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-        self.ids = np.array([ids[i] if ids[i] is not None else -(1 << 63) for i in self.order], np.int64)
+        self.ids = np.array([ids[i] if ids[i] is not None else _NULL for i in self.order], np.int64)
         self.texts = [texts[i] for i in self.order]
         self.ends = np.cumsum([0, *map(len, self.texts)])
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
 
-    def segments(self):
-        """Of each part of the buffer: its hashes and offset; of its segments: document, first and last window, anchor's hash, content's hash."""
-        i = 0
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right") - 1
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: its first window's place, its bytes, and its anchor's name (48 bits of a hash)."""
+        parts, i = [], 0
         while i < len(self.texts):
             j = max(i + 1, int(np.searchsorted(self.ends, self.ends[i] + PART)) - 1)
             base, buf = self.ends[i], self.buf[self.ends[i] : self.ends[j]]
@@ -105,65 +139,70 @@ class Block:
                 same = inside[1:] & inside[:-1] & (at[1:] == at[:-1])
                 first = np.flatnonzero(inside & np.append(True, ~same))
                 last = np.flatnonzero(inside & np.append(~same, True))
-                doc = np.searchsorted(self.ends, first + base, "right") - 1
-                yield hashes, base, doc, first, last, hashes[at[first]], _combined(hashes, first, last + LENGTH, 0)
+                parts.append((first + base, last - first + LENGTH, mixed(hashes[at[first]], 4) >> np.uint64(16)))
             i = j
-
-    def named(self):
-        """All segments of the block as (doc, first, last, anchor, content) with places in the whole buffer, and which are the first of their kind."""
-        parts = [(doc, first + base, last + base, h, seg) for _, base, doc, first, last, h, seg in self.segments()]
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-        order = np.lexsort((cols[1], cols[4], cols[3]))
-        h, seg = cols[3][order], cols[4][order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1]))[: len(h)]
-        is_first = np.zeros(len(h), bool)
-        is_first[order[fresh]] = True
-        return cols, is_first
-
-
-def _found(h, seg, wanted_h, wanted_seg) -> np.ndarray:
-    """For each (h, seg), its index among the wanted pairs, or -1."""
-    out = np.full(len(h), -1)
-    if not len(wanted_h) or not len(h):
+        kinds = (np.int64, np.int64, np.uint64)
+        return tuple(np.concatenate([np.zeros(0, t), *c]).astype(t) for t, c in zip(kinds, zip(*parts, strict=True) if parts else [()] * 3, strict=True))
+
+
+class Names:
+    """The different segments of a block (or windows, as strings of ``LENGTH`` bytes) by bucket and name, with their copies."""
+
+    def __init__(self, block: Block, at: np.ndarray, size: np.ndarray, key: np.ndarray, buckets: int):
+        order, head = _alike(_words(block.buf), at, size, key, at)
+        self.at, self.size, self.key = at[order], size[order], key[order]
+        self.head = head
+        self.first = np.flatnonzero(head == np.arange(len(head)))
+        #: names are sorted, and so are the buckets that their upper bits choose
+        self.names, self.name_of = np.unique(self.key, return_inverse=True)
+        to = ((self.names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.bucket, starts = np.unique(to, return_index=True)
+        self.starts = np.append(starts, len(to))
+        self.to = to
+
+    def rows(self, no: int) -> list[tuple]:
+        n, kinds = np.bincount(self.name_of, minlength=len(self.names)), np.bincount(self.name_of[self.first], minlength=len(self.names))
+        return [(to, no, 2, packed(self.names[a:z]), counts(n[a:z]), counts(kinds[a:z]), *[b""] * 4) for to, a, z in zip(self.bucket.tolist(), self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
+
+    def codes(self, told: pa.Table) -> np.ndarray:
+        """The answers for the names."""
+        got = dict(zip(told.column("bucket").to_pylist(), told.column("codes").to_pylist(), strict=True))
+        out = np.frombuffer(b"".join(got.get(b, b"") for b in self.bucket.tolist()), np.uint8)
+        if len(out) != len(self.names):
+            raise ValueError("a block's documents changed between two passes")
         return out
-    order = np.lexsort((wanted_seg, wanted_h))
-    wh, ws = wanted_h[order], wanted_seg[order]
-    may = np.flatnonzero(np.isin(h, wh))
-    all_h, all_s = np.concatenate([wh, h[may]]), np.concatenate([ws, seg[may]])
-    mix = np.lexsort((np.arange(len(all_h)), all_s, all_h))
-    # each wanted pair comes before its equals
-    new = np.append(True, (all_h[mix][1:] != all_h[mix][:-1]) | (all_s[mix][1:] != all_s[mix][:-1]))
-    head = mix[np.maximum.accumulate(np.where(new, np.arange(len(mix)), 0))]
-    ok = (head < len(wh)) & (mix >= len(wh))
-    out[may[mix[ok] - len(wh)]] = order[head[ok]]
-    return out
+
+    def strings(self, block: Block, no: int, wanted: np.ndarray) -> list[tuple]:
+        """Rows of the different strings of wanted names, with the places of their copies."""
+        rows, words = [], wanted[self.name_of]
+        own = self.first[words[self.first]]
+        copies = np.flatnonzero(words & (self.head != np.arange(len(self.head))))
+        for to, i in _split(self.to[self.name_of[own]]):
+            i = own[i]
+            data = b"".join(block.buf[x : x + n].tobytes() for x, n in zip(self.at[i].tolist(), self.size[i].tolist(), strict=True))
+            rows.append((to, no, 1, packed(self.key[i]), counts(self.size[i]), b"", data, _bytes(block.ids[block.doc(self.at[i])]), _bytes(self.at[i]), b""))
+        for to, i in _split(self.to[self.name_of[copies]]):
+            i = copies[i]
+            rows.append((to, no, 3, b"", counts(self.size[i] - LENGTH + 1), b"", b"", b"", _bytes(self.at[i]), b""))
+        return rows
 
 
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
-def _owners(table: pa.Table, name: str, size: int) -> np.ndarray:
-    """The block of each item of the packed column ``name``."""
-    return np.repeat(table.column("block").to_numpy(), [len(x) // size for x in table.column(name).to_pylist()])
-
-
-def _split(to: np.ndarray, n: int):
+def _split(to: np.ndarray):
     """(value, indices) for each different value of ``to``."""
     order = np.argsort(to, kind="stable")
     values, starts = np.unique(to[order], return_index=True)
     return zip(values.tolist(), np.split(order, starts[1:]), strict=True) if len(to) else ()
 
 
-NAMES = "bucket int, block int, h binary, s binary, d binary"
-VERDICTS = "block int, kind int, h binary, s binary"
-SENT = "bucket int, block int, kind int, h binary, d binary, at binary, n binary, b binary, c binary"
-MARKS = "block int, kind int, h binary, s binary"
-_ARROW = {"int": pa.int32(), "binary": pa.binary()}
+#: kind 1: strings for the index; 2: names to count; 3: places of copies.  n: sizes, or occurrences of names; d: different strings of them.
+SENT = "bucket long, block long, kind int, keys binary, n binary, d binary, data binary, ids binary, at binary, x binary"
+#: kind 2 or 4: answers for names of segments or windows; 3: windows to remove.
+TOLD = "block long, bucket long, kind int, codes binary, at binary, n binary"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -172,223 +211,213 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _name(block: pa.Table, buckets: int) -> pa.Table:
-    """Step 1: the first segment of each kind in the block, by bucket of its anchor."""
-    no = block.column("block")[0].as_py()
-    b = Block(block)
-    (doc, _, _, h, seg), first = b.named()
-    h, seg, ids = h[first], seg[first], b.ids[doc[first]]
-    return _table([(to, no, _bytes(h[i]), _bytes(seg[i]), _bytes(ids[i])) for to, i in _split(h % np.uint64(buckets), buckets)], NAMES)
-
-
-def _judge(names: pa.Table) -> pa.Table:
-    """Step 2: kind 0 for segments that an earlier document has; 1, or 2 where there are very many, for first ones of anchors with different segments."""
-    h, seg, ids = _joined(names, "h", np.uint64), _joined(names, "s", np.uint64), _joined(names, "d", np.int64)
-    block = _owners(names, "h", 8)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    twin = np.append(s[1:] == s[:-1], False)
-    live = order[twin | np.append(False, twin[:-1])]
-    live = live[np.lexsort((ids[live], seg[live], h[live]))]
-    h, seg, block = h[live], seg[live], block[live]
-    new_h = np.append(True, h[1:] != h[:-1])[: len(h)]
-    first = new_h | np.append(True, seg[1:] != seg[:-1])[: len(h)]
-    group = np.cumsum(new_h) - 1
-    kinds = np.bincount(group, first) if len(h) else np.zeros(0)
-    kind = np.where(first, np.where(kinds[group] > HOT, 2, 1), 0)
-    told = ~first | (kinds[group] > 1)
-    block, kind, h, seg = block[told], kind[told], h[told], seg[told]
-    return _table([(to // 3, to % 3, _bytes(h[i]), _bytes(seg[i])) for to, i in _split(block.astype(np.int64) * 3 + kind, 0)], VERDICTS)
-
-
-def _of_kind(verdicts: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    part = verdicts.filter(pa.compute.equal(verdicts.column("kind"), kind))
-    return _joined(part, "h", np.uint64), _joined(part, "s", np.uint64)
-
-
-def _send(block: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
-    """Step 3: to each bucket the segments that it has to index (kind 1), or windows by content (kind 2)."""
-    if not block.num_rows or not verdicts.num_rows:
+def _of_kind(t: pa.Table, kind: int) -> pa.Table:
+    return t.filter(pa.compute.equal(t.column("kind"), kind))
+
+
+def _named(block: Block, buckets: int) -> Names:
+    return Names(block, *block.segments(), buckets)
+
+
+def _name(table: pa.Table, buckets: int) -> pa.Table:
+    """Step 1."""
+    return _table(_named(Block(table), buckets).rows(table.column("block")[0].as_py()), SENT)
+
+
+def _counted(names: pa.Table, kind: int) -> list[tuple]:
+    """Step 2, and the same for windows: for each block's names 0 if they occur once anywhere; else 1, or 2 for more than ``HOT`` different strings of blocks."""
+    if not names.num_rows:
+        return []
+    keys = [unpacked(x) for x in names.column("keys").to_pylist()]
+    sizes = [len(k) for k in keys]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n, kinds = (np.bincount(at, np.concatenate([uncounted(x, k) for x, k in zip(names.column(c).to_pylist(), sizes, strict=True)])) for c in ("n", "d"))
+    code = np.where(n > 1, np.where((kinds > HOT) & (kind == 2), 2, 1), 0).astype(np.uint8)[at]
+    parts = np.split(code, np.cumsum(sizes)[:-1])
+    return [(block, bucket, kind, p.tobytes(), b"", b"") for block, bucket, p in zip(names.column("block").to_pylist(), names.column("bucket").to_pylist(), parts, strict=True)]
+
+
+def _windows(block: Block, names: Names, hot: np.ndarray, buckets: int) -> Names:
+    """All windows of the different segments of hot names, named by content."""
+    own = names.first[hot[names.name_of[names.first]]]
+    each = names.size[own] - LENGTH + 1
+    at = np.repeat(names.at[own], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    size = np.full(len(at), LENGTH)
+    return Names(block, at, size, mixed(_contents(_words(block.buf), at, size), 5) >> np.uint64(16), buckets)
+
+
+def _send(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """Step 3: strings of names that occur more than once; of hot names, the copies of segments and the names of windows."""
+    if not table.num_rows or not told.num_rows:
         return _table([], SENT)
-    no, b, rows = block.column("block")[0].as_py(), Block(block), []
-    (doc, lo, hi, h, seg), first = b.named()
-    pick = np.flatnonzero(first & (_found(h, seg, *_of_kind(verdicts, 1)) >= 0))
-    for to, i in _split(h[pick] % np.uint64(buckets), buckets):
-        i = pick[i]
-        data = b"".join(b.buf[x : y + LENGTH].tobytes() for x, y in zip(lo[i].tolist(), hi[i].tolist(), strict=True))
-        rows.append((to, no, 1, _bytes(h[i]), _bytes(b.ids[doc[i]]), _bytes(lo[i]), _bytes(hi[i] - lo[i] + LENGTH), data, b""))
-    hot_h, hot_s = _of_kind(verdicts, 2)
-    if len(hot_h):
-        parts = []
-        for hashes, base, d, x, y, ph, ps in b.segments():
-            hot = np.flatnonzero(_found(ph, ps, hot_h, hot_s) >= 0)
-            each = y[hot] - x[hot] + 1
-            w = np.repeat(x[hot], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            parts.append((np.repeat(d[hot], each), w + base, _combined(hashes, w, w + LENGTH, 1), _combined(hashes, w, w + LENGTH, 3)))
-        d, w, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((w, two, one))
-        d, w, one, two = d[order], w[order], one[order], two[order]
-        new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(w)]
-        rows.append((-1, no, 0, b"", b"", _bytes(w[~new]), b"", b"", b""))  # repeats inside the block
-        d, w, one, two = d[new], w[new], one[new], two[new]
-        rows += [(to, no, 2, b"", _bytes(b.ids[d[i]]), _bytes(w[i]), b"", _bytes(one[i]), _bytes(two[i])) for to, i in _split(one % np.uint64(buckets), buckets)]
+    no, block = table.column("block")[0].as_py(), Block(table)
+    names = _named(block, buckets)
+    codes = names.codes(_of_kind(told, 2))
+    rows = names.strings(block, no, codes == 1)
+    if (codes == 2).any():
+        rows += [r for r in names.strings(block, no, codes == 2) if r[2] == 3]
+        rows += _windows(block, names, codes == 2, buckets).rows(no)
     return _table(rows, SENT)
 
 
+def _send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """Step 3 for the windows of hot names."""
+    if not table.num_rows or not told.num_rows:
+        return _table([], SENT)
+    no, block = table.column("block")[0].as_py(), Block(table)
+    names = _named(block, buckets)
+    windows = _windows(block, names, names.codes(_of_kind(told, 2)) == 2, buckets)
+    return _table(windows.strings(block, no, windows.codes(_of_kind(told, 4)) == 1), SENT)
+
+
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of byte strings, with the suffix array sampled at run ends.
+    """A run-compressed Burrows-Wheeler transform of byte strings, with the suffix array sampled where runs begin and end.
 
     Suffixes end at their string's end, and equal ones are in order of their
-    strings.  What is kept: the runs with their character, first row and row
-    shift under LF; the text place at each run's last row; and the row ranges of
-    suffixes that share their first ``LENGTH`` bytes, where there are several.
+    strings.  What is kept are the runs (character and size) and, for each, the
+    text places of the suffixes at its first row and at the last row of the run
+    before, with the number of bytes that these two share (up to ``LENGTH`` it
+    counts as none).  The suffix array and the transform itself are dropped.
+
+    That is enough to stream a text through the index: inside a run, the suffix
+    before a suffix in order moves with it, one byte to the right, and shares
+    one byte less.  So the last sample at or before a place tells its matching
+    statistic, and where the match is.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray):
-        n, count = len(data) + len(sizes), len(sizes)
-        stops = np.cumsum(sizes + 1) - 1
+        n, self.sizes = len(data) + len(sizes), sizes
+        self.stops = np.cumsum(sizes + 1) - 1
+        self.owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.left = self.stops[self.owner] - np.arange(n)  # bytes up to the string's end
         code = np.zeros(n, np.int64)
-        code[np.delete(np.arange(n), stops)] = data.astype(np.int64) + 1
-        self.text, self.stops = code, stops
-        left = np.repeat(stops, sizes + 1) - np.arange(n)  # bytes up to the string's end
-        sa, ranks = self._suffixes(code, left, stops)
-        before = np.where(np.isin(sa, np.append(0, stops[:-1] + 1), assume_unique=True), 0, code[sa - 1])
-        head = np.append(True, before[1:] != before[:-1])
-        self.run_row = np.flatnonzero(head)
-        self.run_char = before[self.run_row]
-        self.run_end = sa[np.append(self.run_row[1:], n) - 1]  # the samples
-        size = np.diff(np.append(self.run_row, n))
-        order = np.argsort(self.run_char, kind="stable")  # LF keeps the order of equal characters
-        to = np.empty(len(size), np.int64)
-        to[order] = np.cumsum(size[order]) - size[order]
-        self.shift = to - self.run_row
-        # rows whose suffixes agree on LENGTH bytes: two overlapping stretches whose ranks are known
-        deep, far = ranks
-        key, off = deep[sa], LENGTH - far
-        tail = np.where(left[sa] >= LENGTH, deep[np.minimum(sa + off, n - 1)], -1 - np.arange(n))
-        same = np.append(False, (key[1:] == key[:-1]) & (tail[1:] == tail[:-1]))
-        starts = np.flatnonzero(~same)
-        wide = np.diff(np.append(starts, n))
-        self.lo, self.hi = starts[wide > 1], (starts + wide)[wide > 1]
-        self.count, self.sizes = count, sizes
-
-    @staticmethod
-    def _suffixes(code, left, stops):
-        """The suffix array by prefix doubling, only on rows that are still tied; and the ranks by the first 56 bytes."""
+        code[self.left > 0] = data.astype(np.int64) + 1
+        sa = self._suffixes(code)
+        before = np.where((sa == 0) | (code[sa - 1] == 0), 0, code[sa - 1])
+        head = np.flatnonzero(np.append(True, before[1:] != before[:-1]) | (before == 0))
+        self.run_char, self.run_size = before[head].astype(np.int16), np.diff(np.append(head, n))
+        place, match = sa[head], sa[np.maximum(head - 1, 0)]
+        del sa, before
+        shared = self._shared(code, place, match)
+        order = np.argsort(place)
+        self.place, self.match, self.shared = place[order], match[order], shared[order]
+
+    def _suffixes(self, code: np.ndarray) -> np.ndarray:
+        """The suffix array by prefix doubling, only on rows that are still tied."""
         n, wide = len(code), 7
-        key = np.zeros(n, np.int64)
-        for i in range(wide):  # nine bits a symbol, none past the end
-            key = key << 9 | np.where(left >= i, code[np.minimum(np.arange(n) + i, n - 1)], 0)
+        key = code
+        for m in range(1, wide):  # nine bits a symbol, none past the end
+            key = code << 9 * m | np.where(code == 0, 0, np.append(key[1:], 0))
         sa = np.argsort(key)
         s = key[sa]
-        start = np.append(True, s[1:] != s[:-1])
+        start = np.append(True, s[1:] != s[:-1])[:n]
         rank = np.empty(n, np.int64)
         rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        kept = None
         while True:
-            if wide == 56:
-                kept = rank.copy(), wide
             rows = np.flatnonzero(~start | np.append(~start[1:], False))  # tied with a neighbour
             at = sa[rows]
-            own = rank[at]
-            last = wide > 256  # what is tied still is equal up to the end of its string: by place
-            nxt = at if last else np.where(left[at] >= wide, rank[np.minimum(at + wide, n - 1)] + 1, 0)
-            key = own << 32 | nxt
+            last = wide > self.sizes.max(initial=0)  # what is tied still is equal up to the end of its string: by place
+            nxt = at if last else np.where(self.left[at] >= wide, rank[np.minimum(at + wide, n - 1)] + 1, 0)
+            key = rank[at] << 32 | nxt
             o = np.argsort(key)
             at, key = at[o], key[o]
             sa[rows] = at
             if last:
-                break
+                return sa
             new = np.append(True, key[1:] != key[:-1])[: len(rows)]
             start[rows] = new
             rank[at] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
             wide *= 2
-        return sa, kept
-
-    def stream(self):
-        """Walk all strings backwards through the index; yield (string, place, range) where a window's matching statistic is above one.
-
-        The rows of the strings' ends come first, in order.  Each step is one LF
-        step for every string that isn't used up; the statistic of a window is
-        known from the row's range, and the walk needs runs and ranges only.
-        """
-        rows, string = np.arange(self.count), np.arange(self.count)
-        for step in range(1, int(self.sizes.max(initial=0)) + 1):
-            more = self.sizes[string] >= step
-            rows, string = rows[more], string[more]
-            rows = rows + self.shift[np.searchsorted(self.run_row, rows, "right") - 1]
-            if step >= LENGTH and len(self.lo):
-                k = np.searchsorted(self.lo, rows, "right") - 1
-                hit = np.flatnonzero((k >= 0) & (rows < self.hi[k]))
-                yield string[hit], self.sizes[string[hit]] - step, k[hit]
-
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """(string, place) of every window that an earlier string, or an earlier place, has."""
-        got = list(self.stream())
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        string, place, k = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((place, string, k))
-        string, place, k = string[order], place[order], k[order]
-        first = np.append(True, k[1:] != k[:-1])[: len(k)]
-        self._verify(string[first], place[first], k[first])
-        return string[~first], place[~first]
-
-    def _verify(self, string, place, k) -> None:
-        """Where a run ends inside a range, its sample is the place of a match: the bytes must be equal."""
-        run = np.searchsorted(np.append(self.run_row[1:], len(self.text)) - 1, self.lo[k])
-        ends = np.append(self.run_row[1:], len(self.text)) - 1
-        has = np.flatnonzero(ends[run] < self.hi[k])
-        a = (self.stops[string] - self.sizes[string] + place)[has]
-        b = self.run_end[run[has]]
-        for off in range(0, LENGTH, 4):
-            if (self.text[a + off] != self.text[b + off]).any():
-                raise AssertionError("the index gave a match whose bytes differ")
+
+    def _shared(self, code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at ``a`` and ``b`` begin with alike, by comparing them; below ``LENGTH`` none."""
+        raw = np.zeros(len(code) + 8, np.uint8)
+        raw[: len(code)] = (np.maximum(code, 1) - 1).astype(np.uint8)
+        words, most = _words(raw), np.minimum(self.left[a], self.left[b])
+        most[a == b] = 0  # the first row has none before it
+        out, alive, k = np.zeros(len(a), np.int64), np.flatnonzero(most >= LENGTH), 0
+        while len(alive):
+            x = words[a[alive] + k] ^ words[b[alive] + k]
+            equal = k + np.where(x == 0, 8, np.bitwise_count((x & -x) - np.uint64(1)) >> 3).astype(np.int64)
+            out[alive] = np.minimum(equal, most[alive])
+            alive, k = alive[(x == 0) & (equal < most[alive])], k + 8
+        return np.where(out >= LENGTH, out, 0)
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text place, streaming from left to right: the bytes that its suffix shares with the one before it in order, and that one's place."""
+        n = len(self.owner)
+        sample = np.zeros(n, np.int64)
+        sample[self.place] = np.arange(len(self.place))
+        sample = np.maximum.accumulate(sample)
+        gone = np.arange(n) - self.place[sample]
+        return self.shared[sample] - gone, self.match[sample] + gone
+
+    def repeats(self) -> np.ndarray:
+        """Whether each text place starts a window that an earlier string has (windows in a string are different from each other, or later ones are marked too)."""
+        length, match = self.statistics()
+        linked = np.flatnonzero(length >= LENGTH)
+        up = np.arange(len(length))
+        up[linked] = match[linked]
+        while True:  # to the first suffix of those that share the window
+            further = up[up[linked]]
+            if (further == up[linked]).all():
+                break
+            up[linked] = further
+        least = np.arange(len(length))
+        np.minimum.at(least, up[linked], linked)
+        return least[up] < np.arange(len(length))
 
 
 def _match(sent: pa.Table) -> pa.Table:
-    """Step 4: the windows to remove, by block."""
-    blocks, places = [], []
-    part = sent.filter(pa.compute.equal(sent.column("kind"), 1))
+    """Step 4: the windows to remove, by block; and the answers for names of windows."""
+    rows = _counted(_of_kind(sent, 2), 4)
+    blocks, places, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    part = _of_kind(sent, 1)
     if part.num_rows:
-        h, block, data = _joined(part, "h", np.uint64), _owners(part, "d", 8), _joined(part, "b", np.uint8)
-        ids, at, size = (_joined(part, c, np.int64) for c in ("d", "at", "n"))
+        keys = [unpacked(x) for x in part.column("keys").to_pylist()]
+        many = [len(k) for k in keys]
+        size = np.concatenate([uncounted(x, n) for x, n in zip(part.column("n").to_pylist(), many, strict=True)])
+        ids, at = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.int64) for c in ("ids", "at"))
+        block, key = np.repeat(part.column("block").to_numpy(), many), np.concatenate(keys)
+        data = np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint8)
         start = np.cumsum(size) - size
-        order = np.lexsort((at, block, ids, h))  # one id is in one block
+        order, head = _alike(_words(data), start, size, key, ids, block, at)
+        first = head == np.arange(len(head))
+        copies = order[~first]
+        blocks.append(block[copies])
+        places.append(at[copies])
+        runs.append(size[copies] - LENGTH + 1)
         # anchors are apart, so the strings of some at a time are indexed
-        share = np.cumsum(size[order]) // INDEXED
-        head = np.append(True, h[order][1:] != h[order][:-1])
-        share = share[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        for _, own in _split(share, 0):
-            own = order[own]
-            own = own[np.lexsort((at[own], block[own], ids[own]))]
-            take = np.repeat(start[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-            string, place = RunIndex(data[take], size[own]).repeats()
-            blocks.append(block[own][string])
-            places.append(at[own][string] + place)
-    part = sent.filter(pa.compute.equal(sent.column("kind"), 2))
-    if part.num_rows:
-        ids, at = _joined(part, "d", np.int64), _joined(part, "at", np.int64)
-        one, two, block = _joined(part, "b", np.uint64), _joined(part, "c", np.uint64), _owners(part, "d", 8)
-        order = np.lexsort((at, ids, two, one))
-        later = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
-        blocks.append(block[order][later])
-        places.append(at[order][later])
-    if not blocks:
-        return _table([], MARKS)
-    to, at = np.concatenate(blocks), np.concatenate(places)
-    return _table([(x, 3, _bytes(at[i]), b"") for x, i in _split(to, 0)], MARKS)
+        own = order[first]
+        share = np.cumsum(size[own]) // INDEXED
+        new = np.append(True, key[own][1:] != key[own][:-1])
+        share = share[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        for _, i in _split(share):
+            i = own[i]
+            i = i[np.lexsort((at[i], block[i], ids[i]))]
+            take = np.repeat(start[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
+            index = RunIndex(data[take], size[i])
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], index.repeats(), [False]]).astype(np.int8)))
+            a, z = edge[::2], edge[1::2]
+            string = index.owner[a]
+            blocks.append(block[i][string])
+            places.append(at[i][string] + a - (index.stops[string] - index.sizes[string]))
+            runs.append(z - a)
+    blocks, places, runs = map(np.concatenate, (blocks, places, runs))
+    rows += [(to, -1, 3, b"", _bytes(places[i]), counts(runs[i])) for to, i in _split(blocks)]
+    part = _of_kind(sent, 3)
+    rows += [(to, -1, 3, b"", at, n) for to, at, n in zip(*(part.column(c).to_pylist() for c in ("block", "at", "n")), strict=True)]
+    return _table(rows, TOLD)
 
 
 def _remove(block: pa.Table, marks: pa.Table) -> tuple[list, list, list]:
     """Step 5: for each row of the block, the removed spans and the kept bytes."""
     b = Block(block)
     hits = np.zeros(len(b.buf) + 1, np.int32)
-    (_, lo, hi, h, seg), first = b.named()
-    whole = ~first | (_found(h, seg, *_of_kind(marks, 0)) >= 0)
-    places = _joined(marks.filter(pa.compute.equal(marks.column("kind"), 3)), "h", np.int64)
-    np.add.at(hits, np.concatenate([lo[whole], places]), 1)
-    np.add.at(hits, np.concatenate([hi[whole], places]) + LENGTH, -1)
+    for at, n in zip(marks.column("at").to_pylist(), marks.column("n").to_pylist(), strict=True):
+        at = np.frombuffer(at, np.int64)
+        np.add.at(hits, at, 1)
+        np.add.at(hits, at + uncounted(n, len(at)) - 1 + LENGTH, -1)
     gone = np.cumsum(hits[:-1]) > 0
     starts, stops, kept = ([None] * len(b.texts) for _ in range(3))
     for k, row in enumerate(b.order):
@@ -403,20 +432,36 @@ def _remove(block: pa.Table, marks: pa.Table) -> tuple[list, list, list]:
     return starts, stops, kept
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int, more: tuple[str, ...] = ()) -> DataFrame:
-    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")]
-    return docs.select(*cols, *more).repartition(blocks, "block")
+def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """``docs`` (id, text, others) by block: all rows of an id in one, rows without an id by their text."""
+    key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))
+    return docs.withColumn("block", F.pmod(key, F.lit(blocks))).repartition(blocks, "block")
+
+
+def _told(docs: DataFrame, blocks: int) -> DataFrame:
+    """The marks of all blocks, staged."""
+    given = _dealt(docs.select("id", "text"), blocks)
+    by = lambda df: df.groupBy("block")
+    bucketed = lambda df: df.repartition(blocks, "bucket").groupBy("bucket")
+    names = by(given).applyInArrow(lambda t: _name(t, blocks), SENT)
+    known = staged(bucketed(names).applyInArrow(lambda t: _table(_counted(t, 2), TOLD), TOLD), "names")
+    sent = by(given).cogroup(by(known)).applyInArrow(lambda t, v: _send(t, v, blocks), SENT)
+    told = staged(bucketed(sent).applyInArrow(_match, TOLD), "marks")
+    marks = told.where("kind = 3")
+    if not told.where("kind = 4").isEmpty():
+        known = known.unionByName(told.where("kind = 4"))
+        sent = by(given).cogroup(by(known)).applyInArrow(lambda t, v: _send_windows(t, v, blocks), SENT)
+        marks = marks.unionByName(staged(bucketed(sent).applyInArrow(_match, TOLD), "windows"))
+    return marks
 
 
-def _marks(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    blocks = _dealt(docs, id_col, text_col, parts)
-    names = blocks.groupBy("block").applyInArrow(lambda t: _name(t, parts), NAMES)
-    verdicts = staged(names.groupBy("bucket").applyInArrow(_judge, VERDICTS), "verdicts")
-    sent = blocks.groupBy("block").cogroup(verdicts.where("kind > 0").groupBy("block")).applyInArrow(lambda t, v: _send(t, v, parts), SENT)
-    sent = staged(sent, "segments")
-    marks = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, MARKS)
-    own = sent.where("bucket < 0").select("block", F.lit(3).alias("kind"), F.col("at").alias("h"), F.lit(b"").alias("s"))
-    return verdicts.where("kind = 0").unionByName(marks).unionByName(own)
+def _ready(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str], int]:
+    """``docs`` as id, text and the other columns under plain names; those names; and the number of blocks."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to be a column of integers, as documents are ordered by it")
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in others.items()])
+    return rows, others, max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,20 +469,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a 100-byte string that covers it also starts earlier, in a
     document with a smaller id or in the same one; documents are judged as they
-    come in.  Strings never span documents.  Null texts are empty; a null id is
-    smaller than any other; rows that share an id are in order of their texts.
+    come in.  Strings never span documents.  Ids are integers, else a TypeError
+    is raised.  Null and empty texts have no bytes.  Rows without an id come
+    first, in an order that depends on their texts alone; rows that share an id
+    are in order of their texts.  A text longer than a block is one by itself.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    parts = partitions(docs.sparkSession)
-    schema = "id long, n_bytes long, starts array<int>, stops array<int>, kept binary"
+    rows, _, blocks = _ready(docs, id_col, text_col)
+    rows = rows.select("id", "text")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def finish(block: pa.Table, marks: pa.Table) -> pa.Table:
         starts, stops, kept = _remove(block, marks)
         sizes = [len(t or b"") for t in block.column("text").cast(pa.binary()).to_pylist()]
-        cols = [block.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
+        cols = [block.column("id"), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
         return pa.table(cols, names=["id", "n_bytes", "starts", "stops", "kept"])
 
-    marks = _marks(docs, id_col, text_col, parts)
-    out = _dealt(docs, id_col, text_col, parts).groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(finish, schema)
+    out = _dealt(rows, blocks).groupBy("block").cogroup(_told(rows, blocks).groupBy("block")).applyInArrow(finish, f"id {kind}, n_bytes long, starts array<int>, stops array<int>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -445,22 +493,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs``, all rows and columns, with the repeated spans cut from the text and ``chars_col``, if there is one, counted anew.
 
     Bytes of a character that was cut in part go too; a null text stays null.
+    Rows are judged as by :func:`repeated_spans`.
     """
-    parts = partitions(docs.sparkSession)
-    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    names = {c: f"_c{i}" for i, c in enumerate(others)}
-    given = docs.select(id_col, text_col, *[F.col(c).alias(n) for c, n in names.items()])
-    dealt = _dealt(given, id_col, text_col, parts, tuple(names.values()))
-    keep = ["id", "text", *names.values()]
+    rows, others, blocks = _ready(docs, id_col, text_col)
 
     def finish(block: pa.Table, marks: pa.Table) -> pa.Table:
         _, _, kept = _remove(block, marks)
         texts = [None if old is None else new.decode(errors="ignore") for old, new in zip(block.column("text").to_pylist(), kept, strict=True)]
-        return block.select(keep).set_column(1, "text", pa.array(texts, pa.string()))
+        return block.select(rows.columns).set_column(1, "text", pa.array(texts, pa.string()))
 
-    schema = ", ".join(f"{n} {dealt.schema[n].dataType.simpleString()}" for n in keep)
-    out = dealt.groupBy("block").cogroup(_marks(docs, id_col, text_col, parts).groupBy("block")).applyInArrow(finish, schema)
-    back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(n) for c, n in names.items()}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    out = _dealt(rows, blocks).groupBy("block").cogroup(_told(rows, blocks).groupBy("block")).applyInArrow(finish, schema)
+    back = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(n) for c, n in others.items()}
     if chars_col in others:
         back[chars_col] = F.length("text").cast(docs.schema[chars_col].dataType)
     return out.select(*[back[c].alias(c) for c in docs.columns])

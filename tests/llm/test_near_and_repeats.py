@@ -121,7 +121,9 @@ def found(docs):
     return {r.doc_id: (r.n_bytes, r.n, r.k, r.s) for r in rows.collect()}
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("block", [1 << 20, 9000])
+def test_repeats(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefghij öß\n") for _ in range(n))
     long, shared = text(700), text(150)
@@ -137,7 +139,8 @@ def test_repeats_of_driver_tables(spark, sf):
     assert found(docs) == removed(sorted((r.doc_id, r.text) for r in docs.collect()))
 
 
-def test_hot_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1 << 20, 1500])
+def test_hot_anchors(spark, monkeypatch, block):
     """Many different segments of one anchor."""
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
@@ -146,6 +149,7 @@ def test_hot_anchors(spark, monkeypatch):
     rows += [(100 + i, rows[i][1][10:]) for i in range(0, 60, 3)]
     monkeypatch.setattr(repeats, "HOT", 8)
     monkeypatch.setattr(repeats, "INDEXED", 2000)
+    monkeypatch.setattr(repeats, "BLOCK", block)
     docs = documents(spark, [(i, t, None, None) for i, t in rows])
     assert found(docs) == removed(sorted(rows))
 
@@ -156,14 +160,32 @@ def test_run_index():
     base = bytes(rng.choice(b"abcdefgh") for _ in range(160))
     strings = [base] * 30 + [base[:70] + b"!" + base[71:], base[20:], b"ab" * 90, b"x" * 140, base[::-1]]
     index = repeats.RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]))
-    assert len(index.run_row) < sum(map(len, strings)) / 6
-    seen, want = set(), set()
+    assert len(index.run_char) < sum(map(len, strings)) / 6
+    length, match = index.statistics()
+    text = b"\0".join(strings) + b"\0"
+    seen, want = set(), []
     for i, s in enumerate(strings):
-        for k in range(len(s) - 99):
-            if s[k : k + 100] in seen:
-                want.add((i, k))
-            seen.add(s[k : k + 100])
-    assert set(zip(*[x.tolist() for x in index.repeats()], strict=True)) == want
+        for k in range(len(s) + 1):
+            at = len(want)
+            if length[at] >= 100:  # what the samples say is true of the bytes, and ends where it says or at a string's end
+                n, m = int(length[at]), int(match[at])
+                assert text[at : at + n] == text[m : m + n] and k + n <= len(s)
+            window = s[k : k + 100]
+            want.append(len(window) == 100 and window in seen)
+            seen.add(window)
+    assert index.repeats().tolist() == want
+
+
+def test_marks(spark):
+    """A passage of 120 bytes has 21 windows, marked in all documents but the first; ids have to be integers."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    shared = text(120)
+    docs = documents(spark, [(i, text(60) + chr(65 + i) + shared + chr(65 + i) + text(60), None, None) for i in range(20)])
+    told = repeats._told(docs.select(F.col("doc_id").alias("id"), "text"), 3).where("kind = 3").collect()
+    assert sum(int(repeats.uncounted(r.n, len(r.at) // 8).sum()) for r in told) == 19 * 21
+    with pytest.raises(TypeError, match="integers"):
+        repeats.repeated_spans(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_empty(spark):
