@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Tables that were staged and not deleted yet, in order.
+STAGED: list[DataFrame] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of the warehouse where that is unset.
 
@@ -39,6 +44,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cuemill_path = path
+    STAGED.append(out)
     return out
 
 
@@ -47,12 +53,22 @@ def discard(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._cuemill_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    STAGED[:] = [x for x in STAGED if x is not df]
+
+
+def discard_since(mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables staged after ``STAGED`` had ``mark`` of them, but for ``keep``: what was made of them has been written."""
+    for df in STAGED[mark:]:
+        if df is not keep:
+            discard(df)
 
 
 def sliced(parts, text: int, size: int = 4 << 20, rows: int = 2000):
-    """A task's Arrow batches in slices of at most ``size`` bytes of the column ``text`` (or one row) and ``rows`` rows."""
+    """A task's Arrow batches in slices of at most ``size`` bytes of the column ``text`` (strings or lists; or one row) and ``rows`` rows."""
     for b in parts:
-        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(text)), 0)).to_numpy().astype("int64")
+        col = b.column(text)
+        each = pc.multiply(pc.list_value_length(col), 8) if pa.types.is_list(col.type) else pc.binary_length(col)
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(each, 0), pa.int64())).to_numpy()
         at = 0
         while at < b.num_rows:
             before = ends[at - 1] if at else 0

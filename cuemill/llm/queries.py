@@ -41,7 +41,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_failed_rules", "host_rejected")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and the decoded text, and where the last piece ends in the original bytes."""
+    """Digests of the ids, of the decoded text, and of the places where the pieces end in the original bytes."""
     coded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("bytes_spanned"),
+        F.sha2(F.array_join("ends", ","), 256).alias("ends_sha256"),
     )
 
 
@@ -119,20 +119,31 @@ ORACLE_SQL = {
                    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words
             FROM w LEFT JOIN r USING (rid)),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-        h AS (SELECT host, count(*) AS n, count_if(base_failed) AS failed FROM b GROUP BY host),
-        p AS (SELECT avg(failed / n) AS m, var_samp(failed / n) AS v, sum(failed) / sum(n) AS p FROM h),
-        q AS (SELECT CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1 END AS weight, CASE WHEN v > 0 AND m * (1 - m) > v THEN m ELSE p END AS mean FROM p),
-        j AS (SELECT host, n >= 20 AND (failed + mean * weight) / (n + weight) > 0.8 AS host_rejected FROM h, q)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, b.host, host_rejected
+        f AS (
+            SELECT host, rule, count(*) AS n, sum(hit) AS failed
+            FROM (
+                SELECT host, unnest(['short', 'repeats', 'word_length', 'symbols', 'lines']) AS rule, unnest([
+                    CAST(n_words < 20 AS INT), CAST(100 * n_repeat_words > 30 * n_words AS INT), CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS INT),
+                    CAST(100 * n_symbols > 10 * n_words AS INT), CAST(100 * n_dup_lines > 5 * n_words AS INT)]) AS hit
+                FROM b)
+            GROUP BY host, rule),
+        p AS (SELECT rule, avg(failed / n) AS m, var_samp(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n) AS v FROM f GROUP BY rule),
+        q AS (SELECT rule, m, CASE WHEN v IS NULL THEN 1 WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1000) ELSE 1000 END AS w FROM p),
+        s AS (SELECT host, rule, n + w AS size, (failed + m * w) / (n + w) AS rate FROM f JOIN q USING (rule)),
+        j AS (
+            SELECT host, coalesce(string_agg(rule, ',' ORDER BY list_position(['short', 'repeats', 'word_length', 'symbols', 'lines'], rule))
+                FILTER (rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5), '') AS host_failed_rules
+            FROM s GROUP BY host)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_failed_rules = '' AS kept, b.host, host_failed_rules, host_failed_rules <> '' AS host_rejected
         FROM b JOIN j ON b.host IS NOT DISTINCT FROM j.host
     """,
     "op7_chat_perspectives": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations),
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, replace(replace(coalesce(text, ''), '<\\', '<\\\\'), '<|', '<\\|') AS said FROM conversations),
         people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
         v AS (
             SELECT t.*, perspective, role = perspective AS own,
                    CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-                        ELSE '<|user:' || role || '|>' || chr(10) END AS head
+                        ELSE '<|user:' || replace(replace(replace(replace(role, '<\\', '<\\\\'), '<|', '<\\|'), '|\\', '|\\\\'), '|>', '|\\>') || '|>' || chr(10) END AS head
             FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
         s AS (SELECT *, length(head) + length(said) + 8 AS size FROM v),
         p AS (

@@ -61,29 +61,61 @@ def counts(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed
 
 
+def failures(t):
+    n, chars, symbols, lines, repeats, _ = counts(t)
+    return n < 20, 100 * repeats > 30 * n, chars < 2 * n or chars > 15 * n, 100 * symbols > 10 * n, 100 * lines > 5 * n
+
+
+RULES = ["short", "repeats", "word_length", "symbols", "lines"]
+
+
 def verdicts(rows):
-    """Host verdicts: a beta prior by moments."""
-    n, bad = Counter(), Counter()
+    """The rules that each host fails: beta priors by moments, and a margin of two deviations."""
+    n, bad = Counter(), defaultdict(Counter)
     for _, t, _, h in rows:
         n[h] += 1
-        bad[h] += counts(t)[5]
-    raw = [bad[h] / n[h] for h in n]
-    m = sum(raw) / len(raw)
-    v = sum((x - m) ** 2 for x in raw) / (len(raw) - 1) if len(raw) > 1 else 0
-    weight, mean = (m * (1 - m) / v - 1, m) if v > 0 and m * (1 - m) > v else (1.0, sum(bad.values()) / sum(n.values()))
-    return {h: ((bad[h] + mean * weight) / (n[h] + weight)) for h in n}, n
-
-
-def test_quality(spark):
-    rows = odd_rows()
-    rate, n = verdicts(rows)
+        for r, f in zip(RULES, failures(t), strict=True):
+            bad[r][h] += f
+    out = {h: [] for h in n}
+    for r in RULES:
+        raw = [bad[r][h] / n[h] for h in n]
+        m = sum(raw) / len(raw)
+        v = sum((x - m) ** 2 for x in raw) / (len(raw) - 1) - m * (1 - m) * sum(1 / k for k in n.values()) / len(n) if len(raw) > 1 else None
+        weight = 1.0 if v is None else min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
+        for h in n:
+            rate = (bad[r][h] + m * weight) / (n[h] + weight)
+            if rate - 2 * (rate * (1 - rate) / (n[h] + weight + 1)) ** 0.5 > 0.5:
+                out[h].append(r)
+    return out
+
+
+def check_quality(spark, rows):
+    failed = verdicts(rows)
     want = Counter()
     for i, t, _, h in rows:
         c = counts(t)
-        want[(i, *c, not c[5] and not (rate[h] > 0.8 and n[h] >= 20))] += 1
-    got = quality.judge_quality(documents(spark))
-    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got.collect()) == want
-    assert rate["poor"] > 0.8 and any(r.host_rejected for r in got.where("host = 'poor'").collect())
+        want[(i, h, *c, ",".join(failed[h]), not c[5] and not failed[h])] += 1
+    got = quality.judge_quality(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.host, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.host_failed_rules, r.kept) for r in got) == want
+    assert all(r.host_rejected == (r.host_failed_rules != "") for r in got)
+    return failed
+
+
+def test_quality(spark):
+    failed = check_quality(spark, odd_rows())
+    assert failed["poor"] == ["short"]
+
+
+def test_hosts(spark):
+    """A bad host goes, with its good documents; a small unlucky one stays, and so does one with fewer failures."""
+    good, bad = " ".join(f"word{i}" for i in range(30)), " ".join(f"wording{i} # % |" for i in range(30))
+    rows = [(1000 * h + i, good if i % 10 else bad, "en", f"fine{h}") for h in range(12) for i in range(40)]
+    rows += [(20_000 + i, bad if i % 5 else good, "en", "bad") for i in range(40)] + [(30_000 + i, bad if i < 3 else good, "en", "unlucky") for i in range(4)]
+    failed = check_quality(spark, rows)
+    assert failed == {f"fine{h}": [] for h in range(12)} | {"bad": ["symbols"], "unlucky": []}
+    kept = Counter(r.source for r in quality.drop_poor(documents(spark, rows)).collect())
+    assert kept["bad"] == 0 and kept["unlucky"] == 4 and kept["fine0"] == 40
+    check_quality(spark, rows[:40])  # one host
 
 
 def test_drop_poor(spark):
