@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuemill.llm.common import SPACE, salt_bit, salt_of, salts_in
+from cuemill.llm.common import SPACE, free_names, salt_bit, salt_of, salts_in
 
 SALTS = 64
 
@@ -70,10 +70,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that :func:`exact_groups` does not keep.
 
-    A row is known by its id and digest; of rows equal in both, one stays.
+    A row is known by its id and digest; of rows equal in both, one stays.  Null
+    and empty texts are copies of each other; the columns keep their names and
+    values, whatever they are; an empty table gives no rows.
     """
+    k, n = free_names(docs, "key", "copy")
     key = lambda d, sha: F.struct(d[id_col].alias("id"), sha.alias("sha"))
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(key(groups, groups["text_sha256"]).alias("_k"))
-    rows = docs.withColumn("_k", key(docs, F.sha2(normalised(docs[text_col]), 256))).join(kept, "_k", "left_semi")
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(F.lit(0)))).where("_n = 1").select(*[rows[c] for c in docs.columns])
+    kept = groups.where("kept").select(key(groups, groups["text_sha256"]).alias(k))
+    rows = docs.withColumn(k, key(docs, F.sha2(normalised(docs[text_col]), 256))).join(kept, k, "left_semi")
+    return rows.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(F.lit(0)))).where(F.col(n) == 1).drop(k, n)

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: The bounded sample that the field is fitted on: rows for each language, with texts of at most so many characters.
+from cuemill.llm.common import sliced
+
+#: The bounded sample that the field is fitted on: rows for each language, and characters of each that are learned from.
 SAMPLE_ROWS, SAMPLE_CHARS = 60, 20_000
 #: Hash buckets of each n-gram size; sizes; lexicon words for each language; steps and rate of the fit; ridge penalty.
 BUCKETS, SIZES, LEXICON, STEPS, RATE, RIDGE = 1 << 14, (1, 2, 3, 4), 300, 30, 0.15, 1e-3
@@ -205,13 +207,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A field fitted on at most ``rows`` documents of each language, drawn by a hash of the id from those not held out.
 
     The draw looks at all documents and keeps the first of each language in every
-    task before it shuffles ids; only the drawn texts come to the driver.  None if
-    no document can be learned from.
+    task before it shuffles ids; only the drawn texts come to the driver, of each
+    at most ``chars`` characters.  None if no document can be learned from.
     """
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & (F.length(text_col) <= chars) & F.col(text_col).rlike(r"\p{L}"))
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     drawn = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("n", rank).where(F.col("n") <= rows).select("id").distinct()
-    sample = known.join(F.broadcast(drawn), known[id_col] == drawn["id"], "left_semi").select(F.col(text_col).alias("t"), F.col(lang_col).alias("k")).collect()
+    sample = known.join(F.broadcast(drawn), known[id_col] == drawn["id"], "left_semi").select(F.substring(text_col, 1, chars).alias("t"), F.col(lang_col).alias("k")).collect()
     pairs = sorted((r["t"].encode(), r["k"]) for r in sample)
     return fit_field(pairs) if pairs else None
 
@@ -225,7 +227,9 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
     that mean is the score.  ``n_switches`` counts changes of the likeliest label
     from word to word; ``spans`` lists the stretches between them as (first word,
     number of words, language).  A text that is null or has no letter is ``und``
-    with score 0; so is every text when there is no field.
+    with score 0; so is every text when there is no field.  A long text is one
+    sequence; rows that repeat are judged alike; other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
@@ -249,12 +253,10 @@ def identify(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_
         return out
 
     def batches(parts):
-        for b in parts:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 2000):
-                lang, score, switches, runs = zip(*judge(texts[i : i + 2000]), strict=True)
-                cols = [b.column(0).slice(i, 2000), pa.array(lang), pa.array(score, pa.float64()), pa.array(switches, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(runs, kind)] * spans, ["id", "lang_pred", "score", "n_switches", *["spans"] * spans])
+        for b in sliced(parts, 1):
+            lang, score, switches, runs = zip(*judge(b.column(1).cast(pa.binary()).to_pylist()), strict=True)
+            cols = [b.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(switches, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(runs, kind)] * spans, ["id", "lang_pred", "score", "n_switches", *["spans"] * spans])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, n_switches long" + ", spans array<struct<first:int,words:int,lang:string>>" * spans

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuemill.llm.common import salt_of, staged
+from cuemill.llm.common import salt_of, sliced, staged
 from cuemill.llm.memo import Memo
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
+#: A text on which a model's ids are compared with those made from words.
+PROBE = "It's O'Re, an e.g. (x_y)1,234.5 don't\tstop--NOW! Één ŵörd… 日本 😀 a.b,c ..".encode()
 
 
 class Words:
@@ -34,11 +37,28 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark, self.mark_id = max((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        #: other models may have tokens that span words: they get whole texts
+        self.by_words = self._parts_words()
+        self.mark, self.mark_id = max(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), default=("", -1))
         vocab, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.is_last = np.zeros(max(vocab.values()) + 1, bool)
         self.is_last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo, self.end = Memo(self._ids), np.array([END_ID], "<u4").tobytes()
+        if self.by_words:  # another pattern may part the same kinds of steps elsewhere
+            self.by_words = self(PROBE).tolist() == [*self._encode(PROBE.decode()).ids, END_ID]
+
+    def _parts_words(self) -> bool:
+        """Whether the file has the normaliser, the splitting and the word ends that the short way relies on."""
+        form = json.loads(self.tokenizer.to_str())
+        steps = lambda x, k: [y for z in x.get(k, []) for y in steps(z, k)] if x and x["type"] == "Sequence" else [x] if x else []
+        norms, splits = steps(form["normalizer"], "normalizers"), steps(form["pre_tokenizer"], "pretokenizers")
+        return (
+            "Lowercase" in [x["type"] for x in norms]
+            and {x["type"] for x in norms} <= {"NFC", "Replace", "Lowercase"}
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and bool(form["model"].get("end_of_word_suffix"))
+            and len(self.tokenizer.get_added_tokens_decoder()) > 0
+        )
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """A run of letters is one word to the tokenizer, whose last token shows that it ends there; the others are parted by the special token."""
@@ -66,7 +86,7 @@ class Words:
         return [data[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + gap).tolist()], ends.tolist(), strict=True)]
 
     def __call__(self, text: bytes) -> np.ndarray:
-        if b"<|" in text:  # it may hold a special token's string
+        if not self.by_words or b"<|" in text:  # it may hold a special token's string
             return np.array([*self._encode(text.decode(errors="replace")).ids, END_ID], "<u4")
         runs = re.sub(rb"(?<=[a-z])[.,]", rb" \g<0>", text.lower()).split()
         return np.frombuffer(b"".join([*self.memo.values(runs), self.end]), "<u4")
@@ -86,20 +106,18 @@ def token_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def batches(parts):
         tok = words(model_path)
-        for b in parts:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 500):
-                at, rows, kept = [], [], []
-                for k, t in enumerate(texts[i : i + 500], i):
-                    ids = tok(t or b"")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[start : start + capacity]
-                        at.append(k)
-                        rows.append((piece, start, len(cut), zlib.crc32(cut.tobytes())))
-                        kept.append(cut) if keep_ids else None
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                more = [pa.array(kept, pa.list_(pa.int64()))] if keep_ids else []
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols, *more], ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
+        for b in sliced(parts, 1, rows=500):
+            at, rows, kept = [], [], []
+            for k, t in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+                ids = tok(t or b"")
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    cut = ids[start : start + capacity]
+                    at.append(k)
+                    rows.append((piece, start, len(cut), zlib.crc32(cut.tobytes())))
+                    kept.append(cut) if keep_ids else None
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            more = [pa.array(kept, pa.list_(pa.int64()))] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols, *more], ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = src.mapInArrow(batches, f"id {src.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
@@ -156,7 +174,7 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` plus sequence_id long and offset long: gapless from 0 in each sequence.
+    """The columns of :func:`token_pieces` plus sequence_id long and offset long: gapless from 0 in each sequence.
 
     The driver sees the number of pieces of each length (at most ``capacity``
     rows) and plans with :func:`patterns`.  A piece finds its place by its rank
@@ -166,6 +184,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
     length) are broadcast; neither grows with the corpus.
     """
     spark = pieces.sparkSession
+    pieces = pieces.select(*[c for c in (id_col, "piece", "start", "length", "ids_crc32", "ids") if c in pieces.columns])
     pieces = pieces.withColumn("_salt", salt_of(F.col(id_col), SALTS))
     tally = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     shifts = tally.withColumn("_shift", F.sum("n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)))
@@ -195,8 +214,10 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
 def pack_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Tokenise (once; the piece table is staged) and pack every row of ``docs``.
 
-    Rows that repeat are packed each; null ids are ids like others; an empty
-    table gives no rows.
+    Null and empty texts are a piece of one token; a long text is tokenised
+    whole and cut; rows that repeat are packed each; null ids are ids like
+    others; other columns are ignored, whatever their names; an empty table
+    gives no rows.
     """
     return pack(staged(token_pieces(docs, model_path, id_col, text_col, capacity), "pieces"), id_col, capacity).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -11,6 +11,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.llm.common import sliced
+
 BAR = "▁"
 
 
@@ -113,6 +115,20 @@ class Normaliser:
         return bytes(out), np.array([*at, end])
 
 
+def _places_before(text: bytes) -> np.ndarray:
+    """For each byte of the text with its malformed parts replaced (and for the end), the byte of the text that it stands for."""
+    parts, at = [], 0
+    while at < len(text):
+        try:
+            text[at:].decode()
+            good, bad = len(text) - at, 0
+        except UnicodeDecodeError as e:
+            good, bad = e.start, e.end - e.start
+        parts += [np.arange(at, at + good), np.full(3 * bool(bad), at + good)]
+        at += good + bad
+    return np.concatenate([*parts, [len(text)]]).astype(np.int64)
+
+
 class Encoder:
     """Ids as the library gives them for whole texts, and each piece's end in the original bytes."""
 
@@ -127,13 +143,20 @@ class Encoder:
         self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces], np.int32)
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        norm, source = self.normalise(text)
-        text = text.decode(errors="replace")
+        given = text.decode(errors="replace")
+        clean = given.encode()
+        norm, source = self.normalise(clean)
+        if clean != text:
+            source = _places_before(text)[source]
+        text = given
         ids = np.array(self.sp.encode(text, num_threads=1), np.int32)
         wide = self.width[ids]
         if (ids == self.unknown).any():  # only without byte fallback: such a piece has the text's own characters
             wide = np.array([len(p.piece.encode()) for p in self.sp.encode(text, return_type="proto", num_threads=1).pieces])
-        return ids, source[np.minimum(np.cumsum(wide), len(norm))].astype(np.int32)
+        ends = np.cumsum(wide)
+        if len(norm) != (ends[-1] if len(ends) else 0):
+            raise ValueError("the pieces do not add up to the normalised text")
+        return ids, source[ends].astype(np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,33 +182,35 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     ``ids`` are those of the library's encode() without begin or end ids;
     piece ``i`` covers the original UTF-8 bytes from ``ends[i - 1]`` (0 at first)
     up to ``ends[i]``, so the spans tile the text.  A dummy prefix has no bytes.
-    Null and empty texts give empty arrays; rows are independent, so repeats,
-    null ids and other columns don't matter.
+    Null and empty texts give empty arrays; a long text is encoded whole;
+    malformed bytes count as U+FFFD.  Rows are independent, so repeats, null ids
+    and other columns don't matter; an empty table gives no rows.
     """
 
     def batches(parts):
         enc = encoder(model_path)
-        for b in parts:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i in range(0, len(texts), 500):
-                got = [enc(t or b"") for t in texts[i : i + 500]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 500), _lists([x[0] for x in got], pa.int32()), _lists([x[1] for x in got], pa.int32())], ["id", "ids", "ends"])
+        for b in sliced(parts, 1, rows=500):
+            got = [enc(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([x[0] for x in got], pa.int32()), _lists([x[1] for x in got], pa.int32())], ["id", "ids", "ends"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(batches, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``encoded`` plus ``decoded``: the library's decode() of the column ``ids``; null counts as no ids."""
+    """``encoded`` plus ``decoded``: the library's decode() of the column ``ids``; null counts as no ids.
+
+    A table that has a column ``decoded`` already is refused with a ValueError.
+    """
     names = encoded.columns
+    if "decoded" in [c.lower() for c in names]:
+        raise ValueError("there is a column decoded already")
 
     def batches(parts):
         sp = encoder(model_path).sp
-        for b in parts:
-            col = b.column(names.index("ids"))
-            for i in range(0, b.num_rows, 500):
-                texts = sp.decode(_rows(col.slice(i, 500)), num_threads=1)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 500) for c in b.columns), pa.array(texts, pa.string())], [*names, "decoded"])
+        for b in sliced(parts, names.index("ids"), rows=500):
+            texts = sp.decode(_rows(b.column(names.index("ids"))), num_threads=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(batches, schema + ", decoded string")

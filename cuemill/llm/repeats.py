@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from cuemill.llm.common import staged
+from cuemill.llm.common import discard, staged
 from cuemill.llm.planes import counts, mixed, packed, unpacked, uncounted
 
 LENGTH, GRAM = 100, 32
@@ -449,9 +449,10 @@ def _told(docs: DataFrame, blocks: int) -> DataFrame:
     told = staged(bucketed(sent).applyInArrow(_match, TOLD), "marks")
     marks = told.where("kind = 3")
     if not told.where("kind = 4").isEmpty():
-        known = known.unionByName(told.where("kind = 4"))
-        sent = by(given).cogroup(by(known)).applyInArrow(lambda t, v: _send_windows(t, v, blocks), SENT)
+        both = known.unionByName(told.where("kind = 4"))
+        sent = by(given).cogroup(by(both)).applyInArrow(lambda t, v: _send_windows(t, v, blocks), SENT)
         marks = marks.unionByName(staged(bucketed(sent).applyInArrow(_match, TOLD), "windows"))
+    discard(known)
     return marks
 
 
@@ -496,11 +497,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are judged as by :func:`repeated_spans`.
     """
     rows, others, blocks = _ready(docs, id_col, text_col)
+    names = rows.columns
 
     def finish(block: pa.Table, marks: pa.Table) -> pa.Table:
         _, _, kept = _remove(block, marks)
         texts = [None if old is None else new.decode(errors="ignore") for old, new in zip(block.column("text").to_pylist(), kept, strict=True)]
-        return block.select(rows.columns).set_column(1, "text", pa.array(texts, pa.string()))
+        return block.select(names).set_column(1, "text", pa.array(texts, pa.string()))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     out = _dealt(rows, blocks).groupBy("block").cogroup(_told(rows, blocks).groupBy("block")).applyInArrow(finish, schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import salt_bit, salt_of, salts_in, staged
+from cuemill.llm.common import free_names, salt_bit, salt_of, salts_in, sliced, staged
 from cuemill.llm.graph import components
 
 #: Words of a shingle, the seed of its hash, and most differing bits of a link.
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) for every row, from its whole text; null counts as empty."""
 
     def batches(parts):
-        for b in parts:
+        for b in sliced(parts, 1):
             fps = [fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -125,7 +125,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     salt), which spreads a class that holds a third of them.
 
     Null and empty texts have fingerprint zero and link like any other.  Null
-    ids never name a component that has another id; an empty table gives no rows.
+    ids never name a component that has another id; rows that repeat are judged
+    alike; a long text is read whole; other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     fps = staged(fingerprints(docs, id_col, text_col).withColumn("salt", salt_of(F.col("id"), SALTS)), "fps")
     return named_groups(fps, links, id_col)
@@ -152,7 +154,11 @@ def named_groups(fps: DataFrame, links_of, id_col: str) -> DataFrame:
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_groups) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group that ``groups`` finds: the one whose id names it.
 
-    Where rows repeat that id, they stay together; exact deduplication comes first.
+    Where rows repeat that id, they stay together; exact deduplication comes
+    first.  Rows without an id stay if their group has no id.  Null and empty
+    texts are a group; the columns keep their names and values, whatever they
+    are; an empty table gives no rows.
     """
-    kept = groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    (keep,) = free_names(docs, "keep")
+    kept = groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col(keep)), "left_semi")

@@ -149,6 +149,20 @@ def test_character_map():
     assert out == "yz▁xc".encode() and at.tolist() == [2, 2, 4, 4, 4, 6, 7, 9]
 
 
+def test_malformed_bytes():
+    """Each malformed part counts as U+FFFD; spans are places in the given bytes."""
+    text = b"ab\xff c\xe2\x82 d\xf0"
+    ids, ends = pieces.encoder(PIECE)(text)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert ids.tolist() == sp.encode(text.decode(errors="replace")) and ends.tolist() == sorted(ends.tolist()) and ends[-1] == len(text)
+    assert pieces._places_before(text).tolist() == [0, 1, 2, 2, 2, 3, 4, 5, 5, 5, 7, 8, 9, 9, 9, 10]
+
+
+def test_other_tokenizers_get_whole_texts():
+    """The short way by words is for one form of model only."""
+    assert packing.Words(WORD).by_words and not packing.Words(public_tokenizers.path("byte_bpe_50k.json")).by_words
+
+
 def test_digests(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
