@@ -116,7 +116,7 @@ def tokens(text: Column | str, n: Column | str) -> Column:
     """The words of an edited text with the white space before each, as an array of exactly ``n``."""
     found = F.regexp_extract_all(_col(text), F.lit(f"({SPACE}*[^{SPACE[1:-1]}]+)"), F.lit(1))
     n = _col(n).cast("int")
-    return F.slice(F.concat(found, F.array_repeat(F.lit(""), n)), F.lit(1), n)
+    return F.slice(F.concat(found, F.array_repeat(F.lit(""), F.greatest(n - F.size(found), F.lit(0)))), F.lit(1), n)
 
 
 def caption_edits(old: Column | str, new: Column | str, first_pos: Column | str = None) -> Column:

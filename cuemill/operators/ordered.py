@@ -139,6 +139,12 @@ def stitched(rows: DataFrame, windows: DataFrame, key: str = "project_id") -> Da
     return joined.where("pos >= _from").drop("_start", "_from")
 
 
+def own_rows(rows: DataFrame, size: int = CHUNK_ROWS, overlap: int = OVERLAP_ROWS) -> DataFrame:
+    """:func:`stitched` for the windows of :func:`chunk_rows`: without a join, as every chunk but the first begins with ``overlap`` rows of the one before."""
+    stride = size - overlap
+    return rows.where(f"chunk_no = 0 or row_no >= {overlap}").withColumn("pos", (F.col("chunk_no") * stride + F.col("row_no")).cast("int"))
+
+
 def with_part(rows: DataFrame, size: int, first: int = 0) -> DataFrame:
     """Adds ``part``: blocks of ``size`` rows, numbered from ``first``."""
     return rows.withColumn("part", (F.floor(F.col("pos") / size) + first).cast("int"))

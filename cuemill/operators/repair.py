@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import is_similar, normalized
@@ -23,52 +23,60 @@ def restored(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> D
     return rows.join(new, [*by, "row_no"], "left").withColumn("word", F.coalesce("_new", "word")).drop("_new")
 
 
-def repaired(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """(by, row_no, start_ms, word, matched): each input row with the answer's word that fits it, or its own.
+def _walked(ins: Column, outs: Column) -> Column:
+    """For each word of ``ins`` the place in ``outs`` of the answer taken, null to keep the word."""
 
-    A chunk is walked from its start with a place in the answer.  Equal words
-    (normalised) match.  Else the next four answers are searched for this word,
-    and the next four inputs for the answer's word: the nearer find says whether
-    the answer has surplus rows, which are skipped, or lacks this one, which is
-    kept.  Else a similar word is a correction, and any other keeps the input.
-    The walk is a fold in the JVM over the arrays of one chunk, which has a
-    bounded number of rows; chunks are independent.
-    """
-    given = rows.groupBy(*by).agg(in_order("start_ms", "word", normalized("word").alias("norm"), order="row_no").alias("ins"))
-    found = answers.groupBy(*by).agg(in_order("word", normalized("word").alias("norm"), order="row_no").alias("outs"))
-    chunks = given.join(found, list(by), "left")
-    chunks = chunks.withColumn("outs", F.coalesce("outs", F.array().cast(chunks.schema["outs"].dataType)))
-    ins, outs = F.col("ins"), F.col("outs")
-
-    def look(array, at, norm):
+    def look(norms, at, norm):
         """How far ahead of a place the word is, null beyond the look-ahead."""
-        steps = [F.when(F.get(array, at + j)["norm"] == norm, j) for j in range(1, AHEAD + 1)]
-        return F.coalesce(*steps)
+        return F.coalesce(*[F.when(F.get(norms, at + j) == norm, j) for j in range(1, AHEAD + 1)])
 
-    def walk(s, i):
-        o = s["o"]
-
-        def decide(w):
-            """``w``: this row's norm and the answer's; then how far ahead each stands on the other side, unless they are equal."""
-            norm, here = w["norm"], w["here"]
+    def over(a, b):
+        def unequal(s, i):
+            norm, here, o = F.get(a, i), F.get(b, s["o"]), s["o"]
             unlike = here.isNotNull() & (norm != here)
-            ahead = F.struct(F.when(unlike, look(outs, o, norm)).alias("out"), F.when(unlike, look(ins, i, here)).alias("in"))
+            ahead = F.struct(F.when(unlike, look(b, o, norm)).alias("out"), F.when(unlike, look(a, i, here)).alias("in"))
+
+            def take(x):
+                dropped = x["in"].isNotNull() & (x["out"].isNull() | (x["in"] <= x["out"]))
+                return F.when(here.isNull() | dropped, None).when(x["out"].isNotNull(), o + x["out"]).when(is_similar(norm, here), o)
 
-            def take(a):
-                # the place of the answer taken, null to keep the input
-                dropped = a["in"].isNotNull() & (a["out"].isNull() | (a["in"] <= a["out"]))
-                return F.when(here == norm, o).when(here.isNull() | dropped, None).when(a["out"].isNotNull(), o + a["out"]).when(is_similar(norm, here), o)
+            return let(let(ahead, take), lambda t: F.struct(F.coalesce(t + 1, o).alias("o"), F.concat(s["taken"], F.array(t)).alias("taken")))
 
-            return let(ahead, take)
+        def walk(s, i):
+            equal = F.struct((s["o"] + 1).alias("o"), F.concat(s["taken"], F.array(s["o"])).alias("taken"))
+            return F.when(F.get(a, i) == F.get(b, s["o"]), equal).otherwise(unequal(s, i))
 
-        pair = F.struct(F.get(ins, i)["norm"].alias("norm"), F.get(outs, o)["norm"].alias("here"))
-        return let(let(pair, decide), lambda t: F.struct(F.coalesce(t + 1, o).alias("o"), F.concat(s["taken"], F.array(t)).alias("taken")))
+        zero = F.struct(F.lit(0).alias("o"), F.array().cast("array<int>").alias("taken"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), zero, walk, lambda s: s["taken"])
 
-    zero = F.struct(F.lit(0).alias("o"), F.array().cast("array<int>").alias("taken"))
-    taken = F.aggregate(F.sequence(F.lit(0), F.size(ins) - 1), zero, walk, lambda s: s["taken"])
-    out = chunks.withColumn("_taken", taken).select(*by, F.posexplode("ins").alias("_i", "x"), "outs", "_taken")
+    return let(F.struct(ins["_norm"].alias("a"), outs["_norm"].alias("b")), lambda n: over(n["a"], n["b"]))
+
+
+def _fitted(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], places) -> DataFrame:
+    """(by, row_no, keep, word, matched): rows with the answers at ``places(ins, outs)``; both sides are grouped by chunk once."""
+    norm = normalized("word").alias("_norm")
+    given = rows.groupBy(*by).agg(in_order(*keep, "word", norm, order="row_no").alias("_ins"))
+    found = answers.groupBy(*by).agg(in_order("word", norm, order="row_no").alias("_outs"))
+    chunks = given.join(found, list(by), "left")
+    chunks = chunks.withColumn("_outs", F.coalesce("_outs", F.array().cast(chunks.schema["_outs"].dataType)))
+    out = chunks.withColumn("_taken", places(F.col("_ins"), F.col("_outs"))).select(*by, F.posexplode("_ins").alias("_i", "_x"), "_outs", "_taken")
     at = F.get("_taken", F.col("_i"))
-    return out.select(*by, F.col("x.row_no"), F.col("x.start_ms"), F.coalesce(F.get("outs", at)["word"], F.col("x.word")).alias("word"), at.isNotNull().alias("matched"))
+    kept = [F.col("_x")[c].alias(c) for c in ("row_no", *keep)]
+    return out.select(*by, *kept, F.coalesce(F.get("_outs", at)["word"], F.col("_x.word")).alias("word"), at.isNotNull().alias("matched"))
+
+
+def repaired(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, keep: tuple[str, ...] = ("start_ms",)) -> DataFrame:
+    """(by, row_no, keep, word, matched): each input row with the answer's word that fits it, or its own.
+
+    A chunk is walked from its start with a place in the answer.  Equal words
+    (normalised) match.  Else the next four answers are searched for this word,
+    and the next four inputs for the answer's word: the nearer find says whether
+    the answer has surplus rows, which are skipped, or lacks this one, which is
+    kept.  Else a similar word is a correction, and any other keeps the input.
+    The walk is a fold in the JVM over the arrays of one chunk, which has a
+    bounded number of rows; chunks are independent.
+    """
+    return _fitted(rows, answers, by, keep, _walked)
 
 
 def row_counts(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -84,19 +92,29 @@ def row_counts(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) ->
     return both.select(*by, "expected", "actual", bad.alias("is_mismatch"), share.alias("share"), (bad & (share < LEAST_SHARE)).alias("should_retry"))
 
 
+def answer_totals(counts: DataFrame, by: str = "project_id") -> DataFrame:
+    """(by, chunks, expected, actual, is_mismatch, bad_chunks): what a whole transcript or translation came to.
+
+    ``counts`` are those of :func:`row_counts`; the total is held to the sum of
+    what its chunks were to give, also where surplus and lack make it right.
+    """
+    sums = counts.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum("expected").alias("expected"), F.sum("actual").alias("actual"), F.count_if("is_mismatch").alias("bad_chunks"))
+    return sums.select(by, "chunks", "expected", "actual", (F.col("actual") != F.col("expected")).alias("is_mismatch"), "bad_chunks")
+
+
 def match_counts(fixed: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """(by, matched, kept, match_ratio) of :func:`repaired` rows."""
     n, hits = F.count(F.lit(1)), F.count_if("matched")
     return fixed.groupBy(*by).agg(hits.alias("matched"), (n - hits).alias("kept"), (hits / n).alias("match_ratio"))
 
 
-def corrected(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """(by, row_no, start_ms, word): chunks with the right number of rows by place, the others repaired."""
-    counts = row_counts(rows, answers, by).select(*by, "is_mismatch")
-    marked = rows.join(counts, list(by))
-    right = restored(marked.where("not is_mismatch"), answers, by).select(*by, "row_no", "start_ms", "word")
-    wrong = repaired(marked.where("is_mismatch"), answers, by).select(*by, "row_no", "start_ms", "word")
-    return right.unionByName(wrong)
+def corrected(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, keep: tuple[str, ...] = ("start_ms",)) -> DataFrame:
+    """(by, row_no, keep, word): chunks with the right number of answers by place (D06), the others repaired.
+
+    The choice is made in each chunk's row, so rows and answers are each grouped once.
+    """
+    by_place = lambda ins, outs: F.when(F.size(ins) == F.size(outs), F.sequence(F.lit(0), F.size(ins) - 1)).otherwise(_walked(ins, outs))
+    return _fitted(rows, answers, by, keep, by_place).drop("matched")
 
 
 def cached_or_missing(chunks: DataFrame, cache: DataFrame, text: str = "chunk_text", prefix: str = "") -> DataFrame:

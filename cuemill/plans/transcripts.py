@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cuemill.functions.text import caption_text
 from cuemill.operators.blocks import group_blocks
 from cuemill.operators.clips import clip_captions, transcript_ends, valid_clips, with_layout
-from cuemill.operators.ordered import chunk_rows, chunks, stitched, with_next_start, with_repaired_times
+from cuemill.operators.ordered import chunk_rows, own_rows, with_next_start, with_repaired_times
 from cuemill.operators.pages import group_pages, split_at_sentences
 from cuemill.operators.repair import corrected
 from cuemill.sources.cliptext import parse_clips
@@ -32,12 +33,13 @@ def correct(words: DataFrame, answers: DataFrame) -> DataFrame:
     """Words corrected by a model's answers to their chunks.
 
     ``answers``: (project_id, chunk_no, row_no, word).  Every chunk reads only
-    its own rows, so all are fitted at once; stitching goes by place.
+    its own rows, so all are fitted at once; stitching goes by place.  Times
+    don't change, so a row's end is found before the rows are dealt into chunks.
     """
-    fitted = corrected(chunk_rows(words).select("project_id", "chunk_no", "row_no", "start_ms", "word"), answers)
-    rows = stitched(fitted, chunks(words)).select("project_id", "pos", "word", "start_ms")
-    ends = transcript_ends(words)
-    return with_next_start(rows.join(ends, "project_id"), "transcript_end").select("project_id", "pos", "word", "start_ms", "end_ms")
+    end = F.last("end_ms").over(W.partitionBy("project_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    timed = with_next_start(words.select("project_id", "pos", "word", "start_ms", "end_ms", end.alias("transcript_end")), "transcript_end")
+    fitted = corrected(chunk_rows(timed).select("project_id", "chunk_no", "row_no", "start_ms", "end_ms", "word"), answers, keep=("start_ms", "end_ms"))
+    return own_rows(fitted).select("project_id", "pos", "word", "start_ms", "end_ms")
 
 
 def subtitles(captions: DataFrame, lang: str = "en") -> DataFrame:

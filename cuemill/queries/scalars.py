@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill import adapters as A
@@ -140,11 +140,11 @@ def b20_total_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NAMES = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE substr(text, 1, 90) END AS title FROM documents"
+NAMES = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE text END AS title FROM documents"
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.substring("text", 1, 90)).alias("title"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.col("text")).alias("title"))
 
 
 @query(
@@ -220,20 +220,28 @@ def b31_audio_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.marks(spark, sf_dir).select("id", C.fade(F.col("id") % 400, F.lit(400), F.lit(23.976)).alias("volume"))
 
 
-TOKENS = f"list_concat(regexp_extract_all(text, '{T.SPACE}*[^{T.SPACE[1:-1]}]+'), list_transform(range(0, 12), lambda x: ''))[1:12]"
+#: The words of a whole text; a row less or more than there are words for every third one, to be cut off or filled up.
+_FOUND = f"regexp_extract_all(text, '{T.SPACE}*[^{T.SPACE[1:-1]}]+')"
+_WIDE = f"greatest(len({_FOUND}) + doc_id % 3 - 1, 0)"
+TOKENS = f"list_concat({_FOUND}, [''])[1:{_WIDE}]"
+
+
+def _wide() -> Column:
+    words = F.regexp_extract_all("text", F.lit(f"({T.SPACE}*[^{T.SPACE[1:-1]}]+)"), F.lit(1))
+    return F.greatest(F.size(words) + F.col("doc_id") % 3 - 1, F.lit(0))
 
 
 @query(f"SELECT doc_id, array_to_string({TOKENS}, '|') AS tokens FROM documents")
 def b32_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens("text", F.lit(12)), "|").alias("tokens"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens("text", _wide()), "|").alias("tokens"))
 
 
 @query(
-    f"""SELECT doc_id, array_to_string([CAST(i + 99 AS VARCHAR) || '=' || b[i] for i in range(1, 13) if a[i] <> b[i]], '|') AS edits
+    f"""SELECT doc_id, array_to_string([CAST(i + 99 AS VARCHAR) || '=' || b[i] for i in range(1, len(a) + 1) if a[i] <> b[i]], '|') AS edits
     FROM (SELECT doc_id, {TOKENS} AS a, {TOKENS.replace('text', "replace(text, 'e', 'E')")} AS b FROM documents)"""
 )
 def b33_caption_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = T.tokens("text", F.lit(12)), T.tokens(F.replace("text", F.lit("e"), F.lit("E")), F.lit(12))
+    old, new = T.tokens("text", _wide()), T.tokens(F.replace("text", F.lit("e"), F.lit("E")), _wide())
     rows = A.table(spark, sf_dir, "documents").select("doc_id", old.alias("a"), new.alias("b"))
     edits = F.map_entries(T.caption_edits("a", "b", F.lit(100)))
     return rows.select("doc_id", F.array_join(F.transform(edits, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("edits"))

@@ -127,8 +127,12 @@ def a19_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuemill"
+    """A new folder that all executors share; a local warehouse is none on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuemill"
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -146,15 +150,35 @@ def i03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drained(live.states(_stream(spark, sf_dir)), f"{at}/out", f"{at}/log")
 
 
+@query(
+    """WITH e AS (SELECT user_id AS session_id, event_id, ts, greatest(0.0::DOUBLE, least(100.0::DOUBLE, value - 20)) AS progress, event_type AS message FROM events),
+    s AS (SELECT DISTINCT session_id, TIMESTAMP '2024-01-08' + to_hours(CAST(session_id % 100 AS INTEGER)) AS joined FROM e),
+    j AS (SELECT e.*, ts > joined AS later FROM e JOIN s USING (session_id))
+    SELECT session_id, event_id, CASE WHEN later THEN 'event' ELSE 'snapshot' END AS kind, progress, message FROM j
+    QUALIFY later OR row_number() OVER (PARTITION BY session_id, later ORDER BY ts DESC, event_id DESC) = 1"""
+)
+def a18_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a subscriber of each session gets (A18): a snapshot when it connects, then the session's events from a stream; read again."""
+    at = _work(spark, "heard")
+    connected = F.lit("2024-01-08").cast("timestamp") + F.make_dt_interval(hours=(F.col("session_id") % 100).cast("int"))
+    flat = lambda rows: rows.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    table = flat(A.table(spark, sf_dir, "events"))
+    subscribers = table.select("session_id").distinct().select(F.col("session_id").alias("subscriber"), "session_id", connected.alias("connected_at"))
+    row = F.struct(F.col("session_id").cast("string").alias("sessionId"), F.lit("READY").alias("state"), clamped(F.col("value") - 20).alias("progress"), F.col("event_type").alias("message"))
+    stream = live.to_events(live.heard(flat(live.read_progress(spark, f"{sf_dir}/events.parquet*")), subscribers), row, "event_id")
+    texts = live.drained(stream, f"{at}/out", f"{at}/log").withColumn("kind", F.lit("event"))
+    texts = texts.unionByName(live.to_events(live.on_connect(table, subscribers), row, "event_id").withColumn("kind", F.lit("snapshot")))
+    read = parse_events(texts, "value")
+    return read.select("session_id", "event_id", "kind", "event.progress", "event.message")
+
+
 @query(sql("requests", "SELECT session_id, max_by(event_id, struct_pack(ts := ts, e := event_id)) AS event_id, max_by(new_state, struct_pack(ts := ts, e := event_id)) AS new_state FROM requests GROUP BY session_id"))
 def i05_serial_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table that batch after batch of a stream leaves: each session's newest event."""
     at = _work(spark, "saves")
     query_ = live.serial_saves(_stream(spark, sf_dir), f"{at}/out", f"{at}/log")
     query_.awaitTermination()
-    last = query_.lastProgress
-    version = max(0, (last.batchId if last else 0))
-    return spark.read.parquet(f"{at}/out/version={version}").select("session_id", "event_id", "new_state")
+    return live.saved(spark, f"{at}/out").select("session_id", "event_id", "new_state")
 
 
 @query(
@@ -204,10 +228,10 @@ def d04_synced_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.synced_renders(renders, files, renders.where("project_id % 3 = 0").select("project_id"))
 
 
-@query(sql("registry", "SELECT project_id, project_path FROM registry WHERE entry_no < 97 AND project_id NOT IN ('p5', 'p11')"))
+@query(sql("registry", "SELECT project_id, project_path FROM registry WHERE project_id NOT IN ('p5', 'p11')"))
 def d13_removed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By id."""
-    rows = A.registry(spark, sf_dir).where("entry_no < 97")
+    rows = A.registry(spark, sf_dir)
     return P.removed(rows, spark.createDataFrame([("p5",), ("p11",)], "project_id string")).select("project_id", "project_path")
 
 
@@ -216,13 +240,14 @@ def d13_removed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "registry",
         """SELECT project_path, CASE WHEN m THEN coalesce(CASE WHEN n % 5 > 0 THEN 'From file ' || n END, video_name) ELSE video_name END AS video_name,
         CASE WHEN m THEN 'ALIGNING' ELSE state END AS state, n % 2 > 0 AS missing
-        FROM (SELECT *, entry_no AS n, entry_no % 2 = 0 AND (video_name IS NULL OR thumbnail IS NULL) AS m FROM registry WHERE entry_no < 97)""",
+        FROM (SELECT *, entry_no AS n, entry_no % 2 = 0 AND (video_name IS NULL OR thumbnail IS NULL) AS m
+              FROM (SELECT * REPLACE (project_path || '-' || entry_no AS project_path) FROM registry))""",
     )
 )
 def d14_checked_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archives of every second project are there."""
-    rows = A.registry(spark, sf_dir).where("entry_no < 97").withColumn("missing", F.lit(False))
+    """A registry with a path for every use; the archives of every second one are there."""
     n = F.col("entry_no")
+    rows = A.registry(spark, sf_dir).withColumn("project_path", F.concat("project_path", F.lit("-"), n)).withColumn("missing", F.lit(False))
     files = rows.where("entry_no % 2 = 0").select(
         "project_path", F.when(n % 5 > 0, F.concat(F.lit("From file "), n)).alias("video_name"), F.lit("ALIGNING").alias("state"), F.lit(None).cast("string").alias("updated_at")
     )

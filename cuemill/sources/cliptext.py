@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions.text import SPACE, is_blank, trim
 from cuemill.functions.timecode import ms_to_timestamp, timestamp_to_ms
-from cuemill.operators.arrays import in_order
+from cuemill.operators.arrays import in_order, let
 from cuemill.operators.ordered import with_index
 
 WORD = f"([^{SPACE[1:-1]}]+)"
@@ -29,11 +29,10 @@ def parse_clips(texts: DataFrame, key: str = "project_id", text: str = "clip_tex
     """
     blocks = texts.select(key, F.posexplode(F.split(text, HEAD)).alias("_block", "b")).where(~is_blank("b"))
     b, label = F.col("b"), lambda name, what: _found(F.col("b"), rf"(?i){name}:{SPACE}*{what}")
-    cut = F.struct(timestamp_to_ms(_found(b, CUT, 1)).alias("s"), timestamp_to_ms(_found(b, CUT, 2)).alias("e"))
-    plain = F.struct(timestamp_to_ms(label("Start", WORD)).alias("s"), timestamp_to_ms(label("End", WORD)).alias("e"))
-    rows = blocks.withColumn("_c", cut).withColumn("_p", plain)
-    pick = F.when(F.col("_c.e") > F.col("_c.s"), F.col("_c")).when(F.col("_p.e") > F.col("_p.s"), F.col("_p"))
-    rows = rows.withColumn("_r", pick).where("_r is not null")
+    # one reader for all four times, and each block's once: as an array of no or one range
+    times = F.transform(F.array(_found(b, CUT, 1), _found(b, CUT, 2), label("Start", WORD), label("End", WORD)), timestamp_to_ms)
+    ranges = let(times, lambda t: F.array(*[F.when(F.get(t, F.lit(i + 1)) > F.get(t, F.lit(i)), F.struct(F.get(t, F.lit(i)).alias("s"), F.get(t, F.lit(i + 1)).alias("e"))) for i in (0, 2)]))
+    rows = blocks.select(key, "_block", "b", F.explode(F.slice(F.array_compact(ranges), 1, 1)).alias("_r"))
     named = lambda name, other: F.coalesce(trim(label(name, r"([^\n\r]+)")), F.lit(other))
     rows = rows.select(key, "_block", named("Title", "Untitled").alias("title"), F.col("_r.s").alias("start_ms"), F.col("_r.e").alias("end_ms"), named("Hook", "").alias("hook_text"))
     return with_index(rows, "_block", key).select(key, F.col("idx").alias("pos"), "title", "start_ms", "end_ms", "hook_text")

@@ -16,12 +16,15 @@ def clips(spark, text):
 
 
 def test_clip_forms(spark):
-    assert clips(spark, "CLIP 1\nTitle: T\nHook: H\nCut 1: 00:01:23.456 - 00:01:45.900") == [("T", 83456, 105900, "H")]
-    assert clips(spark, "CLIP 1\nStart: 00:00:10.000\nEnd: 00:00:35.000") == [("Untitled", 10000, 35000, "")]
-    assert clips(spark, "CLIP 1\nTitle: T\nCut 1: 00:05.000 - 00:25.000\nCut 2: 00:30.000 - 00:40.000") == [("T", 5000, 25000, "")]
-    assert clips(spark, "CLIP 1\nTitle: T\nStart: 00:00:35.000\nEnd: 00:00:10.000") == []
-    two = "CLIP 1\nTitle: One\nCut 1: 0:01 → 0:02\n\nclip 2\nTitle: Two\nSegment 1: 0:03—0:04"
-    assert [c[0] for c in clips(spark, two)] == ["One", "Two"]
+    """A cut, the older form, several cuts, ranges that are none, several blocks, and lines that only look like these."""
+    assert clips(spark, "CLIP 7\nTitle: Harbour at dawn\nHook: Listen to the gulls\nCut 1: 00:02:03.250 - 00:02:41.075") == [("Harbour at dawn", 123250, 161075, "Listen to the gulls")]
+    assert clips(spark, "clip 1\nEnd: 01:00:00.001\nStart: 59:59.5") == [("Untitled", 3599500, 3600001, "")]
+    assert clips(spark, "CLIP 1\nTitle: Two cuts\nSegment 1: 0:07 – 0:19.5\nCut 2: 0:40 - 0:50\nStart: 0:01\nEnd: 0:02") == [("Two cuts", 7000, 19500, "")]
+    assert clips(spark, "CLIP 1\nCut 1: 0:19 - 0:07\nStart: 0:01\nEnd: 0:02") == [("Untitled", 1000, 2000, "")]
+    assert clips(spark, "CLIP 1\nTitle: Backwards\nStart: 0:12\nEnd: 0:12\n\nCLIP 2\nTitle: No range") == []
+    assert clips(spark, "CLIP 1\nCut 1: soon - later\nCLIP x\nStart: 1:2:3\nEnd: 1:2:3,9 and more") == []
+    several = "Intro\nCLIP 1\nTitle: North\nCut 1: 0:11 → 0:13\n\nclip 12\nTitle: South\nSegment 1: 0:14—0:15"
+    assert [c[0] for c in clips(spark, several)] == ["North", "South"]
     assert clips(spark, "") == clips(spark, None) == []
 
 
@@ -82,3 +85,30 @@ def test_state_survives_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
     out = live.drained(live.states(stream), str(tmp_path / "out"), str(tmp_path / "log")).orderBy("seq").collect()
     assert [(r.seq, r.accepted, r.state) for r in out] == [(0, True, "UPLOADING"), (1, False, "UPLOADING"), (2, True, "TRANSCRIBING"), (3, True, "ALIGNING")]
+
+
+def test_subscribers(spark):
+    """A snapshot of the newest event by then, and what comes later."""
+    events_ = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("a", 3, 20), ("a", 4, 30), ("b", 5, 40)], "session_id string, event_id int, ts int")
+    who = spark.createDataFrame([("x", "a", 20), ("y", "a", 5), ("z", "b", 40), ("q", "c", 1)], "subscriber string, session_id string, connected_at int")
+    assert sorted((r.subscriber, r.event_id) for r in live.on_connect(events_, who).collect()) == [("x", 3), ("z", 5)]
+    assert sorted((r.subscriber, r.event_id) for r in live.heard(events_, who).collect()) == [("x", 4), ("y", 1), ("y", 2), ("y", 3), ("y", 4)]
+    assert [r.value for r in live.to_events(events_.limit(1), F.struct("event_id")).collect()] == ['data: {"event_id":1}\n\n']
+
+
+def test_saves_of_many_batches(spark, tmp_path):
+    """Deltas and bases together hold each session's newest row."""
+    for i in range(7):
+        rows = spark.createDataFrame([(s, 10 * i + s, 10 * (i if s else -i)) for s in range(i % 3 + 1)], "session_id int, event_id int, ts int")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id int, event_id int, ts int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.serial_saves(stream, str(tmp_path / "out"), str(tmp_path / "log"), merge_every=3).awaitTermination()
+    got = {r.session_id: r.event_id for r in live.saved(spark, str(tmp_path / "out")).collect()}
+    assert got == {0: 0, 1: 51, 2: 52} and (tmp_path / "out" / "base=5").exists()
+
+
+def test_merged_styles(spark):
+    """Given styles win over default ones, field by field."""
+    rows = spark.createDataFrame([(("serif", None),), ((None, 30),)], "styles struct<font string, size int>")
+    got = rows.select(stores.merged_styles(F.col("styles"), {"font": "sans", "size": 42}).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [("serif", 42), ("sans", 30)]
