@@ -56,13 +56,6 @@ def discard(df: DataFrame) -> None:
     STAGED[:] = [x for x in STAGED if x is not df]
 
 
-def discard_since(mark: int, keep: DataFrame | None = None) -> None:
-    """Delete the tables staged after ``STAGED`` had ``mark`` of them, but for ``keep``: what was made of them has been written."""
-    for df in STAGED[mark:]:
-        if df is not keep:
-            discard(df)
-
-
 def sliced(parts, text: int, size: int = 4 << 20, rows: int = 2000):
     """A task's Arrow batches in slices of at most ``size`` bytes of the column ``text`` (strings or lists; or one row) and ``rows`` rows."""
     for b in parts:
