@@ -68,7 +68,7 @@ def as_captions(rows: DataFrame) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``conversations``, one project a conversation."""
     told = table(spark, sf_dir, "conversations")
-    joined = told.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    joined = told.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     return timed_words(joined, F.col("conv_id"))
 
 

@@ -38,7 +38,7 @@ def caption_text(word: Column | str, pos: Column | str) -> Column:
 
 def ordered_text(value: Column | str, order: Column | str, sep: str = " ") -> Column:
     """Aggregate: the values of a group in order, joined."""
-    rows = F.array_sort(F.collect_list(F.struct(_col(order).alias("o"), _col(value).alias("v"))))
+    rows = F.sort_array(F.collect_list(F.struct(_col(order).alias("o"), _col(value).alias("v"))))
     return F.array_join(F.transform(rows, lambda x: x["v"]), sep)
 
 
@@ -57,7 +57,10 @@ _ACCENTED, _PLAIN = _accents()
 
 def normalized(word: Column | str) -> Column:
     """Lower case, accents dropped, only a-z and 0-9 left."""
-    return F.regexp_replace(F.translate(F.lower(_col(word)), _ACCENTED, _PLAIN), "[^a-z0-9]", "")
+    low = F.lower(_col(word))
+    # ASCII words, which have as many bytes as characters, need no look into the table of accents
+    bare = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
+    return F.regexp_replace(bare, "[^a-z0-9]", "")
 
 
 def is_similar(a: Column | str, b: Column | str) -> Column:

@@ -30,6 +30,10 @@ def _walked(ins: Column, outs: Column) -> Column:
         """How far ahead of a place the word is, null beyond the look-ahead."""
         return F.coalesce(*[F.when(F.get(norms, at + j) == norm, j) for j in range(1, AHEAD + 1)])
 
+    def noted(s, place):
+        """The places so far as text, which a step copies as bytes; an array would be copied value by value."""
+        return F.concat(s["taken"], place, F.lit(",")).alias("taken")
+
     def over(a, b):
         def unequal(s, i):
             norm, here, o = F.get(a, i), F.get(b, s["o"]), s["o"]
@@ -40,23 +44,23 @@ def _walked(ins: Column, outs: Column) -> Column:
                 dropped = x["in"].isNotNull() & (x["out"].isNull() | (x["in"] <= x["out"]))
                 return F.when(here.isNull() | dropped, None).when(x["out"].isNotNull(), o + x["out"]).when(is_similar(norm, here), o)
 
-            return let(let(ahead, take), lambda t: F.struct(F.coalesce(t + 1, o).alias("o"), F.concat(s["taken"], F.array(t)).alias("taken")))
+            return let(let(ahead, take), lambda t: F.struct(F.coalesce(t + 1, o).alias("o"), noted(s, F.coalesce(t.cast("string"), F.lit("")))))
 
         def walk(s, i):
-            equal = F.struct((s["o"] + 1).alias("o"), F.concat(s["taken"], F.array(s["o"])).alias("taken"))
+            equal = F.struct((s["o"] + 1).alias("o"), noted(s, s["o"].cast("string")))
             return F.when(F.get(a, i) == F.get(b, s["o"]), equal).otherwise(unequal(s, i))
 
-        zero = F.struct(F.lit(0).alias("o"), F.array().cast("array<int>").alias("taken"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), zero, walk, lambda s: s["taken"])
+        zero = F.struct(F.lit(0).alias("o"), F.lit("").alias("taken"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), zero, walk, lambda s: F.transform(F.split(s["taken"], ","), lambda t: F.when(t != "", t.cast("int"))))
 
     return let(F.struct(ins["_norm"].alias("a"), outs["_norm"].alias("b")), lambda n: over(n["a"], n["b"]))
 
 
 def _fitted(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], places) -> DataFrame:
     """(by, row_no, keep, word, matched): rows with the answers at ``places(ins, outs)``; both sides are grouped by chunk once."""
-    norm = normalized("word").alias("_norm")
-    given = rows.groupBy(*by).agg(in_order(*keep, "word", norm, order="row_no").alias("_ins"))
-    found = answers.groupBy(*by).agg(in_order("word", norm, order="row_no").alias("_outs"))
+    # worked out below the grouping, where Spark generates code for it
+    given = rows.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order(*keep, "word", "_norm", order="row_no").alias("_ins"))
+    found = answers.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order("word", "_norm", order="row_no").alias("_outs"))
     chunks = given.join(found, list(by), "left")
     chunks = chunks.withColumn("_outs", F.coalesce("_outs", F.array().cast(chunks.schema["_outs"].dataType)))
     out = chunks.withColumn("_taken", places(F.col("_ins"), F.col("_outs"))).select(*by, F.posexplode("_ins").alias("_i", "_x"), "_outs", "_taken")

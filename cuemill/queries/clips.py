@@ -123,7 +123,7 @@ def e02_clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each clip's captions in the order of their starts, as one text."""
     words = A.words(spark, sf_dir)
     shown = C.clip_captions(A.as_captions(words), A.clips_of(words), FPS, edited=False)
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", "pos", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("start_ms", "pos", "text")))
     return shown.groupBy("project_id", "clip_no").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("text"), F.count(F.lit(1)).alias("n"))
 
 

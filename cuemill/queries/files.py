@@ -19,7 +19,7 @@ from cuemill.sources import archives, cliptext, stores, transcripts
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, project): a document for each conversation, with its words."""
     words = A.turns(spark, sf_dir)
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.struct("word", F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs")).alias("w"))))
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.struct("word", F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs")).alias("w"))))
     docs = words.groupBy("project_id").agg(F.transform(rows, lambda x: x["w"]).alias("words"))
     n = F.col("project_id")
     video = F.when(n % 2 == 0, F.concat(F.lit("/media/"), n, F.lit(".mp4"))).otherwise(F.concat(F.lit("/projects/clips/"), n, F.lit(".mp4")))
@@ -95,10 +95,10 @@ def _asr(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), "word").alias("word"), F.when(blank, none).otherwise(F.col("start_ms") / 1000).alias("start"), F.when(blank, none).otherwise(F.col("end_ms") / 1000).alias("end"),
         F.lit(0.5).alias("score"),
     )
-    segs = rows.groupBy("project_id", "seg").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
+    segs = rows.groupBy("project_id", "seg").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws"))
     words = F.when(F.col("seg") % 5 == 4, F.array().cast(ASR["segments"].dataType.elementType["words"].dataType)).otherwise(F.transform("ws", lambda x: x["w"]))
     seg = F.struct((F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end"), F.lit("").alias("text"), words.alias("words"))
-    docs = segs.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", seg.alias("x")))), lambda r: r["x"]).alias("segments"))
+    docs = segs.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg", seg.alias("x")))), lambda r: r["x"]).alias("segments"))
     return docs.select("project_id", F.to_json(F.struct("segments")).alias("json"))
 
 
@@ -135,7 +135,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text.when(pos == 7, F.concat(F.substring_index(line, "\t", 1), tab, F.lit(" "))).when(pos == 8, F.concat(tab, word)).when(pos == 9, word)
     text = text.when(pos == 10, F.concat(line, tab, F.lit("x"))).when(pos == 11, F.concat(F.lit("1:2:3:4\t"), word)).otherwise(line)
     rows = A.turns(spark, sf_dir).withColumn("line", text)
-    return rows.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("tsv"))
+    return rows.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("tsv"))
 
 
 @query(
@@ -165,7 +165,7 @@ def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = body.when(at == 2, F.format_string("Subtitle: %s \nSegment 1: %s → %s", "title", start, end)).when(at == 3, F.format_string("Title: bad\nStart: %s\nEnd: %s", end, start))
     body = body.when(at == 4, F.format_string("title: both\nCut 1: %s – %s\nStart: %s\nEnd: %s", end, start, start, end)).otherwise(F.format_string("Hook: only\nStart: %s\nEnd: 1:2:3:4:5", start))
     made = rows.withColumn("b", F.concat(head, body))
-    texts = made.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "\n\n").alias("clip_text"))
+    texts = made.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "\n\n").alias("clip_text"))
     return texts.withColumn("clip_text", F.when(F.col("project_id") % 4 == 0, F.concat(F.lit("Title: before\nStart: 0:01\nEnd: 0:02\n"), "clip_text")).otherwise(F.col("clip_text")))
 
 

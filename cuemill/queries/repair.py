@@ -31,7 +31,7 @@ def d06_restored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("row_no", "word")))
     return rows.groupBy("project_id", "chunk_no").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
@@ -55,7 +55,7 @@ _WALK["fitted"] = """SELECT project_id, chunk_no, CAST(generate_subscripts(words
 def g03_repaired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy walk (G03, D07); one row a chunk, with all its words."""
     rows = R.repaired(*_chunks(spark, sf_dir))
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("row_no", "word")))
     return rows.groupBy("project_id", "chunk_no").agg(
         F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("matched"), F.sum("start_ms").alias("start_sum")
     )
@@ -90,7 +90,7 @@ def e06_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _texted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.chunked(spark, sf_dir)
-    ordered = F.array_sort(F.collect_list(F.struct("row_no", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("row_no", "word")))
     return rows.groupBy("project_id", "chunk_no").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), "\n").alias("chunk_text"))
 
 
@@ -152,7 +152,7 @@ def p02_corrected_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole plan: chunks, answers, repair, stitching, ends (F09, D06, G03, F10, F01); one row a project."""
     words = A.words(spark, sf_dir)
     rows = correct(words, A.answers_of(O.chunk_rows(words)))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "word")))
     return rows.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"), F.sum("start_ms").alias("start_sum"), F.max_by("end_ms", "pos").alias("last_end")
     )

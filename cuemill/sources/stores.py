@@ -24,7 +24,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_text(entries: DataFrame, order: str = "rank") -> DataFrame:
     """(value): one row with the JSON text of a registry, which has 20 entries at most."""
-    rows = F.array_sort(F.collect_list(F.struct(order, F.struct(*REGISTRY.fieldNames()).alias("e"))))
+    rows = F.sort_array(F.collect_list(F.struct(order, F.struct(*REGISTRY.fieldNames()).alias("e"))))
     return entries.agg(F.to_json(F.transform(rows, lambda x: x["e"])).alias("value"))
 
 
