@@ -9,7 +9,7 @@ import pytest
 from compare import difference
 from fixtures import documents
 
-from cuemill.llm import queries
+from cuemill.llm import queries, similar
 from cuemill.llm.common import STAGED, staged
 
 
@@ -46,8 +46,10 @@ def test_stages_on_odd_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
 
 
-def test_near_stage_drops_similar_texts(spark, sf):
-    """A near copy goes from a five-word similarity of 0.8 on, by all pairs; others stay."""
+@pytest.mark.parametrize("members", [similar.MEMBERS, 5, 2])
+def test_near_stage_drops_similar_texts(spark, sf, monkeypatch, members):
+    """A near copy goes from a five-word similarity of 0.8 on, by all pairs; others stay.  Buckets that are dealt to chunks give the same."""
+    monkeypatch.setattr(similar, "MEMBERS", members)
     rng = random.Random(3)
     text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     rows = []
@@ -59,6 +61,12 @@ def test_near_stage_drops_similar_texts(spark, sf):
             for k in rng.sample(range(120), edits):
                 near[k] = f"e{rng.randrange(5000)}"
             rows.append(near)
+    # a chain, whose ends are unlike: what a bucket's chunk can't tie to its pivot has to meet the other chunks
+    link = text(120)
+    for _ in range(80):
+        link = list(link)
+        link[rng.randrange(120)] = f"c{rng.randrange(5000)}"
+        rows.append(link)
     sets = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in rows]
     root = list(range(len(rows)))
 
