@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +15,41 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Tables that were staged and not deleted yet, in order.
-STAGED: list[DataFrame] = []
+class Scratch:
+    """Owns the tables that :func:`staged` writes while it is the current one (``with Scratch() as s``).
+
+    Leaving the block ends that, but deletes nothing, as results are lazy:
+    :meth:`close` does, once what reads the tables is written.  Each thread has a
+    current one of its own.  Tables staged outside any block belong to
+    :data:`SESSION`: those of queries and stages that are called alone, until
+    ``SESSION.close()``.
+    """
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        self._before = _CURRENT.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _CURRENT.reset(self._before)
+
+    def give(self) -> None:
+        """Hand all tables to the scratch that is current here."""
+        to = _CURRENT.get()
+        for df in self.tables:
+            df._cuemill_owner = to
+        to.tables += self.tables
+        self.tables = []
+
+    def close(self) -> None:
+        while self.tables:
+            discard(self.tables[-1])
+
+
+SESSION = Scratch()
+_CURRENT: ContextVar[Scratch] = ContextVar("scratch", default=SESSION)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,17 +77,23 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cuemill_path = path
-    STAGED.append(out)
+    out._cuemill_path, out._cuemill_owner = path, _CURRENT.get()
+    out._cuemill_owner.tables.append(out)
     return out
 
 
+def _folder(df: DataFrame):
+    """The folder of a :func:`staged` table, and its file system."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cuemill_path)
+    return path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a :func:`staged` table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._cuemill_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    STAGED[:] = [x for x in STAGED if x is not df]
+    path, fs = _folder(df)
+    fs.delete(path, True)
+    owned = df._cuemill_owner.tables
+    owned[:] = [x for x in owned if x is not df]
 
 
 def sliced(parts, text: int, size: int = 4 << 20, rows: int = 2000):
@@ -85,14 +125,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_small(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Join that broadcasts ``right`` only if a count finds at most ``max_rows`` narrow rows in it.
+#: Bytes of files, and rows, up to which a staged table is broadcast.
+SMALL_BYTES, SMALL_ROWS = 8 << 20, 1_000_000
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a :func:`staged` table may be broadcast: few bytes in its files, which are listed and not read, and few rows, which Parquet's footers count."""
+    path, fs = _folder(df)
+    return fs.getContentSummary(path).getLength() <= SMALL_BYTES and df.count() <= SMALL_ROWS
+
+
+def with_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join that broadcasts ``right``, a :func:`staged` table, only if it is found to be :func:`small`.
 
     Beyond that Spark shuffles both sides; its adaptive execution then splits skewed keys.
-    ``right`` should be a staged or otherwise cheap table, since it is counted.
     """
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
 def salt_of(col: Column, salts: int) -> Column:

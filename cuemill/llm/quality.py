@@ -148,20 +148,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_poor(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs``, all rows and columns, without those that fail the base rules or whose host is rejected.
 
-    Texts are judged once: a staged table holds the rows that pass and, of the
-    others, the host and the rules alone.  Null and empty texts go; a null host
-    is a host; rows that repeat are judged alike; the columns keep their names
-    and values, whatever they are; an empty table gives no rows.
+    Texts are judged once for the hosts' sums and once more for the rows
+    themselves, so that no copy of the texts is kept.  Null and empty texts go;
+    a null host is a host; rows that repeat are judged alike; the columns keep
+    their names and values, whatever they are; an empty table gives no rows.
     """
-    (name,) = free_names(docs, "base")
-    rules = host_rules(F.col(name))
-    judged = docs.withColumn(name, base_rules(docs[text_col]))
-    row = F.when(~F.col(name)["base_failed"], F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = judged.select(row.alias("row"), F.col(f"`{host_col}`").alias("host"), *[c.alias(f"r_{k}") for k, c in rules.items()])
-    judged = staged(judged, "judged")
-    flags = judged.select("host", *[F.col(f"r_{k}").alias(k) for k in rules])
-    bad = host_verdicts(flags, list(rules)).where("host_rejected").select(F.col("host").alias("_host"))
-    good = judged.where("row is not null")
+    host, base = free_names(docs, "host", "base")
+    rules = host_rules(F.col("b"))
+    flags = docs.select(F.col(host_col).alias("host"), base_rules(F.col(text_col)).alias("b")).select("host", *[c.alias(k) for k, c in rules.items()])
+    bad = host_verdicts(flags, list(rules)).where("host_rejected").select(F.col("host").alias(host))
+    good = docs.withColumn(base, base_rules(F.col(text_col))["base_failed"]).where(~F.col(base)).drop(base)
     if not bad.isEmpty():
-        good = good.join(_few(bad), F.col("host").eqNullSafe(F.col("_host")), "left_anti")
-    return good.select("row.*")
+        good = good.join(_few(bad), good[host_col].eqNullSafe(F.col(host)), "left_anti")
+    return good

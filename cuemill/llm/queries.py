@@ -13,9 +13,12 @@ from cuemill.llm.lm import score_documents
 from cuemill.llm.packing import pack_documents
 from cuemill.llm.pieces import decode_documents, encode_documents
 from cuemill.llm.quality import judge_quality
+from cuemill.llm.repair import damaged, repair_conversations
 from cuemill.llm.repeats import repeated_spans
 from cuemill.llm.simhash import near_groups
 from cuemill.llm.urls import judge_urls
+from cuemill.llm.vectors import near_vectors
+from cuemill.llm.whitening import whiten
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,6 +87,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, those of which the damage leaves no turn included."""
+    convs = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair_conversations(damaged(convs), copies_col="copies").withColumnRenamed("conv_id", "_conv")
+    ids = convs.select("conv_id").distinct()
+    rows = ids.join(done, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +118,9 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_sentencepiece,
         op10_lm_scoring,
+        op11_embedding_near_dedup,
+        op12_embedding_whitening,
+        op13_conversation_repair,
     )
 }
 
