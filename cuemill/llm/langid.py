@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from cuemill.llm.common import sliced
 
-#: The bounded sample that the field is fitted on: rows for each language, and characters of each that are learned from.
+#: The bounded sample that the field is fitted on: rows for each language, and characters up to which a text is drawn before longer ones.
 SAMPLE_ROWS, SAMPLE_CHARS = 60, 20_000
 #: Hash buckets of each n-gram size; sizes; lexicon words for each language; steps and rate of the fit; ridge penalty.
 BUCKETS, SIZES, LEXICON, STEPS, RATE, RIDGE = 1 << 14, (1, 2, 3, 4), 300, 30, 0.15, 1e-3
@@ -207,13 +207,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A field fitted on at most ``rows`` documents of each language, drawn by a hash of the id from those not held out.
 
     The draw looks at all documents and keeps the first of each language in every
-    task before it shuffles ids; only the drawn texts come to the driver, of each
-    at most ``chars`` characters.  None if no document can be learned from.
+    task before it shuffles ids; texts of over ``chars`` characters are drawn only
+    where a language has too few others.  The drawn rows' whole texts come to the
+    driver.  None if no document can be learned from.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    drawn = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("n", rank).where(F.col("n") <= rows).select("id").distinct()
-    sample = known.join(F.broadcast(drawn), known[id_col] == drawn["id"], "left_semi").select(F.substring(text_col, 1, chars).alias("t"), F.col(lang_col).alias("k")).collect()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id"))
+    drawn = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), (F.length(text_col) > chars).alias("long")).withColumn("n", rank).where(F.col("n") <= rows).select("id").distinct()
+    sample = known.join(F.broadcast(drawn), known[id_col] == drawn["id"], "left_semi").select(F.col(text_col).alias("t"), F.col(lang_col).alias("k")).collect()
     pairs = sorted((r["t"].encode(), r["k"]) for r in sample)
     return fit_field(pairs) if pairs else None
 

@@ -78,6 +78,22 @@ class Block:
         return n[at]
 
 
+def matched(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, target, background), of whose larger side documents are drawn, by a hash of id and text, to about the tokens of the smaller.
+
+    Models of one size are smoothed alike, so that their difference holds no
+    trace of it.  The draw's share is made of sums over all documents.
+    """
+    tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
+    sides = ("target", "background")
+    sums = rows.select(*sides, tokens.alias("n")).agg(*[F.sum(F.when(F.col(s), F.col("n"))).alias(s) for s in sides]).first()
+    least = min(sums[s] or 0 for s in sides)
+    if not least:
+        return rows
+    place = F.pmod(F.xxhash64(F.lit("drawn"), "id", "text"), F.lit(1 << 30)) / (1 << 30)
+    return rows.withColumns({s: F.col(s) & (place < least / sums[s]) for s in sides})
+
+
 def vocabulary(docs: DataFrame) -> tuple[int, int, int, int]:
     """Of (text, target, background): different words and the edge, tokens of target and background, bytes of text."""
 
@@ -149,9 +165,9 @@ def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame |
     """(id, n_tokens long, score double) for every row: the mean over its tokens (the end of the text is one) of the target's less the background's loss.
 
     The target model counts the documents whose ids are in ``targets``, the
-    background model those in ``background``, or all others if that is not
-    given; documents in neither are only scored.  Low scores are like the
-    target.  Both models are bigrams over every word that occurs, smoothed by a
+    background model those in ``background``, or others if that is not given;
+    the models are :func:`matched` in size.  Documents in neither are only
+    scored.  Low scores are like the target.  Both models are bigrams over every word that occurs, smoothed by a
     Dirichlet prior with add-one unigrams over the shared vocabulary.  A text is
     judged without its own tokens: they are taken from the counts of the model
     that it is in, so that nothing scores well for having been counted.
@@ -161,20 +177,20 @@ def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame |
     cell's hash; the bucket sums and answers every block; the answers meet the
     block's texts.  Buckets get hashes of different cells, so no word is hot.
     Cells are told apart by 48 bits and the bucket: n different ones make about
-    n^2 / (2^49 * buckets) chance pairs.  The driver gets four sums.
+    n^2 / (2^49 * buckets) chance pairs.  The driver gets six sums.
 
     Null and empty texts have the end alone; rows that repeat count and are
     scored each; null ids are not targets; an empty table gives no rows; other
     columns are ignored.  A text longer than a block is a block by itself.
     """
-    ids = lambda df, name: staged(df.select(F.col(id_col).alias("id")).where("id is not null").distinct(), name).withColumn(f"in_{name}", F.lit(True))
+    ids = lambda df, name: staged(df.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn(f"in_{name}", F.lit(True)), name)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = with_small(rows, ids(targets, "targets"), ["id"], "left").withColumn("target", F.coalesce("in_targets", F.lit(False)))
     if background is None:
         rows = rows.withColumn("background", ~F.col("target"))
     else:
         rows = with_small(rows, ids(background, "others"), ["id"], "left").withColumn("background", F.coalesce("in_others", F.lit(False)))
-    rows = rows.select("id", "text", "target", "background")
+    rows = matched(rows.select("id", "text", "target", "background"))
     wide, n_target, n_background, size = vocabulary(rows)
     blocks = max(1, -(-size // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")

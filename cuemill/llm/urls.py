@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -13,42 +11,37 @@ from pyspark.sql import functions as F
 #: Rules (verdict, host and path) of the registered query.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-#: The labelled table that the classifier is trained from when the caller gives none; fixed values, every fourth host of a verdict held out.
-#: Each host stands with every domain and path, so that these say nothing unless a whole URL below does.
-LABELLED_HOSTS = {
+#: The words that the labelled table is made of, by verdict and theme; fixed values.  A table of hosts, paths and whole URLs comes of them by rule.
+THEMES = {
     "allow": """
-        library museum university city-hospital daily-herald morning-news weather-service gardening kitchen-recipes chemistry astronomy
-        history-society national-archive public-radio orchestra theatre cinema-review bookshop poetry football-club cycling hiking-trails
-        railway-timetable airport travel-guide hotel-reviews cartography geology biology physics-forum mathematics linguistics dictionary
-        encyclopedia parliament city-council tax-office post-office fire-brigade police-station courthouse school-district kindergarten
-        programming-blog open-source software-docs linux-users python-tutorial database-journal network-engineering electronics carpentry
-        knitting pottery photography painting sculpture architecture urban-planning farmers-market bakery coffee-roasters tea-house vineyard
-        veterinary dental-clinic nursing medicine-today public-health nutrition psychology philosophy theology genealogy birdwatching
-        aquarium botanical-garden zoo forest-service ocean-research climate-data energy-agency engineering steel-works shipyard insurance
-        savings-bank accounting stock-report economics job-centre student-union alumni scholarship charity volunteers red-lantern
-        neighbours chess-club board-games puzzle-page crossword music-school choir jazz-festival dance-studio fashion-history furniture
-        bicycle-repair car-maintenance motor-museum science-daily spaceflight telescope mountain-rescue lighthouse harbour fishing-village
+        museum history archive gallery painting sculpture heritage exhibition curator collection
+        garden kitchen recipes bakery vineyard farmers harvest pottery knitting carpentry
+        university school chemistry astronomy physics biology geology mathematics lecture faculty
+        weather climate forest ocean mountain river harbour lighthouse aquarium birdwatching
+        library bookshop poetry dictionary encyclopedia linguistics philosophy genealogy reading author
+        council parliament tax-office post-office courthouse fire-brigade police transport railway airport
+        programming software database network electronics tutorial documentation compiler notebook forum
+        hospital medicine nursing dental veterinary nutrition psychology health clinic therapy
+        orchestra theatre cinema festival jazz choir concert photography architecture fashion
+        football cycling hiking chess puzzle crossword travel hotel newspaper journal
     """,
     "block": """
-        casino royal-casino casino-bonus online-casino poker-room video-poker slots-jackpot mega-slots roulette-spin blackjack-win bet-now
-        sports-betting gambling-tips gamble-online lottery-winner lotto-cash jackpot-city bingo-bonus porn free-porn porn-videos xxx-movies
-        xxx-cams sex-chat sexy-girls hot-sex nude-girls naked-cams webcam-girls live-sex-cams adult-videos adult-dating escort-service
-        escorts-city hookup-tonight hot-milfs dating-singles meet-singles viagra buy-viagra cheap-cialis viagra-pills pills-discount
-        online-pharmacy-cheap no-prescription-meds diet-pills weight-loss-miracle steroids-shop replica-watches fake-rolex cheap-handbags
-        replica-bags fake-passports buy-followers cheap-likes payday-loans fast-payday-loan instant-cash easy-cash-now quick-loans
-        bad-credit-loans forex-millionaire crypto-doubler bitcoin-giveaway get-rich-quick make-money-fast free-money prize-claim claim-your-prize
-        free-iphone-winner gift-card-free survey-rewards phishing-login secure-login-verify account-verify bank-login-confirm paypal-verify
-        password-reset-alert trojan-download malware-exe virus-exe free-exe-download keygen-crack cracked-software serial-keys warez-download
-        torrent-movies pirate-torrents spam-mailer bulk-mails link-farm seo-backlinks buy-backlinks content-spinner doorway-pages popup-ads
-        ad-tracker tracking-pixels click-fraud pay-per-click ads-redirect spyware-toolbar fake-antivirus miracle-cure
+        casino poker roulette blackjack slots jackpot betting gambling lottery bingo
+        porn xxx sex nude naked webcam-girls escort milf hookup adult-videos
+        viagra cialis pills no-prescription steroids diet-pills painkillers xanax valium tramadol
+        payday-loan quick-cash easy-money bad-credit get-rich crypto-doubler bitcoin-giveaway forex-profit millionaire instant-loan
+        replica-watches fake-rolex fake-passport counterfeit replica-bags designer-fakes fake-diploma fake-id cheap-rolex knockoff
+        phishing verify-account login-confirm password-reset paypal-verify bank-alert prize-claim gift-card-free winner-survey free-iphone
+        keygen crack warez serial-keys torrent-pirate cracked-exe virus trojan malware spyware
+        spam-mailer backlinks buy-followers cheap-likes link-farm popup-ads click-fraud tracking-pixel ad-tracker doorway
     """,
 }
+#: Syllables of hosts that say nothing, which are allowed; and what surrounds hosts and names no theme.
+SYLLABLES = "ba den fi gor ha ing ka lo men ni or pel qui ra sto tha un ver wol zet".split()
+PREFIXES, DOMAINS = ("", "www.", "m.", "blog."), (".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net", ".co.uk")
+PLAIN_PATHS = ("", "/", "/index.html", "/en/4033.html", "/news/2019/07/article-31", "/p/48213", "/de/7817", "/fr/2106/page-2")
+#: One host in so many is held out.
 HELD_OUT = 4
-LABELLED_DOMAINS, LABELLED_PATHS = (".com", ".org", ".net", ".info", ".co.uk"), ("/", "/index.html", "/news/2019/07/article-31", "/p/48213", "/shop/item.php")
-LABELLED_URLS = {
-    "allow": "https://www.site.com/guide/intro https://m.pages.org/wiki/history https://blog.home.net/posts/soup-recipe",
-    "block": "http://www.site.com/casino/bonus http://m.pages.org/viagra/cheap http://blog.home.net/porn/xxx",
-}
 #: Hash buckets; n-gram sizes; ridge penalty; rows that a labelled table may have.
 BUCKETS, GRAMS, PENALTY, MAX_LABELLED = 1 << 13, (3, 4), 0.002, 100_000
 
@@ -93,17 +86,38 @@ def _features(df: DataFrame) -> DataFrame:
     return hashed.transform(df.withColumn("_grams", _grams(F.col("host"), F.col("path")))).drop("_grams")
 
 
-def default_labels(spark: SparkSession, held_out: bool = False) -> DataFrame:
-    """The labelled table above as (url, verdict): what is trained from, or the hosts held out."""
-    literals = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+def _hosts(verdict: str) -> list[tuple[str, list[str]]]:
+    """Hosts of a verdict, each with the words of its theme: single words and pairs of neighbours at three distances."""
     out = []
-    for verdict, hosts in LABELLED_HOSTS.items():
-        grid = spark.range(1).select(literals([h for i, h in enumerate(hosts.split()) if (i % HELD_OUT == HELD_OUT - 1) == held_out]).alias("h")).select("h", literals(LABELLED_DOMAINS).alias("d")).select("h", "d", literals(LABELLED_PATHS).alias("p"))
-        rows = [grid.select(F.concat(F.lit("http://"), "h", "d", "p").alias("url"))]
-        if not held_out:
-            rows.append(spark.range(1).select(literals(LABELLED_URLS[verdict].split()).alias("url")))
-        out += [x.withColumn("verdict", F.lit(verdict)) for x in rows]
-    return reduce(DataFrame.unionByName, out)
+    for line in THEMES[verdict].split("\n"):
+        words = line.split()
+        for i, w in enumerate(words):
+            out += [(w, words), *((f"{w}{'-' if k < 3 else ''}{words[(i + k) % len(words)]}", words) for k in (1, 2, 3))]
+    return out
+
+
+def default_labels(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The labelled table as (url, verdict): what is trained from, or the URLs of the hosts held out.
+
+    A host of either verdict stands with plain paths and with paths of its theme.
+    A path of a blocked theme on an allowed host is blocked, as is any path on a
+    blocked host.  Hosts of mere syllables are allowed.
+    """
+    rows, bad = [], [w for line in THEMES["block"].split("\n") for w in line.split()]
+    url = lambda i, host, path: f"http{'s' * (i % 2)}://{PREFIXES[i % 4]}{host}{DOMAINS[i // 3 % 8]}{path}"
+    themed = lambda i, words: (f"/{words[i % len(words)]}/{words[(i + 3) % len(words)]}-{i}", f"/en/{words[(i + 5) % len(words)]}.html")
+    for verdict in THEMES:
+        for i, (host, words) in enumerate(_hosts(verdict)):
+            if ((i + i // 4) % HELD_OUT == 0) == held_out:  # a word's four hosts take turns
+                rows += [(url(i + k, host, path), verdict) for k, path in enumerate((PLAIN_PATHS[i % 8], PLAIN_PATHS[(i + 3) % 8], *themed(i, words)))]
+                if verdict == "allow":
+                    rows.append((url(i, host, themed(i * 7, bad)[i % 2]), "block"))
+    n = len(SYLLABLES)
+    for i in range(n * n):
+        host = SYLLABLES[i % n] + SYLLABLES[i // n] + SYLLABLES[i * 7 % n] * (i % 3 > 0)
+        if (i % HELD_OUT == HELD_OUT - 1) == held_out:
+            rows += [(url(i + k, host, PLAIN_PATHS[(i + 3 * k) % 8]), "allow") for k in range(2)]
+    return spark.createDataFrame(rows, "url string, verdict string")
 
 
 def train(labelled: DataFrame):

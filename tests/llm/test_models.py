@@ -76,27 +76,37 @@ def test_no_labels(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(docs, None).collect()] == [("und", 0.0)]
 
 
-def plain_scores(rows, is_target, is_background, prior=lm.PRIOR):
+def in_models(spark, rows, good, rest=None):
+    """Of each row, whether it is in the target's and in the background's model once they are matched; the sizes must be."""
+    table = spark.createDataFrame([(k, i, t, i in good, i not in good if rest is None else i in rest) for k, (i, t) in enumerate(rows)], "k int, id long, text string, target boolean, background boolean")
+    told = sorted(lm.matched(table).collect())
+    size = [[len((r.text or "").encode().split()) + 1 for r in told if r[3 + side]] for side in (0, 1)]
+    if all(size):
+        assert abs(sum(size[0]) - sum(size[1])) <= 4 * math.sqrt(sum(n * n for s in size for n in s))
+    smaller = min((0, 1), key=lambda s: sum(len((t or "").encode().split()) + 1 for i, t in rows if (i in good) == (s == 0)) if rest is None else 0)
+    assert rest is not None or sum(r[3 + smaller] for r in told) == sum((i in good) == (smaller == 0) for i, _ in rows)  # nothing of the smaller goes
+    return [tuple(r[3:]) for r in told]
+
+
+def plain_scores(rows, flags, prior=lm.PRIOR):
     """(id, tokens, score) of each row, all in plain Python."""
     seqs = [["<", *(t or "").encode().lower().split(), "<"] for _, t in rows]
-    known = set().union(*(s for s, (i, _) in zip(seqs, rows, strict=True) if is_target(i) or is_background(i)))
     wide = len({w for s in seqs for w in s})
-    assert known <= {w for s in seqs for w in s}
 
-    def model(own):
+    def model(side):
         pairs, words = Counter(), Counter()
-        for s, (i, _) in zip(seqs, rows, strict=True):
-            if own(i):
+        for s, f in zip(seqs, flags, strict=True):
+            if f[side]:
                 pairs.update(itertools.pairwise(s))
                 words.update(s[1:])
         return pairs, words
 
-    models = [(model(f), f) for f in (is_target, is_background)]
+    models = [model(side) for side in (0, 1)]
     out = []
-    for s, (i, _) in zip(seqs, rows, strict=True):
+    for s, (i, _), own in zip(seqs, rows, flags, strict=True):
         loss = []
-        for (pairs, words), f in models:
-            p, w = (pairs - Counter(itertools.pairwise(s)), words - Counter(s[1:])) if f(i) else (pairs, words)
+        for (pairs, words), f in zip(models, own, strict=True):
+            p, w = (pairs - Counter(itertools.pairwise(s)), words - Counter(s[1:])) if f else (pairs, words)
             total = sum(w.values())
             loss.append(-sum(math.log((p[a, b] + prior * (w[b] + 1) / (total + wide)) / (w[a] + prior)) for a, b in itertools.pairwise(s)))
         out.append((i, len(s) - 1, (loss[0] - loss[1]) / (len(s) - 1)))
@@ -119,9 +129,9 @@ def test_difference(spark, monkeypatch, block):
     table = lambda ids: spark.createDataFrame([(i, 7) for i in ids], "doc_id long, text long")
     got = lm.score_documents(docs, table([*good, 4, None, 999]))
     assert got.columns == ["doc_id", "n_tokens", "score"]
-    same_scores(got.collect(), plain_scores(rows, lambda i: i in good, lambda i: i not in good))
+    same_scores(got.collect(), plain_scores(rows, in_models(spark, rows, good)))
     got = lm.score_documents(docs, table(good), table(rest)).collect()
-    same_scores(got, plain_scores(rows, lambda i: i in good, lambda i: i in rest))
+    same_scores(got, plain_scores(rows, in_models(spark, rows, good, rest)))
 
 
 def test_difference_of_rare_words(spark):
@@ -136,7 +146,7 @@ def test_difference_of_rare_words(spark):
 def test_difference_of_driver_tables(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    same_scores(queries.op10_lm_scoring(spark, sf).collect(), plain_scores(rows, lambda i: i in good, lambda i: i not in good))
+    same_scores(queries.op10_lm_scoring(spark, sf).collect(), plain_scores(rows, in_models(spark, rows, good)))
 
 
 def test_empty(spark):
