@@ -39,11 +39,12 @@ THEMES = {
 #: Syllables of hosts that say nothing, which are allowed; and what surrounds hosts and names no theme.
 SYLLABLES = "ba den fi gor ha ing ka lo men ni or pel qui ra sto tha un ver wol zet".split()
 PREFIXES, DOMAINS = ("", "www.", "m.", "blog."), (".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net", ".co.uk")
-PLAIN_PATHS = ("", "/", "/index.html", "/en/4033.html", "/news/2019/07/article-31", "/p/48213", "/de/7817", "/fr/2106/page-2")
+PLAIN_PATHS = ("", "/", "/index.html", "/{n}.html", "/news/2019/07/article-{n}", "/p/{n}", "/{n}", "/{n}/page-2")
+FOLDERS = ("", "/en", "/de", "/fr", "/es", "", "/blog")
 #: One host in so many is held out.
 HELD_OUT = 4
 #: Hash buckets; n-gram sizes; ridge penalty; rows that a labelled table may have.
-BUCKETS, GRAMS, PENALTY, MAX_LABELLED = 1 << 13, (3, 4), 0.002, 100_000
+BUCKETS, GRAMS, PENALTY, MAX_LABELLED = 1 << 13, (3, 4), 0.0003, 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -105,18 +106,19 @@ def default_labels(spark: SparkSession, held_out: bool = False) -> DataFrame:
     """
     rows, bad = [], [w for line in THEMES["block"].split("\n") for w in line.split()]
     url = lambda i, host, path: f"http{'s' * (i % 2)}://{PREFIXES[i % 4]}{host}{DOMAINS[i // 3 % 8]}{path}"
-    themed = lambda i, words: (f"/{words[i % len(words)]}/{words[(i + 3) % len(words)]}-{i}", f"/en/{words[(i + 5) % len(words)]}.html")
+    plain = lambda i: FOLDERS[i % 7] + PLAIN_PATHS[i // 7 % 8].format(n=i * 37 % 9973)
+    themed = lambda i, words: (f"{FOLDERS[i % 7]}/{words[i % len(words)]}/{words[(i + 3) % len(words)]}-{i}", f"{FOLDERS[(i + 1) % 7]}/{words[(i + 5) % len(words)]}.html")
     for verdict in THEMES:
         for i, (host, words) in enumerate(_hosts(verdict)):
             if ((i + i // 4) % HELD_OUT == 0) == held_out:  # a word's four hosts take turns
-                rows += [(url(i + k, host, path), verdict) for k, path in enumerate((PLAIN_PATHS[i % 8], PLAIN_PATHS[(i + 3) % 8], *themed(i, words)))]
+                rows += [(url(i + k, host, path), verdict) for k, path in enumerate((plain(i), plain(i * 5 + 3), plain(i * 11 + 4), *themed(i, words)))]
                 if verdict == "allow":
-                    rows.append((url(i, host, themed(i * 7, bad)[i % 2]), "block"))
+                    rows += [(url(i + k, host, path), "block") for k, path in enumerate(themed(i * 3, bad))]
     n = len(SYLLABLES)
     for i in range(n * n):
         host = SYLLABLES[i % n] + SYLLABLES[i // n] + SYLLABLES[i * 7 % n] * (i % 3 > 0)
         if (i % HELD_OUT == HELD_OUT - 1) == held_out:
-            rows += [(url(i + k, host, PLAIN_PATHS[(i + 3 * k) % 8]), "allow") for k in range(2)]
+            rows += [(url(i + k, host, plain(i * 3 + k)), "allow") for k in range(3)]
     return spark.createDataFrame(rows, "url string, verdict string")
 
 
