@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuemill.queries import blocks, clips, files, repair, scalars, states, windows
+from cuemill.queries import blocks, clips, files, live, repair, scalars, states, windows
 from cuemill.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "blocks", "clips", "files", "repair", "scalars", "states", "windows"]
+__all__ = ["ORACLE_SQL", "QUERIES", "blocks", "clips", "files", "live", "repair", "scalars", "states", "windows"]

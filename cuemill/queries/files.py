@@ -10,9 +10,9 @@ from cuemill.functions.timecode import probed_duration_ms, probed_size
 from cuemill.operators import projects as P
 from cuemill.operators.ordered import recent
 from cuemill.queries.base import half_up, query, sql, stamp, to_ms, trim
-from cuemill.queries.states import _work
 from cuemill.queries.windows import TOP
 from cuemill.schema import ASR, PROJECT
+from cuemill.session import work_dir
 from cuemill.sources import archives, cliptext, stores, transcripts
 
 
@@ -55,7 +55,7 @@ def a02_archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("turn_words", f"SELECT project_id, n_words, text, last_end FROM ({_SAVED})"))
 def a01_read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives written to a folder and read from it; paths depend on the folder and are left out."""
-    folder = _work(spark, "archives")
+    folder = work_dir(spark, "archives")
     archives.write_archives(archives.archive_files(_projects(spark, sf_dir)), folder if "://" in folder else folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}")
     return _read_back(archives.read_archives(spark, folder)).drop("video_path")
 
@@ -82,7 +82,7 @@ def a03_registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'en' AS transcription_language, 23.976::DOUBLE AS fps, 4.0::DOUBLE AS outro_overlap_frames, false AS outro_enabled, 'prompt' AS correction_prompt")
 def a04_settings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse settings written, read, and filled up with defaults."""
-    path = _work(spark, "settings")
+    path = work_dir(spark, "settings")
     spark.createDataFrame([('{"transcription_language": "en", "outro_enabled": false, "correction_prompt": "prompt"}',)], "value string").write.text(path)
     return stores.effective_settings(stores.read_settings(spark, path)).select("transcription_language", "fps", "outro_overlap_frames", "outro_enabled", "correction_prompt")
 
@@ -201,7 +201,7 @@ def a12_tsv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("turn_words", f"SELECT project_id, pos, word, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY project_id ORDER BY pos), 0) AS end_ms FROM turn_words"))
 def a07_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TSV files, one a project, written and read again."""
-    folder = _work(spark, "tsv")
+    folder = work_dir(spark, "tsv")
     transcripts.write_tsv(A.turns(spark, sf_dir), folder, size=1_000_000)
     texts = spark.read.option("wholetext", "true").text(folder).select("project_id", F.col("value").alias("tsv"))
     rows = transcripts.parse_tsv(texts.select(F.col("project_id").cast("long").alias("project_id"), "tsv"), F.lit(0).cast("long"))
@@ -211,7 +211,7 @@ def a07_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT folder, count(*) AS n_files FROM (SELECT printf('project_id=%d', conv_id) AS folder FROM conversations GROUP BY conv_id) GROUP BY folder")
 def a15_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that a write left, by folder."""
-    folder = _work(spark, "listing")
+    folder = work_dir(spark, "listing")
     transcripts.tsv_texts(A.turns(spark, sf_dir)).repartition("project_id").write.partitionBy("project_id").text(folder)
     return stores.list_files(spark, folder, "*.txt").groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
 

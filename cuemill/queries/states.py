@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +14,22 @@ from cuemill.operators import projects as P
 from cuemill.operators import states as S
 from cuemill.queries.base import may_pass, query, sql, trim
 from cuemill.schema import GUARDS, TRANSITIONS
+from cuemill.session import work_dir
 from cuemill.sources.events import event_text, parse_events
 from cuemill.streaming import progress as live
 
 #: The state machine as a fold over a session's requests.
-_RUN = {
+RUN = {
     "asked": "SELECT session_id, list({'new': new_state, 'now': '', 'was': []::VARCHAR[]} ORDER BY ts, event_id) AS xs FROM requests GROUP BY session_id",
     "ran": f"""SELECT session_id, list_reduce(list_prepend({{'new': '', 'now': 'IDLE', 'was': []::VARCHAR[]}}, xs), lambda s, x:
         {{'new': x.new, 'now': CASE WHEN {may_pass('s.now', 'x.new')} THEN x.new ELSE s.now END, 'was': list_append(s.was, s.now)}}).was AS was, [x.new for x in xs] AS news FROM asked""",
     "steps": "SELECT session_id, CAST(generate_subscripts(was, 1) - 1 AS INTEGER) AS seq, unnest(news) AS new_state, unnest(was) AS was FROM ran",
 }
-_STEPS = f"""SELECT session_id, seq, new_state, {may_pass('was', 'new_state')} AS accepted, CASE WHEN {may_pass('was', 'new_state')} THEN new_state ELSE was END AS state,
+STEPS = f"""SELECT session_id, seq, new_state, {may_pass('was', 'new_state')} AS accepted, CASE WHEN {may_pass('was', 'new_state')} THEN new_state ELSE was END AS state,
     CASE WHEN NOT {may_pass('was', 'new_state')} THEN 'Invalid transition: ' || was || ' → ' || new_state END AS error FROM steps"""
 
 
-@query(sql("requests", _STEPS, **_RUN))
+@query(sql("requests", STEPS, **RUN))
 def g04_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_states(A.requests(spark, sf_dir))
 
@@ -126,16 +125,6 @@ def a19_event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, run over everything that is there
 
 
-def _work(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a local warehouse is none on a cluster."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuemill"
-        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests of :func:`cuemill.adapters.requests` as a stream."""
     kinds = F.create_map(*[F.lit(x) for pair in A.REQUESTS.items() for x in pair])
@@ -143,13 +132,6 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("session_id"), "ts", "event_id", kinds[F.col("event_type")].alias("new_state"))
 
 
-@query(sql("requests", _STEPS, **_RUN))
-def i03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine with state kept by the stream; the same rows as in batch form."""
-    at = _work(spark, "states")
-    return live.drained(live.states(_stream(spark, sf_dir)), f"{at}/out", f"{at}/log")
-
-
 @query(
     """WITH e AS (SELECT user_id AS session_id, event_id, ts, greatest(0.0::DOUBLE, least(100.0::DOUBLE, value - 20)) AS progress, event_type AS message FROM events),
     s AS (SELECT DISTINCT session_id, TIMESTAMP '2024-01-08' + to_hours(CAST(session_id % 100 AS INTEGER)) AS joined FROM e),
@@ -159,7 +141,7 @@ def i03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a18_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that a subscriber of each session gets (A18): a snapshot when it connects, then the session's events from a stream; read again."""
-    at = _work(spark, "heard")
+    at = work_dir(spark, "heard")
     connected = F.lit("2024-01-08").cast("timestamp") + F.make_dt_interval(hours=(F.col("session_id") % 100).cast("int"))
     flat = lambda rows: rows.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     table = flat(A.table(spark, sf_dir, "events"))
@@ -175,7 +157,7 @@ def a18_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("requests", "SELECT session_id, max_by(event_id, struct_pack(ts := ts, e := event_id)) AS event_id, max_by(new_state, struct_pack(ts := ts, e := event_id)) AS new_state FROM requests GROUP BY session_id"))
 def i05_serial_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table that batch after batch of a stream leaves: each session's newest event."""
-    at = _work(spark, "saves")
+    at = work_dir(spark, "saves")
     query_ = live.serial_saves(_stream(spark, sf_dir), f"{at}/out", f"{at}/log")
     query_.awaitTermination()
     return live.saved(spark, f"{at}/out").select("session_id", "event_id", "new_state")
@@ -189,14 +171,14 @@ def i05_serial_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def i04_stream_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debounced saves by session windows (I04); windows that the watermark has not passed stay open."""
-    at = _work(spark, "quiet")
+    at = work_dir(spark, "quiet")
     return live.drained(live.saves(_stream(spark, sf_dir), "2 hours"), f"{at}/out", f"{at}/log").drop("saved_at")
 
 
 @query(sql("requests", "SELECT DISTINCT session_id, 'clip' || (event_id % 4) AS render_key FROM requests WHERE new_state <> 'READY'"))
 def i07_stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request of each clip while the watermark holds it (I07); all that is there comes in one batch, before which there is no watermark."""
-    at = _work(spark, "first")
+    at = work_dir(spark, "first")
     rows = _renders(_stream(spark, sf_dir)).where("kind = 'start'")
     return live.drained(live.first_requests(rows), f"{at}/out", f"{at}/log").select("session_id", "render_key")
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: Folders that :func:`work_dir` named, by the session that asked.
+_WORK: list[tuple[SparkSession, str]] = []
+
 
 def session(app: str = "cuemill", master: str | None = None, **conf: str) -> SparkSession:
     """A Spark session in UTC with adaptive execution; ``master`` and ``conf`` go to the builder.
@@ -17,3 +23,34 @@ def session(app: str = "cuemill", master: str | None = None, **conf: str) -> Spa
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a folder of the warehouse where that is unset.
+
+    On a cluster a warehouse in a local folder is refused: executors would each write to their own disk.
+    """
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = not re.match(r"\w+:", warehouse) or warehouse.startswith("file:")
+    if local and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local folder")
+    return warehouse + "/_cuemill"
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, for streams' output and logs; :func:`clear_work` deletes what was written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WORK.append((spark, path))
+    return path
+
+
+def clear_work() -> None:
+    """Delete all folders of :func:`work_dir`; results that were not read to their end are gone then."""
+    while _WORK:
+        spark, path = _WORK.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cuemill.schema import TRANSITIONS
 from cuemill.sources.events import event_text
 
 WATERMARK = "10 minutes"
@@ -25,34 +20,6 @@ def read_progress(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def states(requests: DataFrame, start: str = "IDLE") -> DataFrame:
-    """(session_id, seq, new_state, accepted, state, error) for a stream of requests (session_id, ts, event_id, new_state).
-
-    The state of a session is kept between batches; within a batch its requests
-    are taken by time.  Arrow carries whole groups, so this is the only Python
-    on the stream.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        seq, now = held.get if held.exists else (0, start)
-        for rows in sorted_parts(parts):
-            out = []
-            for new in rows["new_state"]:
-                fine = new in TRANSITIONS[now]
-                after = new if fine else now
-                out.append((key[0], seq, new, fine, after, None if fine else f"Invalid transition: {now} → {new}"))
-                seq, now = seq + 1, after
-            yield pd.DataFrame(out, columns=["session_id", "seq", "new_state", "accepted", "state", "error"])
-        held.update((seq, now))
-
-    def sorted_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        yield rows.sort_values(["ts", "event_id"])
-
-    schema = "session_id BIGINT, seq INT, new_state STRING, accepted BOOLEAN, state STRING, error STRING"
-    return requests.groupBy("session_id").applyInPandasWithState(step, schema, "seq INT, state STRING", "append", GroupStateTimeout.NoTimeout)
-
-
 def snapshots(events: DataFrame, key: str = "session_id") -> DataFrame:
     """The newest event of each session; written in update mode it gives a snapshot for every change."""
     rest = F.struct(*[c for c in events.columns if c != key])

@@ -75,18 +75,6 @@ def test_srt_text(spark):
     assert srt.srt_texts(rows).first()["srt"] == "1\r\n00:00:00,000 --> 00:00:01,000\r\nhi\r\n\r\n2\r\n00:00:02,000 --> 00:00:04,000\r\nthere\r\n\r\n"
 
 
-def test_state_survives_batches(spark, tmp_path):
-    """A session whose requests come in two batches ends as it would in one."""
-    rows = [(1, "UPLOADING"), (2, "READY"), (3, "TRANSCRIBING"), (4, "ALIGNING")]
-    for n, part in enumerate((rows[:2], rows[2:])):
-        df = spark.createDataFrame([(i, 7, s) for i, s in part], "event_id long, session_id long, new_state string")
-        df.withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
-    schema = "event_id long, session_id long, new_state string, ts timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
-    out = live.drained(live.states(stream), str(tmp_path / "out"), str(tmp_path / "log")).orderBy("seq").collect()
-    assert [(r.seq, r.accepted, r.state) for r in out] == [(0, True, "UPLOADING"), (1, False, "UPLOADING"), (2, True, "TRANSCRIBING"), (3, True, "ALIGNING")]
-
-
 def test_subscribers(spark):
     """A snapshot of the newest event by then, and what comes later."""
     events_ = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("a", 3, 20), ("a", 4, 30), ("b", 5, 40)], "session_id string, event_id int, ts int")
