@@ -162,5 +162,5 @@ def recent(entries: DataFrame, path: str = "project_path", order: list[str] = ("
 
 
 def with_index(rows: DataFrame, order: str, key: str = "project_id") -> DataFrame:
-    """Adds ``idx`` from 0."""
+    """Adds ``idx`` from 0 (F13); keys that one task can't sort need :func:`cuemill.operators.prefix.numbered`."""
     return rows.withColumn("idx", F.row_number().over(_by(key, order)) - 1)

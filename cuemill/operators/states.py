@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cuemill.operators.arrays import in_order
+from cuemill.operators.prefix import numbered
 from cuemill.schema import TRANSITIONS, guards, transitions
 
 #: Requests that one fold takes at most.
@@ -33,8 +33,7 @@ def run_states(requests: DataFrame, start: str = "IDLE", key: str = "session_id"
     once more from there.  No array is longer than a block, or than a session
     has blocks.
     """
-    seq = F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1
-    rows = requests.select(key, *order, "new_state").withColumn("seq", seq).withColumn("blk", F.floor(F.col("seq") / BLOCK).cast("int"))
+    rows = numbered(requests.select(key, *order, "new_state"), [key], list(order)).withColumn("seq", F.col("seq").cast("int")).withColumn("blk", F.floor(F.col("seq") / BLOCK).cast("int"))
     blocks = rows.groupBy(key, "blk").agg(in_order("new_state", order="seq").alias("rows"))
     states = F.array(*map(F.lit, TRANSITIONS))
     ends = F.transform(states, lambda s: F.aggregate("rows", s, lambda a, x: _after(a, x["new_state"])))
@@ -87,10 +86,11 @@ def quiet_saves(events: DataFrame, quiet_ms: int = 2000, key: str = "session_id"
 
     A burst goes on while each change comes less than ``quiet_ms`` after the one before.
     """
-    win = W.partitionBy(key).orderBy(*order)
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(win).cast("timestamp"))
-    rows = events.withColumn("_new", F.coalesce((gap >= quiet_ms * 1000).cast("int"), F.lit(0)))
-    rows = rows.withColumn("save_no", F.sum("_new").over(win.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = numbered(events, [key], list(order), earlier={"_before": at})
+    new = F.coalesce((at - F.col("_before") >= quiet_ms * 1000).cast("int"), F.lit(0))
+    rows = numbered(rows.withColumn("_new", new).drop("seq", "_before"), [key], list(order), sums={"_starts": F.col("_new")})
+    rows = rows.withColumn("save_no", (F.col("_starts") + F.col("_new")).cast("int"))
     out = rows.groupBy(key, "save_no").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event_id", F.struct(*order)).alias("last_event"), F.max("ts").alias("_last"))
     return out.select(key, "save_no", "n_events", "last_event", (F.col("_last") + F.make_dt_interval(secs=F.lit(quiet_ms / 1000))).alias("saved_at"))
 
@@ -101,16 +101,15 @@ def accepted_renders(requests: DataFrame, key: list[str] = ("session_id", "rende
     ``requests`` has kind ``start`` or ``done``.  A start is accepted if no
     other start stands between it and the last ``done``.
     """
-    win = W.partitionBy(*key).orderBy(*order)
-    rows = requests.withColumn("_run", F.coalesce(F.sum((F.col("kind") == "done").cast("int")).over(win.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    first = F.row_number().over(W.partitionBy(*key, "_run").orderBy(*order)) == 1
-    return rows.where("kind = 'start'").withColumn("accepted", first).drop("_run")
+    rows = numbered(requests, list(key), list(order), earlier={"_before": F.col("kind")})
+    # only starts and ends are there, so the row before tells
+    return rows.where("kind = 'start'").withColumn("accepted", F.coalesce(F.col("_before") == "done", F.lit(True))).drop("seq", "_before")
 
 
 def batch_steps(statuses: DataFrame, key: list[str] = ("session_id", "render_key"), order: list[str] = ("ts", "event_id")) -> DataFrame:
     """(key, ts, outcome): ends of renders in a sequence of statuses (I08): ``finished`` where it becomes exported,
     ``failed`` where the entry is gone (null) after it was rendering."""
-    win = W.partitionBy(*key).orderBy(*order)
-    before = F.lag(F.coalesce("status", F.lit("gone"))).over(win)
+    statuses = numbered(statuses, list(key), list(order), earlier={"_before": F.coalesce("status", F.lit("gone"))})
+    before = F.col("_before")
     outcome = F.when((F.col("status") == "exported") & ~before.eqNullSafe(F.lit("exported")), "finished").when(F.col("status").isNull() & (before == "rendering"), "failed")
     return statuses.withColumn("outcome", outcome).where("outcome is not null").select(*key, *order, "outcome")

@@ -9,11 +9,15 @@ from cuemill import adapters as A
 from cuemill.functions.timecode import probed_duration_ms, probed_size
 from cuemill.operators import projects as P
 from cuemill.operators.ordered import recent
+from cuemill.operators.prefix import numbered
 from cuemill.queries.base import half_up, query, sql, stamp, to_ms, trim
 from cuemill.queries.windows import TOP
 from cuemill.schema import ASR, PROJECT
 from cuemill.session import work_dir
 from cuemill.sources import archives, cliptext, stores, transcripts
+from cuemill.sources.lines import percent, read_lines
+from cuemill.sources.zips import read_pieces, write_pieces
+from cuemill.streaming.progress import drained
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def a02_archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a01_read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives written to a folder and read from it; paths depend on the folder and are left out."""
     folder = work_dir(spark, "archives")
-    archives.write_archives(archives.archive_files(_projects(spark, sf_dir)), folder if "://" in folder else folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}")
+    archives.write_archives(_projects(spark, sf_dir), folder)
     return _read_back(archives.read_archives(spark, folder)).drop("video_path")
 
 
@@ -198,6 +202,53 @@ def a12_tsv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.tsv_parts(A.words(spark, sf_dir))
 
 
+@query(
+    sql(
+        "words",
+        """SELECT project_id, 'transcription_part_' || part || '.tsv' AS entry, strlen(tsv) AS n_bytes, md5(tsv) AS md5 FROM n WHERE n > 1
+        UNION ALL SELECT project_id, CASE WHEN n > 1 THEN 'transcription_full.tsv' ELSE 'transcription.tsv' END AS entry, strlen(tsv) AS n_bytes, md5(tsv) AS md5
+        FROM (SELECT project_id, max(n) AS n, string_agg(tsv, chr(10) ORDER BY part) AS tsv FROM n GROUP BY project_id)""",
+        p=f"SELECT project_id, pos // 2000 + 1 AS part, string_agg({stamp('start_ms')} || chr(9) || word, chr(10) ORDER BY pos) AS tsv FROM words GROUP BY project_id, pos // 2000",
+        n="SELECT *, max(part) OVER (PARTITION BY project_id) AS n FROM p",
+    )
+)
+def a12_download_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads written and read again: plain files, and archives of the whole text and its parts."""
+    folder = work_dir(spark, "downloads")
+    write_pieces(transcripts.download_pieces(A.words(spark, sf_dir)), folder)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true").load(folder)
+    plain = plain.select("path", F.lit("transcription.tsv").alias("entry"), F.lit(0).cast("long").alias("piece"), "content")
+    pieces = read_pieces(spark, folder, piece=1 << 16).select("path", "entry", "piece", "content").unionByName(plain)
+    whole = pieces.groupBy("path", "entry").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "content"))), lambda x: F.hex(x["content"])), "")).alias("text"))
+    return whole.select(F.regexp_extract("path", r"([0-9]+)/[^/]*$", 1).cast("long").alias("project_id"), "entry", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"))
+
+
+_PIECE_BYTES, _SHARDS = 4096, 16
+
+
+@query(
+    f"""WITH e AS (SELECT user_id % {_SHARDS} AS shard, ts, event_id, CAST(event_id % 101 AS INTEGER) AS pct, event_id % 3 AS kind FROM events)
+    SELECT printf('p%d', shard) AS process, event_id, CASE WHEN kind = 0 THEN NULL ELSE CAST(10 + floor(pct * 0.8::DOUBLE + 0.5) AS INTEGER) END AS percent FROM e"""
+)
+def i09_framed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress lines of processes, written in chunks that cut them anywhere and read by a stream in two runs."""
+    n, folder = F.col("event_id"), work_dir(spark, "lines")
+    bar = F.when(n % 3 == 0, F.format_string("event %d of é\n", n)).otherwise(F.format_string("%3d%%|####| %d\r", (n % 101).cast("int"), n))
+    rows = A.table(spark, sf_dir, "events").select(F.format_string("p%d", F.col("user_id") % _SHARDS).alias("process"), "ts", "event_id", bar.cast("binary").alias("line"))
+    rows = numbered(rows, ["process"], ["ts", "event_id"], sums={"at": F.octet_length("line")})
+    # each line's bytes in the chunks that they fall into
+    first, last = F.floor(F.col("at") / _PIECE_BYTES), F.floor((F.col("at") + F.octet_length("line") - 1) / _PIECE_BYTES)
+    cut = rows.withColumn("chunk", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("chunk") * _PIECE_BYTES - F.col("at"), F.lit(0))
+    piece = F.substring("line", (start + 1).cast("int"), F.least((F.col("chunk") + 1) * _PIECE_BYTES - F.col("at"), F.octet_length("line")).cast("int") - start.cast("int"))
+    pieces = cut.select(F.format_string("%s/%08d", "process", "chunk").alias("path"), "chunk", F.lit(0).alias("entry_no"), F.lit(None).cast("string").alias("entry"), F.col("at").alias("piece"), piece.alias("content"))
+    for early in (True, False):
+        write_pieces(pieces.where((F.col("chunk") < 2) == early), f"{folder}/in")
+        drained(read_lines(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/log")
+    lines = spark.read.schema("process string, offset long, line string").parquet(f"{folder}/out")
+    return lines.select("process", F.regexp_extract("line", "([0-9]+)( of é)?$", 1).cast("long").alias("event_id"), percent("line").alias("percent"))
+
+
 @query(sql("turn_words", f"SELECT project_id, pos, word, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY project_id ORDER BY pos), 0) AS end_ms FROM turn_words"))
 def a07_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TSV files, one a project, written and read again."""

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import io
-import os
 import posixpath
-import uuid
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from cuemill.schema import PROJECT
+from cuemill.sources.zips import read_pieces, write_pieces
 
 ENTRY = "project.json"
 
@@ -66,44 +64,43 @@ def parse_archives(files: DataFrame) -> DataFrame:
     ``project`` is the document with its video's path resolved against the
     archive's folder; ``error`` says that an archive can't be read.
     """
+    return _parsed(files.select("path", unzipped("content").alias("_json")))
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
     folder = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/[^/]*$", "")
-    rows = files.select("path", folder.alias("_folder"), unzipped("content").alias("_json"))
-    rows = rows.withColumn("project", F.from_json("_json", PROJECT))
+    rows = texts.withColumn("_folder", folder).withColumn("project", F.from_json("_json", PROJECT))
     video = F.when(F.col("project.videoPath").isNotNull(), resolved("project.videoPath", "_folder"))
     error = F.when(F.col("_json").isNull(), F.concat(F.lit(f"no {ENTRY} in "), F.col("path")))
     return rows.select("path", F.col("project").withField("videoPath", video).alias("project"), error.alias("error"))
 
 
-def read_archives(spark: SparkSession, path: str, pattern: str = "*.lusk") -> DataFrame:
-    """Archives below a folder (A01); errors stay as rows, so that a bad file doesn't end the job."""
-    return parse_archives(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content"))
+def read_archives(spark: SparkSession, path: str, suffix: str = ".lusk") -> DataFrame:
+    """Archives below a folder (A01); errors stay as rows, so that a bad file doesn't end the job.
+
+    Only the document's entry is unpacked, in pieces; other entries are not kept.
+    """
+    pieces = read_pieces(spark, path, suffix).withColumn("_own", F.when(F.col("entry") == ENTRY, F.struct("piece", "content")))
+    whole = pieces.groupBy("path").agg(F.sort_array(F.collect_list("_own")).alias("_own"))
+    # pieces may end inside a character, so bytes are joined first
+    text = F.unhex(F.array_join(F.transform("_own", lambda p: F.hex(p["content"])), "")).cast("string")
+    return _parsed(whole.select(F.concat(F.lit(path.rstrip("/") + "/"), "path").alias("path"), F.when(F.size("_own") > 0, F.try_validate_utf8(text)).alias("_json")))
 
 
-def archive_files(projects: DataFrame, project: Column | str = "project", path: str = "path") -> DataFrame:
-    """(path, content) of documents, with the video's path made relative to the archive."""
+def _stored(projects: DataFrame, project: Column | str, path: str) -> DataFrame:
+    """(path, json): documents with the video's path made relative to the archive."""
     doc = F.col(project) if isinstance(project, str) else project
     rows = projects.select(path, doc.alias("_p")).withColumn("_folder", F.regexp_replace(path, "/[^/]*$", ""))
     video = F.when(F.col("_p.videoPath").isNotNull(), relative("_p.videoPath", "_folder"))
-    return rows.select(F.col(path).alias("path"), zipped(F.to_json(F.col("_p").withField("videoPath", video))).alias("content"))
+    return rows.select(F.col(path).alias("path"), F.to_json(F.col("_p").withField("videoPath", video)).alias("json"))
 
 
-def write_archives(files: DataFrame, folder: str) -> None:
-    """Writes (path, content), each file at its path below a folder that all executors see.
-
-    A file is written under another name and renamed, so that a task that runs
-    twice leaves a whole file.
-    """
-
-    def put(rows: Iterator) -> None:
-        from pyarrow import fs
+def archive_files(projects: DataFrame, project: Column | str = "project", path: str = "path") -> DataFrame:
+    """(path, content) of documents, with the video's path made relative to the archive."""
+    return _stored(projects, project, path).select("path", zipped("json").alias("content"))
 
-        system, root = fs.FileSystem.from_uri(folder)
-        for r in rows:
-            target = posixpath.join(root, r["path"].lstrip("/"))
-            system.create_dir(os.path.dirname(target), recursive=True)
-            part = f"{target}.{uuid.uuid4().hex}"
-            with system.open_output_stream(part) as out:
-                out.write(r["content"])
-            system.move(part, target)
 
-    files.foreachPartition(put)
+def write_archives(projects: DataFrame, folder: str, project: Column | str = "project", path: str = "path") -> None:
+    """Writes documents as archives, each at its path below a folder that all executors see: all or, if a task fails, none."""
+    rows = _stored(projects, project, path)
+    write_pieces(rows.select("path", F.lit(0).alias("entry_no"), F.lit(ENTRY).alias("entry"), F.lit(0).alias("piece"), F.col("json").cast("binary").alias("content")), folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cuemill.functions.text import is_blank, ordered_text, trim
 from cuemill.functions.timecode import is_malformed_timestamp, ms_to_timestamp, seconds_to_ms, timestamp_to_ms
@@ -53,6 +54,22 @@ def tsv_parts(words: DataFrame, size: int = DOWNLOAD_ROWS, key: str = "project_i
     return parts.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n_lines"), ordered_text(tsv_line(), "pos", "\n").alias("tsv"))
 
 
+def download_pieces(words: DataFrame, size: int = DOWNLOAD_ROWS, key: str = "project_id") -> DataFrame:
+    """The download of each project as pieces of files (path, entry_no, entry, piece, content) for :func:`cuemill.sources.zips.write_pieces`.
+
+    A transcript of at most ``size`` lines is a plain file, a longer one an
+    archive of the whole text and its parts.  The whole text is put together
+    from the parts as it is written, never in memory.
+    """
+    parts = tsv_parts(words, size, key).withColumn("n", F.max("part").over(W.partitionBy(key)))
+    short = F.struct(F.lit("transcription.tsv").alias("file"), F.lit(0).alias("entry_no"), F.lit(None).cast("string").alias("entry"), F.lit(0).alias("piece"), F.col("tsv").alias("content"))
+    archive = F.lit("transcription_chunked.zip").alias("file")
+    whole = F.struct(archive, F.lit(0).alias("entry_no"), F.lit("transcription_full.tsv").alias("entry"), F.col("part").alias("piece"), F.when(F.col("part") < F.col("n"), F.concat("tsv", F.lit("\n"))).otherwise(F.col("tsv")).alias("content"))
+    part = F.struct(archive, F.col("part").alias("entry_no"), F.format_string("transcription_part_%d.tsv", "part").alias("entry"), F.lit(0).alias("piece"), F.col("tsv").alias("content"))
+    rows = parts.select(key, F.inline(F.when(F.col("n") == 1, F.array(short)).otherwise(F.array(whole, part))))
+    return rows.select(F.concat_ws("/", F.col(key).cast("string"), "file").alias("path"), "entry_no", "entry", "piece", F.col("content").cast("binary").alias("content"))
+
+
 def write_tsv(words: DataFrame, path: str, size: int = DOWNLOAD_ROWS, key: str = "project_id") -> None:
     """A folder for each project and part, with the lines as text."""
     lines = with_part(words, size, first=1).select(key, "part", "pos", tsv_line().alias("value"))

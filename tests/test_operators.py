@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuemill import adapters as A
+from cuemill import session
 from cuemill.operators import blocks as B
 from cuemill.operators import clips as C
 from cuemill.operators import ordered as O
 from cuemill.operators import pages as P
+from cuemill.operators import prefix
 from cuemill.operators import projects as R
 from cuemill.operators import repair as X
 from cuemill.operators import states as S
@@ -301,3 +303,30 @@ def test_blocks_need_one_shuffle(spark, sf):
 
     plan = srt_cues(B.group_blocks(A.captions(spark, sf)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Python" not in plan
+
+
+def test_ranks_of_a_hot_key(spark):
+    """A session with half the rows: blocks give what one window would, and no task of theirs gets over a block."""
+    rng = random.Random(8)
+    rows = [(1 if i % 2 else rng.choice([None, 2, 3, *range(10, 60)]), rng.randrange(10**6), i, rng.randrange(5)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, ts int, event_id int, x int").repartition(7)
+    more = dict(sums={"total": F.col("x")}, earlier={"last_x": F.col("x")})
+    key = lambda d: sorted(map(tuple, d.select("k", "ts", "event_id", "x", "seq", "total", "last_x").collect()), key=repr)
+    whole = prefix.numbered(df, ["k"], ["ts", "event_id"], **more)
+    blocks = prefix.numbered(df, ["k"], ["ts", "event_id"], block=500, **more)
+    assert key(blocks) == key(whole)
+    path = [p for _, p in session._WORK if "/blocks-" in p][-1]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_b").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * 500
+
+
+def test_states_of_a_hot_session(spark, monkeypatch):
+    """The operators that number rows give the same with small blocks."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.choice(["UPLOADING", "TRANSCRIBING", "ALIGNING", "READY", "IDLE"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "session_id int, event_id int, new_state string").withColumn("ts", F.timestamp_seconds((F.col("event_id") / 3).cast("int") * 5))
+    renders = df.select("session_id", "ts", "event_id", F.lit("a").alias("render_key"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("start").alias("kind"), F.when(F.col("event_id") % 3 == 0, "exported").when(F.col("event_id") % 3 == 1, "rendering").alias("status"))
+    runs = [lambda: S.run_states(df), lambda: S.quiet_saves(df, quiet_ms=6000), lambda: S.accepted_renders(renders), lambda: S.batch_steps(renders)]
+    before = [sorted(map(str, f().collect())) for f in runs]
+    monkeypatch.setattr(prefix.numbered, "__defaults__", (None, None, 100))
+    assert [sorted(map(str, f().collect())) for f in runs] == before

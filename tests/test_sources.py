@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from cuemill.sources import archives, cliptext, events, srt, stores, transcripts
+from cuemill.session import clear_work, work_dir
+from cuemill.sources import archives, cliptext, events, lines, srt, stores, transcripts, zips
 from cuemill.streaming import progress as live
 
 
@@ -49,7 +53,8 @@ def test_archives(spark, tmp_path):
     got = {r.path: (r.project and r.project.videoPath, r.error) for r in archives.parse_archives(rows).collect()}
     assert got["/p/q/a.lusk"] == ("/p/v/a.mp4", None) and got["/p/b.lusk"] == ("/abs.mp4", None)
     assert got["/p/c.lusk"][0] is None and "project.json" in got["/p/c.lusk"][1]
-    archives.write_archives(rows.where("path <> '/p/c.lusk'"), f"file://{tmp_path}")
+    documents = archives.parse_archives(rows).where("error is null").select("path", "project")
+    archives.write_archives(documents, f"file://{tmp_path}")
     back = archives.read_archives(spark, str(tmp_path)).collect()
     assert len(back) == 2 and {r.project.projectId for r in back} == {"x"}
 
@@ -100,3 +105,89 @@ def test_merged_styles(spark):
     rows = spark.createDataFrame([(("serif", None),), ((None, 30),)], "styles struct<font string, size int>")
     got = rows.select(stores.merged_styles(F.col("styles"), {"font": "sans", "size": 42}).alias("s")).collect()
     assert [tuple(r.s) for r in got] == [("serif", 42), ("sans", 30)]
+
+
+def test_lines_of_chunks(spark, monkeypatch, tmp_path):
+    """Chunks that cut lines, characters and line ends; batches that begin anywhere; small tasks."""
+    monkeypatch.setattr(lines, "TASK_BYTES", 50)
+    monkeypatch.setattr(lines, "STEP", 7)
+    rng = random.Random(3)
+    texts = {p: "".join(rng.choice(["ab", "é", "😀", "\n", "\r", "\r\n", "x" * 30, ""]) for _ in range(200)).encode() for p in ("a", "b/c")}
+    texts["d"] = b"no end"
+    at = work_dir(spark, "test").removeprefix("file:")
+    done = dict.fromkeys(texts, 0)
+    out = []
+    for batch in range(6):
+        for p, text in texts.items():
+            os.makedirs(f"{at}/in/{p}", exist_ok=True)
+            for k in range(3):
+                n = rng.randrange(60) if batch < 5 else len(text)
+                if text[done[p] : done[p] + n]:
+                    with open(f"{at}/in/{p}/{batch}-{k}", "ab") as f:
+                        f.write(text[done[p] : done[p] + n])
+                done[p] += n
+        query = lines.read_lines(spark, f"{at}/in").writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/out")
+        query.awaitTermination()
+        out.append(spark.read.schema("process string, offset long, line string").parquet(f"{at}/out").count())
+    got = sorted(map(tuple, spark.read.parquet(f"{at}/out").collect()))
+    want = []
+    for p, text in texts.items():
+        offset = 0
+        for line in text.replace(b"\r", b"\n").split(b"\n")[:-1]:
+            want.append((p, offset, line.decode()))
+            offset += len(line) + 1
+    assert got == sorted(want) and 0 < out[0] < out[2] < out[-1]
+    clear_work()
+
+
+def test_percent(spark):
+    rows = spark.createDataFrame([(" 45%|####  | 9/20",), ("100%|##|",), ("12% done",), (None,)], "line string")
+    assert [r.p for r in rows.select(lines.percent("line").alias("p")).collect()] == [46, 90, None, None]
+
+
+def _below(folder) -> set[str]:
+    return {str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_pieces_of_files(spark, tmp_path):
+    """Archives and plain files in pieces; order, long entries, empty ones, names of other scripts; a second write replaces a file."""
+    rows = [("a/x.zip", 1, "two", 0, b"2"), ("a/x.zip", 0, "one", 2, b"c" * 100), ("a/x.zip", 0, "one", 0, b"a"), ("a/x.zip", 0, "one", 1, b"b" * 70), ("/b.zip", 0, "\u00e9/empty", 0, b""), ("c.txt", None, None, 1, b"!"), ("c.txt", None, None, 0, b"hello")]
+    df = spark.createDataFrame(rows, "path string, entry_no int, entry string, piece int, content binary")
+    zips.write_pieces(df, str(tmp_path))
+    zips.write_pieces(df.where("path = 'c.txt'"), f"file:{tmp_path}")
+    assert _below(tmp_path) == {"a/x.zip", "b.zip", "c.txt"} and (tmp_path / "c.txt").read_bytes() == b"hello!"
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    got = sorted((r.path, r.entry_no, r.entry, r.piece, bytes(r.content) if r.content is not None else None, r.error is not None) for r in zips.read_pieces(spark, str(tmp_path), piece=64).collect())
+    one = b"a" + b"b" * 70 + b"c" * 100
+    want = [("a/x.zip", 0, "one", k, one[64 * k : 64 * k + 64], False) for k in range(3)] + [("a/x.zip", 1, "two", 0, b"2", False), ("b.zip", 0, "\u00e9/empty", 0, b"", False), ("bad.zip", None, None, None, None, True)]
+    assert got == sorted(want)
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    """Files of tasks that did end are not seen either."""
+    rows = spark.range(40).select(F.format_string("f%d.txt", "id").alias("path"), F.lit(None).cast("int").alias("entry_no"), F.lit(None).cast("string").alias("entry"), F.lit(0).alias("piece"), F.col("id").cast("string").cast("binary").alias("content"))
+    broken = rows.withColumn("content", F.when(F.col("path") == "f7.txt", F.raise_error(F.lit("broken")).cast("binary")).otherwise(F.col("content")))
+    (tmp_path / "old.txt").write_text("stays")
+    with pytest.raises(Exception, match="broken"):
+        zips.write_pieces(broken, str(tmp_path))
+    wrong = rows.withColumn("content", F.when(F.col("path") != "f7.txt", F.col("content")))  # null bytes fail in the writer, after the shuffle
+    with pytest.raises(Exception, match="bytes"):
+        zips.write_pieces(wrong, str(tmp_path))
+    assert _below(tmp_path) == {"old.txt"} and not list(tmp_path.glob("_writing*"))
+    zips.write_pieces(rows, str(tmp_path))
+    assert len(_below(tmp_path)) == 41
+
+
+def test_download(spark):
+    """A short transcript is one file; a longer one is an archive whose whole text is its parts."""
+    words = spark.createDataFrame([("a", i, f"w{i}", 1000 * i) for i in range(5)] + [("b", i, f"w{i}", 1000 * i) for i in range(4)], "project_id string, pos int, word string, start_ms long")
+    rows = sorted((r.path, r.entry_no, r.entry or "", r.piece, bytes(r.content).decode()) for r in transcripts.download_pieces(words, 4).collect())
+    line = lambda i: f"00:00:0{i}.000\tw{i}"
+    four = "\n".join(map(line, range(4)))
+    assert rows == [
+        ("a/transcription_chunked.zip", 0, "transcription_full.tsv", 1, four + "\n"),
+        ("a/transcription_chunked.zip", 0, "transcription_full.tsv", 2, line(4)),
+        ("a/transcription_chunked.zip", 1, "transcription_part_1.tsv", 0, four),
+        ("a/transcription_chunked.zip", 2, "transcription_part_2.tsv", 0, line(4)),
+        ("b/transcription.tsv", 0, "", 0, four),
+    ]
