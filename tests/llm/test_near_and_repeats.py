@@ -12,7 +12,7 @@ import xxhash
 from fixtures import documents, odd_rows
 from pyspark.sql import functions as F
 
-from cuemill.llm import repeats, simhash
+from cuemill.llm import repeats, similar, simhash
 
 
 def print_of(t):
@@ -199,3 +199,50 @@ def test_drop_repeats_keeps_every_document(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     want = removed(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert {r.doc_id: len((r.text or "").encode()) for r in out.collect()} == {i: n - m for i, (n, m, *_) in want.items()}
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_similar_groups(spark, monkeypatch, tile):
+    """Stars, chains whose ends aren't similar, rings of all distances around a leader, copies, nulls: as by all pairs."""
+    monkeypatch.setattr(similar, "TILE", tile)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(9000)}"
+    texts = []
+    for size in (60, 150):
+        for _ in range(4):
+            now = [word() for _ in range(size)]
+            middle = list(now)
+            for _ in range(12):  # a chain: each a little further from the first
+                now = list(now)
+                now[rng.randrange(size)] = word()
+                texts.append(now)
+            for edits in (1, 2, 4, 5, 8, 12, 20):  # around one text
+                for _ in range(3):
+                    near = list(middle)
+                    for k in rng.sample(range(size), edits):
+                        near[k] = word()
+                    texts.append(near)
+    rows = [(i, " ".join(ws), None, None) for i, ws in enumerate(texts)] + [(1000, None, None, None), (1001, "", None, None), (1002, "one two", None, None), (None, "one two", None, None), (1003, "one  TWO", None, None), (1003, "one two", None, None), (None, "null alone here", None, None)]
+    sets = [frozenset(similar.shingle_set((t or "").encode()).tolist()) for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                root[find(a)] = find(b)
+    least: dict = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    want = sorted(((r[0], least.get(find(i))) for i, r in enumerate(rows)), key=repr)
+    got = sorted(((r.doc_id, r.component_id) for r in similar.similar_groups(documents(spark, rows)).collect()), key=repr)
+    assert got == want and links > 200
+    assert similar.similar_groups(documents(spark, [])).collect() == []
