@@ -16,6 +16,8 @@ from cuemill.llm.planes import counts, mixed, packed, unpacked, uncounted
 
 #: Bytes of text in a block of documents, which sends each of its cells once.
 BLOCK = 4 << 20
+#: Partitions that blocks and buckets are dealt to at most; beyond it a task takes several, one after another.
+PARTITIONS = 20_000
 #: Tokens that the unigrams are worth after each word (a Dirichlet prior).
 PRIOR = 16.0
 #: The id of a text's edge: before its first word and after its last. Other words have the hash of their bytes.
@@ -193,9 +195,9 @@ def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame |
     rows = matched(rows.select("id", "text", "target", "background"))
     wide, n_target, n_background, size = vocabulary(rows)
     blocks = max(1, -(-size // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(min(blocks, PARTITIONS), "block")
     asked = dealt.groupBy("block").applyInArrow(_ask(blocks), "block long, bucket long, cells binary, t binary, b binary")
-    answers = asked.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_answer, "block long, bucket long, t binary, b binary")
+    answers = asked.repartition(min(blocks, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_answer, "block long, bucket long, t binary, b binary")
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(texts.column("text").cast(pa.binary()).to_pylist(), blocks)
@@ -209,5 +211,5 @@ def score_documents(docs: DataFrame, targets: DataFrame, background: DataFrame |
         return pa.table([texts.column("id"), pa.array(block.sizes), pa.array(mean)], ["id", "n_tokens", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    met = dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, score double")
+    met = dealt.groupBy("block").cogroup(answers.repartition(min(blocks, PARTITIONS), "block").groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, score double")
     return met.withColumnRenamed("id", id_col)

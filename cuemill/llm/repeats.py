@@ -10,11 +10,12 @@ corpus is dealt by anchor, and each bucket finds its repeats alone:
    its segments
 2. buckets of anchors answer which of them occur more than once anywhere; no
    window elsewhere can repeat
-3. blocks send the segments of those anchors, each different one once with the
-   places of its copies in the block (compared byte by byte)
-4. a bucket merges equal segments of several blocks (compared byte by byte),
-   builds a run-length index over the different ones, streams them through it,
-   and marks every window of which it knows an earlier one
+3. a block indexes its different segments of those anchors that stand there more
+   than once, streams every copy through the index, and sends each different
+   segment once, with the places of the copies that it found
+4. a bucket does the same with the segments of all blocks: it indexes the
+   different ones, streams the others through the index, and marks every window
+   of which the matching statistics know an earlier one
 5. blocks cut out what is marked
 
 Segments of an anchor that very many blocks or contexts share aren't sent to one
@@ -37,6 +38,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text in a block of documents.
 BLOCK = 8 << 20
+#: Partitions that blocks and buckets are dealt to at most; beyond it a task takes several, one after another.
+PARTITIONS = 20_000
 #: Segments that blocks may send of one anchor; those of others are dealt again by the content of their windows.
 HOT = 4096
 #: Bytes of different segments in one index, or all those of an anchor if they are more.
@@ -181,12 +184,42 @@ class Names:
             i = own[i]
             data = b"".join(block.buf[x : x + n].tobytes() for x, n in zip(self.at[i].tolist(), self.size[i].tolist(), strict=True))
             rows.append((to, no, 1, packed(self.key[i]), counts(self.size[i]), b"", data, _bytes(block.ids[block.doc(self.at[i])]), _bytes(self.at[i]), b""))
-        for to, i in _split(self.to[self.name_of[copies]]):
-            i = copies[i]
-            rows.append((to, no, 3, b"", counts(self.size[i] - LENGTH + 1), b"", b"", b"", _bytes(self.at[i]), b""))
+        known = np.unique(self.head[copies])
+        for index, i, k in _indexes(lambda x: (block.buf, self.at[x], self.size[x]), known, copies, self.key, self.size, self.at):
+            # a copy goes if its bytes stand earlier in the block
+            found, place = index.search(block.buf, self.at[k], self.size[k])
+            string = index.owner[place]
+            k = k[(found == self.size[k]) & (self.at[i][string] + place - index.begin(string) < self.at[k])]
+            for to, x in _split(self.to[self.name_of[k]]):
+                x = k[x]
+                rows.append((to, no, 3, b"", counts(self.size[x] - LENGTH + 1), b"", b"", b"", _bytes(self.at[x]), b""))
         return rows
 
 
+def _indexes(strings, own: np.ndarray, others: np.ndarray, key: np.ndarray, size: np.ndarray, rank: np.ndarray):
+    """(index, the strings of ``own`` that it holds, those of ``others`` with the same keys), some keys at a time.
+
+    Keys are apart, so an index holds all strings of some, in order of ``rank``.
+    ``own`` is in order of keys; ``strings`` gives the bytes, places and sizes of strings.
+    """
+    share = np.cumsum(size[own]) // INDEXED
+    new = np.append(True, key[own][1:] != key[own][:-1])[: len(own)]
+    share = share[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+    names, first = np.unique(key[own], return_index=True)
+    of = np.full(len(others), -1)
+    at = np.minimum(np.searchsorted(names, key[others]), max(len(names) - 1, 0))
+    if len(names):
+        same = names[at] == key[others]
+        of[same] = share[first[at[same]]]
+    streamed = dict((k, others[x]) for k, x in _split(of))
+    for no, i in _split(share):
+        i = own[i]
+        i = i[np.argsort(rank[i], kind="stable")]
+        data, at, sizes = strings(i)
+        take = np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        yield RunIndex(data[take], sizes), i, streamed.get(no, others[:0])
+
+
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -279,10 +312,12 @@ class RunIndex:
     before, with the number of bytes that these two share (up to ``LENGTH`` it
     counts as none).  The suffix array and the transform itself are dropped.
 
-    That is enough to stream a text through the index: inside a run, the suffix
-    before a suffix in order moves with it, one byte to the right, and shares
-    one byte less.  So the last sample at or before a place tells its matching
-    statistic, and where the match is.
+    That is enough to stream a text through the index.  A string that is not in
+    it goes backwards, from its end, through the runs (:meth:`search`).  Of the
+    indexed strings the samples tell as much: inside a run, the suffix before a
+    suffix in order moves with it, one byte to the right, and shares one byte
+    less, so the last sample at or before a place tells its matching statistic,
+    and where the match is (:meth:`statistics`).
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray):
@@ -295,8 +330,14 @@ class RunIndex:
         sa = self._suffixes(code)
         before = np.where((sa == 0) | (code[sa - 1] == 0), 0, code[sa - 1])
         head = np.flatnonzero(np.append(True, before[1:] != before[:-1]) | (before == 0))
-        self.run_char, self.run_size = before[head].astype(np.int16), np.diff(np.append(head, n))
+        self.raw = np.zeros(n + 8, np.uint8)
+        self.raw[:n] = (np.maximum(code, 1) - 1).astype(np.uint8)
         place, match = sa[head], sa[np.maximum(head - 1, 0)]
+        # the transform: its runs by character and row, where each run's rows go when they are led by it, and a sample of each
+        char = before[head].astype(np.int64)
+        order = np.lexsort((head, char))
+        self.rows, self.run_char, self.run_row, self.run_size = n, char[order], head[order], np.diff(np.append(head, n))[order]
+        self.run_key, self.run_to, self.run_place = self.run_char * (n + 1) + self.run_row, np.cumsum(self.run_size) - self.run_size, place[order]
         del sa, before
         shared = self._shared(code, place, match)
         order = np.argsort(place)
@@ -331,9 +372,7 @@ class RunIndex:
 
     def _shared(self, code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at ``a`` and ``b`` begin with alike, by comparing them; below ``LENGTH`` none."""
-        raw = np.zeros(len(code) + 8, np.uint8)
-        raw[: len(code)] = (np.maximum(code, 1) - 1).astype(np.uint8)
-        words, most = _words(raw), np.minimum(self.left[a], self.left[b])
+        words, most = _words(self.raw), np.minimum(self.left[a], self.left[b])
         most[a == b] = 0  # the first row has none before it
         out, alive, k = np.zeros(len(a), np.int64), np.flatnonzero(most >= LENGTH), 0
         while len(alive):
@@ -343,6 +382,67 @@ class RunIndex:
             alive, k = alive[(x == 0) & (equal < most[alive])], k + 8
         return np.where(out >= LENGTH, out, 0)
 
+    def begin(self, string: np.ndarray) -> np.ndarray:
+        return self.stops[string] - self.sizes[string]
+
+    def _step(self, c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where ``row`` goes when it is led by the character; the first run of the character at or after it; and whether that of the row itself is one."""
+        after = np.searchsorted(self.run_key, c * (self.rows + 1) + row)
+        last = np.maximum(after - 1, 0)
+        own = (after > 0) & (self.run_char[last] == c)
+        into = row - self.run_row[last]
+        first = np.append(self.run_to, self.rows)[after]  # no run before the row: the character's first row
+        return np.where(own, self.run_to[last] + np.minimum(into, self.run_size[last]), first), after, own & (into < self.run_size[last])
+
+    def search(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Streams strings of ``data`` through the transform, from their ends: the bytes that are found at the end of an indexed string, and the place where these begin.
+
+        Each step leads all rows that match by one more byte; a sample tells the
+        place of the first.  What is left once one row matches is verified by
+        comparing bytes.
+        """
+        length, place = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        alive = np.arange(len(at))
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.sizes))
+        now = np.full(len(at), self.run_place[np.flatnonzero(self.run_row == 0)[0]])
+        k = 0
+        while len(alive):
+            k += 1
+            c = data[at[alive] + size[alive] - k].astype(np.int64) + 1
+            low, run, own = self._step(c, lo)
+            high, _, _ = self._step(c, hi)
+            fine = high > low
+            now = np.where(own, now, self.run_place[np.minimum(run, len(self.run_place) - 1)]) - 1
+            alive, lo, hi, now = alive[fine], low[fine], high[fine], now[fine]
+            length[alive], place[alive] = k, now
+            ended = size[alive] == k
+            one = (hi - lo == 1) & ~ended
+            rest, string = alive[one], self.owner[now[one]]
+            left = size[rest] - k
+            fits = now[one] - left >= self.begin(string)
+            rest, left = rest[fits], left[fits]
+            same = self._same(data, at[rest], place[rest] - left, left)
+            length[rest[same]] = size[rest[same]]
+            place[rest[same]] -= left[same]
+            if ended.any():  # of several strings with this end the one that is nothing but it, if there is one
+                whole = np.flatnonzero(ended & (hi - lo > 1))
+                _, run, _ = self._step(np.zeros(len(whole), np.int64), lo[whole])
+                run = np.minimum(run, len(self.run_row) - 1)
+                is_one = (self.run_char[run] == 0) & (self.run_row[run] < hi[whole])
+                place[alive[whole[is_one]]] = self.run_place[run[is_one]]
+            go = ~ended & (hi - lo > 1)
+            alive, lo, hi, now = alive[go], lo[go], hi[go], now[go]
+        return length, place
+
+    def _same(self, data: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether ``size`` bytes of ``data`` and of the indexed text are the same."""
+        same = np.ones(len(at), bool)
+        for k in range(0, int(size.max(initial=0)), 8):
+            for b in range(8):
+                off = np.minimum(k + b, size - 1)
+                same &= data[at + off] == self.raw[place + off]
+        return same
+
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each text place, streaming from left to right: the bytes that its suffix shares with the one before it in order, and that one's place."""
         n = len(self.owner)
@@ -383,26 +483,23 @@ def _match(sent: pa.Table) -> pa.Table:
         start = np.cumsum(size) - size
         order, head = _alike(_words(data), start, size, key, ids, block, at)
         first = head == np.arange(len(head))
-        copies = order[~first]
-        blocks.append(block[copies])
-        places.append(at[copies])
-        runs.append(size[copies] - LENGTH + 1)
-        # anchors are apart, so the strings of some at a time are indexed
-        own = order[first]
-        share = np.cumsum(size[own]) // INDEXED
-        new = np.append(True, key[own][1:] != key[own][:-1])
-        share = share[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
-        for _, i in _split(share):
-            i = own[i]
-            i = i[np.lexsort((at[i], block[i], ids[i]))]
-            take = np.repeat(start[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
-            index = RunIndex(data[take], size[i])
+        own, others = order[first], order[~first]
+        rank = np.empty(len(order), np.int64)
+        rank[np.lexsort((at, block, ids))] = np.arange(len(order))
+        for index, i, k in _indexes(lambda x: (data, start[x], size[x]), own, others, key, size, rank):
+            # strings of the index: every window that an earlier one of them has
             edge = np.flatnonzero(np.diff(np.concatenate([[False], index.repeats(), [False]]).astype(np.int8)))
             a, z = edge[::2], edge[1::2]
             string = index.owner[a]
             blocks.append(block[i][string])
-            places.append(at[i][string] + a - (index.stops[string] - index.sizes[string]))
+            places.append(at[i][string] + a - index.begin(string))
             runs.append(z - a)
+            # other blocks' copies: all windows of those that the index finds earlier
+            found, place = index.search(data, start[k], size[k])
+            k = k[(found == size[k]) & (rank[i][index.owner[place]] < rank[k])]
+            blocks.append(block[k])
+            places.append(at[k])
+            runs.append(size[k] - LENGTH + 1)
     blocks, places, runs = map(np.concatenate, (blocks, places, runs))
     rows += [(to, -1, 3, b"", _bytes(places[i]), counts(runs[i])) for to, i in _split(blocks)]
     part = _of_kind(sent, 3)
@@ -435,14 +532,14 @@ def _remove(block: pa.Table, marks: pa.Table) -> tuple[list, list, list]:
 def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
     """``docs`` (id, text, others) by block: all rows of an id in one, rows without an id by their text."""
     key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text")))
-    return docs.withColumn("block", F.pmod(key, F.lit(blocks))).repartition(blocks, "block")
+    return docs.withColumn("block", F.pmod(key, F.lit(blocks))).repartition(min(blocks, PARTITIONS), "block")
 
 
 def _told(docs: DataFrame, blocks: int) -> DataFrame:
     """The marks of all blocks, staged."""
     given = _dealt(docs.select("id", "text"), blocks)
     by = lambda df: df.groupBy("block")
-    bucketed = lambda df: df.repartition(blocks, "bucket").groupBy("bucket")
+    bucketed = lambda df: df.repartition(min(blocks, PARTITIONS), "bucket").groupBy("bucket")
     names = by(given).applyInArrow(lambda t: _name(t, blocks), SENT)
     known = staged(bucketed(names).applyInArrow(lambda t: _table(_counted(t, 2), TOLD), TOLD), "names")
     sent = by(given).cogroup(by(known)).applyInArrow(lambda t, v: _send(t, v, blocks), SENT)

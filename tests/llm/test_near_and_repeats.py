@@ -7,6 +7,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from fixtures import documents, odd_rows
@@ -176,6 +178,63 @@ def test_run_index():
     assert index.repeats().tolist() == want
 
 
+def test_search():
+    """Backward steps find how much of a string ends an indexed one, and where; a string that is indexed is found as itself."""
+    rng = random.Random(12)
+    word = lambda n: bytes(rng.choice(b"ab\0c") for _ in range(n))
+    strings = sorted({word(rng.randint(1, 14)) for _ in range(300)} | {b"abcabcabcabc" * 9, b"cabcabc" + b"abcabcabcabc" * 9, b"q"}, key=lambda s: rng.random())
+    index = repeats.RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]))
+    text = b"".join(s + b"$" for s in strings)
+    patterns = strings + [word(rng.randint(1, 20)) for _ in range(500)] + [b"z", b"zq", s[:-1] if len(s := strings[0]) > 1 else b"ab"]
+    size = np.array([len(p) for p in patterns])
+    length, place = index.search(np.frombuffer(b"".join(patterns), np.uint8), np.cumsum(size) - size, size)
+    for p, n, at in zip(patterns, length.tolist(), place.tolist(), strict=True):
+        whole = any(s.endswith(p) for s in strings)
+        assert (n == len(p)) == whole, p
+        if n:
+            owner = index.owner[at]
+            assert text[at : at + n] == p[len(p) - n :] and at + n == index.stops[owner]  # at a string's end
+        if p in strings:
+            assert strings[index.owner[at]] == p and at == index.begin(np.array([owner]))[0]
+    # a byte that no string ends with is found nowhere
+    assert length[-3] == 0
+
+
+def test_all_marks_come_from_the_index(monkeypatch):
+    """Counted: every window that goes is one of the matching statistics, or of a string that went through the transform."""
+    rng = random.Random(13)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(400))
+    texts = [base[:300], base[50:] + b"tail", base, b"new " * 9 + base[100:350], base, base[:300]]
+    blocks = [pa.table({"id": pa.array([10 * b + i for i in range(len(texts))]), "text": pa.array(texts, pa.binary()), "block": pa.array([b] * len(texts))}) for b in range(2)]
+    told = {"index": 0}
+    statistics, search = repeats.RunIndex.repeats, repeats.RunIndex.search
+
+    def counted_repeats(self):
+        out = statistics(self)
+        told["index"] += int(out.sum())
+        return out
+
+    def counted_search(self, data, at, size):
+        length, place = search(self, data, at, size)
+        told["index"] += int((size - repeats.LENGTH + 1)[length == size].sum())
+        return length, place
+
+    def marked():
+        named = pa.concat_tables([repeats._name(b, 1) for b in blocks])
+        codes = repeats._table(repeats._counted(named, 2), repeats.TOLD)
+        sent = pa.concat_tables([repeats._send(b, codes.filter(pa.compute.equal(codes.column("block"), k)), 1) for k, b in enumerate(blocks)])
+        out = repeats._match(sent)
+        at = [len(x) // 8 for x in out.column("at").to_pylist()]
+        return sum(int(repeats.uncounted(x, k).sum()) for x, k in zip(out.column("n").to_pylist(), at, strict=True))
+
+    monkeypatch.setattr(repeats.RunIndex, "repeats", counted_repeats)
+    monkeypatch.setattr(repeats.RunIndex, "search", counted_search)
+    windows = marked()
+    assert windows == told["index"]
+    monkeypatch.setattr(repeats.RunIndex, "search", lambda self, data, at, size: (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)))
+    assert 0 < marked() < windows
+
+
 def test_marks(spark):
     """A passage of 120 bytes has 21 windows, marked in all documents but the first; ids have to be integers."""
     rng = random.Random(12)
