@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import is_similar, normalized
@@ -56,17 +56,23 @@ def _walked(ins: Column, outs: Column) -> Column:
     return let(F.struct(ins["_norm"].alias("a"), outs["_norm"].alias("b")), lambda n: over(n["a"], n["b"]))
 
 
-def _fitted(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], places) -> DataFrame:
-    """(by, row_no, keep, word, matched): rows with the answers at ``places(ins, outs)``; both sides are grouped by chunk once."""
+def _by_chunk(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """(by, _ins, _outs): both sides, each grouped by chunk once."""
     # worked out below the grouping, where Spark generates code for it
     given = rows.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order(*keep, "word", "_norm", order="row_no").alias("_ins"))
     found = answers.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order("word", "_norm", order="row_no").alias("_outs"))
     chunks = given.join(found, list(by), "left")
-    chunks = chunks.withColumn("_outs", F.coalesce("_outs", F.array().cast(chunks.schema["_outs"].dataType)))
-    out = chunks.withColumn("_taken", places(F.col("_ins"), F.col("_outs"))).select(*by, F.posexplode("_ins").alias("_i", "_x"), "_outs", "_taken")
-    at = F.get("_taken", F.col("_i"))
-    kept = [F.col("_x")[c].alias(c) for c in ("row_no", *keep)]
-    return out.select(*by, *kept, F.coalesce(F.get("_outs", at)["word"], F.col("_x.word")).alias("word"), at.isNotNull().alias("matched"))
+    return chunks.withColumn("_outs", F.coalesce("_outs", F.array().cast(chunks.schema["_outs"].dataType)))
+
+
+def _fitted(chunks: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], places) -> DataFrame:
+    """(by, row_no, keep, word, matched): the rows with the answers at ``places(ins, outs)``, put together in the chunk's own row."""
+
+    def row(x, i):
+        kept = [x[c].alias(c) for c in ("row_no", *keep)]
+        return let(F.get("_taken", i), lambda at: F.struct(*kept, F.coalesce(F.get("_outs", at)["word"], x["word"]).alias("word"), at.isNotNull().alias("matched")))
+
+    return chunks.withColumn("_taken", places(F.col("_ins"), F.col("_outs"))).select(*by, F.inline(F.transform("_ins", row)))
 
 
 def repaired(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, keep: tuple[str, ...] = ("start_ms",)) -> DataFrame:
@@ -80,7 +86,7 @@ def repaired(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, keep
     The walk is a fold in the JVM over the arrays of one chunk, which has a
     bounded number of rows; chunks are independent.
     """
-    return _fitted(rows, answers, by, keep, _walked)
+    return _fitted(_by_chunk(rows, answers, by, keep), by, keep, _walked)
 
 
 def row_counts(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -117,8 +123,31 @@ def corrected(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, kee
 
     The choice is made in each chunk's row, so rows and answers are each grouped once.
     """
-    by_place = lambda ins, outs: F.when(F.size(ins) == F.size(outs), F.sequence(F.lit(0), F.size(ins) - 1)).otherwise(_walked(ins, outs))
-    return _fitted(rows, answers, by, keep, by_place).drop("matched")
+    return _fitted(_by_chunk(rows, answers, by, keep), by, keep, _by_place).drop("matched")
+
+
+def _by_place(ins: Column, outs: Column) -> Column:
+    return F.when(F.size(ins) == F.size(outs), F.sequence(F.lit(0), F.size(ins) - 1)).otherwise(_walked(ins, outs))
+
+
+def checked(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY, keep: tuple[str, ...] = ("start_ms",), strict: bool = False) -> tuple[DataFrame, Observation]:
+    """:func:`corrected` rows, and what the job that writes them sees on its way: chunks, expected, actual, mismatched, to_retry.
+
+    The metrics are those of :func:`row_counts`, summed over all chunks, without
+    a pass of their own; they can be had once an action has run over the rows.
+    With ``strict`` the first chunk with a wrong number of answers ends the job
+    (rows that are there are rows of whole chunks only in formats that commit).
+    """
+    chunks = _by_chunk(rows, answers, by, keep)
+    n, m = F.size("_ins").cast("long"), F.size("_outs").cast("long")
+    if strict:
+        where = F.concat_ws("/", *[F.col(c).cast("string") for c in by])
+        message = F.concat(F.lit("chunk "), where, F.lit(": "), n.cast("string"), F.lit(" rows expected, "), m.cast("string"), F.lit(" came"))
+        chunks = chunks.where(F.coalesce(F.assert_true(n == m, message).cast("boolean"), F.lit(True)))
+    seen = Observation()
+    bad = n != m
+    counts = [F.count(F.lit(1)).alias("chunks"), F.sum(n).alias("expected"), F.sum(m).alias("actual"), F.count_if(bad).alias("mismatched"), F.count_if(bad & (m / n < LEAST_SHARE)).alias("to_retry")]
+    return _fitted(chunks.observe(seen, *counts), by, keep, _by_place).drop("matched"), seen
 
 
 def cached_or_missing(chunks: DataFrame, cache: DataFrame, text: str = "chunk_text", prefix: str = "") -> DataFrame:

@@ -14,7 +14,7 @@ from cuemill.queries.base import half_up, query, sql, stamp, to_ms, trim
 from cuemill.queries.windows import TOP
 from cuemill.schema import ASR, PROJECT
 from cuemill.session import work_dir
-from cuemill.sources import archives, cliptext, stores, transcripts
+from cuemill.sources import archives, cliptext, documents, stores, transcripts
 from cuemill.sources.lines import percent, read_lines
 from cuemill.sources.zips import read_pieces, write_pieces
 from cuemill.streaming.progress import drained
@@ -91,6 +91,31 @@ def a04_settings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.effective_settings(stores.read_settings(spark, path)).select("transcription_language", "fps", "outro_overlap_frames", "outro_enabled", "correction_prompt")
 
 
+@query(
+    """SELECT conv_id, CASE WHEN k <> 4 THEN CASE WHEN k = 3 THEN 2 ELSE 1 END END AS version, CASE WHEN k <> 4 THEN CAST(conv_id AS VARCHAR) END AS project_id,
+              CASE WHEN k NOT IN (4, 5) THEN 'READY' END AS state, CASE WHEN k NOT IN (2, 4) THEN n * 1000 END AS duration_ms, CASE WHEN k IN (0, 1, 2, 5) THEN n END AS n_captions,
+              CASE k WHEN 2 THEN 'videoDurationMs: BIGINT expected, STRING found' WHEN 3 THEN 'captions: ARRAY expected, OBJECT found;version 2 is not known'
+                     WHEN 4 THEN 'no JSON object' WHEN 5 THEN 'state: STRING expected, ARRAY found' ELSE '' END AS errors, CASE k WHEN 2 THEN 'author,theme' ELSE '' END AS unknown
+    FROM (SELECT conv_id, conv_id % 6 AS k, count(*) AS n FROM conversations GROUP BY conv_id)"""
+)
+def a01_unchecked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of odd types, of a version that is not known, with unknown fields, and cut short."""
+    k, text = F.col("conv_id") % 6, F.to_json(F.struct("text"))
+    turns = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(text)), ",").alias("captions"))
+    pick = lambda usual, **odd: F.coalesce(*[F.when(k == int(n[1:]), v) for n, v in odd.items()], usual)
+    json = F.concat(
+        F.lit('{"version": '), pick(F.lit("1"), k1=F.lit('"1"'), k3=F.lit("2")), F.lit(', "projectId": '), pick(F.format_string('"%d"', "conv_id"), k1=F.col("conv_id").cast("string")),
+        F.lit(', "state": '), pick(F.lit('"READY"'), k5=F.lit('["READY"]')), F.lit(', "videoDurationMs": '), pick((F.col("n") * 1000).cast("string"), k1=F.format_string('"%d"', F.col("n") * 1000), k2=F.lit('"soon"')),
+        F.lit(', "captions": '), pick(F.concat(F.lit("["), "captions", F.lit("]")), k3=F.lit("{}")), F.lit(', "videoName": null'), pick(F.lit(""), k2=F.lit(', "theme": 1, "author": {}')), pick(F.lit("}"), k4=F.lit("")),
+    )
+    read = documents.read_documents(turns.select("conv_id", json.alias("json")))
+    p = F.col("project")
+    return read.select(
+        "conv_id", p["version"].alias("version"), p["projectId"].alias("project_id"), p["state"].alias("state"), p["videoDurationMs"].alias("duration_ms"),
+        F.when(p["captions"].isNotNull(), F.size(p["captions"])).cast("long").alias("n_captions"), F.array_join("errors", ";").alias("errors"), F.array_join("unknown", ",").alias("unknown"),
+    )
+
+
 def _asr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, json): words in segments of ten, in seconds; some without times or with blanks; every fifth segment without words."""
     rows = A.turns(spark, sf_dir).withColumn("seg", F.floor(F.col("pos") / 10).cast("int"))

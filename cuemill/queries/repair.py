@@ -11,6 +11,7 @@ from cuemill.operators import ordered as O
 from cuemill.operators import repair as R
 from cuemill.plans.transcripts import correct
 from cuemill.queries.base import normal, query, similar, sql, stamp
+from cuemill.session import work_dir
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +84,22 @@ def e05_answer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.answer_totals(R.row_counts(*_chunks(spark, sf_dir)))
 
 
+@query(
+    sql(
+        "chunk_rows answers",
+        f"""SELECT count(*) AS chunks, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(actual) AS BIGINT) AS actual, count_if(is_mismatch) AS mismatched, count_if(should_retry) AS to_retry,
+        CAST(sum(expected) AS BIGINT) AS written FROM ({_COUNTS})""",
+    )
+)
+def e05_observed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected rows written, and the counts that the same pass gave."""
+    path = work_dir(spark, "observed")
+    rows, seen = R.checked(*_chunks(spark, sf_dir))
+    rows.write.parquet(path)
+    names = ("chunks", "expected", "actual", "mismatched", "to_retry")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written")).select(*[F.lit(seen.get[c]).cast("long").alias(c) for c in names], "written")
+
+
 @query(sql("chunk_rows answers", "SELECT project_id, chunk_no, count_if(matched) AS matched, count(*) - count_if(matched) AS kept, count_if(matched) / count(*) AS match_ratio FROM fitted GROUP BY project_id, chunk_no", **_WALK))
 def e06_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.match_counts(R.repaired(*_chunks(spark, sf_dir)))

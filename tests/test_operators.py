@@ -330,3 +330,20 @@ def test_states_of_a_hot_session(spark, monkeypatch):
     before = [sorted(map(str, f().collect())) for f in runs]
     monkeypatch.setattr(prefix.numbered, "__defaults__", (None, None, 100))
     assert [sorted(map(str, f().collect())) for f in runs] == before
+
+
+def test_observed_corrections(spark, tmp_path):
+    """One pass gives rows and counts; the strict form ends the job and leaves nothing committed."""
+    rows = spark.createDataFrame([("a", c, i, 100 * i, f"w{i}") for c in (0, 1, 2) for i in range(10)], "project_id string, chunk_no int, row_no int, start_ms long, word string")
+    answers = rows.where("not (chunk_no = 1 and row_no = 3) and not (chunk_no = 2 and row_no > 4)").select("project_id", "chunk_no", "row_no", F.upper("word").alias("word"))
+    got, seen = X.checked(rows, answers)
+    got.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"chunks": 3, "expected": 30, "actual": 24, "mismatched": 2, "to_retry": 1}
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(X.corrected(rows, answers))
+    strict, _ = X.checked(rows, answers, strict=True)
+    with pytest.raises(Exception, match="chunk a/[12]: 10 rows expected, [59] came"):
+        strict.write.parquet(str(tmp_path / "strict"))
+    assert not (tmp_path / "strict" / "_SUCCESS").exists()
+    whole, seen = X.checked(rows, rows.select("project_id", "chunk_no", "row_no", "word"), strict=True)
+    assert whole.count() == 30 and seen.get["mismatched"] == 0

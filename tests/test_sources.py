@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuemill.session import clear_work, work_dir
-from cuemill.sources import archives, cliptext, events, lines, srt, stores, transcripts, zips
+from cuemill.sources import archives, cliptext, documents, events, lines, srt, stores, transcripts, zips
 from cuemill.streaming import progress as live
 
 
@@ -191,3 +191,17 @@ def test_download(spark):
         ("a/transcription_chunked.zip", 2, "transcription_part_2.tsv", 0, line(4)),
         ("b/transcription.tsv", 0, "", 0, four),
     ]
+
+
+def test_unchecked_documents(spark):
+    """Types that fit are read, others are errors; absent and null fields are none; other columns stay."""
+    texts = ['{"version": 1.0, "videoWidth": "640", "videoName": 7, "transcript": {"text": 5, "words": [{"word": "a", "startMs": "12"}, 3]}}', '{"captions": [], "videoHeight": "tall", "b": 1, "a": null, "state": null}', "[1]", "7", "{", "", None, '{"version": 9, "transcript": "no"}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "project int, json string").withColumnRenamed("project", "n")
+    got = {r.n: r for r in documents.read_documents(rows).collect()}
+    first = got[0].project
+    assert (first.version, first.videoWidth, first.videoName, first.state, got[0].errors, got[0].unknown) == (1, 640, "7", None, [], [])
+    assert first.transcript.text == "5" and first.transcript.words[0].startMs == 12
+    assert got[1].project.captions == [] and got[1].errors == ["videoHeight: INT expected, STRING found"] and got[1].unknown == ["a", "b"]
+    for n in (2, 3, 4, 5, 6):
+        assert (got[n].project, got[n].errors, got[n].unknown) == (None, ["no JSON object"], [])
+    assert got[7].project.version == 9 and got[7].errors == ["transcript: OBJECT expected, STRING found", "version 9 is not known"]
