@@ -148,9 +148,9 @@ CTES = (
         "requests": "SELECT user_id AS session_id, ts, event_id, CASE event_type "
         + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REQUESTS.items())
         + " END AS new_state, value - 20 AS progress FROM events",
-        "registry": """SELECT printf('p%d', event_id % 97) AS project_id, printf('/home/u/%d.lusk', event_id % 97) AS project_path,
-            CASE WHEN event_id % 97 % 3 > 0 THEN printf('Video %d', event_id % 97) END AS video_name, 'READY' AS state, printf('t%d', event_id) AS updated_at,
-            CASE WHEN event_id % 97 % 4 > 0 THEN 'picture' END AS thumbnail, ts, event_id AS entry_no FROM events""",
+        "registry": """SELECT printf('p%d', event_id // 3) AS project_id, printf('/home/u/%d.lusk', event_id // 3) AS project_path,
+            CASE WHEN event_id // 3 % 3 > 0 THEN printf('Video %d', event_id // 3) END AS video_name, 'READY' AS state, printf('t%d', event_id) AS updated_at,
+            CASE WHEN event_id // 3 % 4 > 0 THEN 'picture' END AS thumbnail, ts, event_id AS entry_no FROM events""",
     }
 )
 _NEEDS = {

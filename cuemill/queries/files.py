@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill import adapters as A
+from cuemill.functions.progress import DEFAULTS
 from cuemill.functions.timecode import probed_duration_ms, probed_size
 from cuemill.operators import projects as P
 from cuemill.operators.ordered import recent
@@ -20,6 +21,12 @@ from cuemill.sources.zips import read_pieces, write_pieces
 from cuemill.streaming.progress import drained
 
 
+def _literal(name: str) -> str:
+    """A default setting as SQL."""
+    value = DEFAULTS[name]
+    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else f"{value}::DOUBLE" if isinstance(value, (int, float)) else f"'{value}'"
+
+
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, project): a document for each conversation, with its words."""
     words = A.turns(spark, sf_dir)
@@ -83,12 +90,18 @@ def a03_registry_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("e.project_id is not null").select("e.project_id", "e.project_path", "e.video_name", "e.updated_at", "entry_no")
 
 
-@query("SELECT 'en' AS transcription_language, 23.976::DOUBLE AS fps, 4.0::DOUBLE AS outro_overlap_frames, false AS outro_enabled, 'prompt' AS correction_prompt")
+@query(
+    f"""SELECT CASE WHEN event_id % 3 = 0 THEN 'en' ELSE {_literal('transcription_language')} END AS transcription_language, CASE WHEN event_id % 4 = 0 THEN 25.0::DOUBLE ELSE {_literal('fps')} END AS fps,
+    {_literal('outro_overlap_frames')} AS outro_overlap_frames, CASE WHEN event_id % 2 = 0 THEN false ELSE {_literal('outro_enabled')} END AS outro_enabled, 'prompt ' || event_id AS correction_prompt FROM events"""
+)
 def a04_settings_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse settings written, read, and filled up with defaults."""
-    path = work_dir(spark, "settings")
-    spark.createDataFrame([('{"transcription_language": "en", "outro_enabled": false, "correction_prompt": "prompt"}',)], "value string").write.text(path)
-    return stores.effective_settings(stores.read_settings(spark, path)).select("transcription_language", "fps", "outro_overlap_frames", "outro_enabled", "correction_prompt")
+    """Sparse settings, one for each event, written, read, and filled up with defaults."""
+    path, n = work_dir(spark, "settings"), F.col("event_id")
+    rows = A.table(spark, sf_dir, "events").select(
+        F.when(n % 3 == 0, "en").alias("transcription_language"), F.when(n % 4 == 0, 25.0).alias("fps"), F.when(n % 2 == 0, False).alias("outro_enabled"), F.concat(F.lit("prompt "), n).alias("correction_prompt")
+    )
+    rows.write.json(path)  # what is null is left out
+    return stores.effective_settings(stores.read_settings(spark, path, lines=True)).select("transcription_language", "fps", "outro_overlap_frames", "outro_enabled", "correction_prompt")
 
 
 @query(

@@ -251,12 +251,17 @@ FONT_ROWS = ", ".join(f"('{k}', {v})" for k, v in FONTS.items())
 
 
 @query(
-    f"""SELECT name, wanted, w AS weight FROM (SELECT name, wanted, w, row_number() OVER (PARTITION BY name, wanted ORDER BY abs(w - wanted), w) AS r
-    FROM (SELECT name, unnest(weights) AS w, wanted FROM (VALUES {FONT_ROWS}) AS f(name, weights), (SELECT CAST(unnest(range(350, 1000, 50)) AS INTEGER) AS wanted))) WHERE r = 1"""
+    f"""WITH f AS (SELECT name, weights, row_number() OVER (ORDER BY name) - 1 AS n FROM (VALUES {FONT_ROWS}) AS v(name, weights)),
+    e AS (SELECT event_id, CAST(350 + event_id % 13 * 50 AS INTEGER) AS wanted, event_id // 13 % {len(FONTS)} AS n FROM events)
+    SELECT event_id, name, wanted, (list_min([{{'d': abs(w - wanted), 'i': i, 'w': w}} for w, i in weights])).w AS weight FROM e JOIN f USING (n)"""
 )
 def b34_nearest_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fonts(spark).withColumn("wanted", F.explode(F.sequence(F.lit(350), F.lit(950), F.lit(50))))
-    return rows.select("name", "wanted", C.nearest_weight("weights", "wanted").alias("weight"))
+    """A font and a wanted weight for each event."""
+    n = F.col("event_id")
+    names = F.array(*map(F.lit, sorted(FONTS)))
+    rows = A.table(spark, sf_dir, "events").select("event_id", (350 + n % 13 * 50).cast("int").alias("wanted"), F.get(names, F.floor(n / 13) % len(FONTS)).alias("name"))
+    found = rows.join(F.broadcast(fonts(spark)), "name")  # a fixed table
+    return found.select("event_id", "name", "wanted", C.nearest_weight("weights", "wanted").alias("weight"))
 
 
 MESSAGES = ("Got 503 from server", "status UNAVAILABLE", "429 too many", "RESOURCE_EXHAUSTED", "Chunk validation failed", "Chunk 1/2 row mismatch: expected 250, got 3.", "other")
@@ -273,13 +278,18 @@ def b35_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"retryable": P.is_retryable("message"), "mismatch": P.is_row_mismatch("message"), "kind": P.failure_kind("message")})
 
 
+_STATES, _VIEWS = ["IDLE", "UPLOADING", "TRANSCRIBING", "ALIGNING", "READY"], ["clips", "review"]
+
+
 @query(
-    f"""SELECT state, view, step, CASE WHEN s < a THEN 'done' WHEN s = a THEN 'active' ELSE 'pending' END AS status FROM (
-    SELECT state, view, step, coalesce(list_position({STEPS}, step), 0) AS s, coalesce(list_position({STEPS}, CASE WHEN state = 'READY' THEN CASE view WHEN 'clips' THEN 'CLIPS' ELSE 'REVIEW' END ELSE state END), 0) AS a
-    FROM (SELECT unnest(['IDLE', 'UPLOADING', 'TRANSCRIBING', 'ALIGNING', 'READY']) AS state), (SELECT unnest(['clips', 'review']) AS view), (SELECT unnest({STEPS}) AS step))"""
+    f"""SELECT event_id, state, view, step, CASE WHEN s < a THEN 'done' WHEN s = a THEN 'active' ELSE 'pending' END AS status FROM (
+    SELECT *, coalesce(list_position({STEPS}, step), 0) AS s, coalesce(list_position({STEPS}, CASE WHEN state = 'READY' THEN CASE view WHEN 'clips' THEN 'CLIPS' ELSE 'REVIEW' END ELSE state END), 0) AS a
+    FROM (SELECT event_id, {_STATES}[event_id % 5 + 1] AS state, {_VIEWS}[event_id // 5 % 2 + 1] AS view, {STEPS}[event_id // 10 % {len(STEPS)} + 1] AS step FROM events))"""
 )
 def b36_step_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s, v, x) for s in ("IDLE", "UPLOADING", "TRANSCRIBING", "ALIGNING", "READY") for v in ("clips", "review") for x in STEPS], "state string, view string, step string")
+    """A state, a view and a step for each event."""
+    n, pick = F.col("event_id"), lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    rows = A.table(spark, sf_dir, "events").select("event_id", pick(_STATES, n % 5).alias("state"), pick(_VIEWS, F.floor(n / 5) % 2).alias("view"), pick(STEPS, F.floor(n / 10) % len(STEPS)).alias("step"))
     return rows.withColumn("status", P.step_status("step", P.active_step("state", "view")))
 
 

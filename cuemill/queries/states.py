@@ -196,9 +196,9 @@ def d02_download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.download_names(files, named)
 
 
-@query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0)")
+@query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT event_id * 3 FROM events)")
 def d03_orphaned_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = A.table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("page_id"))
+    registry = A.table(spark, sf_dir, "events").select((F.col("event_id") * 3).alias("page_id"))
     return P.orphaned(A.table(spark, sf_dir, "pages").select("page_id"), registry, "page_id")
 
 

@@ -32,9 +32,9 @@ def write_registry(entries: DataFrame, path: str, order: str = "rank") -> None:
     registry_text(entries, order).write.mode("overwrite").text(path)
 
 
-def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """The one row of settings as written, sparse."""
-    return spark.read.schema(SETTINGS).json(path, multiLine=True)
+def read_settings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Settings as written, sparse (A04): a row for each file, or for each of its lines."""
+    return spark.read.schema(SETTINGS).json(path, multiLine=not lines)
 
 
 def effective_settings(settings: DataFrame) -> DataFrame:
