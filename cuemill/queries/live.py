@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuemill import adapters as A
 from cuemill.adapters import REQUESTS
 from cuemill.functions.progress import clamped
-from cuemill.queries.base import query, sql
+from cuemill.queries.base import ORACLE_SQL, query, sql
 from cuemill.queries.states import RUN, STEPS
 from cuemill.session import work_dir
 from cuemill.sources.events import event_text, parse_events
@@ -93,6 +93,16 @@ def a18_live_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("session_id", "subscriber", "kind", "event_id", "event.progress", "event.message")
 
 
+@query(ORACLE_SQL["i07_accepted_renders"])
+def i07_stream_accepted_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts that are accepted while the same clip is not under way (I07), whatever batches they come in."""
+    at = work_dir(spark, "renders")
+    rows, delay = _files(spark, sf_dir, at)
+    kind = F.when(F.col("event_type") == "purchase", "done").otherwise("start")
+    requests = rows.select("session_id", "ts", "event_id", F.concat(F.lit("clip"), F.col("event_id") % 4).alias("render_key"), kind.alias("kind"))
+    return drained(live.accepted_renders(requests, delay), f"{at}/out", f"{at}/log")
+
+
 _INDEX = "CAST(right({}, 1) AS INTEGER) + 1"
 
 

@@ -202,6 +202,34 @@ def subscriptions(events: DataFrame, connections: DataFrame, delay: str) -> Data
     return both.groupBy("session_id").transformWithState(Listeners(), out, "Append", "EventTime")
 
 
+class Renders(InOrder):
+    """The clips of a session that are being rendered."""
+
+    fields, state = record(render_key=TEXT, kind=TEXT), record(event_id=LONG)
+
+    def init(self, handle):
+        super().init(handle)
+        self.running = handle.getMapState("running", record(render_key=TEXT), record(since_us=LONG))
+
+    def take(self, key, us, event_id, row, deadline):
+        clip, kind = row
+        if kind == "done":
+            self.running.removeKey((clip,))
+            return [], None
+        accepted = not self.running.containsKey((clip,))
+        if accepted:
+            self.running.updateValue((clip,), (us,))
+        return [Row(session_id=key[0], render_key=clip, event_id=event_id, accepted=accepted)], None
+
+
+def accepted_renders(requests: DataFrame, delay: str) -> DataFrame:
+    """(session_id, render_key, event_id, accepted): the starts of a stream of requests (session_id, ts, event_id, render_key, kind).
+
+    A start is accepted unless the same clip is being rendered; ``done`` ends that.
+    """
+    return ordered(requests, "session_id", Renders(), "session_id BIGINT, render_key STRING, event_id BIGINT, accepted BOOLEAN", delay)
+
+
 class Queue(InOrder):
     """A session's clips, rendered one after another; the list holds those that wait."""
 
