@@ -9,12 +9,25 @@ from pyspark.sql.window import Window as W
 from cuemill.functions.text import SPACE, ends_with_punctuation, is_bound_word, is_break_word, trim
 from cuemill.operators.arrays import cut, fold_starts, in_order, let
 from cuemill.operators.ordered import with_islands
+from cuemill.operators.scan import runs_of, starts_of, with_entries
 
 LINE_CHARS, BLOCK_CHARS, FEWEST_WORDS = 42, 84, 4
 
 
-def _islands(captions: DataFrame, lang: str, key: str) -> DataFrame:
-    """One row per silence island: (key, island, rows, starts), where ``starts`` are the places of its blocks' first words."""
+def _next_block(rows: list[dict], i: int) -> int:
+    """Where the block after the one that begins at row ``i`` begins, or the number of rows."""
+    n, size, punct = 1, rows[i]["len"], rows[i]["punct"]
+    for j in range(i + 1, len(rows)):
+        x = rows[j]
+        size += 1 + x["len"]
+        if size > BLOCK_CHARS or (n >= FEWEST_WORDS and size > LINE_CHARS and (punct or x["brk"]) and not x["bound"]):
+            return j
+        n, punct = n + 1, x["punct"]
+    return len(rows)
+
+
+def _islands(captions: DataFrame, lang: str, key: str, run: int | None) -> DataFrame:
+    """One row per silence island, or run of one: (key, rows, starts), where ``starts`` are the places of its blocks' first words."""
     bare = captions.select(key, "pos", trim("text").alias("text"), "start_ms", "end_ms")
     rows = with_islands(bare, key=key).select(
         "*",
@@ -23,7 +36,7 @@ def _islands(captions: DataFrame, lang: str, key: str) -> DataFrame:
         is_bound_word("text", lang).alias("bound"),
         ends_with_punctuation("text").alias("punct"),
     )
-    islands = rows.groupBy(key, "island").agg(in_order("text", "start_ms", "end_ms", "len", "brk", "bound", "punct").alias("rows"))
+    cols = ("text", "start_ms", "end_ms", "len", "brk", "bound", "punct")
 
     def begins(s, x):
         size = s["size"] + 1 + x["len"]  # three small integers: cheaper again than bound
@@ -34,10 +47,15 @@ def _islands(captions: DataFrame, lang: str, key: str) -> DataFrame:
         return {"n": F.when(new, 1).otherwise(s["n"] + 1), "size": F.when(new, x["len"]).otherwise(s["size"] + 1 + x["len"]), "punct": x["punct"]}
 
     state = {"n": F.lit(0), "size": F.lit(0), "punct": F.lit(False)}
+    if run:
+        # a word adds a character at least, if only the space before it
+        runs = runs_of(rows, key, run, BLOCK_CHARS + 1, *cols)
+        return starts_of(with_entries(runs, key, BLOCK_CHARS + 1, _next_block, "len", "brk", "bound", "punct"), begins, state, step)
+    islands = rows.groupBy(key, "island").agg(in_order(*cols).alias("rows"))
     return islands.select(key, "island", "rows", fold_starts(F.col("rows"), begins, state, step).alias("starts"))
 
 
-def group_blocks(captions: DataFrame, lang: str = "en", key: str = "project_id") -> DataFrame:
+def group_blocks(captions: DataFrame, lang: str = "en", key: str = "project_id", run: int | None = None) -> DataFrame:
     """Subtitle blocks of captions (key, pos, text, start_ms, end_ms): (key, block_no, text, start_ms, end_ms, first_pos, n_words).
 
     A word begins a block after a silence of over a second; if the block would
@@ -45,10 +63,13 @@ def group_blocks(captions: DataFrame, lang: str = "en", key: str = "project_id")
     than a line, and either the word before ends with punctuation or this is a
     word that lines may begin with, unless the word is bound to the one before.
     The decision depends on the block so far, so it is a fold; silences end
-    blocks in any case, so each island of speech is folded by itself.
+    blocks in any case, so each island of speech is folded by itself.  Where
+    speakers may never pause, ``run`` bounds the words of an array: longer
+    islands are cut into runs (more than a block's words each), which are walked
+    in parallel from all places where a block may enter them.
     """
     words = F.explode(cut(F.col("rows"), F.col("starts"))).alias("w")
-    blocks = _islands(captions, lang, key).select(key, words).select(
+    blocks = _islands(captions, lang, key, run).select(key, words).select(
         key,
         F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"),
         F.get("w", F.lit(0))["start_ms"].alias("start_ms"),

@@ -347,3 +347,22 @@ def test_observed_corrections(spark, tmp_path):
     assert not (tmp_path / "strict" / "_SUCCESS").exists()
     whole, seen = X.checked(rows, rows.select("project_id", "chunk_no", "row_no", "word"), strict=True)
     assert whole.count() == 30 and seen.get["mismatched"] == 0
+
+
+@pytest.mark.parametrize("run", [100, 137, 1000])
+def test_blocks_of_speech_that_never_pauses(spark, run):
+    """Runs give the blocks of one fold: islands of all sizes, ends beside a run's end, empty words; no array is longer than a run and a block."""
+    rng = random.Random(run)
+    words = ["but", "a", "I", "of", "which", "harbour,", "night.", "x", "", "incomprehensibilities", "and", "sea"]
+    rows = []
+    for k, (n, pause) in enumerate([(3000, 0), (900, 0.01), (99, 0), (100, 0), (101, 0), (185, 0), (186, 0), (1, 0), (400, 0.3)]):
+        at = 0
+        for i in range(n):
+            rows.append((f"p{k}", 3 * i, rng.choice(words), at, at + 100))
+            at += 100 + (2000 if rng.random() < pause else 0)
+    df = spark.createDataFrame(rows, "project_id string, pos int, text string, start_ms long, end_ms long").repartition(3)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(B.group_blocks(df, run=run)) == key(B.group_blocks(df))
+    path = [p for _, p in session._WORK if "/runs-" in p][-1]
+    sizes = spark.read.parquet(path).agg(F.max(F.size("rows")), F.count(F.lit(1)), F.count_if("cut")).first()
+    assert sizes[0] <= run + B.BLOCK_CHARS + 1 and sizes[1] > sizes[2] > 2
