@@ -42,6 +42,17 @@ def g01_subtitle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.group_blocks(A.captions(spark, sf_dir))
 
 
+_UNBROKEN = {"unbroken": "SELECT project_id, pos, text, pos * CAST(100 AS BIGINT) AS start_ms, (pos + 1) * CAST(100 AS BIGINT) AS end_ms FROM captions"}
+_UNBROKEN |= _FOLD | {"marked": _FOLD["marked"].replace("FROM captions", "FROM unbroken")}
+
+
+@query(sql("captions", "SELECT project_id, block_no, text, start_ms, end_ms, first_pos, n_words FROM blocks", **_UNBROKEN))
+def g01_unbroken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the same words without any pause, in runs of at most 500 words."""
+    pos = F.col("pos").cast("long")
+    return B.group_blocks(A.captions(spark, sf_dir).withColumns({"start_ms": pos * 100, "end_ms": (pos + 1) * 100}), run=500)
+
+
 @query(sql("captions", "SELECT project_id, cue_no, \"start\", \"end\", text FROM cues", **_CUES))
 def a10_srt_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.srt_cues(B.group_blocks(A.captions(spark, sf_dir)))
