@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import sliced
+from cuemill.llm.common import free_names, sliced
 
 BAR = "▁"
 
@@ -200,17 +200,17 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` plus ``decoded``: the library's decode() of the column ``ids``; null counts as no ids.
 
-    A table that has a column ``decoded`` already is refused with a ValueError.
+    Where the table has a column of that name, in any case, the new one gets
+    underscores in front.  Rows are independent; an empty table gives no rows.
     """
     names = encoded.columns
-    if "decoded" in [c.lower() for c in names]:
-        raise ValueError("there is a column decoded already")
+    (out,) = free_names(encoded, "decoded")
 
     def batches(parts):
         sp = encoder(model_path).sp
         for b in sliced(parts, names.index("ids"), rows=500):
             texts = sp.decode(_rows(b.column(names.index("ids"))), num_threads=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(batches, schema + ", decoded string")
+    return encoded.mapInArrow(batches, f"{schema}, {out} string")

@@ -38,6 +38,54 @@ def test_forward_backward():
     assert np.allclose(pairs, want_pairs) and math.isclose(log_z, total)
 
 
+def plain_features(word: bytes, lexicon: dict) -> list[int]:
+    """Each n-gram of the word between spaces by itself, then the lexicon's feature."""
+    word = word.lower().strip(langid.EDGES)
+    marked, out, mask = b" " + word + b" ", [], (1 << 64) - 1
+    for k, n in enumerate(langid.SIZES):
+        # n-grams begin at the space before the word at first, and inside or at the end of it at last
+        for i in range(len(word) + 1):
+            gram = marked[i : i + n]
+            if len(gram) == n:
+                x = 0
+                for b in gram:
+                    x = (x * 257 + b) & mask
+                x = x * int(langid._MUL) & mask
+                x = (x ^ x >> 31) * int(langid._MUL) & mask
+                out.append((x >> 50) + k * langid.BUCKETS)
+    return [*out, lexicon.get(word, 0) + len(langid.SIZES) * langid.BUCKETS]
+
+
+def test_features():
+    """Affixes, inner n-grams and lexicon of words, one by one."""
+    words = ["Haus,", "é", "x", "(the)", "...", "12", "schön!", "queue", "\U0001f600a"]
+    words = [w.encode() for w in words]
+    feats, firsts = langid._features(words, {b"the": 2, b"queue": 1})
+    got = [sorted(x) for x in np.split(feats, firsts[1:])]
+    assert got == [sorted(plain_features(w, {b"the": 2, b"queue": 1})) for w in words]
+
+
+def test_prediction(spark):
+    """A fitted field's predictions by a plain forward and backward pass, word by word."""
+    rows = [(i, speech(k, 48, i), k, None) for i, k in enumerate(["aa", "bb", "cc"] * 12)]
+    field = langid.train(documents(spark, rows), rows=10)
+    asked = [(100, speech("aa", 16, 70) + " 12 -- " + speech("cc", 24, 71), None, None), (101, "Lone", None, None), (102, "!! lomi ?? schtz", None, None)]
+    got = {r.doc_id: r for r in langid.identify(documents(spark, asked), field).collect()}
+    move, start = np.exp(field.move), np.exp(field.start)
+    for i, text, _, _ in asked:
+        words = text.encode().split()
+        scores = [field.weights[plain_features(w, field.lexicon)].sum(0, dtype=float) if langid._has_letter(w) else np.zeros(len(field.labels)) for w in words]
+        emit = [np.exp(x - x.max()) for x in scores]
+        ahead, back = [start * emit[0]], [np.ones(len(field.labels))]
+        for e in emit[1:]:
+            ahead.append(ahead[-1] / ahead[-1].sum() @ move * e)
+        for e in emit[:0:-1]:
+            back.insert(0, move @ (e * back[0] / back[0].sum()))
+        p = np.array(ahead) * np.array(back)
+        p = (p / p.sum(1, keepdims=True))[[langid._has_letter(w) for w in words]].mean(0)
+        assert got[i].lang_pred == field.labels[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-5
+
+
 def test_code_switching(spark):
     """Spans of a text in two languages; the model sees only whole documents of one."""
     rows = [(i, speech(k, 80, i), k, None) for i, k in enumerate(["aa", "bb", "cc"] * 30)]

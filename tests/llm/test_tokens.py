@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from fixtures import documents, odd_rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cuemill.llm import packing, pieces, queries
@@ -176,3 +177,11 @@ def test_empty(spark):
     empty = documents(spark, [])
     assert packing.pack_documents(empty, WORD).count() == 0
     assert pieces.decode_documents(pieces.encode_documents(empty, PIECE), PIECE).count() == 0
+
+
+def test_decoded_beside_another_column(spark):
+    """A column of the same name stays; the new one has another name."""
+    df = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, Decoded string")
+    coded = pieces.encode_documents(df, queries.PIECE_MODEL).withColumn("Decoded", F.lit("old"))
+    row = pieces.decode_documents(coded, queries.PIECE_MODEL).first()
+    assert (row["Decoded"], row["_decoded"]) == ("old", "a b")
