@@ -20,6 +20,31 @@ from cuemill.schema import FLAG, INT, LONG, TEXT, TRANSITIONS, record
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Held:
+    """A value state that is read and written once for each timer, however many rows it covers: each call goes to the state store's process."""
+
+    def __init__(self, state):
+        self.state, self.value, self.known, self.changed = state, None, False, False
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.value, self.known = self.state.get(), True
+        return self.value
+
+    def update(self, value: tuple | None) -> None:
+        self.value, self.known, self.changed = value, True, True
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def flush(self) -> None:
+        if self.changed and self.value is None:
+            self.state.clear()
+        elif self.changed:
+            self.state.update(self.value)
+        self.value, self.known, self.changed = None, False, False
+
+
 class InOrder(StatefulProcessor):
     """Calls :meth:`take` for each row of a key by (ts, event_id), and :meth:`due` for a deadline that came before the next row.
 
@@ -33,7 +58,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", record(us=LONG, event_id=LONG, no=LONG), self.fields)
         self.clock = handle.getValueState("clock", record(timer=LONG, no=LONG, deadline=LONG))
-        self.now = handle.getValueState("now", self.state)
+        self.now = _Held(handle.getValueState("now", self.state))
         self.names = self.fields.names
 
     def take(self, key: tuple, us: int, event_id: int, row: tuple, deadline: int | None) -> tuple[list[Row], int | None]:
@@ -81,6 +106,7 @@ class InOrder(StatefulProcessor):
         if timer is not None:
             self.handle.registerTimer(timer)
         self.clock.update((timer, no, deadline))
+        self.now.flush()
 
     def _moved(self, old: int | None, new: int) -> int:
         if old is not None:
