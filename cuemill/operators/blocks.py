@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuemill.functions.text import SPACE, ends_with_punctuation, is_bound_word, is_break_word, trim
+from cuemill.functions.text import SPACE_CLASS, ends_with_punctuation, is_bound_word, is_break_word, trim
 from cuemill.operators.arrays import cut, fold_starts, in_order, let
 from cuemill.operators.ordered import with_islands
 from cuemill.operators.scan import runs_of, starts_of, with_entries
@@ -124,4 +124,4 @@ def wrapped(text: Column | str, lang: str = "en", line: int = LINE_CHARS) -> Col
 
         return let(F.array_min(_candidates(words, F.length(text), lang, line))["i"], at)
 
-    return F.when(F.length(text) <= line, text).otherwise(let(F.split(text, SPACE + "+"), split))
+    return F.when(F.length(text) <= line, text).otherwise(let(F.split(text, SPACE_CLASS + "+"), split))

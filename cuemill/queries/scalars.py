@@ -12,6 +12,7 @@ from cuemill.functions import text as T
 from cuemill.functions import timecode as M
 from cuemill.queries.base import half_up, is_bound, is_break, normal, number, punctuated, query, similar, sql, stamp, strict_ms, to_ms, trim
 from cuemill.schema import FONTS, FRAME_RATES, STEPS, fonts
+from cuemill.session import dealt
 from cuemill.sources.stores import effective_settings
 
 
@@ -227,13 +228,14 @@ TOKENS = f"list_concat({_FOUND}, [''])[1:{_WIDE}]"
 
 
 def _wide() -> Column:
-    words = F.regexp_extract_all("text", F.lit(f"({T.SPACE}*[^{T.SPACE[1:-1]}]+)"), F.lit(1))
+    words = F.regexp_extract_all("text", F.lit(T.WORD), F.lit(1))
     return F.greatest(F.size(words) + F.col("doc_id") % 3 - 1, F.lit(0))
 
 
 @query(f"SELECT doc_id, array_to_string({TOKENS}, '|') AS tokens FROM documents")
 def b32_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens("text", _wide()), "|").alias("tokens"))
+    texts = dealt(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select("doc_id", F.array_join(T.tokens("text", _wide()), "|").alias("tokens"))
 
 
 @query(
@@ -242,7 +244,8 @@ def b32_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b33_caption_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = T.tokens("text", _wide()), T.tokens(F.replace("text", F.lit("e"), F.lit("E")), _wide())
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", old.alias("a"), new.alias("b"))
+    texts = dealt(A.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")  # the file may be one split
+    rows = texts.select("doc_id", old.alias("a"), new.alias("b"))
     edits = F.map_entries(T.caption_edits("a", "b", F.lit(100)))
     return rows.select("doc_id", F.array_join(F.transform(edits, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("edits"))
 

@@ -113,3 +113,26 @@ def test_wrapped(spark, text):
 def test_probed_duration_of_zero(spark, told, log, ms):
     json = '{"format": {"duration": "%s"}}' % told if told else "{}"
     assert one(spark, M.probed_duration_ms("json", "log"), json=json, log=log) == ms
+
+
+def test_white_space_is_the_same_in_each_form(spark):
+    """The class that Java looks up, the signs one by one, and the class that SQL has."""
+    signs = spark.range(1, 0xFFFE).where("id < 55296 or id > 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    ways = [F.col("c").rlike(f"^{T.SPACE}"), F.col("c").rlike(f"^{T.SPACE_CLASS}"), T.trim("c") == ""]
+    assert signs.where((ways[0] != ways[1]) | (ways[0] != ways[2])).count() == 0 and signs.where(ways[0]).count() == len(T.SPACES) == 25
+    # a sign that Java takes for a line's end is none of them
+    assert one(spark, T.trim("c"), c="a \u0085") == "a \u0085" and not one(spark, T.ends_with_punctuation("c"), c="a.\u0085")
+
+
+def test_words_are_dealt_by_bytes_of_input(spark, tmp_path, monkeypatch):
+    """More files' bytes make more partitions, which adaptive execution leaves as they are; a small input is dealt as it was."""
+    from cuemill import adapters, session
+
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" ")), 20).alias("text"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    size = session.input_bytes(adapters.table(spark, str(tmp_path), "documents"))
+    assert size == sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    parts = lambda: adapters.words(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+    assert parts() <= 4
+    monkeypatch.setattr(session, "DEALT_BYTES", size // 40)
+    assert parts() >= 35
