@@ -1,4 +1,4 @@
-"""Streams that keep order by event-time timers (I03, I04, I05, I08, A18), over files in shuffled order, one to a batch."""
+"""Streams that keep order by event-time timers (I03, I04, I05, I08, A18), over files in shuffled order, a slice of time to a batch."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from cuemill.queries.states import RUN, STEPS
 from cuemill.session import work_dir
 from cuemill.sources.events import event_text, parse_events
 from cuemill.streaming import ordered as live
-from cuemill.streaming.progress import drained, read_progress
+from cuemill.streaming.progress import drained as run_out, read_progress
 
 #: Files that the events' time is cut into.
 SLICES = 6
@@ -31,17 +31,31 @@ def shuffled(events: DataFrame, path: str) -> str:
     step = max((hi - lo) // SLICES, 1)
     delay = 2 * math.ceil(step / 1_000_000) + 1
     no = F.least(F.floor((F.unix_micros("ts") - lo) / step), F.lit(SLICES - 1)) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    files = events.sparkSession.sparkContext.defaultParallelism
     for k in range(SLICES + 1):
-        events.where(no == k).write.mode("append").parquet(path)
+        events.where(no == k).repartition(files).write.mode("append").parquet(path)
     events.limit(1).withColumn("ts", F.timestamp_micros(F.lit(hi + 2 * delay * 1_000_000))).write.mode("append").parquet(path)
     return f"{delay} seconds"
 
 
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """:func:`cuemill.streaming.progress.drained`, with a partition of state for each core: every batch opens and commits them all."""
+    spark, name = stream.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        return run_out(stream, path, checkpoint)
+    finally:
+        spark.conf.set(name, before)
+
+
 def _files(spark: SparkSession, sf_dir: str, at: str, where: str = "true", name: str = "events") -> tuple[DataFrame, str]:
     """The events as a stream over shuffled files, and the delay that its order needs."""
     rows = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).where(where)
     delay = shuffled(rows, f"{at}/{name}")
-    return read_progress(spark, f"{at}/{name}", maxFilesPerTrigger="1").withColumnRenamed("user_id", "session_id"), delay
+    # a slice is a batch, whatever files the events come in
+    files = str(spark.sparkContext.defaultParallelism)
+    return read_progress(spark, f"{at}/{name}", maxFilesPerTrigger=files).withColumnRenamed("user_id", "session_id"), delay
 
 
 @query(sql("requests", STEPS, **RUN))

@@ -1,147 +1,106 @@
 """Keyed stream processors that take a key's rows in order of event time, whatever batches they come in.
 
-Rows wait in a map state, one entry each, until the watermark has passed them;
-then they are read one after another, in order, and folded into the key's other
-state.  A key has one timer, set to the earliest thing that it waits for: a row,
-or a deadline of the processor's own, which later rows may move or cancel.
+Rows wait in the key's state until the watermark has passed them; then they are
+read one after another, in order, and folded into the key's value.  A key has
+one timer, set to the earliest thing that it waits for: a row, or a deadline of
+the processor's own, which later rows may move or cancel.  A key's state is read
+and written once a batch, whole, so that a row costs no call to the state store.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType
 
-from cuemill.schema import FLAG, INT, LONG, TEXT, TRANSITIONS, record
+from cuemill.schema import FLAG, LONG, TEXT, TRANSITIONS, record
 
-#: The state store that keeps timers and maps on disk.
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+def _values(column: pd.Series, whole: bool) -> list:
+    """A column's values; whole numbers among nulls come as fractions."""
+    values = column.astype(object).where(column.notna(), None).tolist()
+    return [None if x is None else int(x) for x in values] if whole else values
 
-class _Held:
-    """A value state that is read and written once for each timer, however many rows it covers: each call goes to the state store's process."""
 
-    def __init__(self, state):
-        self.state, self.value, self.known, self.changed = state, None, False, False
-
-    def get(self) -> tuple | None:
-        if not self.known:
-            self.value, self.known = self.state.get(), True
-        return self.value
-
-    def update(self, value: tuple | None) -> None:
-        self.value, self.known, self.changed = value, True, True
-
-    def clear(self) -> None:
-        self.update(None)
-
-    def flush(self) -> None:
-        if self.changed and self.value is None:
-            self.state.clear()
-        elif self.changed:
-            self.state.update(self.value)
-        self.value, self.known, self.changed = None, False, False
-
-
-class InOrder(StatefulProcessor):
+class InOrder:
     """Calls :meth:`take` for each row of a key by (ts, event_id), and :meth:`due` for a deadline that came before the next row.
 
-    ``fields``: what is kept of a row, as a schema.  ``state``: the schema of
-    one value of the key.  Rows that are equal in all columns are taken each.
+    ``fields``: what is kept of a row, as a schema; ``out``: the rows that come
+    out.  A key's value is any value that can be pickled, null at first.  Rows
+    that are equal in all columns are taken each.
     """
 
-    fields, state = record(), record()
+    fields, out = record(), ""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", record(us=LONG, event_id=LONG, no=LONG), self.fields)
-        self.clock = handle.getValueState("clock", record(timer=LONG, no=LONG, deadline=LONG))
-        self.now = _Held(handle.getValueState("now", self.state))
-        self.names = self.fields.names
-
-    def take(self, key: tuple, us: int, event_id: int, row: tuple, deadline: int | None) -> tuple[list[Row], int | None]:
-        """The rows to emit, and the new deadline (microseconds), if any."""
+    def take(self, key: tuple, us: int, event_id: int, row: tuple, value, deadline: int | None) -> tuple[list[tuple], object, int | None]:
+        """The rows to emit, the key's new value, and the new deadline (microseconds), if any."""
         raise NotImplementedError
 
-    def due(self, key: tuple, us: int) -> list[Row]:
-        """The rows to emit when the deadline ``us`` has passed."""
-        return []
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        timer, no, deadline = self.clock.get() or (None, 0, None)
-        for r in rows:
-            self.waiting.updateValue((r["us"], r["event_id"], no), tuple(r[n] for n in self.names))
-            no += 1
-            if timer is None or r["us"] // 1000 < timer:
-                timer = self._moved(timer, r["us"] // 1000)
-        self.clock.update((timer, no, deadline))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        clock = self.clock.get()
-        if not clock or clock[0] != expiredTimerInfo.getExpiryTimeInMs():
-            return  # it was moved in this very batch
-        mark = timerValues.getCurrentWatermarkInMs()
-        _, no, deadline = clock
-        ahead = None
-        for at in sorted(self.waiting.keys()):
-            us, event_id, _ = at
-            if us // 1000 >= mark:
-                ahead = us
-                break
+    def due(self, key: tuple, us: int, value) -> tuple[list[tuple], object]:
+        """The rows to emit when the deadline ``us`` has passed, and the key's new value."""
+        return [], value
+
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        no, deadline, waiting, value = pickle.loads(state.get[0]) if state.exists else (0, None, [], None)
+        whole = [isinstance(f.dataType, LongType) for f in self.fields]
+        for frame in frames:
+            rows = list(zip(*(_values(frame[f.name], w) for f, w in zip(self.fields, whole, strict=True)), strict=True))
+            for us, event_id, row in zip(_values(frame["us"], True), _values(frame["event_id"], True), rows, strict=True):
+                waiting.append((us, event_id, no, row))
+                no += 1
+        waiting.sort(key=lambda x: x[:3])
+        mark, at, out = state.getCurrentWatermarkMs(), 0, []
+        while at < len(waiting) and waiting[at][0] // 1000 < mark:
+            us, event_id, _, row = waiting[at]
             if deadline is not None and deadline <= us:
-                yield from self.due(key, deadline)
-                deadline = None
-            row = self.waiting.getValue(at)
-            self.waiting.removeKey(at)
-            out, deadline = self.take(key, us, event_id, row, deadline)
-            yield from out
+                told, value = self.due(key, deadline, value)
+                out += told
+            told, value, deadline = self.take(key, us, event_id, row, value, deadline if deadline is None or deadline > us else None)
+            out += told
+            at += 1
         if deadline is not None and deadline // 1000 < mark:
-            yield from self.due(key, deadline)
-            deadline = None
-        nexts = [x // 1000 for x in (ahead, deadline) if x is not None]
-        timer = min(nexts) if nexts else None
-        if timer is not None:
-            self.handle.registerTimer(timer)
-        self.clock.update((timer, no, deadline))
-        self.now.flush()
-
-    def _moved(self, old: int | None, new: int) -> int:
-        if old is not None:
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(new)
-        return new
-
-    def close(self) -> None:
-        pass
-
-
-def ordered(rows: DataFrame, key: str, processor: InOrder, out: str, delay: str) -> DataFrame:
+            told, value = self.due(key, deadline, value)
+            out, deadline = out + told, None
+        waiting = waiting[at:]
+        state.update((pickle.dumps((no, deadline, waiting, value)),))
+        nexts = [x for x in (waiting[0][0] if waiting else None, deadline) if x is not None]
+        if nexts:
+            state.setTimeoutTimestamp(max(min(nexts) // 1000, 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(",")], dtype=object)
+
+
+def _run(timed: DataFrame, key: str, processor: InOrder) -> DataFrame:
+    return timed.groupBy(key).applyInPandasWithState(processor.__call__, processor.out, "state BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ordered(rows: DataFrame, key: str, processor: InOrder, delay: str) -> DataFrame:
     """``processor`` over a stream (key, ts, event_id, fields): rows may come later than others by up to ``delay``; later ones are dropped."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     names = processor.fields.names
-    timed = rows.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("us"), "event_id", *names)
-    return timed.groupBy(key).transformWithState(processor, out, "Append", "EventTime")
+    return _run(rows.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("us"), "event_id", *names), key, processor)
 
 
 class States(InOrder):
-    """The state machine: its state and the number of requests so far are the key's value."""
+    """The state machine: the number of requests so far and its state are the key's value."""
 
-    fields, state = record(new_state=TEXT), record(seq=INT, state=TEXT)
+    fields = record(new_state=TEXT)
+    out = "session_id BIGINT, seq INT, new_state STRING, accepted BOOLEAN, state STRING, error STRING"
 
     def __init__(self, start: str):
         self.start = start
 
-    def take(self, key, us, event_id, row, deadline):
-        seq, was = self.now.get() or (0, self.start)
+    def take(self, key, us, event_id, row, value, deadline):
+        seq, was = value or (0, self.start)
         new = row[0]
         fine = new in TRANSITIONS[was]
         after = new if fine else was
-        self.now.update((seq + 1, after))
         error = None if fine else f"Invalid transition: {was} → {new}"
-        return [Row(session_id=key[0], seq=seq, new_state=new, accepted=fine, state=after, error=error)], None
+        return [(key[0], seq, new, fine, after, error)], (seq + 1, after), None
 
 
 def states(requests: DataFrame, delay: str, start: str = "IDLE") -> DataFrame:
@@ -150,30 +109,26 @@ def states(requests: DataFrame, delay: str, start: str = "IDLE") -> DataFrame:
     Requests are taken by time across batches, so that the rows are those of
     :func:`cuemill.operators.states.run_states`, as far as the watermark came.
     """
-    return ordered(requests, "session_id", States(start), "session_id BIGINT, seq INT, new_state STRING, accepted BOOLEAN, state STRING, error STRING", delay)
+    return ordered(requests, "session_id", States(start), delay)
 
 
 class Saves(InOrder):
-    """Changes set a deadline anew; an immediate save cancels it."""
+    """Changes set a deadline anew; an immediate save cancels it.  The value is the number of changes that wait and the last one."""
 
-    fields, state = record(at_once=FLAG), record(n=LONG, last=LONG)
+    fields = record(at_once=FLAG)
+    out = "session_id BIGINT, saved_us BIGINT, kind STRING, n_events BIGINT, last_event BIGINT"
 
     def __init__(self, quiet_us: int):
         self.quiet_us = quiet_us
 
-    def _saved(self, key, us: int, kind: str, n: int, last: int) -> list[Row]:
-        self.now.clear()
-        return [Row(session_id=key[0], saved_us=us, kind=kind, n_events=n, last_event=last)]
-
-    def take(self, key, us, event_id, row, deadline):
-        n, _ = self.now.get() or (0, None)
+    def take(self, key, us, event_id, row, value, deadline):
+        n = (value or (0, None))[0] + 1
         if row[0]:
-            return self._saved(key, us, "immediate", n + 1, event_id), None
-        self.now.update((n + 1, event_id))
-        return [], us + self.quiet_us
+            return [(key[0], us, "immediate", n, event_id)], None, None
+        return [], (n, event_id), us + self.quiet_us
 
-    def due(self, key, us):
-        return self._saved(key, us, "quiet", *self.now.get())
+    def due(self, key, us, value):
+        return [(key[0], us, "quiet", *value)], None
 
 
 def debounced_saves(changes: DataFrame, delay: str, quiet_ms: int = 2000) -> DataFrame:
@@ -182,34 +137,24 @@ def debounced_saves(changes: DataFrame, delay: str, quiet_ms: int = 2000) -> Dat
     A change is saved once ``quiet_ms`` have passed without another; one that is
     to be saved ``at_once`` is, together with those that wait, whose timer goes.
     """
-    out = ordered(changes, "session_id", Saves(quiet_ms * 1000), "session_id BIGINT, saved_us BIGINT, kind STRING, n_events BIGINT, last_event BIGINT", delay)
+    out = ordered(changes, "session_id", Saves(quiet_ms * 1000), delay)
     return out.select("session_id", F.timestamp_micros("saved_us").alias("saved_at"), "kind", "n_events", "last_event")
 
 
 class Listeners(InOrder):
-    """The session's newest event is its value; a list holds the connections that are open."""
+    """The session's newest event and the connections that are open are its value."""
 
-    fields, state = record(closed_us=LONG, value=TEXT), record(event_id=LONG, value=TEXT)
-
-    def init(self, handle):
-        super().init(handle)
-        self.open = handle.getListState("open", record(subscriber=LONG, closed_us=LONG))
+    fields = record(closed_us=LONG, value=TEXT)
+    out = "session_id BIGINT, subscriber BIGINT, kind STRING, event_id BIGINT, value STRING"
 
-    def take(self, key, us, event_id, row, deadline):
-        closed, value = row
+    def take(self, key, us, event_id, row, value, deadline):
+        closed, text = row
+        newest, listeners = value or (None, [])
         if closed is not None:  # a connection, named by its event_id
-            self.open.appendValue((event_id, closed))
-            now = self.now.get()
-            return [self._row(key, event_id, "snapshot", *now)] if now else [], None
-        self.now.update((event_id, value))
-        listeners = list(self.open.get())
+            told = [(key[0], event_id, "snapshot", *newest)] if newest else []
+            return told, (newest, [*listeners, (event_id, closed)]), None
         left = [x for x in listeners if x[1] > us]
-        if len(left) < len(listeners):
-            self.open.put(left) if left else self.open.clear()
-        return [self._row(key, s, "event", event_id, value) for s, _ in left], None
-
-    def _row(self, key, subscriber, kind, event_id, value):
-        return Row(session_id=key[0], subscriber=subscriber, kind=kind, event_id=event_id, value=value)
+        return [(key[0], s, "event", event_id, text) for s, _ in left], ((event_id, text), left), None
 
 
 def subscriptions(events: DataFrame, connections: DataFrame, delay: str) -> DataFrame:
@@ -223,29 +168,21 @@ def subscriptions(events: DataFrame, connections: DataFrame, delay: str) -> Data
     shape = lambda df, no, closed, value: df.withWatermark("ts", delay).select("session_id", "ts", F.unix_micros("ts").alias("us"), no.alias("event_id"), closed.alias("closed_us"), value.alias("value"))
     none: Column = F.lit(None)
     both = shape(connections, F.col("subscriber"), F.unix_micros("closed_at"), none.cast("string")).unionByName(shape(events, F.col("event_id"), none.cast("long"), F.col("value")))
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    out = "session_id BIGINT, subscriber BIGINT, kind STRING, event_id BIGINT, value STRING"
-    return both.groupBy("session_id").transformWithState(Listeners(), out, "Append", "EventTime")
+    return _run(both, "session_id", Listeners())
 
 
 class Renders(InOrder):
-    """The clips of a session that are being rendered."""
-
-    fields, state = record(render_key=TEXT, kind=TEXT), record(event_id=LONG)
+    """The clips of a session that are being rendered are its value."""
 
-    def init(self, handle):
-        super().init(handle)
-        self.running = handle.getMapState("running", record(render_key=TEXT), record(since_us=LONG))
+    fields = record(render_key=TEXT, kind=TEXT)
+    out = "session_id BIGINT, render_key STRING, event_id BIGINT, accepted BOOLEAN"
 
-    def take(self, key, us, event_id, row, deadline):
+    def take(self, key, us, event_id, row, value, deadline):
         clip, kind = row
+        running = value or frozenset()
         if kind == "done":
-            self.running.removeKey((clip,))
-            return [], None
-        accepted = not self.running.containsKey((clip,))
-        if accepted:
-            self.running.updateValue((clip,), (us,))
-        return [Row(session_id=key[0], render_key=clip, event_id=event_id, accepted=accepted)], None
+            return [], running - {clip}, None
+        return [(key[0], clip, event_id, clip not in running)], running | {clip}, None
 
 
 def accepted_renders(requests: DataFrame, delay: str) -> DataFrame:
@@ -253,55 +190,37 @@ def accepted_renders(requests: DataFrame, delay: str) -> DataFrame:
 
     A start is accepted unless the same clip is being rendered; ``done`` ends that.
     """
-    return ordered(requests, "session_id", Renders(), "session_id BIGINT, render_key STRING, event_id BIGINT, accepted BOOLEAN", delay)
+    return ordered(requests, "session_id", Renders(), delay)
 
 
 class Queue(InOrder):
-    """A session's clips, rendered one after another; the list holds those that wait."""
-
-    fields, state = record(render_key=TEXT, status=TEXT), record(render_key=TEXT, started_us=LONG, was_rendering=FLAG, turn=LONG)
-
-    def init(self, handle):
-        super().init(handle)
-        self.queue = handle.getListState("queue", record(render_key=TEXT))
-        self.renders = handle.getMapState("renders", record(render_key=TEXT), record(status=TEXT))
-
-    def _status(self, clip: str) -> str | None:
-        found = self.renders.getValue((clip,))
-        return found[0] if found else None
-
-    def _start(self, us: int, turn: int) -> None:
-        """The next clip that waits becomes the current one; it may be under way already."""
-        clips = list(self.queue.get())
-        if not clips:
-            self.now.update((None, None, None, turn))
-            return
-        (clip,), *rest = clips
-        self.queue.put(rest) if rest else self.queue.clear()
-        self.now.update((clip, us, self._status(clip) == "rendering", turn))
-
-    def take(self, key, us, event_id, row, deadline):
+    """A session's clips, rendered one after another: its value is the current one, those that wait, and what is known of renders."""
+
+    fields = record(render_key=TEXT, status=TEXT)
+    out = "session_id BIGINT, turn BIGINT, render_key STRING, started_us BIGINT, ended_us BIGINT, outcome STRING"
+
+    def take(self, key, us, event_id, row, value, deadline):
         clip, status = row
-        current, started, was, turn = self.now.get() or (None, None, None, 0)
+        current, started, was, turn, queue, renders = value or (None, None, None, 0, [], {})
+
+        def start(turn: int) -> tuple:
+            """The next clip that waits becomes the current one; it may be under way already."""
+            return (queue[0], us, renders.get(queue[0]) == "rendering", turn, queue[1:], renders) if queue else (None, None, None, turn, [], renders)
+
         if status == "queued":
-            self.queue.appendValue((clip,))
-            if current is None:
-                self._start(us, turn)
-            return [], None
+            queue = [*queue, clip]
+            return [], start(turn) if current is None else (current, started, was, turn, queue, renders), None
         if status == "gone":
-            self.renders.removeKey((clip,))
+            renders.pop(clip, None)
         else:
-            self.renders.updateValue((clip,), (status,))
+            renders[clip] = status
         if current is None:
-            return [], None
-        now = status if clip == current else self._status(current)
-        outcome = "finished" if now == "exported" else "failed" if now in (None, "gone") and was else None
+            return [], (None, None, None, turn, queue, renders), None
+        now = renders.get(current)
+        outcome = "finished" if now == "exported" else "failed" if now is None and was else None
         if outcome:
-            self._start(us, turn + 1)
-            return [Row(session_id=key[0], turn=turn, render_key=current, started_us=started, ended_us=us, outcome=outcome)], None
-        if now == "rendering" and not was:
-            self.now.update((current, started, True, turn))
-        return [], None
+            return [(key[0], turn, current, started, us, outcome)], start(turn + 1), None
+        return [], (current, started, was or now == "rendering", turn, queue, renders), None
 
 
 def render_queue(reports: DataFrame, delay: str) -> DataFrame:
@@ -313,6 +232,5 @@ def render_queue(reports: DataFrame, delay: str) -> DataFrame:
     is finished once it is exported, failed once it is gone after it was
     rendering, and then the next one starts.
     """
-    out = "session_id BIGINT, turn BIGINT, render_key STRING, started_us BIGINT, ended_us BIGINT, outcome STRING"
-    rows = ordered(reports, "session_id", Queue(), out, delay)
+    rows = ordered(reports, "session_id", Queue(), delay)
     return rows.select("session_id", "turn", "render_key", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"), "outcome")

@@ -101,3 +101,20 @@ def test_subscriptions(spark):
     rows = sorted((r.subscriber, r.kind, r.value) for r in got.collect())
     # 502 connects at the time of e30, whose number is smaller: it comes first
     assert rows == [(500, "event", "e30"), (500, "snapshot", "e20"), (501, "event", "e10"), (501, "event", "e20"), (502, "event", "e31"), (502, "snapshot", "e30")]
+
+
+def test_a_slice_is_a_batch_whatever_its_files(spark, tmp_path):
+    """Events in many files make no more batches than in one, and no more rows of state than sessions."""
+    from cuemill.queries import live
+
+    events = spark.range(900).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(FROM * US) + F.col("id") * US).alias("ts"), (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(30).write.parquet(f"{tmp_path}/events.parquet")
+    at = work_dir(spark, "test")
+    rows, delay = live._files(spark, str(tmp_path), at)
+    stream = ordered.states(rows.select("session_id", "ts", "event_id", F.lit("IDLE").alias("new_state")), delay)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = query.recentProgress
+    assert len(told) <= live.SLICES + 4 and max(p.stateOperators[0].numRowsTotal for p in told) == 5
+    assert spark.read.parquet(f"{at}/out").groupBy("session_id").agg(F.max("seq").alias("m"), F.count("*").alias("n")).where("m = n - 1 and n = 180").count() == 5
+    clear_work()
