@@ -46,7 +46,8 @@ def with_entries(runs: DataFrame, key: str, ahead: int, following: Callable[[lis
     def exits(parts):
         for b in parts:
             out = []
-            for rows, own in zip(b.column("rows").to_pylist(), b.column("own").to_pylist(), strict=True):
+            for held, own in zip(b.column("rows"), b.column("own").to_pylist(), strict=True):
+                rows = held.as_py()  # one run at a time: a batch has thousands, each of hundreds of rows
                 known: dict[int, int] = {}
                 ends = []
                 for i in range(min(ahead, own)):
