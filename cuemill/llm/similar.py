@@ -1,4 +1,9 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, their Jaccard similarity decides."""
+"""Near-duplicates by word shingles: SimHash fingerprints find candidates, their Jaccard similarity decides.
+
+A fingerprint is wide, as texts of similarity 0.8 differ in three bits of twenty:
+they meet in a band of its bits that is equal, and go on if the bits that belong
+to no band are close.
+"""
 
 from __future__ import annotations
 
@@ -15,15 +20,14 @@ from cuemill.llm.simhash import SALTS, named_groups
 
 #: Words of a shingle, and the similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
-#: A pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8.
-BANDS, ROWS, SEED = 25, 5, 42
+#: Words of 64 bits of a fingerprint; bits of a band and number of bands, which the last two words are not part of; most differing bits of those two.
+#: At similarity 0.8 a bit is equal with probability 0.85, so that a pair meets no band with probability 0.00002 (texts of ten words or more), and differs in 19 of 128 bits, 4 as deviation.
+WORDS, ROWS, BANDS, DISTANCE, SEED = 16, 12, 74, 40, 42
+#: Members up to which a bucket is compared by one matrix.
+MATRIX = 1024
 #: Sets of one side of a tile, and what distances may be off by.
 TILE, SLACK = 256, 1e-9
 
-_RANDOM = np.random.default_rng(SEED)
-_TIMES, _PLUS, _MIX = (_RANDOM.integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
-
-
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """The hashes of the text's different shingles, in order; a text of fewer words is one shingle."""
     words = (text or b"").lower().split()
@@ -31,12 +35,86 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(list(map(xxhash.xxh64_intdigest, texts, repeat(SEED))), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One long for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for part in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[part : part + 4096, None] * _TIMES + _PLUS).min(0))
-    return ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles as words: a bit is 1 if it is in more than half of them (each hash is widened by SplitMix64)."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for part in range(0, len(hashes), 255):
+        x = hashes[part : part + 255, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def band_keys(print_: np.ndarray) -> np.ndarray:
+    """A number of ``ROWS`` bits for each band."""
+    bits = np.unpackbits(print_.view(np.uint8), bitorder="little")[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return (bits.astype("<u2") << np.arange(ROWS, dtype="<u2")).sum(1, dtype="<u2")
+
+
+def _clusters(words: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Rows (two words each) that are connected by steps of at most so many bits, of each cluster of two or more."""
+    x, y = words
+    out, todo, near = [], np.arange(len(x)), None
+    if len(x) <= MATRIX:
+        near = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y) <= distance
+        todo = np.flatnonzero(near.sum(1) > 1)
+    while len(todo) > 1:
+        queue, todo = [todo[0]], todo[1:]
+        found = list(queue)
+        while queue and len(todo):
+            k = queue.pop()
+            hit = near[k, todo] if near is not None else np.bitwise_count(x[todo] ^ x[k]) + np.bitwise_count(y[todo] ^ y[k]) <= distance
+            queue += todo[hit].tolist()
+            found += todo[hit].tolist()
+            todo = todo[~hit]
+        if len(found) > 1:
+            out.append(np.array(found))
+    return out
+
+
+def clusters(prints: DataFrame, distance: int) -> DataFrame:
+    """(lead, fp) for each member of each cluster of close fingerprints that share a band: the cluster's least name, and the member's.
+
+    Bands are sorted runs of a task's rows.  Fingerprints that are close to no
+    other go no further; members of a cluster are listed, their pairs never.
+    """
+
+    def keyed(parts):
+        for b in parts:
+            keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), "<u2").reshape(-1, BANDS).astype(np.int32)
+            two = np.frombuffer(b"".join(b.column("last").to_pylist()), "<i8").reshape(-1, 2)
+            for lo in range(0, b.num_rows, 1000):
+                own = keys[lo : lo + 1000] + (np.arange(BANDS, dtype=np.int32) << ROWS)
+                at = np.repeat(np.arange(lo, lo + len(own)), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), b.column("fp").take(pa.array(at)), *(pa.array(two[at, k]) for k in (0, 1))], ["key", "fp", "x", "y"])
+
+    def close(key, fp, words):
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        leads, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            for c in _clusters(words[:, lo:hi], distance) if hi - lo > 1 else ():
+                names = fp[lo + c]
+                leads.append(np.full(len(c), names.min()))
+                members.append(names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (leads, members)], ["lead", "fp"])
+
+    def scan(parts):
+        rest = None
+        for b in parts:
+            key, fp, x, y = (b.column(c).to_numpy() for c in ("key", "fp", "x", "y"))
+            now = np.stack([key.astype(np.int64), fp, x, y])
+            now = now if rest is None else np.concatenate([rest, now], axis=1)
+            cut = int(np.searchsorted(now[0], now[0, -1])) if now.shape[1] else 0
+            rest = now[:, cut:]
+            if cut:
+                yield close(now[0, :cut], now[1, :cut], now[2:, :cut].view(np.uint64))
+        if rest is not None and rest.shape[1]:
+            yield close(rest[0], rest[1], np.ascontiguousarray(rest[2:]).view(np.uint64))
+
+    rows = prints.mapInArrow(keyed, "key int, fp long, x long, y long").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(scan, "lead long, fp long")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, similar: float) -> tuple[float, bool]:
@@ -47,13 +125,12 @@ def similarity(a: np.ndarray, b: np.ndarray, similar: float) -> tuple[float, boo
 
 
 def _compared(similar: float):
-    """The links of one tile: pairs of its two sides (or of its rows, if it has one) that can be similar and meet here first."""
+    """The links of one tile: pairs of its two sides (or of its rows, if it has one) that can be similar."""
     width = 1 - similar + SLACK
 
     def compare(t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
-        bands, away, names, side = (t.column(c).to_pylist() for c in ("bands", "away", "fp", "side"))
-        band = t.column("band")[0].as_py()
+        away, names, side = (t.column(c).to_pylist() for c in ("away", "fp", "side"))
         root, out = list(range(len(sets))), []
 
         def find(x: int) -> int:
@@ -68,8 +145,6 @@ def _compared(similar: float):
             small, large = sorted((len(sets[i]), len(sets[j])))
             if small < similar * large or abs(away[i] - away[j]) > width or find(i) == find(j):
                 continue
-            if next(k for k, (x, y) in enumerate(zip(bands[i], bands[j], strict=True)) if x == y) != band:
-                continue
             if similarity(sets[i], sets[j], similar)[1]:
                 root[find(i)] = find(j)
                 out.append((names[i], names[j]))
@@ -78,23 +153,21 @@ def _compared(similar: float):
     return compare
 
 
-def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (u, v) with the same components as all pairs of ``sets`` (fp, bands, hashes) that share a band and are similar.
+def similar_links(sets: DataFrame, similar: float = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+    """Links (u, v) with the same components as all pairs of ``sets`` (fp, bands, last, hashes) whose fingerprints share a band and are close, and that are similar.
 
-    A bucket's leader is its smallest name; its distance to each member is
-    worked out pair by pair, so a bucket is never gathered, and near copies need
-    no more.  Distances are a metric: two members can be similar only if theirs
-    to the leader differ by no more than similar ones do, and two that are
-    similar to the leader are linked already.  What is left, members of
-    neighbouring distances of which one at least is not similar to the leader,
-    is compared in tiles of a bounded number of sets, each pair in the first
-    band that both share.
+    Clusters of the bands (:func:`clusters`) with the same leader are one bucket;
+    the leader's distance to each member is worked out pair by pair, so a bucket
+    is never gathered, and near copies need no more.  Distances are a metric: two
+    members can be similar only if theirs to the leader differ by no more than
+    similar ones do, and two that are similar to the leader are linked already.
+    What is left, members of neighbouring distances of which one at least is not
+    similar to the leader, is compared in tiles of a bounded number of sets.
     """
-    keyed = sets.select("fp", F.posexplode("bands").alias("band", "key")).groupBy("band", "key", "fp").agg(F.lit(1).alias("one")).drop("one")
-    sized = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
-    members = staged(keyed.join(sized, ["band", "key"]), "members")
+    prints = sets.groupBy("fp").agg(F.first("bands").alias("bands"), F.first("last").alias("last"))
+    members = staged(clusters(prints, distance).distinct(), "members")
     asked = staged(members.select("fp").distinct(), "asked")
-    known = staged(with_small(sets.select("fp", "bands", "hashes"), asked, ["fp"], "left_semi").dropDuplicates(["fp"]), "known")
+    known = staged(with_small(sets.select("fp", "hashes"), asked, ["fp"], "left_semi").dropDuplicates(["fp"]), "known")
 
     def star(parts):
         for cut in sliced(parts, 2):
@@ -106,14 +179,13 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     both = pairs.join(known.select("fp", "hashes"), "fp").join(known.select(F.col("fp").alias("lead"), F.col("hashes").alias("own")), "lead").select("lead", "fp", "hashes", "own")
     stars = staged(both.mapInArrow(star, "lead long, fp long, away double, near boolean"), "stars")
 
-    bucket = ["band", "key"]
-    placed = members.where("n > 2").join(stars, ["lead", "fp"], "left").withColumns({"away": F.coalesce("away", F.lit(0.0)), "near": F.coalesce("near", F.lit(True))})
+    placed = members.join(stars, ["lead", "fp"], "left").withColumns({"away": F.coalesce("away", F.lit(0.0)), "near": F.coalesce("near", F.lit(True))})
     ring = F.when(F.col("near"), 0).otherwise(F.greatest(F.floor(F.col("away") / (1 - similar + SLACK)), F.lit(1)).cast("int"))
-    placed = staged(placed.select(*bucket, "fp", "away", ring.alias("ring")), "placed")
-    # rings are six at most; a bucket with members of the first ring alone has its links
-    rings = placed.groupBy(*bucket, "ring").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    rings = rings.groupBy(*bucket).agg(F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("rings")).where("not (size(rings) = 1 and map_contains_key(rings, 0))")
-    rows = placed.join(staged(rings, "rings"), bucket)
+    placed = staged(placed.select("lead", "fp", "away", ring.alias("ring")), "placed")
+    # rings are six at most; a bucket with members of the first ring alone, to which the leader belongs, has its links
+    rings = placed.groupBy("lead", "ring").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
+    rings = rings.groupBy("lead").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("ring", "k"))).alias("rings")).where("n > 2 and size(rings) > 1").drop("n")
+    rows = placed.join(staged(rings, "rings"), "lead")
     r, own = F.col("ring"), F.col("rings")[F.col("ring")]
     mine, span = F.pmod(F.xxhash64("fp"), own).cast("int"), lambda n: F.sequence(F.lit(0), n - 1)
     tile = lambda ring, cross, side, i, j: F.struct(ring.alias("at"), F.lit(cross).alias("cross"), side.alias("side"), i.alias("i"), j.alias("j"))
@@ -122,9 +194,9 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     outer = F.when(with_next(r + 1), F.transform(span(F.col("rings")[r + 1]), lambda j: tile(r, True, F.lit(0), F.col("mine"), j))).otherwise(none)
     inner = F.when((r > 0) & with_next(r - 1), F.transform(span(F.col("rings")[r - 1]), lambda i: tile(r - 1, True, F.lit(1), i, F.col("mine")))).otherwise(none)
     home = F.when(r > 0, F.transform(span(own), lambda j: tile(r, False, F.when(j >= F.col("mine"), 0).otherwise(1), F.least("mine", j), F.greatest("mine", j)))).otherwise(none)
-    tiles = rows.withColumn("mine", mine).select(*bucket, "fp", "away", F.explode(F.concat(outer, inner, home)).alias("t")).select(*bucket, "fp", "away", "t.*")
+    tiles = rows.withColumn("mine", mine).select("lead", "fp", "away", F.explode(F.concat(outer, inner, home)).alias("t")).select("lead", "fp", "away", "t.*")
     full = tiles.join(known, "fp")
-    found = full.groupBy(*bucket, "at", "cross", "i", "j").applyInArrow(_compared(similar), "u long, v long")
+    found = full.groupBy("lead", "at", "cross", "i", "j").applyInArrow(_compared(similar), "u long, v long")
     links = staged(stars.where("near").select(F.col("lead").alias("u"), F.col("fp").alias("v")).unionByName(found).distinct(), "pairs")
     for df in (members, asked, known, stars, placed):
         discard(df)
@@ -146,14 +218,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def batches(parts):
         for cut in sliced(parts, 1):
             sets = [shingle_set(t, shingle) for t in cut.column(1).cast(pa.binary()).to_pylist()]
+            prints = [fingerprint(s) for s in sets]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(names), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "fp", "bands", "hashes"])
+            bands, last, hashes = (pa.array(x, pa.binary()) for x in ([band_keys(p).tobytes() for p in prints], [p[-2:].tobytes() for p in prints], [s.tobytes() for s in sets]))
+            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(names), bands, last, hashes], ["id", "fp", "bands", "last", "hashes"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = src.mapInArrow(batches, f"id {src.schema['id'].dataType.simpleString()}, fp long, bands array<long>, hashes binary")
+    rows = src.mapInArrow(batches, f"id {src.schema['id'].dataType.simpleString()}, fp long, bands binary, last binary, hashes binary")
     wide = staged(rows.withColumn("salt", salt_of(F.col("id"), SALTS)), "sets")
     fps = staged(wide.select("id", "fp", "salt"), "fps")
-    links = similar_links(wide.select("fp", "bands", "hashes"), similar)
+    links = similar_links(wide.select("fp", "bands", "last", "hashes"), similar, DISTANCE)
     discard(wide)
     return named_groups(fps, lambda _: links, id_col)

@@ -305,3 +305,47 @@ def test_similar_groups(spark, monkeypatch, tile):
     got = sorted(((r.doc_id, r.component_id) for r in similar.similar_groups(documents(spark, rows)).collect()), key=repr)
     assert got == want and links > 200
     assert similar.similar_groups(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("matrix", [1024, 2])
+def test_similar_texts_meet_by_their_simhash(spark, monkeypatch, matrix):
+    """Pairs of similarity 0.8 share a band and are close; clusters are those of all pairs; what isn't close is no link."""
+    monkeypatch.setattr(similar, "MATRIX", matrix)
+    rng = np.random.default_rng(7)
+    prints, pairs = [], []
+    for size in (10, 16, 50, 400):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 63, size, np.uint64)
+            b = a[: -(-4 * size // 5)]
+            pairs.append((similar.fingerprint(a), similar.fingerprint(b)))
+            prints += pairs[-1]
+    # as by counting bits one by one
+    words = [[((int(h) + (w + 1) * 0x9E3779B97F4A7C15) % 2**64) for w in range(similar.WORDS)] for h in a]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    ones = [sum(mixed(ws[w]) >> k & 1 for ws in words) for w in range(similar.WORDS) for k in range(64)]
+    assert similar.fingerprint(a).tolist() == [sum(1 << k for k in range(64) if 2 * ones[64 * w + k] > len(a)) for w in range(similar.WORDS)]
+    differ = lambda a, b: int(np.bitwise_count(a[-2:] ^ b[-2:]).sum())
+    assert all((similar.band_keys(a) == similar.band_keys(b)).any() and differ(a, b) <= similar.DISTANCE for a, b in pairs)
+    two = np.stack([p[-2:] for p in prints], axis=1)
+    near = [[differ(a, b) <= similar.DISTANCE for b in prints] for a in prints]
+    want = set()
+    for i in range(len(prints)):
+        seen, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = {j for j in range(len(prints)) if near[k][j]} - seen
+            seen |= new
+            todo += new
+        want |= {frozenset(seen)} if len(seen) > 1 else set()
+    assert {frozenset(c.tolist()) for c in similar._clusters(two, similar.DISTANCE)} == want
+    sets = [np.unique(rng.integers(0, 1 << 63, 60, np.uint64)) for _ in range(5)]
+    sets += [s[1:] for s in sets]
+    rows = [(i, similar.band_keys(p := similar.fingerprint(s)).tobytes(), p[-2:].tobytes(), s.tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "fp long, bands binary, last binary, hashes binary")
+    assert sorted(map(tuple, similar.similar_links(df).collect())) == [(i, i + 5) for i in range(5)]
+    assert similar.similar_links(df, distance=-1).collect() == []
