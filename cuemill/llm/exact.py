@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cuemill.llm.common import SPACE, free_names, salt_bit, salt_of, salts_in
+from cuemill.llm.common import SPACE, free_names, salt_bit, salt_of, salts_in, staged, with_small
 
 SALTS = 64
 
@@ -70,13 +70,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that :func:`exact_groups` does not keep.
 
+    Digests alone tell which texts occur once; only the others go through
+    :func:`exact_groups`, and only the keys of rows that go (or repeat) come back,
+    so that the table itself is sent nowhere while those keys are few.
+
     A row is known by its id and digest; of rows equal in both, one stays.  Null
     and empty texts are copies of each other; the columns keep their names and
     values, whatever they are; an empty table gives no rows.
     """
-    k, n = free_names(docs, "key", "copy")
-    key = lambda d, sha: F.struct(d[id_col].alias("id"), sha.alias("sha"))
-    groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(key(groups, groups["text_sha256"]).alias(k))
-    rows = docs.withColumn(k, key(docs, F.sha2(normalised(docs[text_col]), 256))).join(kept, k, "left_semi")
-    return rows.withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(F.lit(0)))).where(F.col(n) == 1).drop(k, n)
+    k, n, sha, check = free_names(docs, "key", "copy", "sha", "check")
+    norm = normalised(docs[text_col])
+    told = docs.withColumns({sha: F.sha2(norm, 256), check: F.xxhash64(norm)})
+    many = staged(told.groupBy(sha, check).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(sha, check), "many")
+    some = staged(with_small(told, many, [sha, check], "left_semi").select(id_col, text_col), "some")
+    groups = exact_groups(some, id_col, text_col)
+    key = lambda d, x: F.struct(d[id_col].alias("id"), x.alias("sha")).alias(k)
+    verdicts = groups.select(key(groups, groups["text_sha256"]), "kept").groupBy(k).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = staged(verdicts.where("n > 1 or not kept").select(k, "kept"), "verdicts")
+    keyed = docs.select("*", key(docs, F.sha2(norm, 256)))
+    rows = with_small(keyed, verdicts, [k], "left_anti").select(docs.columns)
+    repeated = verdicts.where("kept")
+    if repeated.isEmpty():
+        return rows
+    one = keyed.join(repeated.select(k), k, "left_semi").withColumn(n, F.row_number().over(W.partitionBy(k).orderBy(F.lit(0)))).where(F.col(n) == 1)
+    return rows.unionByName(one.select(docs.columns))

@@ -43,6 +43,17 @@ def test_drop_exact(spark):
     assert len({norm(r.text) for r in kept.collect()}) == kept.count() == len({norm(t) for _, t, *_ in odd_rows()})
 
 
+def test_drop_exact_sends_no_texts(spark):
+    """The rows stay where they are read while few of them go; repeated rows are one, null ids as in the groups."""
+    docs = documents(spark, [(i, f"text {i}", None, None) for i in range(50)] + [(100, "text  7", None, None), (None, "text 8", None, None), (None, "alone", None, None)])
+    kept = exact.drop_exact(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert Counter(r.text for r in kept.collect()) == Counter([f"text {i}" for i in range(50)] + ["alone"])
+    twice = exact.drop_exact(docs.unionByName(docs.where("doc_id is null or doc_id in (7, 9, 100)")))
+    assert Counter(r.text for r in twice.collect()) == Counter([f"text {i}" for i in range(50)] + ["alone"])
+
+
 def test_empty(spark):
     empty = documents(spark, [])
     assert exact.exact_groups(empty).count() == exact.drop_exact(empty).count() == quality.judge_quality(empty).count() == quality.drop_poor(empty).count() == 0
