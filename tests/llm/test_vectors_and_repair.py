@@ -96,6 +96,17 @@ def test_copies_cost_few_balls(spark):
     assert found.count() < 3000
 
 
+def test_comparisons_are_not_stored(spark, monkeypatch):
+    """What is staged on the way has no more rows than there are vectors, however many pairs are compared."""
+    monkeypatch.setattr(vectors, "LEAF", 64)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(1500)]
+    SESSION.close()
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=repr) == _brute_links(rows)
+    assert max(x.count() for x in SESSION.tables) <= 1500
+
+
 # Whitening
 
 
