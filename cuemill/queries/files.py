@@ -14,10 +14,10 @@ from cuemill.operators.prefix import numbered
 from cuemill.queries.base import half_up, query, sql, stamp, to_ms, trim
 from cuemill.queries.windows import TOP
 from cuemill.schema import ASR, PROJECT
-from cuemill.session import work_dir
+from cuemill.session import shards_of, work_dir
 from cuemill.sources import archives, cliptext, documents, stores, transcripts
 from cuemill.sources.lines import percent, read_lines
-from cuemill.sources.zips import read_pieces, write_pieces
+from cuemill.sources.zips import read_pieces, sharded, write_pieces
 from cuemill.streaming.progress import drained
 
 
@@ -253,10 +253,9 @@ def a12_tsv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a12_download_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downloads written and read again: plain files, and archives of the whole text and its parts."""
     folder = work_dir(spark, "downloads")
-    write_pieces(transcripts.download_pieces(A.words(spark, sf_dir)), folder)
-    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").option("recursiveFileLookup", "true").load(folder)
-    plain = plain.select("path", F.lit("transcription.tsv").alias("entry"), F.lit(0).cast("long").alias("piece"), "content")
-    pieces = read_pieces(spark, folder, piece=1 << 16).select("path", "entry", "piece", "content").unionByName(plain)
+    words = A.words(spark, sf_dir)
+    write_pieces(sharded(transcripts.download_pieces(words), shards_of(words)), folder, F.substring_index("path", "/", 1))
+    pieces = read_pieces(spark, folder, piece=1 << 16, plain=".tsv").select("path", F.coalesce("entry", F.lit("transcription.tsv")).alias("entry"), "piece", "content")
     whole = pieces.groupBy("path", "entry").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "content"))), lambda x: F.hex(x["content"])), "")).alias("text"))
     return whole.select(F.regexp_extract("path", r"([0-9]+)/[^/]*$", 1).cast("long").alias("project_id"), "entry", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"))
 
@@ -291,9 +290,14 @@ def i09_framed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a07_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TSV files, one a project, written and read again."""
     folder = work_dir(spark, "tsv")
-    transcripts.write_tsv(A.turns(spark, sf_dir), folder, size=1_000_000)
-    texts = spark.read.option("wholetext", "true").text(folder).select("project_id", F.col("value").alias("tsv"))
-    rows = transcripts.parse_tsv(texts.select(F.col("project_id").cast("long").alias("project_id"), "tsv"), F.lit(0).cast("long"))
+    words = A.turns(spark, sf_dir)
+    write_pieces(sharded(transcripts.tsv_pieces(words, 1_000_000), shards_of(words)), folder, F.substring_index("path", "/", 1))
+    part = F.regexp_extract("path", r"([0-9]+)\.tsv$", 1).cast("long")
+    pieces = read_pieces(spark, folder, plain=".tsv").select(F.regexp_extract("path", "([0-9]+)/[^/]*$", 1).cast("long").alias("project_id"), F.struct(part.alias("part"), "piece", F.hex("content").alias("x")).alias("p"))
+    # pieces may end inside a character, so bytes are joined first; parts are joined by a new line
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: F.when((p["part"] > 1) & (p["piece"] == 0), F.concat(F.lit("0A"), p["x"])).otherwise(p["x"])), "")
+    texts = pieces.groupBy("project_id").agg(F.unhex(whole).cast("string").alias("tsv"))
+    rows = transcripts.parse_tsv(texts, F.lit(0).cast("long"))
     return rows.drop("malformed")
 
 

@@ -70,6 +70,13 @@ def download_pieces(words: DataFrame, size: int = DOWNLOAD_ROWS, key: str = "pro
     return rows.select(F.concat_ws("/", F.col(key).cast("string"), "file").alias("path"), "entry_no", "entry", "piece", F.col("content").cast("binary").alias("content"))
 
 
+def tsv_pieces(words: DataFrame, size: int = DOWNLOAD_ROWS, key: str = "project_id") -> DataFrame:
+    """The parts of each project as plain files (path, entry_no, entry, piece, content) for :func:`cuemill.sources.zips.write_pieces`."""
+    path = F.format_string("%s/part_%d.tsv", F.col(key).cast("string"), "part")
+    none = F.lit(None)
+    return tsv_parts(words, size, key).select(path.alias("path"), none.cast("int").alias("entry_no"), none.cast("string").alias("entry"), F.lit(0).alias("piece"), F.col("tsv").cast("binary").alias("content"))
+
+
 def write_tsv(words: DataFrame, path: str, size: int = DOWNLOAD_ROWS, key: str = "project_id") -> None:
     """A folder for each project and part, with the lines as text."""
     lines = with_part(words, size, first=1).select(key, "part", "pos", tsv_line().alias("value"))

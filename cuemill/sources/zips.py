@@ -2,9 +2,11 @@
 
 A row is a piece of a file: (path, entry_no, entry, piece, content).  Tasks write
 whole files into a folder of the job's own, streaming their pieces; when all
-tasks have ended the driver moves the files to their places, and when one has
-failed it deletes the folder, so that a failed job leaves nothing.  Reading gives
-pieces again, an entry at a time.
+tasks have ended the driver moves them to their places, folders that are new as
+a whole, and when one has failed it deletes the folder, so that a failed job
+leaves nothing.  Reading gives pieces again, an entry at a time.  The driver
+lists only the upper folders and tasks what is below: where :func:`sharded` puts
+files into such folders, it never holds a file's name.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-#: Bytes of a piece that is read, archives that a task reads, and files that the driver moves at once.
-PIECE, ARCHIVES, MOVES = 1 << 20, 64, 16
+#: Bytes of a piece that is read, files or folders that a task reads, tasks that reading aims at, and moves that the driver makes at once.
+PIECE, ARCHIVES, TASKS, MOVES = 1 << 20, 64, 128, 16
 SCHEMA = "path string, entry_no int, entry string, piece long, content binary, error string"
 
 
@@ -36,14 +38,14 @@ def file_system(path: str):
 
 @dataclass
 class Written(WriterCommitMessage):
-    paths: list[str]
+    folder: str
 
 
 class _Files:
     """One task's files, each open from its first piece to its last."""
 
     def __init__(self, system, root: str):
-        self.system, self.root, self.paths = system, root, []
+        self.system, self.root, self.paths = system, root, set()
         self.path = self.entry = self.out = self.zip = self.part = None
 
     def add(self, r: Row) -> None:
@@ -70,7 +72,7 @@ class _Files:
         target = posixpath.join(self.root, path.lstrip("/"))
         self.system.create_dir(posixpath.dirname(target), recursive=True)
         self.path, self.entry, self.out = path, None, self.system.open_output_stream(target)
-        self.paths.append(path)
+        self.paths.add(path)
 
     def close(self) -> None:
         for x in (self.part, self.zip, self.out):
@@ -92,18 +94,30 @@ class ZipWriter(DataSourceWriter):
                 files.add(r)
         finally:
             files.close()
-        return Written([posixpath.join(posixpath.basename(at), p.lstrip("/")) for p in files.paths])
+        return Written(posixpath.basename(at))
 
     def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
         system, root = file_system(self.folder)
 
-        def move(path: str) -> None:
-            target = posixpath.join(root, path.split("/", 1)[1])
-            system.create_dir(posixpath.dirname(target), recursive=True)
-            system.move(posixpath.join(root, self.job, path), target)
+        def below(folder: str) -> list[str]:
+            return [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+
+        def move(path: str) -> list[str]:
+            """Moves what has no place yet, or is a file; of a folder that is there, what it holds comes next."""
+            target = posixpath.join(root, posixpath.relpath(path, at))
+            if system.get_file_info(target).type == system.get_file_info(path).type == fs.FileType.Directory:
+                return below(path)
+            system.move(path, target)
+            return []
 
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(move, [p for m in messages if m for p in m.paths]))
+            for m in filter(None, messages):
+                at = posixpath.join(root, self.job, m.folder)
+                paths = below(at)
+                while paths:
+                    paths = [x for more in pool.map(move, paths) for x in more]
         self._clear(system, root)
 
     def abort(self, messages: list) -> None:
@@ -124,21 +138,50 @@ class _Archives(InputPartition):
 
 
 class ZipReader(DataSourceReader):
-    def __init__(self, folder: str, suffix: str, piece: int):
-        self.folder, self.suffix, self.piece = folder, suffix, piece
+    def __init__(self, folder: str, suffix: str, piece: int, plain: str):
+        self.folder, self.suffix, self.piece, self.plain = folder, suffix, piece, plain
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         system, root = file_system(self.folder)
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        paths = sorted(posixpath.relpath(f.path, root) for f in found if f.type == fs.FileType.File and f.path.endswith(self.suffix) and "/_" not in f.path)
-        return [_Archives(paths[i : i + ARCHIVES]) for i in range(0, len(paths), ARCHIVES)] or [_Archives([])]
+        found, folders = self._listed(system, root), True
+        while folders and len(found) < TASKS:
+            folders = [f for f in found if f.type == fs.FileType.Directory]
+            found = [f for f in found if f.type == fs.FileType.File] + [x for f in folders for x in self._listed(system, f.path)]
+        paths = sorted(posixpath.relpath(f.path, root) for f in found)
+        size = max(1, min(ARCHIVES, len(paths) // TASKS))
+        return [_Archives(paths[i : i + size]) for i in range(0, len(paths), size)] or [_Archives([])]
+
+    def _listed(self, system, folder: str, recursive: bool = False) -> list:
+        """What is in a folder: folders, archives and plain files, by name."""
+        from pyarrow import fs
+
+        ends = (self.suffix, self.plain) if self.plain else self.suffix
+        found = system.get_file_info(fs.FileSelector(folder, recursive=recursive))
+        kept = [f for f in found if "/_" not in "/" + posixpath.relpath(f.path, folder) and (f.type == fs.FileType.Directory or f.path.endswith(ends))]
+        return sorted(kept, key=lambda f: f.path)
+
+    def _files(self, system, root: str, paths: list[str]) -> Iterator[str]:
+        from pyarrow import fs
+
+        for path in paths:
+            at = posixpath.join(root, path)
+            if system.get_file_info(at).type == fs.FileType.Directory:
+                yield from (posixpath.relpath(f.path, root) for f in self._listed(system, at, True) if f.type == fs.FileType.File)
+            else:
+                yield path
 
     def read(self, partition: _Archives) -> Iterator[tuple]:
         system, root = file_system(self.folder)
-        for path in partition.paths:
+        for path in self._files(system, root, partition.paths):
             with system.open_input_file(posixpath.join(root, path)) as f:
+                if self.plain and path.endswith(self.plain):
+                    piece = 0
+                    while (data := f.read(self.piece)) or not piece:
+                        yield path, None, None, piece, data, None
+                        piece += 1
+                    continue
                 try:
                     with zipfile.ZipFile(f) as z:
                         for no, info in enumerate(z.infolist()):
@@ -152,7 +195,7 @@ class ZipReader(DataSourceReader):
 
 
 class Zips(DataSource):
-    """``format("zip_pieces")``; options ``path``, ``suffix`` (.zip) and ``piece``, the most bytes of a piece that is read."""
+    """``format("zip_pieces")``; options ``path``, ``suffix`` (.zip), ``plain``, the suffix of files that are no archives, and ``piece``, the most bytes of a piece that is read."""
 
     @classmethod
     def name(cls) -> str:
@@ -162,7 +205,7 @@ class Zips(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ZipReader:
-        return ZipReader(self.options["path"], self.options.get("suffix", ".zip"), int(self.options.get("piece", PIECE)))
+        return ZipReader(self.options["path"], self.options.get("suffix", ".zip"), int(self.options.get("piece", PIECE)), self.options.get("plain", ""))
 
     def writer(self, schema, overwrite: bool) -> ZipWriter:
         if overwrite:
@@ -170,19 +213,24 @@ class Zips(DataSource):
         return ZipWriter(self.options["path"])
 
 
-def write_pieces(pieces: DataFrame, folder: str) -> None:
+def sharded(pieces: DataFrame, shards: int) -> DataFrame:
+    """Pieces whose paths have a folder in front, one of so many by the first folder of the path."""
+    return pieces.withColumn("path", F.concat_ws("/", F.pmod(F.xxhash64(F.substring_index("path", "/", 1)), F.lit(shards)).cast("string"), "path"))
+
+
+def write_pieces(pieces: DataFrame, folder: str, by: Column | str = "path") -> None:
     """Writes pieces (path, entry_no, entry, piece, content) as files below a folder that all executors see: all of them, or none if a task fails.
 
     A path with entries is a ZIP archive of them, in order of ``entry_no``; one
     whose entry is null is a plain file.  Pieces of a file are put together in
-    order.  A file that is there is replaced.
+    order.  A file that is there is replaced.  ``by``: what tasks are dealt by.
     """
     pieces.sparkSession.dataSource.register(Zips)
     rows = pieces.select("path", F.col("entry_no").cast("int").alias("entry_no"), "entry", F.col("piece").cast("long").alias("piece"), "content")
-    rows.repartition("path").sortWithinPartitions("path", "entry_no", "entry", "piece").write.format("zip_pieces").mode("append").save(folder)
+    rows.repartition(F.col(by) if isinstance(by, str) else by).sortWithinPartitions("path", "entry_no", "entry", "piece").write.format("zip_pieces").mode("append").save(folder)
 
 
-def read_pieces(spark: SparkSession, folder: str, suffix: str = ".zip", piece: int = PIECE) -> DataFrame:
-    """(path, entry_no, entry, piece, content, error) of the archives below a folder; an archive that can't be read has a row with the error."""
+def read_pieces(spark: SparkSession, folder: str, suffix: str = ".zip", piece: int = PIECE, plain: str = "") -> DataFrame:
+    """(path, entry_no, entry, piece, content, error) of the archives below a folder, and of the plain files with the suffix ``plain``, if given; an archive that can't be read has a row with the error."""
     spark.dataSource.register(Zips)
-    return spark.read.format("zip_pieces").option("suffix", suffix).option("piece", piece).load(folder)
+    return spark.read.format("zip_pieces").option("suffix", suffix).option("piece", piece).option("plain", plain).load(folder)

@@ -178,6 +178,21 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert len(_below(tmp_path)) == 41
 
 
+def test_files_in_shards(spark, tmp_path):
+    """The driver moves and lists the folders of shards, never their files; plain files and archives are read by tasks."""
+    rows = [(f"{i}/t.tsv", None, None, 0, b"line %d" % i) for i in range(300)] + [("7/a.zip", 0, "x", 0, b"inner")]
+    df = spark.createDataFrame(rows, "path string, entry_no int, entry string, piece int, content binary")
+    zips.write_pieces(zips.sharded(df, 200), str(tmp_path), F.substring_index("path", "/", 1))
+    reader = zips.ZipReader(str(tmp_path), ".zip", 1 << 20, ".tsv")
+    named = [p for part in reader.partitions() for p in part.paths]
+    assert sorted(named) == sorted(os.listdir(tmp_path)) and 128 <= len(named) <= 200
+    got = sorted((r.path.split("/", 1)[1], r.entry, bytes(r.content)) for r in zips.read_pieces(spark, str(tmp_path), plain=".tsv").collect())
+    assert got == sorted((p, e, c) for p, _, e, _, c in rows)
+    zips.write_pieces(zips.sharded(df.limit(0).unionByName(spark.createDataFrame([("7/t.tsv", None, None, 0, b"new"), ("900/t.tsv", None, None, 0, b"")], df.schema)), 200), str(tmp_path))
+    got = {r.path.split("/", 1)[1]: bytes(r.content) for r in zips.read_pieces(spark, str(tmp_path), suffix="no", plain=".tsv").collect()}
+    assert got == {p: c for p, _, e, _, c in rows if e is None} | {"7/t.tsv": b"new", "900/t.tsv": b""}
+
+
 def test_download(spark):
     """A short transcript is one file; a longer one is an archive whose whole text is its parts."""
     words = spark.createDataFrame([("a", i, f"w{i}", 1000 * i) for i in range(5)] + [("b", i, f"w{i}", 1000 * i) for i in range(4)], "project_id string, pos int, word string, start_ms long")
