@@ -56,6 +56,15 @@ def _paged(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-def active_tokens(tokens: DataFrame, times: DataFrame, on: list[str]) -> DataFrame:
-    """The token that is spoken at each time: ``from_ms <= at_ms < to_ms`` on the same page."""
-    return times.join(tokens, on).where("from_ms <= at_ms and at_ms < to_ms")
+def active_tokens(pages: DataFrame, at: str = "at_ms", key: str = "project_id") -> DataFrame:
+    """The token that is spoken at the time ``at`` of each page: ``from_ms <= at < to_ms``.
+
+    Gives the page's columns with the token's (text, from_ms, to_ms) instead of
+    ``tokens`` and the page's text, and ``pos``, its place among all tokens of
+    the key.  A page's tokens stand in its row, so nothing is joined.
+    """
+    before = F.sum(F.size("tokens")).over(W.partitionBy(key).orderBy("page_no").rowsBetween(W.unboundedPreceding, -1))
+    rows = pages.withColumn("_first", F.coalesce(before, F.lit(0)).cast("int"))
+    placed = F.transform("tokens", lambda t, i: F.struct(t["text"].alias("text"), t["from_ms"].alias("from_ms"), t["to_ms"].alias("to_ms"), (F.col("_first") + i).alias("pos")))
+    spoken = F.filter(placed, lambda t: (t["from_ms"] <= F.col(at)) & (F.col(at) < t["to_ms"]))
+    return rows.select(*[c for c in pages.columns if c not in ("text", "tokens")], F.inline(spoken))

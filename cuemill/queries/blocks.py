@@ -156,9 +156,5 @@ def f04_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d09_active_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token that is spoken 700 ms after each page begins."""
-    pages = P.group_pages(A.captions(spark, sf_dir))
-    tokens = pages.select("project_id", "page_no", F.inline("tokens"))
-    first = F.expr("row_number() over (partition by project_id order by from_ms) - 1")
-    tokens = tokens.withColumn("pos", first)
-    times = pages.select("project_id", "page_no", (F.col("start_ms") + 700).alias("at_ms"))
-    return P.active_tokens(tokens, times, ["project_id", "page_no"]).select("project_id", "page_no", "at_ms", "pos")
+    pages = P.group_pages(A.captions(spark, sf_dir)).withColumn("at_ms", F.col("start_ms") + 700)
+    return P.active_tokens(pages).select("project_id", "page_no", "at_ms", "pos")

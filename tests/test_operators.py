@@ -305,6 +305,23 @@ def test_blocks_need_one_shuffle(spark, sf):
     assert plan.count("Exchange ") == 1 and "Python" not in plan
 
 
+def _moves(df) -> list[str]:
+    """The exchanges of a plan but those that deal the texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange" in x and "REPARTITION_BY" not in x]
+
+
+def test_active_tokens_need_no_join(spark, sf):
+    """Found in the page's own row: none in a pause, the first of a page at its start, places that count on over pages."""
+    pages = P.group_pages(A.captions(spark, sf)).withColumn("at_ms", F.col("start_ms") + 700)
+    assert _moves(P.active_tokens(pages)) == []
+    rows = [("a", i, w, s, e) for i, (w, s, e) in enumerate([("x", 0, 300), ("y", 400, 900), ("z", 1300, 1400), ("v", 1500, 2100)])]
+    pages = P.group_pages(spark.createDataFrame(rows, CAPTIONS))
+    at = lambda ms: [(r.page_no, r.text, r.pos) for r in P.active_tokens(pages.withColumn("at_ms", F.col("start_ms") + ms)).orderBy("page_no").collect()]
+    assert at(0) == [(0, "x", 0), (1, "z", 2)]
+    assert at(300) == [(1, "v", 3)] and at(400) == [(0, "y", 1), (1, "v", 3)] and at(900) == []
+
+
 def test_ranks_of_a_hot_key(spark):
     """A session with half the rows: blocks give what one window would, and no task of theirs gets over a block."""
     rng = random.Random(8)
