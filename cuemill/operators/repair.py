@@ -57,12 +57,16 @@ def _walked(ins: Column, outs: Column) -> Column:
 
 
 def _by_chunk(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
-    """(by, _ins, _outs): both sides, each grouped by chunk once."""
+    """(by, _ins, _outs): both sides, each grouped by chunk once, and the two rows of a chunk grouped into one.
+
+    A join on all of ``by`` would shuffle both sides anew where they are dealt by
+    a part of it; a grouping finds its rows in place.
+    """
     # worked out below the grouping, where Spark generates code for it
     given = rows.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order(*keep, "word", "_norm", order="row_no").alias("_ins"))
-    found = answers.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order("word", "_norm", order="row_no").alias("_outs"))
-    chunks = given.join(found, list(by), "left")
-    return chunks.withColumn("_outs", F.coalesce("_outs", F.array().cast(chunks.schema["_outs"].dataType)))
+    found = answers.dropna(subset=list(by)).withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order("word", "_norm", order="row_no").alias("_outs"))
+    both = given.unionByName(found, allowMissingColumns=True).groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_ins", "_outs")])
+    return both.where("_ins is not null").withColumn("_outs", F.coalesce("_outs", F.array().cast(found.schema["_outs"].dataType)))
 
 
 def _fitted(chunks: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], places) -> DataFrame:

@@ -311,6 +311,23 @@ def _moves(df) -> list[str]:
     return [x for x in plan.splitlines() if "Exchange" in x and "REPARTITION_BY" not in x]
 
 
+def test_answers_meet_their_chunks_without_a_shuffle(spark, sf):
+    """Rows and answers that are dealt by project are grouped by chunk in place; what lacks the other side is as a left join has it."""
+    from cuemill.plans.transcripts import correct
+
+    words = A.words(spark, sf)
+    rows = O.chunk_rows(words)
+    answers = A.answers_of(rows)
+    for df in (X.repaired(rows, answers), X.corrected(rows, answers), X.checked(rows, answers)[0], X.match_counts(X.repaired(rows, answers)), correct(words, answers)):
+        assert _moves(df) == []
+    kind = "project_id long, chunk_no int, row_no int, start_ms long, word string"
+    given = spark.createDataFrame([(1, 0, 0, 0, "one"), (1, 0, 1, 5, "two"), (1, 1, 0, 9, "alone"), (None, 0, 0, 3, "nobody"), (2, None, 0, 4, "nowhere")], kind)
+    came = spark.createDataFrame([(1, 0, 1, 0, "TWO"), (1, 0, 0, 0, "One"), (3, 0, 0, 0, "stray"), (None, 0, 0, 0, "NOBODY"), (2, None, 0, 0, "NOWHERE")], kind).drop("start_ms")
+    got = sorted(map(tuple, X.repaired(given, came).collect()), key=repr)
+    want = [(1, 0, 0, 0, "One", True), (1, 0, 1, 5, "TWO", True), (1, 1, 0, 9, "alone", False), (None, 0, 0, 3, "nobody", False), (2, None, 0, 4, "nowhere", False)]
+    assert got == sorted(want, key=repr)
+
+
 def test_active_tokens_need_no_join(spark, sf):
     """Found in the page's own row: none in a pause, the first of a page at its start, places that count on over pages."""
     pages = P.group_pages(A.captions(spark, sf)).withColumn("at_ms", F.col("start_ms") + 700)
