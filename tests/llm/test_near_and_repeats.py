@@ -349,3 +349,39 @@ def test_similar_texts_meet_by_their_simhash(spark, monkeypatch, matrix):
     df = spark.createDataFrame(rows, "fp long, bands binary, last binary, hashes binary")
     assert sorted(map(tuple, similar.similar_links(df).collect())) == [(i, i + 5) for i in range(5)]
     assert similar.similar_links(df, distance=-1).collect() == []
+
+
+def test_near_copies_are_in_one_bucket(spark, monkeypatch):
+    """However many bands a text meets kin texts in, it is compared with one leader; texts with too many shingles of their own with none."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    rows = []
+    for i in range(90):  # 60 with up to 4 words of their own, and 30 with so many that no other has four fifths of their shingles
+        words = list(base)
+        for k in rng.sample(range(120), i % 5 if i < 60 else 12):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words), None, None))
+    told, was = {}, similar.staged
+
+    def counted(df, tag):
+        out = was(df, tag)
+        told[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "staged", counted)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(documents(spark, rows)).collect()}
+    sets = [set(similar.shingle_set(r[1].encode()).tolist()) for r in rows]
+    want = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    assert [got[i] for i in range(90)] == want and 30 < want.count(0) < 60 and want[60:] == list(range(60, 90))
+    assert told["members"] > 200 and told["stars"] <= 60
+
+
+def test_linkable_counts_what_others_have(spark):
+    """Four fifths of a set's shingles, in some other set or other, are enough to stay."""
+    sets = [np.arange(0, 10), np.arange(2, 12), np.arange(3, 13), np.arange(20, 30), np.array([0, 1, 20, 21, 22, 40, 41])]
+    df = spark.createDataFrame([(i, s.astype("<u8").tobytes()) for i, s in enumerate(sets)], "fp long, hashes binary")
+    assert sorted(map(tuple, similar.linkable(df).collect())) == [(0, 10), (1, 10), (2, 9)]
