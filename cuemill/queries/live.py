@@ -12,13 +12,13 @@ from cuemill.adapters import REQUESTS
 from cuemill.functions.progress import clamped
 from cuemill.queries.base import ORACLE_SQL, query, sql
 from cuemill.queries.states import RUN, STEPS
-from cuemill.session import work_dir
+from cuemill.session import input_bytes, work_dir
 from cuemill.sources.events import event_text, parse_events
 from cuemill.streaming import ordered as live
 from cuemill.streaming.progress import drained as run_out, read_progress
 
-#: Files that the events' time is cut into.
-SLICES = 6
+#: Files that the events' time is cut into, and bytes of input files for a state that sessions share (some ten thousand events).
+SLICES, SHARE_BYTES = 6, 256 << 10
 
 
 def shuffled(events: DataFrame, path: str) -> str:
@@ -58,6 +58,11 @@ def _files(spark: SparkSession, sf_dir: str, at: str, where: str = "true", name:
     return read_progress(spark, f"{at}/{name}", maxFilesPerTrigger=files).withColumnRenamed("user_id", "session_id"), delay
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> int:
+    """States that the sessions are dealt over: a few for each core, and more as the events grow."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-input_bytes(A.table(spark, sf_dir, "events")) // SHARE_BYTES))
+
+
 @query(sql("requests", STEPS, **RUN))
 def i03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state machine with state kept by the stream: the same rows as in batch form, whatever the files' order."""
@@ -147,5 +152,5 @@ def i08_render_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind == "purchase", "exported").when(kind == "error", "gone").otherwise("rendering")
     reports = rows.select("session_id", "ts", "event_id", F.concat(F.lit("clip"), F.col("event_id") % 4).alias("render_key"), status.alias("status"))
-    done = drained(live.render_queue(reports, delay), f"{at}/out", f"{at}/log")
+    done = drained(live.render_queue(reports, delay, _shares(spark, sf_dir)), f"{at}/out", f"{at}/log")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})

@@ -5,12 +5,17 @@ read one after another, in order, and folded into the key's value.  A key has
 one timer, set to the earliest thing that it waits for: a row, or a deadline of
 the processor's own, which later rows may move or cancel.  A key's state is read
 and written once a batch, whole, so that a row costs no call to the state store.
+Where keys have few rows each, many may share a state (``shares``): a call of
+the processor costs a millisecond, whatever the rows that it is given.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,8 +26,14 @@ from pyspark.sql.types import LongType
 from cuemill.schema import FLAG, LONG, TEXT, TRANSITIONS, record
 
 
+#: The place of a row that waits: time, number, and which came first.
+_place = itemgetter(0, 1, 2)
+
+
 def _values(column: pd.Series, whole: bool) -> list:
     """A column's values; whole numbers among nulls come as fractions."""
+    if column.notna().all():
+        return column.astype("int64").tolist() if whole else column.tolist()
     values = column.astype(object).where(column.notna(), None).tolist()
     return [None if x is None else int(x) for x in values] if whole else values
 
@@ -45,44 +56,56 @@ class InOrder:
         """The rows to emit when the deadline ``us`` has passed, and the key's new value."""
         return [], value
 
-    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        no, deadline, waiting, value = pickle.loads(state.get[0]) if state.exists else (0, None, [], None)
+    def run(self, key: str, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Takes the rows of the keys (in the column ``key``) that share a state; what a key waits for and its value are the key's own."""
+        no, waiting, held = pickle.loads(zlib.decompress(state.get[0])) if state.exists else (0, [], {})
         whole = [isinstance(f.dataType, LongType) for f in self.fields]
         for frame in frames:
             rows = list(zip(*(_values(frame[f.name], w) for f, w in zip(self.fields, whole, strict=True)), strict=True))
-            for us, event_id, row in zip(_values(frame["us"], True), _values(frame["event_id"], True), rows, strict=True):
-                waiting.append((us, event_id, no, row))
-                no += 1
-        waiting.sort(key=lambda x: x[:3])
-        mark, at, out = state.getCurrentWatermarkMs(), 0, []
-        while at < len(waiting) and waiting[at][0] // 1000 < mark:
-            us, event_id, _, row = waiting[at]
+            came = range(no, no + len(rows))
+            waiting += zip(_values(frame["us"], True), _values(frame["event_id"], True), came, _values(frame[key], True), rows, strict=True)
+            no += len(rows)
+        waiting.sort(key=_place)
+        mark, out = state.getCurrentWatermarkMs(), []
+        at = bisect_left(waiting, mark * 1000, key=lambda x: x[0])
+        for us, event_id, _, name, row in waiting[:at]:
+            deadline, value = held.get(name, (None, None))
             if deadline is not None and deadline <= us:
-                told, value = self.due(key, deadline, value)
+                told, value = self.due((name,), deadline, value)
                 out += told
-            told, value, deadline = self.take(key, us, event_id, row, value, deadline if deadline is None or deadline > us else None)
+                deadline = None
+            told, value, deadline = self.take((name,), us, event_id, row, value, deadline)
             out += told
-            at += 1
-        if deadline is not None and deadline // 1000 < mark:
-            told, value = self.due(key, deadline, value)
-            out, deadline = out + told, None
-        waiting = waiting[at:]
-        state.update((pickle.dumps((no, deadline, waiting, value)),))
-        nexts = [x for x in (waiting[0][0] if waiting else None, deadline) if x is not None]
+            held[name] = deadline, value
+        for name, (deadline, value) in held.items():
+            if deadline is not None and deadline // 1000 < mark:
+                told, value = self.due((name,), deadline, value)
+                out += told
+                held[name] = None, value
+        del waiting[:at]
+        held = {name: x for name, x in held.items() if x[0] is not None or x[1] is not None}
+        state.update((zlib.compress(pickle.dumps((no, waiting, held)), 1),))
+        nexts = [x for x, _ in held.values() if x is not None] + [x[0] for x in waiting[:1]]
         if nexts:
             state.setTimeoutTimestamp(max(min(nexts) // 1000, 1))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(",")], dtype=object)
 
 
-def _run(timed: DataFrame, key: str, processor: InOrder) -> DataFrame:
-    return timed.groupBy(key).applyInPandasWithState(processor.__call__, processor.out, "state BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+def _run(timed: DataFrame, key: str, processor: InOrder, shares: int | None) -> DataFrame:
+    keys = timed.groupBy(key) if shares is None else timed.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(shares))).groupBy("_share")
+    return keys.applyInPandasWithState(lambda _, frames, state: processor.run(key, frames, state), processor.out, "state BINARY", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ordered(rows: DataFrame, key: str, processor: InOrder, delay: str) -> DataFrame:
-    """``processor`` over a stream (key, ts, event_id, fields): rows may come later than others by up to ``delay``; later ones are dropped."""
+def ordered(rows: DataFrame, key: str, processor: InOrder, delay: str, shares: int | None = None) -> DataFrame:
+    """``processor`` over a stream (key, ts, event_id, fields): rows may come later than others by up to ``delay``; later ones are dropped.
+
+    ``shares``: states that the keys are dealt over; each key has its own if it
+    is not given.  A share should hold some thousands of the rows that wait; the
+    number can't change while a checkpoint lasts.
+    """
     names = processor.fields.names
-    return _run(rows.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("us"), "event_id", *names), key, processor)
+    return _run(rows.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("us"), "event_id", *names), key, processor, shares)
 
 
 class States(InOrder):
@@ -103,13 +126,13 @@ class States(InOrder):
         return [(key[0], seq, new, fine, after, error)], (seq + 1, after), None
 
 
-def states(requests: DataFrame, delay: str, start: str = "IDLE") -> DataFrame:
+def states(requests: DataFrame, delay: str, start: str = "IDLE", shares: int | None = None) -> DataFrame:
     """(session_id, seq, new_state, accepted, state, error) for a stream of requests (session_id, ts, event_id, new_state).
 
     Requests are taken by time across batches, so that the rows are those of
     :func:`cuemill.operators.states.run_states`, as far as the watermark came.
     """
-    return ordered(requests, "session_id", States(start), delay)
+    return ordered(requests, "session_id", States(start), delay, shares)
 
 
 class Saves(InOrder):
@@ -131,13 +154,13 @@ class Saves(InOrder):
         return [(key[0], us, "quiet", *value)], None
 
 
-def debounced_saves(changes: DataFrame, delay: str, quiet_ms: int = 2000) -> DataFrame:
+def debounced_saves(changes: DataFrame, delay: str, quiet_ms: int = 2000, shares: int | None = None) -> DataFrame:
     """(session_id, saved_at, kind, n_events, last_event): the saves of a stream of changes (session_id, ts, event_id, at_once).
 
     A change is saved once ``quiet_ms`` have passed without another; one that is
     to be saved ``at_once`` is, together with those that wait, whose timer goes.
     """
-    out = ordered(changes, "session_id", Saves(quiet_ms * 1000), delay)
+    out = ordered(changes, "session_id", Saves(quiet_ms * 1000), delay, shares)
     return out.select("session_id", F.timestamp_micros("saved_us").alias("saved_at"), "kind", "n_events", "last_event")
 
 
@@ -157,7 +180,7 @@ class Listeners(InOrder):
         return [(key[0], s, "event", event_id, text) for s, _ in left], ((event_id, text), left), None
 
 
-def subscriptions(events: DataFrame, connections: DataFrame, delay: str) -> DataFrame:
+def subscriptions(events: DataFrame, connections: DataFrame, delay: str, shares: int | None = None) -> DataFrame:
     """(session_id, subscriber, kind, event_id, value): what each connection gets, of two streams.
 
     ``events``: (session_id, ts, event_id, value); ``connections``: (session_id,
@@ -168,7 +191,7 @@ def subscriptions(events: DataFrame, connections: DataFrame, delay: str) -> Data
     shape = lambda df, no, closed, value: df.withWatermark("ts", delay).select("session_id", "ts", F.unix_micros("ts").alias("us"), no.alias("event_id"), closed.alias("closed_us"), value.alias("value"))
     none: Column = F.lit(None)
     both = shape(connections, F.col("subscriber"), F.unix_micros("closed_at"), none.cast("string")).unionByName(shape(events, F.col("event_id"), none.cast("long"), F.col("value")))
-    return _run(both, "session_id", Listeners())
+    return _run(both, "session_id", Listeners(), shares)
 
 
 class Renders(InOrder):
@@ -185,12 +208,12 @@ class Renders(InOrder):
         return [(key[0], clip, event_id, clip not in running)], running | {clip}, None
 
 
-def accepted_renders(requests: DataFrame, delay: str) -> DataFrame:
+def accepted_renders(requests: DataFrame, delay: str, shares: int | None = None) -> DataFrame:
     """(session_id, render_key, event_id, accepted): the starts of a stream of requests (session_id, ts, event_id, render_key, kind).
 
     A start is accepted unless the same clip is being rendered; ``done`` ends that.
     """
-    return ordered(requests, "session_id", Renders(), delay)
+    return ordered(requests, "session_id", Renders(), delay, shares)
 
 
 class Queue(InOrder):
@@ -223,7 +246,7 @@ class Queue(InOrder):
         return [], (current, started, was or now == "rendering", turn, queue, renders), None
 
 
-def render_queue(reports: DataFrame, delay: str) -> DataFrame:
+def render_queue(reports: DataFrame, delay: str, shares: int | None = None) -> DataFrame:
     """(session_id, turn, render_key, started_at, ended_at, outcome): the renders of each session's queue, of a stream of reports.
 
     ``reports``: (session_id, ts, event_id, render_key, status), where status
@@ -232,5 +255,5 @@ def render_queue(reports: DataFrame, delay: str) -> DataFrame:
     is finished once it is exported, failed once it is gone after it was
     rendering, and then the next one starts.
     """
-    rows = ordered(reports, "session_id", Queue(), delay)
+    rows = ordered(reports, "session_id", Queue(), delay, shares)
     return rows.select("session_id", "turn", "render_key", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"), "outcome")

@@ -118,3 +118,24 @@ def test_a_slice_is_a_batch_whatever_its_files(spark, tmp_path):
     assert len(told) <= live.SLICES + 4 and max(p.stateOperators[0].numRowsTotal for p in told) == 5
     assert spark.read.parquet(f"{at}/out").groupBy("session_id").agg(F.max("seq").alias("m"), F.count("*").alias("n")).where("m = n - 1 and n = 180").count() == 5
     clear_work()
+
+
+def shared(spark, make, kinds: str, row) -> None:
+    """Sessions that share three states give the rows that each gives with a state of its own, and hold three."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(400) * US, rng.choice([*range(40), None]), i, *row(rng)) for i in range(900)]
+    batches: list[list[tuple]] = [[] for _ in range(5)]
+    for r in rows:
+        batches[r[0] // (100 * US) + rng.randrange(2)].append(r)
+    schema, out = f"session_id long, event_id long, {kinds}", []
+    for shares in (None, 3):
+        at = work_dir(spark, "test")
+        got, held = drained(make(streamed(spark, at, batches, schema), "201 seconds", shares), at)
+        out.append(sorted(map(repr, got.collect())))
+        assert held >= 40 if shares is None else held <= 3
+    assert out[0] == out[1] and len(out[0]) > 40
+    clear_work()
+
+
+def test_queues_share_states(spark):
+    shared(spark, lambda s, d, n: ordered.render_queue(s, d, shares=n), "render_key string, status string", lambda r: (r.choice("ab"), r.choice(["queued", "rendering", "exported", "gone"])))
