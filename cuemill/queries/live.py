@@ -85,7 +85,7 @@ def i05_debounced_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = work_dir(spark, "debounced")
     rows, delay = _files(spark, sf_dir, at)
     changes = rows.select("session_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("at_once"))
-    saves = drained(live.debounced_saves(changes, delay, 7_200_000), f"{at}/out", f"{at}/log")
+    saves = drained(live.debounced_saves(changes, delay, 7_200_000, _shares(spark, sf_dir)), f"{at}/out", f"{at}/log")
     return saves.withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz"))
 
 

@@ -139,3 +139,7 @@ def shared(spark, make, kinds: str, row) -> None:
 
 def test_queues_share_states(spark):
     shared(spark, lambda s, d, n: ordered.render_queue(s, d, shares=n), "render_key string, status string", lambda r: (r.choice("ab"), r.choice(["queued", "rendering", "exported", "gone"])))
+
+
+def test_debounced_saves_share_states(spark):
+    shared(spark, lambda s, d, n: ordered.debounced_saves(s, d, 20_000, n), "at_once boolean", lambda r: (r.random() < 0.3,))
