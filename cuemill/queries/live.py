@@ -107,7 +107,8 @@ def a18_live_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = events.select("session_id", "ts", "event_id", event_text(row).alias("value"))
     joins = joins.select("session_id", "ts", F.col("event_id").alias("subscriber"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("closed_at"))
     # the slower of two delays serves both
-    texts = drained(live.subscriptions(events, joins, max(delay, late, key=lambda x: int(x.split()[0]))), f"{at}/out", f"{at}/log")
+    delay = max(delay, late, key=lambda x: int(x.split()[0]))
+    texts = drained(live.subscriptions(events, joins, delay, _shares(spark, sf_dir)), f"{at}/out", f"{at}/log")
     read = parse_events(texts, "value")
     return read.select("session_id", "subscriber", "kind", "event_id", "event.progress", "event.message")
 

@@ -143,3 +143,12 @@ def test_queues_share_states(spark):
 
 def test_debounced_saves_share_states(spark):
     shared(spark, lambda s, d, n: ordered.debounced_saves(s, d, 20_000, n), "at_once boolean", lambda r: (r.random() < 0.3,))
+
+
+def test_subscriptions_share_states(spark):
+    def make(stream, delay, shares):
+        sides = stream.where("closed is null"), stream.where("closed is not null")
+        joins = sides[1].select("session_id", "ts", F.col("event_id").alias("subscriber"), (F.col("ts") + F.make_dt_interval(secs=F.col("closed"))).alias("closed_at"))
+        return ordered.subscriptions(sides[0], joins, delay, shares)
+
+    shared(spark, make, "closed long, value string", lambda r: (r.randrange(90), None) if r.random() < 0.3 else (None, f"e{r.random()}"))
