@@ -70,7 +70,7 @@ def i03_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, delay = _files(spark, sf_dir, at)
     kinds = F.create_map(*[F.lit(x) for pair in REQUESTS.items() for x in pair])
     requests = rows.select("session_id", "ts", "event_id", kinds[F.col("event_type")].alias("new_state"))
-    return drained(live.states(requests, delay), f"{at}/out", f"{at}/log")
+    return drained(live.states(requests, delay, shares=_shares(spark, sf_dir)), f"{at}/out", f"{at}/log")
 
 
 @query(
@@ -120,7 +120,7 @@ def i07_stream_accepted_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, delay = _files(spark, sf_dir, at)
     kind = F.when(F.col("event_type") == "purchase", "done").otherwise("start")
     requests = rows.select("session_id", "ts", "event_id", F.concat(F.lit("clip"), F.col("event_id") % 4).alias("render_key"), kind.alias("kind"))
-    return drained(live.accepted_renders(requests, delay), f"{at}/out", f"{at}/log")
+    return drained(live.accepted_renders(requests, delay, _shares(spark, sf_dir)), f"{at}/out", f"{at}/log")
 
 
 _INDEX = "CAST(right({}, 1) AS INTEGER) + 1"

@@ -152,3 +152,11 @@ def test_subscriptions_share_states(spark):
         return ordered.subscriptions(sides[0], joins, delay, shares)
 
     shared(spark, make, "closed long, value string", lambda r: (r.randrange(90), None) if r.random() < 0.3 else (None, f"e{r.random()}"))
+
+
+def test_accepted_renders_share_states(spark):
+    shared(spark, lambda s, d, n: ordered.accepted_renders(s, d, n), "render_key string, kind string", lambda r: (r.choice("ab"), r.choice(["start", "done"])))
+
+
+def test_stream_states_share_states(spark):
+    shared(spark, lambda s, d, n: ordered.states(s, d, shares=n), "new_state string", lambda r: (r.choice(list(TRANSITIONS)),))
