@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,25 +10,25 @@ from pyspark.sql.window import Window as W
 from cuemill.functions.text import SPACE_CLASS, ends_with_punctuation, is_bound_word, is_break_word, trim
 from cuemill.operators.arrays import cut, fold_starts, in_order, let
 from cuemill.operators.ordered import with_islands
-from cuemill.operators.scan import runs_of, starts_of, with_entries
+from cuemill.operators.scan import runs_of
 
 LINE_CHARS, BLOCK_CHARS, FEWEST_WORDS = 42, 84, 4
 
 
-def _next_block(rows: list[dict], i: int) -> int:
-    """Where the block after the one that begins at row ``i`` begins, or the number of rows."""
-    n, size, punct = 1, rows[i]["len"], rows[i]["punct"]
-    for j in range(i + 1, len(rows)):
-        x = rows[j]
-        size += 1 + x["len"]
-        if size > BLOCK_CHARS or (n >= FEWEST_WORDS and size > LINE_CHARS and (punct or x["brk"]) and not x["bound"]):
-            return j
-        n, punct = n + 1, x["punct"]
-    return len(rows)
+def _next_blocks(x: dict[str, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Where the block after one that begins at each row begins; ``ends`` are those of the rows' islands."""
+    n = len(ends)
+    at = np.arange(n)
+    upto = np.append(0, np.cumsum(x["len"].astype(np.int64) + 1))  # characters of the rows before, with a space after each
+    reach = lambda chars: np.searchsorted(upto, upto[:-1] + chars + 1, side="right") - 1  # noqa: E731  the first row that makes a block longer
+    turn = (np.append(False, x["punct"][:-1]) | x["brk"]) & ~x["bound"]
+    turns = np.append(np.minimum.accumulate(np.where(turn, at, n)[::-1])[::-1], n)
+    full, turned = np.maximum(reach(BLOCK_CHARS), at + 1), turns[np.minimum(np.maximum(reach(LINE_CHARS), at + FEWEST_WORDS), n)]
+    return np.minimum(np.minimum(full, turned), ends)
 
 
 def _islands(captions: DataFrame, lang: str, key: str, run: int | None) -> DataFrame:
-    """One row per silence island, or run of one: (key, rows, starts), where ``starts`` are the places of its blocks' first words."""
+    """One row per silence island, or run of one: (key, rows, starts), where ``starts`` are the places of its blocks' first words; of runs also first_no."""
     bare = captions.select(key, "pos", trim("text").alias("text"), "start_ms", "end_ms")
     rows = with_islands(bare, key=key).select(
         "*",
@@ -37,6 +38,9 @@ def _islands(captions: DataFrame, lang: str, key: str, run: int | None) -> DataF
         ends_with_punctuation("text").alias("punct"),
     )
     cols = ("text", "start_ms", "end_ms", "len", "brk", "bound", "punct")
+    if run:
+        # a word adds a character at least, if only the space before it
+        return runs_of(rows, key, run, BLOCK_CHARS + 1, _next_blocks, *cols)
 
     def begins(s, x):
         size = s["size"] + 1 + x["len"]  # three small integers: cheaper again than bound
@@ -47,10 +51,6 @@ def _islands(captions: DataFrame, lang: str, key: str, run: int | None) -> DataF
         return {"n": F.when(new, 1).otherwise(s["n"] + 1), "size": F.when(new, x["len"]).otherwise(s["size"] + 1 + x["len"]), "punct": x["punct"]}
 
     state = {"n": F.lit(0), "size": F.lit(0), "punct": F.lit(False)}
-    if run:
-        # a word adds a character at least, if only the space before it
-        runs = runs_of(rows, key, run, BLOCK_CHARS + 1, *cols)
-        return starts_of(with_entries(runs, key, BLOCK_CHARS + 1, _next_block, "len", "brk", "bound", "punct"), begins, state, step)
     islands = rows.groupBy(key, "island").agg(in_order(*cols).alias("rows"))
     return islands.select(key, "island", "rows", fold_starts(F.col("rows"), begins, state, step).alias("starts"))
 
@@ -65,19 +65,20 @@ def group_blocks(captions: DataFrame, lang: str = "en", key: str = "project_id",
     The decision depends on the block so far, so it is a fold; silences end
     blocks in any case, so each island of speech is folded by itself.  Where
     speakers may never pause, ``run`` bounds the words of an array: longer
-    islands are cut into runs (more than a block's words each), which are walked
-    in parallel from all places where a block may enter them.
+    islands are cut into runs (more than a block's words each), whose blocks are
+    found as the words stream through a task.
     """
-    words = F.explode(cut(F.col("rows"), F.col("starts"))).alias("w")
-    blocks = _islands(captions, lang, key, run).select(key, words).select(
+    first = [F.col("first_no")] if run else []
+    blocks = _islands(captions, lang, key, run).select(key, *first, F.posexplode(cut(F.col("rows"), F.col("starts"))).alias("_no", "w")).select(
         key,
+        *[(no + F.col("_no")).alias("block_no") for no in first],
         F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"),
         F.get("w", F.lit(0))["start_ms"].alias("start_ms"),
         F.element_at("w", -1)["end_ms"].alias("end_ms"),
         F.get("w", F.lit(0))["pos"].alias("first_pos"),
         F.size("w").alias("n_words"),
     )
-    number = F.row_number().over(W.partitionBy(key).orderBy("first_pos")) - 1
+    number = F.col("block_no") if run else F.row_number().over(W.partitionBy(key).orderBy("first_pos")) - 1
     return blocks.select(key, number.alias("block_no"), "text", "start_ms", "end_ms", "first_pos", "n_words")
 
 

@@ -400,3 +400,22 @@ def test_blocks_of_speech_that_never_pauses(spark, run):
     path = [p for _, p in session._WORK if "/runs-" in p][-1]
     sizes = spark.read.parquet(path).agg(F.max(F.size("rows")), F.count(F.lit(1)), F.count_if("cut")).first()
     assert sizes[0] <= run + B.BLOCK_CHARS + 1 and sizes[1] > sizes[2] > 2
+
+
+@pytest.mark.parametrize("batch", [37, 10_000])
+def test_words_of_runs_are_staged_once_and_not_dealt_again(spark, batch):
+    """Blocks that cross runs and Arrow batches are whole, numbered where they are found, and nothing is shuffled behind the staged runs."""
+    rng = random.Random(batch)
+    rows = [(k, i, rng.choice(["but", "of", "sea,", "night.", None, "x", "incomprehensibilities"]), at, at + 50) for k in (1, None, 2) for i, at in enumerate(sorted(rng.sample(range(600_000), 700)))]
+    df = spark.createDataFrame(rows, "project_id long, pos int, text string, start_ms long, end_ms long").fillna("", ["text"])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        got = B.group_blocks(df, run=120)
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, B.group_blocks(df).collect()))
+    path = [p for _, p in session._WORK if "/runs-" in p][-1]
+    assert spark.read.parquet(path).agg(F.sum(F.size("rows"))).first()[0] == len(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
