@@ -16,11 +16,28 @@ BY = ("project_id", "chunk_no")
 def restored(rows: DataFrame, answers: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """The input's times with the answer's words, by place.
 
-    ``rows``: (by, row_no, start_ms, word, ...); ``answers``: (by, row_no, word).
-    A row without an answer keeps its word; surplus answers go.
+    ``rows``: (by, row_no, start_ms, word, ...), of columns that can be ordered;
+    ``answers``: (by, row_no, word).  A row without an answer keeps its word;
+    surplus answers go, and a row with several answers comes with each.  A
+    chunk's answers are found in its own row, by their place where no place is
+    left out, and nothing is joined.
     """
-    new = answers.select(*by, "row_no", F.col("word").alias("_new"))
-    return rows.join(new, [*by, "row_no"], "left").withColumn("word", F.coalesce("_new", "word")).drop("_new")
+    rest = [c for c in rows.columns if c not in (*by, "row_no")]
+    chunks = _by_chunk(rows, answers, by, tuple(c for c in rest if c != "word"), norm=False)
+    nos, first = F.transform("_outs", lambda o: o["row_no"]), F.get("_outs", F.lit(0))["row_no"]
+    n = F.size("_outs")
+    whole = (n > 0) & (F.size(F.array_distinct(nos)) == n) & (F.get("_outs", n - 1)["row_no"] - first == n - 1)
+
+    def row(x, answer):
+        return F.struct(x["row_no"].alias("row_no"), *[(F.coalesce(answer["word"], x[c]) if c == "word" else x[c]).alias(c) for c in rest])
+
+    def each(x):
+        found = F.filter("_outs", lambda o: o["row_no"] == x["row_no"])
+        return let(found, lambda m: F.when(F.size(m) > 0, F.transform(m, lambda o: row(x, o))).otherwise(F.array(row(x, F.get(m, F.lit(0))))))
+
+    placed = F.transform("_ins", lambda x: row(x, F.get("_outs", (x["row_no"] - first).cast("int"))))
+    fitted = F.when(F.coalesce(whole, F.lit(False)), placed).otherwise(F.flatten(F.transform("_ins", each)))
+    return chunks.select(*by, F.inline(fitted))
 
 
 def _walked(ins: Column, outs: Column) -> Column:
@@ -56,15 +73,16 @@ def _walked(ins: Column, outs: Column) -> Column:
     return let(F.struct(ins["_norm"].alias("a"), outs["_norm"].alias("b")), lambda n: over(n["a"], n["b"]))
 
 
-def _by_chunk(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
-    """(by, _ins, _outs): both sides, each grouped by chunk once, and the two rows of a chunk grouped into one.
+def _by_chunk(rows: DataFrame, answers: DataFrame, by: tuple[str, ...], keep: tuple[str, ...], norm: bool = True) -> DataFrame:
+    """(by, _ins, _outs): both sides, each grouped by chunk once, and the two rows of a chunk grouped into one; with ``norm`` words come normalised too.
 
     A join on all of ``by`` would shuffle both sides anew where they are dealt by
     a part of it; a grouping finds its rows in place.
     """
     # worked out below the grouping, where Spark generates code for it
-    given = rows.withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order(*keep, "word", "_norm", order="row_no").alias("_ins"))
-    found = answers.dropna(subset=list(by)).withColumn("_norm", normalized("word")).groupBy(*by).agg(in_order("word", "_norm", order="row_no").alias("_outs"))
+    more = {"_norm": normalized("word")} if norm else {}
+    given = rows.withColumns(more).groupBy(*by).agg(in_order(*keep, "word", *more, order="row_no").alias("_ins"))
+    found = answers.dropna(subset=list(by)).withColumns(more).groupBy(*by).agg(in_order("word", *more, order="row_no").alias("_outs"))
     both = given.unionByName(found, allowMissingColumns=True).groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_ins", "_outs")])
     return both.where("_ins is not null").withColumn("_outs", F.coalesce("_outs", F.array().cast(found.schema["_outs"].dataType)))
 

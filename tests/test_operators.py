@@ -419,3 +419,18 @@ def test_words_of_runs_are_staged_once_and_not_dealt_again(spark, batch):
     path = [p for _, p in session._WORK if "/runs-" in p][-1]
     assert spark.read.parquet(path).agg(F.sum(F.size("rows"))).first()[0] == len(rows)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_restored_rows_are_not_joined(spark, sf):
+    """By place as a join has it: gaps, surplus, several answers for a row, no answers, null keys, places and words; and the answers move no word."""
+    rows = [(p, 0, i, 10 * i, f"w{i}") for p in ("whole", "gap", "twice", "late", "none", None) for i in (0, 1, 2, 3)] + [("whole", 0, None, 0, "x")]
+    told = {"whole": [0, 1, 2, 3, 4], "gap": [0, 3, 7], "twice": [0, 2, 2], "late": [1, 2], None: [0, 1], "other": [0]}
+    answers = [(p, 0, i, None if (p, i) == ("whole", 1) else f"{p}{i}-{k}") for p, at in told.items() for k, i in enumerate(at)] + [("gap", 0, None, "y")]
+    given = spark.createDataFrame(rows, "project_id string, chunk_no int, row_no int, start_ms long, word string")
+    found = spark.createDataFrame(answers, "project_id string, chunk_no int, row_no int, word string")
+    joined = given.join(found.withColumnRenamed("word", "_new"), ["project_id", "chunk_no", "row_no"], "left").withColumn("word", F.coalesce("_new", "word")).drop("_new")
+    got = X.restored(given, found)
+    assert got.columns == joined.columns and sorted(map(repr, got.collect())) == sorted(map(repr, joined.collect()))
+    words = A.chunked(spark, sf)
+    plan = X.restored(words, A.answers_of(words))
+    assert not _moves(plan) and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
