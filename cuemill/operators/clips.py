@@ -85,6 +85,14 @@ def _buckets(start: Column, end: Column) -> Column:
     return F.sequence(first, F.greatest(first, F.floor((end - 1) / BUCKET_MS)))
 
 
+def _met(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """The inner join on ``by`` of sides whose groups are small: each side is grouped once, and each pair of groups is taken apart in its own row."""
+    side = lambda df, name: df.dropna(subset=by).groupBy(*by).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in by])).alias(name))
+    both = side(left, "_left").unionByName(side(right, "_right"), allowMissingColumns=True)
+    both = both.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_left", "_right")]).where("_left is not null and _right is not null")
+    return both.select(*by, "_right", F.inline("_left")).select("*", F.inline("_right")).drop("_right")
+
+
 def clip_captions(captions: DataFrame, clips: DataFrame, fps: float, edited: bool = True, key: str = "project_id") -> DataFrame:
     """The captions that each clip shows, on the clip's own time (D01): (key, clip_no, pos, text, start_ms, end_ms, timestamp_ms, confidence).
 
@@ -94,14 +102,16 @@ def clip_captions(captions: DataFrame, clips: DataFrame, fps: float, edited: boo
     too (D10).
 
     Both sides are dealt into buckets of a minute and meet on (key, bucket), so
-    a long project is spread over many tasks and a caption is only compared with
-    clips of its minute; a pair counts in the later of its first buckets, once.
+    a caption is only compared with clips of its minute; a pair counts in the
+    later of its first buckets, once.  They meet by a grouping, as a join on
+    both would shuffle captions that are dealt by key; where they are not, a
+    long project is spread over many tasks.
     """
     left = captions.select(key, "pos", "text", "start_ms", "end_ms", "timestamp_ms", "confidence", F.explode(_buckets(F.col("start_ms"), F.col("end_ms"))).alias("bucket"))
     right = with_layout(clips, fps).select(key, F.col("pos").alias("clip_no"), "range_start", "range_end", "snapped_ms", *(["caption_edits", "caption_offset"] if edited else []))
     right = right.withColumn("bucket", F.explode(_buckets(F.col("range_start"), F.col("range_end"))))
     once = F.col("bucket") == F.greatest(F.floor(F.col("start_ms") / BUCKET_MS), F.floor(F.col("range_start") / BUCKET_MS))
-    rows = left.join(right, [key, "bucket"]).where(once & (F.col("end_ms") > F.col("range_start")) & (F.col("start_ms") < F.col("range_end")))
+    rows = _met(left, right, [key, "bucket"]).where(once & (F.col("end_ms") > F.col("range_start")) & (F.col("start_ms") < F.col("range_end")))
     first, last = F.greatest("start_ms", "range_start"), F.least("end_ms", "range_end")
     offset = F.coalesce("caption_offset", F.lit(0)) if edited else F.lit(0)
     here = lambda ms: ms - F.col("snapped_ms") + offset

@@ -54,6 +54,6 @@ def detected_clips(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 def render_plan(clips: DataFrame, captions: DataFrame, fps: float) -> tuple[DataFrame, DataFrame]:
     """What a renderer needs of each clip: its layout (B16, B17, B19), and its caption pages."""
-    shown = clip_captions(captions, clips, fps).withColumn("clip", F.struct("project_id", "clip_no"))
-    pages = split_at_sentences(group_pages(shown.select("clip", "pos", "text", "start_ms", "end_ms"), key="clip"), key="clip")
-    return with_layout(clips, fps), pages.select("clip.*", *[c for c in pages.columns if c != "clip"])
+    clip = ["project_id", "clip_no"]
+    shown = clip_captions(captions, clips, fps).select(*clip, "pos", "text", "start_ms", "end_ms")
+    return with_layout(clips, fps), split_at_sentences(group_pages(shown, key=clip), key=clip)

@@ -434,3 +434,17 @@ def test_restored_rows_are_not_joined(spark, sf):
     words = A.chunked(spark, sf)
     plan = X.restored(words, A.answers_of(words))
     assert not _moves(plan) and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clips_find_their_captions_in_place(spark, sf):
+    """Captions and clips that are dealt by project meet, and pages are made, without another shuffle or a join; null keys meet nothing."""
+    from cuemill.plans.transcripts import render_plan
+
+    words = A.words(spark, sf)
+    captions, clips = A.as_captions(words), A.clips_of(words)
+    for df in (C.clip_captions(captions, clips, 25.0), C.clip_captions(captions, clips, 25.0, edited=False), render_plan(clips, captions, 25.0)[1]):
+        assert not _moves(df) and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    one, none = F.col("project_id") == 0, F.lit(None).cast("long")
+    few = captions.where(one)
+    lost = C.clip_captions(few.withColumn("project_id", none), clips.where(one).withColumn("project_id", none), 25.0)
+    assert lost.count() == 0 < C.clip_captions(few, clips.where(one), 25.0).count()
